@@ -29,7 +29,7 @@ class Db:
 
     @cached_property
     def popall(self) -> DataFrame:
-        return population.with_popallvar(population.pop_loci(self.pool, D))
+        return self.f.stage("popall", lambda: population.with_popallvar(population.pop_loci(self.pool, D)))
 
     @cached_property
     def catalogue(self) -> DataFrame:
@@ -37,7 +37,7 @@ class Db:
 
     @cached_property
     def links(self) -> DataFrame:
-        return population.link_alleles(self.f.alleles, self.popall)
+        return self.f.stage("links", lambda: population.link_alleles(self.f.alleles, self.popall))
 
     @cached_property
     def loci_links(self) -> DataFrame:
@@ -49,7 +49,7 @@ class Db:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return selection.genotype_facts(self.links, self.loci_links, self.f.ind_loci)
+        return self.f.stage("facts", lambda: selection.genotype_facts(self.links, self.loci_links, self.f.ind_loci))
 
     @cached_property
     def locus_facts(self) -> DataFrame:
@@ -82,6 +82,10 @@ def _pair_reads(db: Db) -> DataFrame:
 
 
 def _groups(db: Db) -> DataFrame:
+    return db.f.stage("pair_groups", lambda: _new_groups(db))
+
+
+def _new_groups(db: Db) -> DataFrame:
     linked = _pair_reads(db)
     return pairs.pair_groups(pairs.pair_counts(linked), db.f.mate_reads.select(F.col("loc").alias("poploc")))
 

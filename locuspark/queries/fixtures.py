@@ -6,8 +6,12 @@ in ``ENGINES``.  An individual is a supplier, a true locus a part modulo 20.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from locuspark.plans.scratch import materialize
+
 ENGINES = {
     "spark": {"each": "array_join(transform(sequence(0L, {n}L), p -> {x}), '')", "chr": "chr"},
     "duckdb": {"each": "array_to_string(list_transform(range(0, {n} + 1), lambda p: {x}), '')", "chr": "chr"},
@@ -51,6 +55,15 @@ ALLELES = """SELECT ind, loc, CAST(row_number() OVER (PARTITION BY ind, loc ORDE
 MATES = "SELECT ind, concat('L_', o, '_', i, '_', tl, '_1') AS pair_key, tl AS loc FROM v_reads WHERE i <= 4 UNION ALL SELECT ind, concat('L_', o, '_', i, '_', tl, '_1') AS pair_key, CASE WHEN o % 97 = 0 AND tl >= 16 THEN tl WHEN tl % 2 = 0 THEN tl + 1 ELSE tl - 1 END AS loc FROM v_reads WHERE i <= 4 AND tl < 18"
 
 
+#: Stages of a set of tables that were written, by application, folder and name.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def forget_stages() -> None:
+    """Let later queries work all stages out anew."""
+    _WRITTEN.clear()
+
+
 class Fixture:
     """The views of one set of tables, as DataFrames."""
 
@@ -69,6 +82,13 @@ class Fixture:
             text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
         return self.spark.sql(text, **views)
 
+    def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A stage of the genotype database: written when first asked for, then read."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = materialize(make())
+        return _WRITTEN[key]
+
     @property
     def ind_loci(self) -> DataFrame:
         return self.alleles.select("ind", "loc", "loc_dep").distinct()
@@ -77,6 +97,3 @@ class Fixture:
 def duckdb_views() -> str:
     """The same views as common table expressions."""
     return f"v_reads AS ({reads_sql('duckdb')}),\nv_raw AS ({raw_sql('duckdb')}),\nv_mates AS ({pairs_sql('duckdb')}),\nv_alleles AS ({ALLELES}),\nv_mate_reads AS ({MATES})"
-
-
-__all__ = ["BARCODES", "SITE", "Fixture", "duckdb_views"]

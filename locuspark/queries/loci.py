@@ -23,7 +23,7 @@ def _long(df: DataFrame, *columns: str) -> DataFrame:
 
 def used(f: Fixture) -> DataFrame:
     """Svars of loci of every individual; written once for each set of tables."""
-    return I.loci_of(_svars(f), GOOD, F.lit(HAP), F.lit(RARE))
+    return f.stage("used", lambda: I.loci_of(_svars(f), GOOD, F.lit(HAP), F.lit(RARE)))
 
 
 def svar_count(f: Fixture) -> DataFrame:
