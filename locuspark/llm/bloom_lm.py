@@ -7,7 +7,8 @@ the filter holds the keys (pair, 1) ... (pair, level), so a level is found by
 probing 1, 2, ... until a probe fails.  A false positive raises a level by one
 at most with the filter's error rate, by two with its square, and so on.
 
-The model's probability of a text is the mean of three chains over its tokens:
+The model's probability of a text is the mean, weighted by ``SHARES``, of three
+chains over its tokens:
 
 * words: absolute discounting; all unseen words are one type and share the
   discounted mass,
@@ -44,6 +45,7 @@ PROBES = 5
 FILTER_BYTES = 256 << 20
 HEAD = 8_000_000
 PRIOR = 4.0
+SHARES = (0.9, 0.05, 0.05)
 #: Tokens that a task counts before it sends the counts on.
 COUNTED = 4_000_000
 
@@ -297,10 +299,10 @@ def _at_least(least: int):
 
 
 def _log_mean(chains: list[np.ndarray]) -> np.ndarray:
-    """log10 of the mean of 10**x over the chains."""
+    """log10 of the weighted mean of 10**x over the chains."""
     x = np.stack(chains)
     top = x.max(axis=0)
-    return top + np.log10(np.power(10.0, x - top).mean(axis=0))
+    return top + np.log10(np.array(SHARES) @ np.power(10.0, x - top))
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,10 +4,12 @@ Each rule looks at figures of a text and votes good (1), bad (-1) or abstains
 (0).  Given the unseen quality y of a text the votes are taken as independent,
 each rule having its own accuracy: how often it votes 1, 0 and -1 on good
 texts, and how often on bad ones.  Expectation-maximisation estimates these and
-the share of good texts from the votes alone; it needs only how often each
-pattern of votes occurs, which is one aggregation over all documents and at
-most 3 to the number of rules (243) rows.  A text is kept if its posterior
-probability of being good reaches ``KEEP``, whatever single rules say.
+the share of good texts from the votes alone, over all texts that the base
+rules leave in question; it needs only how often each pattern of votes occurs,
+which is one aggregation and at most 3 to the number of rules (243) rows.  No
+rule is taken to vote against more than ``WRONG`` of the good texts.  A text is
+kept if its posterior probability of being good reaches ``KEEP``, whatever
+single rules say.
 
 Figures, words being maximal runs of characters other than 0x20 and 0x09-0x0D:
 word_chars (code points in words), n_symbols (characters of ``#*$%&|<>``),
@@ -35,6 +37,7 @@ SYMBOLS = "#*$%&|<>"
 KEEP = 0.5
 #: Start values: probability of being good without and with a vote against.
 START = (0.95, 0.2)
+WRONG = 0.005
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 
@@ -130,7 +133,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> V
     total = sum(n for _, n in patterns)
     rules = range(len(patterns[0][0]) if patterns else 0)
     good = [START[-1 in v] for v, _ in patterns]
-    verdict: Verdict = (0.0, [{x: 0.0 for x in (-1, 0, 1)} for _ in rules])
+    verdict: Verdict = (0.0, [{x: 0.0 for x in (-1, 0, 1)} for _ in votes()])
     for _ in range(rounds if total else 0):
         share = min(0.99, max(0.01, sum(n * p for (_, n), p in zip(patterns, good, strict=True)) / total))
         steps = []
@@ -140,8 +143,11 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> V
                 seen[1, v[j]] += n * p
                 seen[0, v[j]] += n * (1 - p)
             sums = {y: sum(seen[y, x] for x in (-1, 0, 1)) for y in (0, 1)}
-            fair = seen[0, -1] / sums[0] > seen[1, -1] / sums[1]
-            steps.append({x: math.log(seen[1, x] / sums[1] / (seen[0, x] / sums[0])) if fair else 0.0 for x in (-1, 0, 1)})
+            p_good = {x: seen[1, x] / sums[1] for x in (-1, 0, 1)}
+            p_bad = {x: seen[0, x] / sums[0] for x in (-1, 0, 1)}
+            p_good[-1] = min(p_good[-1], WRONG)
+            fair = p_bad[-1] > p_good[-1]
+            steps.append({x: math.log(p_good[x] / p_bad[x]) if fair else 0.0 for x in (-1, 0, 1)})
         verdict = (math.log(share / (1 - share)), steps)
         good = [posterior(v, verdict) for v, _ in patterns]
     return verdict
@@ -157,11 +163,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """id, the figures, base_failed, quality (posterior) and kept of each row."""
     rows = materialize(measured(docs, id_col, text_col))
     rules = votes()
-    counted = rows.select(*[c.alias(k) for k, c in rules.items()]).groupBy(*rules).count().collect()
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    counted = rows.filter(~failed).select(*[c.alias(k) for k, c in rules.items()]).groupBy(*rules).count().collect()
     start, steps = estimate(sorted((tuple(r[k] for k in rules), r["count"]) for r in counted))
     z = F.lit(start)
     for c, by_vote in zip(rules.values(), steps, strict=True):
         z = z + F.when(c == 1, by_vote[1]).when(c == -1, by_vote[-1]).otherwise(by_vote[0])
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     rows = rows.withColumn("quality", 1 / (1 + F.exp(-z))).withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
