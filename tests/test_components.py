@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from locuspark.operators.components import connected_components
 from locuspark.plans.ordering import numbered
 
@@ -35,6 +37,6 @@ def test_components_of_nothing_and_nulls(spark):
 
 def test_numbering_is_global(spark):
     df = spark.createDataFrame([(f"k{i:03d}",) for i in random.Random(1).sample(range(200), 200)] + [(None,)], "k string").repartition(7)
-    rows = sorted((r["row_no"], r["k"]) for r in numbered(df, [df["k"].asc_nulls_last()]).collect())
+    rows = sorted((r["row_no"], r["k"]) for r in numbered(df, [F.col("k").asc_nulls_last()]).collect())
     assert [r[0] for r in rows] == list(range(201))
     assert [r[1] for r in rows] == [f"k{i:03d}" for i in range(200)] + [None]
