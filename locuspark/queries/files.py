@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import random
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuspark.operators import export, indel, reads_qc, simulate
+from locuspark.operators import depth, export, indel, population, reads_qc, simulate
 from locuspark.plans.scratch import scratch_dir
-from locuspark.queries.catalog_tables import _DIP, _LINK, _POP, _SEQ, Db, _long, _q, _two_at_most
-from locuspark.queries.fixtures import Fixture
+from locuspark.queries.catalog_tables import _DIP, _LINK, _MMM, _POP, _SEQ, Db, _long, _q, _two_at_most
+from locuspark.queries.fixtures import BARCODES, Fixture
 from locuspark.sources import fastq, tables, text_sinks
 
 SIM = simulate.Settings(inds=6, loci=20, reads=8, length=60, least_distance=12, mate=80, mutations=2, indels=4, error=0.01, unknown=0.002, seed=5)
@@ -85,6 +86,55 @@ def sim_reads(f: Fixture) -> DataFrame:
     return simulate.sim_reads(sim_truth(f), SIM)
 
 
+def _text(f: Fixture, *lines: str) -> str:
+    return _written(f, f.spark.createDataFrame([(x,) for x in lines], "line string"))
+
+
+def _frame(f: Fixture, rows: list[tuple], schema: str) -> DataFrame:
+    return f.spark.createDataFrame(rows, schema)
+
+
+def scan_fastq_pair(f: Fixture) -> DataFrame:
+    """Mates written to two sets of records and matched by their place."""
+    rows = f.mates.withColumn("name", F.concat_ws("_", F.lit("@p"), "o", "i", "tl")).coalesce(1)
+    sides = [fastq.read_plain(f.spark, _written(f, rows.select(F.concat_ws("\n", "name", f"{s}_seq", F.lit("+"), f"{s}_qual").alias("line")))).select("record_no", *[F.col(c).alias(f"{s}_{c}") for c in ("header", "seq")]) for s in ("f", "r")]
+    return sides[0].join(sides[1], "record_no").groupBy("f_header", "r_header", "f_seq", "r_seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scan_settings_kv(f: Fixture) -> DataFrame:
+    got = tables.settings("sites GATC # the site\nbarcodes\n\ntrunc 28", {"sites", "barcodes", "trunc"})
+    return _frame(f, sorted(got.items()), "key string, value string")
+
+
+def settings_echo(f: Fixture) -> DataFrame:
+    return _frame(f, tables.settings_rows(SIM), "key string, value string")
+
+
+def merge_settings(f: Fixture) -> DataFrame:
+    rows = [(msl, spl, *(population.merge_settings(msl, spl, 10) or (0, 0))) for msl, spl in ((160, 120), (160, 155), (100, 90), (100, 91))]
+    return _frame(f, rows, "msl long, spl long, mino long, maxo long")
+
+
+def _simulated(part: str):
+    def run(f: Fixture) -> DataFrame:
+        rng = random.Random(SIM.seed)
+        loci = simulate.sim_loci(SIM, rng)
+        if part == "loci":
+            return _frame(f, list(enumerate(loci)), "locus long, seq string")
+        own = [simulate.sim_alleles(x, SIM.mutations, rng) for x in loci]
+        if part == "duplicates":
+            own = simulate.sim_duplicates(own, 3)
+        if part == "indels":
+            own = simulate.sim_indels(own, SIM, rng)
+        if part == "freqs":
+            return _frame(f, [(i, k, c) for i, a in enumerate(own) for k, c in enumerate(simulate.sim_freqs(len(a), 2 * SIM.inds, rng))], "locus long, allele long, copies long")
+        return _frame(f, [(i, k, x) for i, a in enumerate(own) for k, x in enumerate(a)], "locus long, allele long, seq string")
+
+    return run
+
+
+_UC = ("H\t0\t32\t95\t+\t0\t0\tx\tL2\tL1", "C\t0\t2\t*\t*\t*\t*\t*\tL1\t*", "S\t0\t1\t*\t*\t*\t*\t*\tL1\t*")
+
 _REP = f"{_POP}, rp AS (SELECT poploc, seq FROM (SELECT *, row_number() OVER (PARTITION BY poploc ORDER BY popall) AS k FROM pa) x WHERE k = 1)"
 _IND = f"{_REP}, km AS (SELECT DISTINCT poploc, substr(seq, i::INT, 10) AS mer FROM rp, range(1, 24) t(i)), ip AS (SELECT DISTINCT a.poploc AS x, b.poploc AS y FROM km a JOIN km b ON a.mer = b.mer AND a.poploc != b.poploc JOIN rp ra ON ra.poploc = a.poploc JOIN rp rb ON rb.poploc = b.poploc WHERE levenshtein(ra.seq, rb.seq) <= 3), iw AS (SELECT poploc, poploc AS r FROM rp UNION SELECT w.poploc, e.y FROM iw w JOIN ip e ON w.r = e.x), ic AS (SELECT poploc, min(r) AS cluster FROM iw GROUP BY poploc)"
 _GRID = f"{_DIP}, ok2 AS (SELECT * FROM di WHERE k <= 2), gd AS (SELECT l.poploc, i.ind, a1, a2 FROM (SELECT DISTINCT poploc FROM ok2) l CROSS JOIN (SELECT DISTINCT ind FROM ok2) i LEFT JOIN ok2 ON ok2.poploc = l.poploc AND ok2.ind = i.ind)"
@@ -93,6 +143,24 @@ QUERIES = {
     "scan_fastq": (scan_fastq, "SELECT concat('@r_', o, '_', i, '_', tl) AS header, seq, qual, count(*) AS n FROM v_reads GROUP BY ALL"),
     "scan_dist_table_ind": (scan_dist_table_ind, "SELECT * FROM (VALUES (32::BIGINT, 3::BIGINT, 4::BIGINT), (140::BIGINT, 12::BIGINT, 15::BIGINT)) t(sl, hapdist, rarehapdist)"),
     "scan_filter_positions": (scan_filter_positions, "SELECT * FROM (VALUES ('f', 1::BIGINT, 20::BIGINT), ('r', 5::BIGINT, 15::BIGINT)) t(strand, pos, min_score)"),
+    "scan_fastq_pair": (scan_fastq_pair, "SELECT concat('@p_', o, '_', i, '_', tl) AS f_header, concat('@p_', o, '_', i, '_', tl) AS r_header, f_seq, r_seq, count(*) AS n FROM v_mates GROUP BY ALL"),
+    "scan_file_list_single": (lambda f: _frame(f, [(x,) for x in tables.file_list(f.spark, _text(f, "a.fq", "b.fq.gz"))], "path string"), "SELECT unnest(['a.fq', 'b.fq.gz']) AS path"),
+    "scan_file_list_paired": (lambda f: _frame(f, tables.file_pairs(f.spark, _text(f, "a_1.fq a_2.fq", "b_1.fq\tb_2.fq")), "f string, r string"), "SELECT * FROM (VALUES ('a_1.fq', 'a_2.fq'), ('b_1.fq', 'b_2.fq')) t(f, r)"),
+    "scan_settings_kv": (scan_settings_kv, "SELECT * FROM (VALUES ('sites', 'GATC'), ('barcodes', ''), ('trunc', '28')) t(key, value)"),
+    "scan_dist_table_pop": (lambda f: _long(tables.dist_table(f.spark, _text(f, "32 4", "140 0", "x 1"), ("sl", "dist"), (1, 6))), "SELECT * FROM (VALUES (32::BIGINT, 4::BIGINT), (140::BIGINT, 0::BIGINT)) t(sl, dist)"),
+    "scan_barcodes": (lambda f: _frame(f, [(x,) for x in tables.barcodes(f.spark, _text(f, *BARCODES))], "barcode string"), f"SELECT unnest({BARCODES}) AS barcode"),
+    "scan_bc_adapters": (lambda f: _frame(f, [(b, a) for b, x in tables.barcode_adapters(f.spark, _text(f, "ACGT GRT", "TTGC AAC")).items() for a in x], "barcode string, adapter string"), "SELECT * FROM (VALUES ('ACGT', 'GAT'), ('ACGT', 'GGT'), ('TTGC', 'AAC')) t(barcode, adapter)"),
+    "scan_sl_ranges": (lambda f: _frame(f, tables.sl_ranges(f.spark, _text(f, "32\t79", "80\t140")), "lo long, hi long"), "SELECT * FROM (VALUES (32::BIGINT, 79::BIGINT), (80::BIGINT, 140::BIGINT)) t(lo, hi)"),
+    "scan_user_groups": (lambda f: tables.user_groups(f.spark, _written(f, f.ind_loci.select(F.concat(F.col("ind").cast("string"), F.lit("\tg"), (F.col("ind") % 3).cast("string")).alias("line")).distinct()), f.ind_loci.select("ind").distinct()), "SELECT DISTINCT ind, concat('g', ind % 3) AS grp FROM v_alleles"),
+    "scan_usearch_uc": (lambda f: tables.cluster_records(f.spark, _text(f, *_UC)), "SELECT * FROM (VALUES (0::BIGINT, 'L2', 'H', 32::BIGINT), (0::BIGINT, 'L1', 'C', 2::BIGINT)) t(cluster, label, kind, size)"),
+    "merge_settings": (merge_settings, "SELECT * FROM (VALUES (160::BIGINT, 120::BIGINT, 10::BIGINT, 40::BIGINT), (160::BIGINT, 155::BIGINT, 0::BIGINT, 0::BIGINT), (100::BIGINT, 90::BIGINT, 10::BIGINT, 10::BIGINT), (100::BIGINT, 91::BIGINT, 0::BIGINT, 0::BIGINT)) t(msl, spl, mino, maxo)"),
+    "da_allind": (_q(lambda db: depth.min_med_max(db.scaled)), f"{_MMM} SELECT * FROM mm"),
+    "settings_echo": (settings_echo, None),
+    "sim_loci": (_simulated("loci"), None),
+    "sim_alleles": (_simulated("alleles"), None),
+    "sim_duplicates": (_simulated("duplicates"), None),
+    "sim_freqs": (_simulated("freqs"), None),
+    "sim_indels": (_simulated("indels"), None),
     "scan_ind_infiles": (scan_ind_infiles, "SELECT DISTINCT ind::VARCHAR AS ind, concat('reads_', ind, '.fq') AS file FROM v_reads"),
     "scan_selection": (scan_selection, f"{_LINK} SELECT poploc, ind FROM gt WHERE poploc % 3 = 0"),
     "phred_histogram_wide": (phred_histogram_wide, None),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def settings(text: str, known: set[str]) -> dict[str, str]:
     return out
 
 
+def settings_rows(settings: object) -> list[tuple[str, str]]:
+    """The fields of a settings dataclass, for a manifest that replays a run."""
+    return [(f.name, str(getattr(settings, f.name))) for f in fields(settings)]
+
+
 def dist_table(spark: SparkSession, path: str | None, columns: tuple[str, ...] = ("sl", "hapdist", "rarehapdist"), default: tuple[int, ...] = (1, 4, 6)) -> DataFrame:
     """Whole numbers a line; lines of another form are left out, no file gives the default."""
     schema = ", ".join(f"{c} int" for c in columns)
