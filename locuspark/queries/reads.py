@@ -158,7 +158,7 @@ def fdm_report(f: Fixture) -> DataFrame:
 
 
 def fdm_demux(f: Fixture) -> DataFrame:
-    return _count(demux.single(f.raw, DEMUX).filter("dest != 'NN'"), "dest", "ind")
+    return _count(f.stage("demuxed", lambda: demux.single(f.raw, DEMUX)).filter("dest != 'NN'"), "dest", "ind")
 
 
 def fdm_pair(f: Fixture) -> DataFrame:
