@@ -20,8 +20,11 @@ the ratio of its most toxic word.  A logistic curve maps them to a score.
 
 Training rows: at most ``ROWS`` labelled texts of each class, those whose id
 has the smallest hash.  Every fourth of them (by another hash) sets the curve,
-the others the counts.  The model has at most ``EVENTS`` symbol runs, those
-with the highest counts.  These three parameters bound what is broadcast.
+the others the counts.  Where a class has more texts than are taken, its rows
+weigh as much more in the curve, so that a score is the probability at the
+ratio of the classes in all labels.  The model has all symbol runs of the rows
+taken; a run they do not have gets the ratio of the shared model's expectation
+in the two classes.
 
 Defined cases: a null or empty text, or one without letters, has figures 0; a
 null label is no label; an id with several labels counts as toxic if one says
@@ -30,15 +33,16 @@ so; without labelled rows of both classes every score is 0.
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locuspark.llm.arrays import U64, mix
 from locuspark.plans.scratch import materialize
 
 ORDER = 7
@@ -47,7 +51,6 @@ BACK = 2.0
 SHARE = 0.02
 STEADY = 20.0
 ROWS = 20_000
-EVENTS = 600_000
 THRESHOLD = 0.3
 #: Distinct words a worker keeps between batches.
 KNOWN = 400_000
@@ -103,70 +106,155 @@ def count_events(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return parts.groupBy("run").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def shared_lower(runs: list[str], order: int = ORDER, discount: float = DISCOUNT) -> dict[str, float]:
-    """q(x | h') for the runs h'x that end an observed run, by continuation counts."""
-    q: dict[str, float] = {}
-    tables: list[dict[str, Counter]] = []
-    layer = set(runs)
-    for _ in range(order - 1):
+#: Odd multipliers of the code points of a run.
+_PLACES = mix(np.arange(1, 65, dtype=U64)) | U64(1)
+
+
+def keyed(points: np.ndarray) -> np.ndarray:
+    """64-bit keys of runs, given as rows of code points with zeros before them."""
+    out = np.zeros(len(points), U64)
+    for c in range(points.shape[1]):
+        out += points[:, c] * _PLACES[points.shape[1] - 1 - c]
+    return mix(out)
+
+
+def aligned(runs: list[str], order: int = ORDER) -> np.ndarray:
+    """Runs as rows of code points with zeros before them."""
+    left = np.array(runs, dtype=f"<U{order}").view(np.uint32).reshape(-1, order)
+    size = np.count_nonzero(left, axis=1)[:, None]
+    at = np.arange(order)[None, :] - (order - size)
+    return np.where(at >= 0, np.take_along_axis(left, np.maximum(at, 0), axis=1), 0).astype(np.uint32)
+
+
+def contexts(points: np.ndarray) -> np.ndarray:
+    """Keys of the runs without their last symbol."""
+    before = np.zeros_like(points)
+    before[:, 1:] = points[:, :-1]
+    return keyed(before)
+
+
+def shortened(points: np.ndarray) -> np.ndarray:
+    """Runs without their first symbol."""
+    out = points.copy()
+    out[np.arange(len(out)), np.argmax(points != 0, axis=1)] = 0
+    return out
+
+
+class Figures:
+    """A figure, or several, for each key; keys given earlier go first."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, first = np.unique(keys, return_index=True)
+        self.values = values[first]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The figures of keys, and which keys have any."""
+        if not len(self.keys):
+            return np.zeros((len(keys), *self.values.shape[1:])), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.values[at], self.keys[at] == keys
+
+
+def shared_lower(points: np.ndarray, discount: float = DISCOUNT) -> tuple[Figures, Figures, Figures]:
+    """Continuation figures: q(x | h') of the runs h'x that end an observed run, the
+    back-off weights of the contexts h', and the symbols."""
+    tables: list[tuple[np.ndarray, np.ndarray]] = []
+    layer = points
+    for _ in range(points.shape[1] - 1):
         # Runs without their first symbol, each counted once for each left neighbour.
-        below: dict[str, Counter] = defaultdict(Counter)
-        for r in layer:
-            if len(r) > 1:
-                below[r[1:-1]][r[-1]] += 1
-        tables.append(below)
-        layer = {h + x for h, c in below.items() for x in c}
-    symbols = {r[-1] for r in runs}
-    lower: dict[str, float] = {}
+        below = shortened(layer[np.count_nonzero(layer, axis=1) > 1])
+        _, first, n = np.unique(keyed(below), return_index=True, return_counts=True)
+        layer = below[first]
+        tables.append((layer, n))
+    symbols = np.unique(points[:, -1])
     base = 1 / (len(symbols) + 1)
-    for below in reversed(tables):
-        now: dict[str, float] = {}
-        for h, c in below.items():
-            total = sum(c.values())
-            back = discount * len(c) / total
-            for x, n in c.items():
-                now[h + x] = (n - discount) / total + back * (lower.get((h + x)[1:], base) if h else base)
-        lower = {**lower, **now}
-        q = lower
-    return q
+    lower = weights = Figures(np.zeros(0, U64), np.zeros(0))
+    for runs, n in reversed(tables):
+        if not len(runs):
+            continue
+        h, which = np.unique(contexts(runs), return_inverse=True)
+        total = np.bincount(which, n)
+        back = discount * np.bincount(which) / total
+        under, has = lower.of(keyed(shortened(runs)))
+        now = (n - discount) / total[which] + back[which] * np.where(has, under, base)
+        lower = Figures(np.concatenate((keyed(runs), lower.keys)), np.concatenate((now, lower.values)))
+        weights = Figures(np.concatenate((h, weights.keys)), np.concatenate((back, weights.values)))
+    return lower, weights, Figures(symbols.astype(U64), np.ones(len(symbols)))
 
 
 class Model:
     """Log-likelihood ratios of symbol runs, and the curve."""
 
-    def __init__(self, rows: list[tuple[str, int, int]], order: int = ORDER, discount: float = DISCOUNT, back: float = BACK):
-        q = shared_lower([r for r, _, _ in rows], order, discount)
-        n: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-        for r, a, b in rows:
-            c = n[r[:-1]]
-            c[0] += a
-            c[1] += b
-            c[2] += 1
-        self.order = order
-        self.runs: dict[str, float] = {}
-        for r, a, b in rows:
-            ta, tb, kinds = n[r[:-1]]
-            p = (max(a + b - discount, 0) + discount * kinds * q.get(r[1:], 1e-4)) / (ta + tb)
-            self.runs[r] = math.log((b + back) / (tb * p + back)) - math.log((a + back) / (ta * p + back))
+    def __init__(self, rows: list[tuple[str, int, int]] | pa.Table, order: int = ORDER, discount: float = DISCOUNT, back: float = BACK):
+        if not isinstance(rows, pa.Table):
+            rows = pa.table(dict(zip(("run", "ordinary", "toxic"), zip(*rows, strict=True), strict=True)))
+        points = np.concatenate([aligned(part["run"].to_pylist(), order) for part in rows.to_batches(100_000)])
+        ordinary, toxic = (rows[c].to_numpy() for c in ("ordinary", "toxic"))
+        self.order, self.discount, self.back = order, discount, back
+        self.lower, self.weights, self.symbols = shared_lower(points, discount)
+        h, which = np.unique(contexts(points), return_inverse=True)
+        #: Of each context: ordinary and toxic counts, and kinds of symbols.
+        self.seen = Figures(h, np.column_stack([np.bincount(which, ordinary), np.bincount(which, toxic), np.bincount(which)]))
+        q, has = self.lower.of(keyed(shortened(points)))
+        ta, tb, kinds = self.seen.values[which].T
+        p = (np.maximum(ordinary + toxic - discount, 0) + discount * kinds * np.where(has, q, 1e-4)) / (ta + tb)
+        self.runs = Figures(keyed(points), np.log((toxic + back) / (tb * p + back)) - np.log((ordinary + back) / (ta * p + back)))
         #: Slopes of the two figures, and the shift.
         self.curve = (0.0, 0.0, -30.0)
 
+    def unseen(self, points: np.ndarray) -> np.ndarray:
+        """Ratios of runs without counts: of what the shared model expects of them in the
+        classes.  0 for a symbol or a context that training has not met."""
+        (ta, tb, kinds), has = (x.T for x in self.seen.of(contexts(points)))
+        has = has & self.symbols.of(points[:, -1].astype(U64))[1]
+        p = self.discount * kinds / np.maximum(ta + tb, 1)
+        part, open_ = points, np.flatnonzero(has)
+        part = part[open_]
+        for _ in range(self.order - 1):
+            part = shortened(part)
+            q, found = self.lower.of(keyed(part))
+            p[open_[found]] *= q[found]
+            part, open_ = part[~found], open_[~found]
+            weight, found = self.weights.of(contexts(part))
+            p[open_] *= np.where(found, weight, 1.0)
+        return np.where(has, np.log((ta * p + self.back) / (tb * p + self.back)), 0.0)
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Log-likelihood ratios, toxic to ordinary, of words."""
+        out = np.zeros(len(words))
+        gap = "\0" * (self.order - 1)
+        for a in range(0, len(words), 5_000):
+            texts = [_START + w.decode("utf-8", "replace") + _END for w in words[a : a + 5_000]]
+            size = np.array([len(t) for t in texts])
+            line = np.frombuffer((gap + gap.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+            begin = np.cumsum(size + len(gap)) - size
+            which = np.repeat(np.arange(len(texts)), size - 1)
+            ends = np.arange(len(which)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1) + np.repeat(begin, size - 1) + 1
+            points = np.lib.stride_tricks.sliding_window_view(line, self.order)[ends - self.order + 1]
+            ratio, has = self.runs.of(keyed(points))
+            ratio = np.where(has, ratio, 0.0)
+            ratio[~has] = self.unseen(points[~has])
+            out[a : a + 5_000] = np.bincount(which, ratio, len(texts))
+        return out
+
     def word(self, w: bytes) -> float:
         """Log-likelihood ratio, toxic to ordinary, of a word."""
-        runs = self.runs
-        return sum(runs.get(r, 0.0) for r in events(w, self.order))
+        return float(self.words([w])[0])
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """A logistic curve through rows of two figures by Newton steps, slightly held to zero slopes."""
+    def fit(self, x: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> None:
+        """A logistic curve through rows of two figures by Newton steps, slightly held to zero slopes.
+
+        ``weights``: the labelled texts that an ordinary row stands for, and a toxic one.
+        """
         if not len(x) or y.min() == y.max():
             return
         width = np.maximum(x.std(axis=0), 1e-6)
         z = np.column_stack([x / width, np.ones(len(x))])
-        w = np.zeros(3)
+        w, times = np.zeros(3), np.where(y > 0, weights[1], weights[0])
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (p - y) + 0.1 * w * [1, 1, 0]
-            hess = (z.T * (p * (1 - p))) @ z + np.diag([0.1, 0.1, 1e-6])
+            grad = z.T @ (times * (p - y)) + 0.1 * w * [1, 1, 0]
+            hess = (z.T * (times * p * (1 - p))) @ z + np.diag([0.1, 0.1, 1e-6])
             w = w - np.clip(np.linalg.solve(hess, grad), -3, 3)
         self.curve = (float(w[0] / width[0]), float(w[1] / width[1]), float(w[2]))
 
@@ -176,26 +264,29 @@ class Known(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.word = model.word
+        self.words = model.words
 
-    def __missing__(self, w: bytes) -> float:
-        if len(self) > KNOWN:
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > KNOWN:
             self.clear()
-        self[w] = out = self.word(w)
-        return out
+            new = list(words)
+        self.update(zip(new, self.words(new).tolist(), strict=True))
 
-    def figures(self, text: str) -> tuple[float, float]:
-        """The length-normalised ratio of a text, and that of its most toxic word."""
-        r = np.array([self[w] for w in set(split(text))])
+    def figures(self, words: set[bytes]) -> tuple[float, float]:
+        """The length-normalised ratio of a text's words, and that of its most toxic word."""
+        self.learn(words)
+        r = np.array([self[w] for w in words])
         if not len(r):
             return 0.0, 0.0
         both = np.log1p(SHARE * np.expm1(np.minimum(r, 50.0)))
         return float(both.sum()) / (len(r) + STEADY), float(r.max())
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS, max_events: int = EVENTS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS) -> Model | None:
     """The model of the labelled texts; None without texts of both classes."""
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in named.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64(F.lit(11), "id")
     ids = named.filter("toxic = 0").orderBy(order, "id").limit(rows_per_class).unionByName(named.filter("toxic = 1").orderBy(order, "id").limit(rows_per_class))
     ids = materialize(ids)
@@ -203,15 +294,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Copies of a text count once; a copy that is labelled toxic makes the text toxic.
     rows = rows.groupBy(F.xxhash64("text").alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"), F.min("id").alias("id"))
     rows = materialize(rows.select("text", "toxic", (F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(4)) == 0).alias("aside")))
-    counted = count_events(rows.filter("not aside")).orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "run").limit(max_events)
-    got = counted.toArrow()
-    runs = list(zip(*(got.column(c).to_pylist() for c in ("run", "ordinary", "toxic")), strict=True))
-    if not sum(r[1] for r in runs) or not sum(r[2] for r in runs):
+    runs = count_events(rows.filter("not aside")).toArrow()
+    if not pc.sum(runs["ordinary"]).as_py() or not pc.sum(runs["toxic"]).as_py():
         return None
     model = Model(runs)
     points = figures(rows.filter("aside"), model, "text", ["toxic"]).toArrow()
     by_name = {c: np.array(points.column(c).to_pylist(), dtype=float) for c in points.column_names}
-    model.fit(np.column_stack([by_name["_mean_ratio"], by_name["_top_ratio"]]), by_name["toxic"])
+    model.fit(np.column_stack([by_name["_mean_ratio"], by_name["_top_ratio"]]), by_name["toxic"], tuple(sizes[c] / min(sizes[c], rows_per_class) for c in (0, 1)))
     return model
 
 
@@ -223,7 +312,12 @@ def figures(rows: DataFrame, model: Model, text_col: str, keep: list[str]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(shared.value)
         for b in batches:
-            got = [known.figures(t or "") for t in b.column(0).to_pylist()]
+            words = [set(split(t or "")) for t in b.column(0).to_pylist()]
+            # The words of the whole batch at once, as far as they fit.
+            fresh = {w for ws in words for w in ws if w not in known}
+            if len(known) + len(fresh) <= KNOWN:
+                known.learn(fresh)
+            got = [known.figures(w) for w in words]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "_mean_ratio", "_top_ratio"])
 
     return rows.select(F.col(f"`{text_col}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, f"{kinds}_mean_ratio double, _top_ratio double")

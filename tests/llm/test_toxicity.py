@@ -46,3 +46,27 @@ def test_no_labels(spark):
     assert X.train(docs, labels.filter("toxic = 0")) is None
     assert X.train(docs.limit(0), labels.limit(0)) is None
     assert {r["score"] for r in X.scored(docs.drop("score"), None, ["doc_id"]).collect()} == {0.0}
+
+
+def test_capped_sample_keeps_class_ratio(spark):
+    # Labels that say nothing of the texts: scores are the share of toxic labels.
+    docs = tables(spark, 1200)[0].drop("score")
+    labels = spark.createDataFrame([(i, int(i % 7 == 3)) for i in range(1200)], "doc_id long, toxic int")
+    got = [r["score"] for r in X.scored(docs, X.train(docs, labels, rows_per_class=100), ["doc_id"]).collect()]
+    assert 0.08 < sum(got) / len(got) < 0.25
+    x = [[float(i % 2), 0.0] for i in range(400)]
+    y = [int(i % 2 == (i % 5 > 0)) for i in range(400)]
+    X.np.random.seed(0)
+    m = X.Model([("\x02a", 1, 1)])
+    m.fit(X.np.array(x), X.np.array(y, dtype=float), (9.0, 1.0))
+    z = X.np.array(x) @ X.np.array(m.curve[:2]) + m.curve[2]
+    p, w = 1 / (1 + X.np.exp(-z)), X.np.where(X.np.array(y) > 0, 1.0, 9.0)
+    assert abs((w * p).sum() / w.sum() - sum(y) / w.sum()) < 1e-3
+
+
+def test_all_runs_kept_and_unseen_runs_backed_off():
+    assert not hasattr(X, "EVENTS") and "max_events" not in X.train.__code__.co_varnames
+    rows = [(e, 900, 1) for e in X.events(b"aba")] + [(e, 1, 90) for e in X.events(b"zb")]
+    m = X.Model(rows)
+    assert m.word(b"b") != 0.0
+    assert list(m.words([b"aba", b"zb", b"b"])) == [m.word(b"aba"), m.word(b"zb"), m.word(b"b")]
