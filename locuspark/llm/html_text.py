@@ -55,10 +55,11 @@ IMPLIED = {
     **{g: (_set("thead tbody tfoot tr td th caption colgroup"), _set("table")) for g in ("thead", "tbody", "tfoot", "caption", "colgroup")},
 }
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_PIECE = re.compile(r"([^{}]*)([{}])")
+_SCREEN = re.compile(r"@layer\b|@media\s*(?:[^,]*,)*\s*(?:(?:only\s+)?(?:screen|all)\s*)?(?:,|$)", re.I)
 _SIMPLE = re.compile(r"[.#]?[a-zA-Z_][\w-]*$")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 _ODD = re.compile(r"[\t\n\r\f]|  ")
@@ -82,14 +83,26 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def hiding_selectors(sheet: str) -> set[str]:
-    """Simple selectors of rules that hide; rules within at-rules count too."""
-    out = set()
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-        if _HIDING.search(body):
-            out |= {s for s in map(str.strip, selectors.split(",")) if _SIMPLE.match(s)}
+    """Simple selectors of rules that hide; within at-rules, if these hold on any screen."""
+    out: set[str] = set()
+    held: list[str] = []  # what stands before each open brace
+    skipped = 0  # open at-rules that need not hold
+    for before, brace in _PIECE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+        if brace == "{":
+            held.append(before.rpartition(";")[2].strip())
+            skipped += _conditional(held[-1])
+        elif held:
+            selectors = held.pop()
+            if not skipped and _HIDING.search(before):
+                out |= {s for s in map(str.strip, selectors.split(",")) if _SIMPLE.match(s)}
+            skipped -= _conditional(selectors)
     return out
 
 
+def _conditional(before: str) -> bool:
+    return before.startswith("@") and not _SCREEN.match(before)
+
+
 class Builder:
     """The tree of a page, with implied end tags."""
 

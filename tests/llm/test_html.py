@@ -29,3 +29,17 @@ def test_all_rows(spark):
     rows = [(1, "<p>x", "clash"), (2, None, ""), (None, "", ""), (1, "<p>x", "clash")]
     got = extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_lines"]) for r in got) == [(0, "", 0), (1, "x", 1), (1, "x", 1), (2, "", 0)]
+
+
+def test_rules_of_other_media_and_stray_quotes():
+    from locuspark.llm.html_text import Builder, hiding_selectors
+
+    sheet = "@media print{.nav{display:none} a{color:red}} @media (max-width:9px){.m{display:none}} @supports (x:y){.s{display:none}}"
+    assert hiding_selectors(sheet) == set()
+    assert hiding_selectors(sheet + "@import 'x'; .q, #r{display:none} @media print, screen{.t{display:none}} @layer b{.u{display:none}}") == {".q", "#r", ".t", ".u"}
+
+    def shown(node):
+        return "".join(c if isinstance(c, str) else shown(c) for c in node.children)
+
+    for tag in ('<p class="a"">', "<p title=Bob's>", '<p title="a>b">', "<p title=a=\"b>"):
+        assert shown(Builder(f"{tag}one</p><p>it's</p> end").root) == "oneit's end"
