@@ -44,6 +44,8 @@ TOLERANCE = 1e-6
 #: Documents, and distinct 5-grams, that a block holds on average at most.
 BLOCK_DOCS = 1000
 BLOCK_GRAMS = 2_000_000
+#: Side of rows of a block that meets itself; else 0 and 1.
+DIAGONAL = 2
 
 _FACTORS = (mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -165,8 +167,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = None
 
     def work() -> Iterator[pa.RecordBatch]:
-        sides = [[r for r in cell if r[1] == s] for s in (0, 1)]
-        within = not sides[1]
+        within = cell[0][1] == DIAGONAL
+        sides = [[r for r in cell if r[1] in s] for s in ((0, DIAGONAL), (1,))]
         left, right = sides[0], sides[0] if within else sides[1]
         if not left or not right:
             return
@@ -255,6 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Block x meets every block y >= x as left side, and every y < x as right side.
     cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
     cells = cells.withColumn("side", (F.col("other") < F.col("block")).cast("int"))
+    cells = cells.withColumn("side", F.when(F.col("other") == F.col("block"), F.lit(DIAGONAL)).otherwise(F.col("side")))
     cells = cells.withColumn("cell", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
     # Texts of candidates alone are read again, each from the row with the least id.
     texts = rows.select("same", own.alias("node"), "text").join(members.select("same", "node"), ["same", "node"], "left_semi").dropDuplicates(["same"]).drop("node")

@@ -80,3 +80,15 @@ def test_one_of_each(spark):
 def test_pruning_limits():
     limits = dict(J.least_matches())
     assert limits[16] < 16 * 0.8 and list(limits.values()) == sorted(limits.values())
+
+
+def test_links_within_a_block_count_once(spark, monkeypatch):
+    monkeypatch.setattr("locuspark.llm.ngram_join.BLOCK_GRAMS", 150)
+    docs = []
+    for g in range(12):
+        words = [f"w{g}x{k}" for k in range(100)]
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words, "more"]))]
+    from locuspark.llm import ngram_join
+
+    out = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["n_text_links"], r["n_links"]) for r in out} == {(1, 1)}
