@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from locuspark.llm import line_templates, mixing, ngram_join, packing, toxicity
 from locuspark.llm.queries import tokenizer_folder
+from locuspark.plans.naming import col
 from locuspark.plans.scratch import materialize
 
 
@@ -19,7 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     aside = toxicity.held_out(F.col("doc_id"))
     model = toxicity.train(docs.filter(~aside), labels.filter(~aside))
-    return toxicity.scored(docs, model, docs.columns).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    out = toxicity.scored(docs, model, docs.columns)
+    return out.filter(col(out.columns[-1]) < toxicity.THRESHOLD).select(*[col(c) for c in docs.columns])
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
