@@ -1,31 +1,43 @@
 """Scoring texts by a log-frequency Bloom filter language model.
 
-The corpus is counted exactly, in parts: every task counts the words and word
-pairs of its texts, the counts meet by hash shard, and each shard writes its
-share of the model.  Pair counts c are quantised to levels 1 + floor(log2 c);
-the filter holds the keys (pair, 1) ... (pair, level), so a level is found by
-probing 1, 2, ... until a probe fails.  A false positive raises a level by one
-at most with the filter's error rate, by two with its square, and so on.
-
-The model's probability of a text is the mean, weighted by ``SHARES``, of three
-chains over its tokens:
-
-* words: absolute discounting; all unseen words are one type and share the
-  discounted mass,
-* pairs: (level count + PRIOR * word probability) / (count of first + PRIOR),
-* half and half of the two for each token.
-
-Counts of the most frequent words are exact and broadcast (at most ``HEAD``
-words, 12 bytes each).  Rarer words, if there are more, count as unseen in the
-model, and a shuffle join brings their exact counts to the base figures.
-
-The filter has at most ``FILTER_BYTES`` bytes.  Each of its shards has an equal
-part of that; where pairs would need more, a shard leaves out the pairs of the
-lowest counts, whose probability then comes from the words.
+The corpus is counted exactly, in parts: every task counts the words, word
+pairs and word triples of its texts, the counts meet by hash shard, and each
+shard writes its share of the model.  Counts are quantised to the levels
+1, 2, ..., 8-9, 10-11, ..., 16-19, ... (four an octave); the filter holds the keys
+(n-gram, 1) ... (n-gram, level), so a level is found by probing 1, 2, ... until
+a probe fails.  A false positive raises a level by one at most with the
+filter's error rate (0.4 %), by two with its square, and so on.
+
+All probabilities come from probes of that one filter:
+
+* words: m(level) is the mean count of the words of a level in the corpus, so
+  that the m of all words sum to the number of tokens; absolute discounting, and
+  all unseen words are one type that shares the discounted mass,
+* pairs: (low(pair) + PRIOR * word probability) / (high(first word) + PRIOR),
+* triples: (low(triple) + PRIOR * pair probability) / (high(first pair) + PRIOR),
+
+where low and high are the least and the largest count of a level.  As low is at
+most, and high at least, the true count, the probabilities of all next tokens
+sum to one at most, but for false positives.  An n-gram is probed only if the
+words, and the pairs, that it is made of are found.  The model's probability of
+a text is the mean, weighted by ``SHARES``, of the three chains over its tokens,
+which is a distribution over texts as the chains are.
+
+No n-gram is left out, however many there are.  The filter goes to the workers
+in parts of about ``PART_BYTES`` each, a broadcast each, and a worker holds one
+part in memory at a time: texts are taken in stretches of ``STRETCH`` bytes, the
+distinct n-grams of a stretch are probed part by part.  The parts together have
+about 12 bits for each level of each different n-gram of the corpus, on the
+disks of the executors.
+
+Exact counts of words, for the base figures alone: those of the most frequent
+words (at most ``HEAD``, 12 bytes each) are broadcast; those of rarer words, if
+there are more, come by a shuffle join.  The score does not depend on that.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as
 the empty string in the split; repeated rows are trained on and scored each; an
-empty table gives no row.
+empty table gives no row; texts of any length are taken whole, one longer than a
+stretch forms its own; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -34,24 +46,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.llm.arrays import _JOIN, U64, blocks, buffers, mix, salted, words
+from locuspark.plans.naming import col
 from locuspark.plans.scratch import input_partitions, materialize
 
-BITS = 8
-PROBES = 5
-FILTER_BYTES = 256 << 20
-HEAD = 8_000_000
+BITS = 12
+PROBES = 6
+PART_BYTES = 32 << 20
+STRETCH = 8 << 20
+HEAD = 4_000_000
 PRIOR = 4.0
 SHARES = (0.9, 0.05, 0.05)
 #: Tokens that a task counts before it sends the counts on.
-COUNTED = 4_000_000
+COUNTED = 3_000_000
 
 END = U64(0x5DEECE66D1234567)
 START = U64(0x2545F4914F6CDD1D)
 
+#: Least count of each level, from level 1 on; level 0 is no count.
+_LEVELS = 160
+_LEAST = np.array([0, 1, 2, 3, *(x << i for i in range(40) for x in (4, 5, 6, 7))][: _LEVELS + 1], dtype=np.int64)
+_MOST = np.append(_LEAST[1:] - 1, np.iinfo(np.int64).max // 2)
+
 
 def held_out(id_col: Column) -> Column:
     """Whether a row is kept from training: crc32 of its id, as text, mod 7 is 2."""
@@ -73,6 +93,14 @@ def pair(before: np.ndarray, now: np.ndarray) -> np.ndarray:
     return mix(before * _JOIN[0] + now * _JOIN[1])
 
 
+def triples(now: np.ndarray, before: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each token with the two before it (the second may be the start), and the tokens that have them."""
+    has = np.ones(len(now), bool)
+    has[begin[:-1]] = False
+    at = np.flatnonzero(has)
+    return mix(before[at - 1] * _JOIN[2] + before[at] * _JOIN[3] + now[at] * _JOIN[4]), at
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     key = np.concatenate(keys) if keys else np.zeros(0, U64)
     if counts is None:
@@ -87,14 +115,8 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> t
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2 count)."""
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
-
-
-def level_count(levels: np.ndarray) -> np.ndarray:
-    """The middle of the counts that share a level; 0 at level 0."""
-    top = np.exp2(levels.astype(np.float64))
-    return np.where(levels > 0, (top / 2 + top - 1) / 2, 0.0)
+    """The level of each count of 1 or more."""
+    return np.searchsorted(_LEAST, counts, side="right") - 1
 
 
 def bit_places(keys: np.ndarray, at_level: int, bits: int) -> Iterator[np.ndarray]:
@@ -105,15 +127,15 @@ def bit_places(keys: np.ndarray, at_level: int, bits: int) -> Iterator[np.ndarra
         yield (a + U64(t) * b) % U64(bits)
 
 
-def filled(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> np.ndarray:
-    """A filter of the keys at all levels up to their own, packed into bytes."""
+def filled(keys: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> np.ndarray:
+    """A filter of the keys at all levels up to their own, packed into bytes.
+
+    It has ``BITS`` bits for each of these, or fewer if ``most_bytes`` says so.
+    """
     lev = level(counts)
-    least, most = 1, int(lev.max(initial=1))
-    while least < most and int(lev[lev >= least].sum()) * BITS > most_bytes * 8:
-        least += 1
-    keep = lev >= least
-    keys, lev = keys[keep], lev[keep]
     size = max(64, -(-int(lev.sum()) * BITS // 64) * 64)
+    if most_bytes is not None:
+        size = max(64, min(size, most_bytes // 8 * 64))
     bits = np.zeros(size, dtype=bool)
     for x in range(1, int(lev.max(initial=0)) + 1):
         for place in bit_places(keys[lev >= x], x, size):
@@ -122,21 +144,21 @@ def filled(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> np.ndarray:
 
 
 class Filter:
-    """All shards of a log-frequency filter; a key's shard is in its top bits."""
+    """Neighbouring shards of a log-frequency filter, from number ``first`` of ``total`` on; a key's shard is in its top bits."""
 
-    def __init__(self, shards: list[bytes]):
-        self.shift = U64(64 - (len(shards).bit_length() - 1))
+    def __init__(self, shards: list[bytes], first: int = 0, total: int | None = None):
+        self.shift = 64 - ((total or len(shards)).bit_length() - 1)
+        self.first = first
         sizes = np.array([len(s) for s in shards], dtype=np.int64)
         self.bits = (sizes * 8).astype(U64)
         self.begin = ((np.cumsum(sizes) - sizes) * 8).astype(U64)
         self.bytes = np.frombuffer(b"".join(shards), dtype=np.uint8)
-        self.one = len(shards) == 1
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, by probing one level after the other."""
         out = np.zeros(len(keys), dtype=np.int64)
         open_ = np.arange(len(keys))
-        shard = np.zeros(len(keys), np.int64) if self.one else (keys >> self.shift).astype(np.int64)
+        shard = np.zeros(len(keys), np.int64) if self.shift == 64 else (keys >> U64(self.shift)).astype(np.int64) - self.first
         at = 1
         while len(open_):
             k, s = keys[open_], shard[open_]
@@ -154,47 +176,46 @@ class Filter:
 
 
 _PART = "kind int, shard int, keys binary, counts binary"
+_PART_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple]:
-    edge = np.searchsorted(keys, np.array([(s << 64) // shards for s in range(shards)], dtype=U64))
-    edge = np.append(edge, len(keys))
-    for s in range(shards):
-        if edge[s] < edge[s + 1]:
-            yield kind, s, keys[edge[s] : edge[s + 1]].tobytes(), counts[edge[s] : edge[s + 1]].astype(np.uint32).tobytes()
+    """Rows of keys by shard: those that occur once without counts, then the others."""
+    for k, c in ((keys[counts == 1], None), (keys[counts > 1], counts[counts > 1].astype(np.uint32))):
+        edge = np.append(np.searchsorted(k, np.array([(s << 64) // shards for s in range(shards)], dtype=U64)), len(k))
+        for s in range(shards):
+            if edge[s] < edge[s + 1]:
+                yield kind, s, k[edge[s] : edge[s + 1]].tobytes(), b"" if c is None else c[edge[s] : edge[s + 1]].tobytes()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_PART_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-
 def _counted(shards: int):
-    """Counts of words (kind 1) and pairs (kind 2) of texts, by shard."""
+    """Counts of words (kind 1), pairs (kind 2) and triples (kind 3) of texts, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one: list[np.ndarray] = []
-        two: list[np.ndarray] = []
+        held: tuple[list[np.ndarray], ...] = ([], [], [])
         n = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = [r for kind, keys in ((1, one), (2, two)) for r in _packed(kind, *_summed(keys), shards)]
-            if rows:
-                yield _batch(rows, _PART_ARROW)
+            for kind, keys in enumerate(held, 1):
+                got = _summed(keys)
+                keys.clear()
+                rows = list(_packed(kind, *got, shards))
+                if rows:
+                    yield _batch(rows, _PART_ARROW)
 
         for b in batches:
             data, at = buffers(b.column(0))
             for i, j in blocks(at):
-                now, before, _ = tokens(data, at, i, j)
-                one.append(now)
-                two.append(pair(before, now))
+                now, before, begin = tokens(data, at, i, j)
+                for keys, new in zip(held, (now, pair(before, now), triples(now, before, begin)[0]), strict=True):
+                    keys.append(new)
                 n += len(now)
                 if n >= COUNTED:
                     yield from out()
-                    one.clear()
-                    two.clear()
                     n = 0
         yield from out()
 
@@ -207,37 +228,38 @@ _MODEL = _PART + ", stats array<bigint>"
 _STEPS = 40
 
 
-def _joined(shards: int, filter_bytes: int):
-    """Exact word counts and the filter of each shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list, list]] = {}
-        for b in batches:
-            for kind, shard, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k, c = held.setdefault((kind, shard), ([], []))
-                k.append(np.frombuffer(keys, U64))
-                c.append(np.frombuffer(counts, np.uint32).astype(np.int64))
-        for kind, shard in sorted(held):
-            k, c = _summed(*held.pop((kind, shard)))
-            if kind == 1:
-                stats = [len(k), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()), *(int((c >= 1 << i).sum()) for i in range(_STEPS))]
-                yield _batch([(1, shard, k.tobytes(), c.tobytes(), stats)], _MODEL_ARROW)
-            else:
-                yield _batch([(2, shard, filled(k, c, filter_bytes // shards).tobytes(), b"", [len(k)])], _MODEL_ARROW)
-
-    return run
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact word counts (kind 1) and the filter (kind 2) of the one shard of a partition."""
+    held: dict[int, tuple[list, list]] = {}
+    shard = 0
+    for b in batches:
+        for kind, shard, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):  # noqa: B007
+            k, c = held.setdefault(kind, ([], []))
+            k.append(np.frombuffer(keys, U64))
+            c.append(np.frombuffer(counts, np.uint32).astype(np.int64) if counts else np.ones(len(k[-1]), np.int64))
+    if not held:
+        return
+    summed = [_summed(*held.pop(kind)) for kind in sorted(held)]
+    k, c = summed[0] if len(summed[0][0]) else (np.zeros(0, U64), np.zeros(0, np.int64))
+    lev = level(c)
+    stats = [len(k), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()), *(int((c >= 1 << i).sum()) for i in range(_STEPS))]
+    stats += np.bincount(lev, minlength=_LEVELS + 1).tolist() + [int(x) for x in np.bincount(lev, c, minlength=_LEVELS + 1)]
+    yield _batch([(1, shard, k.tobytes(), c.tobytes(), stats)], _MODEL_ARROW)
+    keys, counts = (np.concatenate(x) for x in zip(*summed, strict=True))
+    yield _batch([(2, shard, filled(keys, counts).tobytes(), b"", [len(keys)])], _MODEL_ARROW)
 
 
 class Model:
-    """What scoring needs; broadcast once to each executor."""
+    """What scoring needs beside the filter: exact counts of the head's words, and figures of the levels."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, stats: np.ndarray, docs: int, pairs: list[bytes]):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, stats: np.ndarray, docs: int):
         self.keys, self.counts, self.docs = keys, counts, docs
         self.types, self.total, n1, n2 = (int(x) for x in stats[:4])
         self.whole = len(keys) == self.types
-        self.in_head = int(counts.sum(dtype=np.int64))
         self.discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        self.filter = Filter(pairs)
+        number, sums = stats[4 + _STEPS :].reshape(2, -1)
+        #: Mean count of the words of each level; of levels without words, which false positives reach, the least.
+        self.mean = np.where(number > 0, sums / np.maximum(number, 1), _LEAST)
 
     def head(self, h: np.ndarray) -> np.ndarray:
         """Exact counts of words that are in the head, else -1 (0 if the head is all)."""
@@ -248,31 +270,52 @@ class Model:
         out[inside] = self.counts[at[inside]]
         return out
 
-    def word(self, c: np.ndarray) -> np.ndarray:
-        """Discounted probability of words with counts c; all others are one type."""
+    def word(self, levels: np.ndarray) -> np.ndarray:
+        """Discounted probability of words of these levels; all unseen words are one type."""
         if not self.total:
-            return np.ones(len(c))
-        rest = self.total - self.in_head + self.discount * len(self.keys)
-        return np.where(c > 0, c - self.discount, max(rest, 0.5)) / self.total
-
-    def chains(self, now: np.ndarray, before: np.ndarray, c: np.ndarray, c_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each token by words, and by pairs."""
-        p1 = self.word(c)
-        seen = np.flatnonzero((c > 0) & (c_before > 0))
-        both = np.zeros(len(now))
-        both[seen] = np.minimum(level_count(self.filter.levels(pair(before[seen], now[seen]))), np.minimum(c[seen], c_before[seen]))
-        return p1, (both + PRIOR * p1) / (c_before + PRIOR)
-
-
-def train(docs: DataFrame, text_col: str = "text", head: int = HEAD, filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame]:
-    """The model of all texts, and the table of exact word counts."""
-    n = input_partitions(docs)
-    shards = 1 << max(0, (2 * n - 1).bit_length())
-    parts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_counted(shards), _PART)
-    parts = parts.repartition(shards, "kind", "shard")
-    table = materialize(parts.mapInArrow(_joined(shards, filter_bytes), _MODEL))
-    # From here on: one row of statistics for each shard, then at most head words and the filter.
-    stats = np.sum([np.array(r[0]) for r in table.filter("kind = 1").select("stats").collect()] or [np.zeros(4 + _STEPS, np.int64)], axis=0)
+            return np.ones(len(levels))
+        return np.where(levels > 0, self.mean[levels] - self.discount, self.discount * self.types) / self.total
+
+    def chains(self, one: np.ndarray, two: np.ndarray, three: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of each token by words, by pairs and by triples, from the levels of its n-grams."""
+        inner = np.ones(len(one), bool)
+        inner[begin[:-1]] = False
+        at = np.flatnonzero(inner)
+        first = np.full(len(one), self.docs, np.int64)
+        first[at] = _MOST[one[at - 1]]
+        p1 = self.word(one)
+        p2 = (_LEAST[two] + PRIOR * p1) / (first + PRIOR)
+        p3 = p2.copy()
+        p3[at] = (_LEAST[three[at]] + PRIOR * p2[at]) / (_MOST[two[at - 1]] + PRIOR)
+        return p1, p2, p3
+
+
+def _ended(sizes: list[int], limit: int) -> list[int]:
+    """Numbers of neighbouring shards that make up each part of at most ``limit`` bytes, one shard at least."""
+    out, size = [], limit + 1
+    for s in sizes:
+        if size + s > limit:
+            out.append(0)
+            size = 0
+        out[-1] += 1
+        size += s
+    return out
+
+
+#: A part of the filter: its first shard, the shard after its last, and its bytes.
+Part = tuple[int, int, Broadcast]
+
+
+def train(docs: DataFrame, text_col: str = "text", head: int = HEAD, part_bytes: int = PART_BYTES) -> tuple[Model, DataFrame]:
+    """The model of all texts, with the filter's parts, and the table of exact word counts."""
+    spark = docs.sparkSession
+    shards = 1 << max(0, (2 * input_partitions(docs) - 1).bit_length())
+    counted = docs.select(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_counted(shards), _PART)
+    # Each shard, and nothing else, in a task of its own; shards are as many as the scan's partitions, twice.
+    table = materialize(counted.repartitionById(shards, "shard").mapInArrow(_joined, _MODEL))
+    zero = np.zeros(4 + _STEPS + 2 * (_LEVELS + 1), np.int64)
+    # One row of statistics for each shard, then at most head words, then one part of the filter at a time.
+    stats = np.sum([zero, *(np.array(r[0]) for r in table.filter("kind = 1").select("stats").toLocalIterator())], axis=0)
     least = next((1 << i for i in range(_STEPS) if stats[4 + i] <= head), 1 << _STEPS)
     got_keys, got_counts = [], []
     for k, c in table.filter("kind = 1").select("keys", "counts").mapInArrow(_at_least(least), "keys binary, counts binary").toLocalIterator():
@@ -280,24 +323,76 @@ def train(docs: DataFrame, text_col: str = "text", head: int = HEAD, filter_byte
         got_counts.append(np.frombuffer(c, np.uint32))
     keys, counts = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((U64, got_keys), (np.uint32, got_counts)))
     order = np.argsort(keys)
-    made = {r["shard"]: bytes(r["keys"]) for r in table.filter("kind = 2").select("shard", "keys").toLocalIterator()}
-    filters = [made.get(s, bytes(8)) for s in range(shards)]
     keys, counts = keys[order], counts[order]
-    ends = int(counts[np.searchsorted(keys, END)]) if len(keys) and END in keys[np.searchsorted(keys, END) :][:1] else 0
-    return Model(keys, counts, stats, ends, filters), table.filter("kind = 1")
+    ends = docs_of(table)
+    model = Model(keys, counts, stats, ends)
+    sizes = {r["shard"]: r["n"] for r in table.filter("kind = 2").select("shard", F.length("keys").alias("n")).toLocalIterator()}
+    model.shards, model.parts, s = shards, [], 0
+    for n in _ended([sizes.get(x, 8) for x in range(shards)], part_bytes):
+        made = {r["shard"]: bytes(r["keys"]) for r in table.filter((F.col("kind") == 2) & F.col("shard").between(s, s + n - 1)).select("shard", "keys").toLocalIterator()}
+        model.parts.append((s, s + n, spark.sparkContext.broadcast(Filter([made.get(x, bytes(8)) for x in range(s, s + n)], s, shards))))
+        s += n
+    return model, table.filter("kind = 1")
+
+
+def docs_of(table: DataFrame) -> int:
+    """Number of texts: the exact count of the end token."""
+    got = table.filter("kind = 1").select("keys", "counts").mapInArrow(_ends, "n long").agg(F.sum("n")).first()[0]
+    return int(got or 0)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = sum(int(np.frombuffer(c, np.int64)[np.frombuffer(k, U64) == END].sum()) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
 
 def _at_least(least: int):
+    schema = pa.schema([("keys", pa.binary()), ("counts", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = np.frombuffer(counts, np.int64)
                 keep = c >= least
-                yield pa.RecordBatch.from_pydict({"keys": [np.frombuffer(keys, U64)[keep].tobytes()], "counts": [np.minimum(c[keep], (1 << 32) - 1).astype(np.uint32).tobytes()]}, schema=pa.schema([("keys", pa.binary()), ("counts", pa.binary())]))
+                yield _batch([(np.frombuffer(keys, U64)[keep].tobytes(), np.minimum(c[keep], (1 << 32) - 1).astype(np.uint32).tobytes())], schema)
 
     return run
 
 
+class Probes:
+    """Levels of keys by the parts of the filter, of which one is in memory at a time."""
+
+    def __init__(self, parts: list[Part], shards: int):
+        self.parts, self.shift = parts, 64 - (shards.bit_length() - 1)
+
+    def levels(self, *asked: np.ndarray) -> list[np.ndarray]:
+        """The levels of several arrays of keys."""
+        distinct = [np.unique(k, return_inverse=True) for k in asked]
+        found = [np.zeros(len(k), np.int64) for k, _ in distinct]
+        for first, end, part in self.parts:
+            for (k, _), out in zip(distinct, found, strict=True):
+                a, z = (len(k) if s << self.shift >> 64 else int(np.searchsorted(k, U64(s << self.shift))) for s in (first, end))
+                if a < z:
+                    out[a:z] = part.value.levels(k[a:z])
+            if len(self.parts) > 1:
+                # Only the value kept by the worker goes; the broadcast stays on the executor's disk.
+                vars(part).pop("_value", None)
+        return [out[which] for (_, which), out in zip(distinct, found, strict=True)]
+
+
+def levels_of(probes: Probes, now: np.ndarray, before: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of the word, the pair and the triple that end at each token; 0 if what they are made of is not found."""
+    key, at = triples(now, before, begin)
+    one, two, some = probes.levels(now, pair(before, now), key)
+    first = np.ones(len(now), bool)
+    first[at] = one[at - 1] > 0
+    two = np.where((one > 0) & first, two, 0)
+    three = np.zeros(len(now), np.int64)
+    three[at] = np.where((two[at] > 0) & (two[at - 1] > 0), some, 0)
+    return one, two, three
+
+
 def _log_mean(chains: list[np.ndarray]) -> np.ndarray:
     """log10 of the weighted mean of 10**x over the chains."""
     x = np.stack(chains)
@@ -306,39 +401,33 @@ def _log_mean(chains: list[np.ndarray]) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row for row: the id, n_tokens, n_known, base_score and score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    """Row for row: the id, n_tokens, n_known, base_score and score.
+
+    Spark drops the broadcast parts once the result is no longer referred to.
+    """
+    parts, shards = model.parts, model.shards
+    small = {k: v for k, v in vars(model).items() if k not in ("parts", "shards")}
+    shared = docs.sparkSession.sparkContext.broadcast(small)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, probes = Model.__new__(Model), Probes(parts, shards)
+        vars(m).update(shared.value)
         floor = m.total + m.types + 1
         for b in batches:
             data, at = buffers(b.column(2))
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, j in blocks(at):
+            for i, j in blocks(at, STRETCH):
                 now, before, begin = tokens(data, at, i, j)
+                sums = [np.add.reduceat(np.log10(p), begin[:-1]) for p in m.chains(*levels_of(probes, now, before, begin), begin)]
                 distinct, which = np.unique(now, return_inverse=True)
-                exact = m.head(distinct)
-                c = np.maximum(exact, 0)[which]
-                c_before = np.empty(len(now), np.int64)
-                c_before[1:] = c[:-1]
-                c_before[begin[:-1]] = m.docs
-                p1, p2 = m.chains(now, before, c, c_before)
-                sums = [np.add.reduceat(np.log10(p), begin[:-1]) for p in (p1, p2, (p1 + p2) / 2)]
-                known = exact[which]
+                known = m.head(distinct)[which]
                 base = np.where(known >= 0, np.log10((np.maximum(known, 0) + 1) / floor), 0.0)
-                out[0].append(np.diff(begin))
-                out[1].append(np.add.reduceat((known > 0).astype(np.int64), begin[:-1]))
-                out[2].append(np.add.reduceat(base, begin[:-1]))
-                out[3].append(_log_mean(sums))
-                out[4] += [now[a:z][known[a:z] < 0] for a, z in zip(begin[:-1], begin[1:], strict=True)] if not m.whole else [now[:0]] * (j - i)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in out[4]]))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, U64), *out[4]]).view(np.int64)))
-            flat = [np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.float64, np.float64), out[:4], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, flat), lists], names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                rare = np.flatnonzero(known < 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, begin).astype(np.int32)), pa.array(now[rare].view(np.int64)))
+                flat = [np.diff(begin), np.add.reduceat((known > 0).astype(np.int64), begin[:-1]), np.add.reduceat(base, begin[:-1]), _log_mean(sums)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *map(pa.array, flat), lists], names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rare"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(run, f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<bigint>")
     if not model.whole:
         # Words beyond the head: their exact counts come by a shuffle join.

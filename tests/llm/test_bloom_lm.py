@@ -83,3 +83,73 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     model, counts = B.train(df)
     assert B.score(df, model, counts).count() == 0
+
+
+def keys_of(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return B.tokens(raw, np.array([0, len(raw)], np.int64), 0, 1)
+
+
+def test_next_tokens_sum_to_one_at_most(spark):
+    df, rows = table(spark)
+    model, _ = B.train(df)
+    probes = B.Probes(model.parts, model.shards)
+    kinds = sorted({w for _, t, _ in rows for w in toks(t) if w}) + ["unseen"]
+    for history in ("w1", "w0 w2", "the", "w3 unseen", "unseen", ""):
+        p = []
+        for w in [*kinds, None]:
+            now, before, begin = keys_of(f"{history} {w or ''}")
+            at = len(toks(history)) - 1
+            p.append([float(c[at]) for c in model.chains(*B.levels_of(probes, now, before, begin), begin)])
+        p = np.array(p).sum(axis=0)
+        assert abs(p[0] - 1) < 0.03 and p[1] < 1.03 and p[2] < 1.03 and p[1] > 0.5
+
+
+def brute(rows, keep, model):
+    """log10 probabilities of the texts, with counts from dictionaries in place of the filter."""
+    low = lambda c: int(B._LEAST[B.level(np.array([c]))[0]]) if c else 0
+    high = lambda c: int(B._MOST[B.level(np.array([c]))[0]]) if c else 0
+    one, two, three = Counter(), Counter(), Counter()
+    for d, t, _ in rows:
+        if keep(d):
+            w = ["<s>", *toks(t)]
+            one.update(w)
+            two.update(zip(w, w[1:], strict=False))
+            three.update(zip(w, w[1:], w[2:], strict=False))
+    n = sum(c for w, c in one.items() if w != "<s>")
+    levels = {w: B.level(np.array([c]))[0] for w, c in one.items() if w != "<s>"}
+    mean = {x: np.mean([one[w] for w in levels if levels[w] == x]) for x in levels.values()}
+    out = []
+    for d, t, _ in rows:
+        w, sums = ["<s>", *toks(t)], np.zeros(3)
+        for i in range(1, len(w)):
+            p1 = (mean[levels[w[i]]] - model.discount if w[i] in levels else model.discount * len(levels)) / n
+            context = one["<s>"] if i == 1 else high(one[w[i - 1]])
+            p2 = (low(two[w[i - 1], w[i]]) + B.PRIOR * p1) / (context + B.PRIOR)
+            p3 = p2 if i == 1 else (low(three[w[i - 2], w[i - 1], w[i]]) + B.PRIOR * p2) / (high(two[w[i - 2], w[i - 1]]) + B.PRIOR)
+            sums += np.log10([p1, p2, p3])
+        out.append(((d is None, d or 0), math.log10(np.array(B.SHARES) @ 10.0**sums) if sums.max() > -300 else sums.max()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("part_bytes", [B.PART_BYTES, 200])
+def test_score_equals_brute_force(spark, part_bytes, monkeypatch):
+    df, rows = table(spark, 300)
+    model, counts = B.train(df.filter(~B.held_out(F.col("doc_id"))), head=7, part_bytes=part_bytes)
+    assert (len(model.parts) > 1) == (part_bytes == 200)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["score"]) for r in B.score(df, model, counts).collect())
+    want = brute(rows, lambda d: not out(d), model)
+    far = [abs(a[1] - b[1]) for a, b in zip(got, want, strict=True)]
+    # False positives of the filter touch a few tokens in a thousand.
+    assert [a[0] for a in got] == [b[0] for b in want] and np.median(far) < 1e-6 and max(far) < 2
+
+
+def test_repeated_text_scores_higher_and_long_text(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"v{rng.randrange(3000)}" for _ in range(n))
+    twice, long = text(60), text(200_000)
+    rows = [(i, text(60), 0.0) for i in range(200)] + [(1000, twice, 0.0), (1001, twice, 0.0), (1002, long, 0.0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r["doc_id"]: r for r in B.score(df, *B.train(df)).collect()}
+    assert got[1000]["score"] == got[1001]["score"] > got[5]["score"] + 5
+    assert got[1002]["n_tokens"] == 200_001 and math.isfinite(got[1002]["score"])
