@@ -1,38 +1,46 @@
 """Document fingerprints by winnowing.
 
 Every run of ``K`` code points is hashed by a rolling polynomial hash; of each
-window of w neighbouring hashes the smallest is kept, the rightmost one on
-ties, together with its position.  Two texts that share a run of at least
-w + K - 1 code points therefore share at least one kept hash.
-
-The window is ``WINDOW`` for long texts and a smaller power of two for short
-ones, so that they keep more than a hash or two.  A smaller window keeps a
-superset of what a larger one keeps, so the guarantee holds at w = ``WINDOW``
-for every pair of texts.
+window of ``WINDOW`` neighbouring hashes the smallest is kept, the rightmost one
+on ties, together with its position.  Two texts that share a run of at least
+WINDOW + K - 1 code points therefore share at least one kept hash.  The window
+is the same for all texts, so that any two fingerprints can be compared.
 
 Defined cases: a null text counts as empty and has no hash; a text of fewer
-than ``K`` code points is one hash of the whole text; two empty fingerprints
-have likeness 1, an empty and a non-empty one 0.  Texts are taken whole,
-whatever their length, in overlapping blocks.
+than ``K`` code points is one hash of the whole text; one of fewer hashes than a
+window has a single window, and so keeps one; two empty fingerprints have
+likeness 1, an empty and a non-empty one 0.  Ids may be numbers, strings, dates
+or times; null ids come last, rows with equal ids go by a hash of their text,
+and repeated rows follow each other.  Texts are taken whole, whatever their
+length, in overlapping blocks.  An empty table gives no row.  Columns other than
+the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType, TimestampType
 
 from locuspark.llm.arrays import U64, mix, powers, running
+from locuspark.plans.naming import col
 from locuspark.plans.scratch import input_partitions
 
 K = 16
-WINDOW = 64
+WINDOW = 32
 _POS = U64((1 << 22) - 1)
 _BLOCK = 1 << 20
+#: Code points of texts whose rows are sent on together.
+_SENT = 1 << 20
 
 
 def codes(text: str) -> np.ndarray:
@@ -49,8 +57,8 @@ def rolling(points: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def window_for(n_grams: int, largest: int = WINDOW) -> int:
-    """Largest power of two within an eighth of the grams, from 4 to ``largest``."""
-    return max(4, min(largest, 1 << max(0, (n_grams // 8).bit_length() - 1)))
+    """The window, or all grams if they are fewer."""
+    return min(largest, n_grams)
 
 
 def lowest(key: np.ndarray, w: int) -> np.ndarray:
@@ -70,7 +78,7 @@ def winnow(points: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.nda
     if n < k:
         return rolling(points, n), np.zeros(1, np.int64)
     g = n - k + 1
-    w = min(window_for(g, window), g)
+    w = window_for(g, window)
     hashes, places = [], []
     for a in range(0, g - w + 1, _BLOCK):
         h = rolling(points[a : min(n, a + _BLOCK + w + k - 2)], k)
@@ -115,7 +123,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 names=["id", "n_chars", "fingerprint", "positions"],
             )
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_chars long, fingerprint string, positions array<long>")
+    out = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_chars long, fingerprint string, positions array<long>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -124,34 +132,57 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
 
+def placed(id_col: Column, kind: DataType, prefix: str = "") -> Column:
+    """A number that never falls as ids rise; null for null ids.
+
+    Strings go by the six bytes after ``prefix``, which all of them begin with.
+    """
+    if isinstance(kind, StringType):
+        six = F.rpad(F.substring(F.hex(F.substring(id_col.cast("binary"), len(prefix.encode()) + 1, 6)), 1, 12), 12, "0")
+        return F.when(id_col.isNotNull(), F.conv(six, 16, 10).cast("double"))
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(id_col.cast("timestamp")).cast("double")
+    return (F.datediff(id_col, F.lit("1970-01-01")) if isinstance(kind, DateType) else id_col).cast("double")
+
+
 def with_successor_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows dealt into runs of neighbouring ids, each run closed by its successor.
 
-    Rows (run, tail, id, text), sorted within each partition by run, tail and
+    Rows (id, text, run, tail), sorted within each partition by run, tail and
     id; the one row with tail = 1 that ends a run repeats the first row of the
-    next run (of the first run, after the last).  One shuffle of the texts.
-    Ids run in ascending order, null last; rows with equal ids are ordered by
-    a hash of their text.
+    next run (of the first run, after the last).  One shuffle of the texts; a run
+    is a partition of its own.  There are about twice as many runs as the scan has
+    partitions: quantiles of the ids part them, and null ids are parted by the
+    hash of their text that orders them.  What the driver and the broadcast hold
+    is one number and one row for each run.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     n = input_partitions(docs)
-    cuts = sorted({int(x) for x in rows.select("id").approxQuantile("id", [i / (4 * n) for i in range(1, 4 * n)], 0.2 / (4 * n))}) if n > 1 else []
-    run = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1))
-    run = run.otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0))
-    rows = rows.withColumn("run", run.cast("int"))
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.xxhash64("text").alias("tie"))
-    # One row for each run of ids: as many as the scan has partitions, times four.
-    heads = sorted((r["run"], r["head"]) for r in rows.groupBy("run").agg(F.min(order).alias("head")).collect())
-    own = rows.withColumn("tail", F.lit(0))
-    if heads:
-        at = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}
-        ids = [h["id"] for _, h in heads if h["id"] is not None]
-        ties = [h["tie"] for _, h in heads]
-        to = F.element_at(F.create_map(*[F.lit(x) for pair in at.items() for x in pair]), F.col("run"))
-        copies = rows.filter((F.col("id").isin(ids) if ids else F.lit(False)) | F.col("id").isNull()).filter(F.xxhash64("text").isin(ties))
-        copies = copies.select("id", "text", to.cast("int").alias("run"), F.lit(1).alias("tail"))
-        own = own.unionByName(copies)
-    return own.repartition(n, "run").sortWithinPartitions("run", "tail", F.col("id").asc_nulls_last(), F.xxhash64("text"))
+    count = rows.agg(F.count(F.lit(1)).alias("all"), F.count("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    prefix = os.path.commonprefix([count["low"] or "", count["high"] or ""]) if isinstance(kind, StringType) else ""
+    rows = rows.withColumn("place", placed(F.col("id"), kind, prefix)).withColumn("tie", F.xxhash64("text"))
+    runs = max(1, 2 * n * count["ids"] // max(1, count["all"]))
+    cuts = sorted({float(x) for x in rows.approxQuantile("place", [i / runs for i in range(1, runs)], 0.2 / runs)}) if runs > 1 else []
+    if cuts:
+        rows = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="place", outputCol="bucket", handleInvalid="keep").transform(rows)
+    else:
+        rows = rows.withColumn("bucket", F.lit(0))
+    spare = max(1, 2 * n - runs)
+    null_run = (F.col("tie") / F.lit(2.0**64 / spare) + spare / 2).cast("int")
+    of_null = F.lit(len(cuts) + 1) + F.greatest(F.lit(0), F.least(F.lit(spare - 1), null_run))
+    rows = rows.withColumn("run", F.when(F.col("place").isNull(), of_null).otherwise(F.col("bucket").cast("int"))).drop("bucket", "place")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tie"))
+    heads = rows.groupBy("run").agg(F.min(order).alias("head")).select(F.lit(0).alias("one"), "run", F.col("head.id").alias("head_id"), F.col("head.tie").alias("head_tie"))
+    # One row for each run: small enough for a window and a broadcast.
+    around = W.partitionBy("one").orderBy("run")
+    last = F.last("run").over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    heads = heads.select(F.coalesce(F.lag("run").over(around), last).alias("to"), "head_id", "head_tie")
+    copies = rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")))
+    copies = copies.select("id", "text", "tie", F.col("to").alias("run"), F.lit(1).alias("tail"))
+    both = rows.select("id", "text", "tie", "run", F.lit(0).alias("tail")).unionByName(copies)
+    dealt = both.repartitionById(len(cuts) + 1 + spare, "run").sortWithinPartitions("tail", F.col("id").asc_nulls_last(), "tie")
+    return dealt.select("id", "text", "run", "tail")
 
 
 def edited(text: str, following: str) -> str:
@@ -177,8 +208,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             kept, _ = (now[2], None) if new == now[1] else winnow(codes(new))
             return (now[0], len(now[1]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), text_of(now[2]), text_of(kept), likeness(now[4], np.unique(kept)), likeness(now[4], then_set), now[3])
 
+        def sent(out: list[tuple], first: pa.DataType) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True))
+            types = [first, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=False)), _lists(list(cols[7]))], names=names)
+
         for b in batches:
-            out = []
+            out, size = [], 0
             for key, text, at, tail in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if tail and held is None:
                     continue
@@ -187,10 +223,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if held is not None:
                     out.append(row(held, text, now[4]))
                 held = None if tail else now
+                size += len(text)
+                if size > _SENT and out:
+                    yield sent(out, b.schema.field(0).type)
+                    out, size = [], 0
             if out:
-                cols = list(zip(*out, strict=True))
-                types = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=False)), _lists(list(cols[7]))], names=names)
+                yield sent(out, b.schema.field(0).type)
 
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<long>"
     runs = with_successor_runs(docs, id_col, text_col)

@@ -80,3 +80,45 @@ def test_empty_tables_and_null_ids(spark):
     df = spark.createDataFrame([(None, "x", None, None, None), (None, "x", None, None, None), (2, "y" * 9, "s", 1, 0.0)], SCHEMA)
     assert W.fingerprint_edits(df.repartition(3)).count() == 3
     assert W.fingerprint(df).filter(F.length("fingerprint") == 16).count() == 3
+
+
+def following(data):
+    """The next text of each row in ascending order of (id, hash of the text), null ids last."""
+    return {data[i]: data[(i + 1) % len(data)][1] or "" for i in range(len(data))}
+
+
+def test_ids_of_any_kind(spark, tmp_path):
+    import datetime
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd ef") for _ in range(rng.randrange(90))) for _ in range(40)]
+    day = datetime.date(2020, 1, 1)
+    kinds = {"string": lambda i: f"doc-\u00e9-{i:05d}", "date": lambda i: day + datetime.timedelta(3 * i), "long": lambda i: (1 << 62) + i, "double": lambda i: i / 7 - 2, "int": lambda i: -i}
+    for kind, made in kinds.items():
+        data = [(made(i), t) for i, t in enumerate(texts)]
+        path = str(tmp_path / kind)
+        spark.createDataFrame(data, f"doc_id {kind}, text string").repartition(6).write.parquet(path)
+        df = spark.read.parquet(path)
+        got = {r["doc_id"]: r for r in W.fingerprint_edits(df).collect()}
+        nxt = following(sorted(data))
+        assert len(got) == 40
+        for d, t in data:
+            assert got[d]["edited_sha256"] == hashlib.sha256(W.edited(t, nxt[d, t]).encode()).hexdigest(), kind
+
+
+def test_many_null_and_equal_ids(spark):
+    texts = [f"text number {i} of those without an id" for i in range(60)]
+    data = [(None, t) for t in texts] + [(7, "seven"), (7, "seven"), (7, "also seven"), (1, "")]
+    df = spark.createDataFrame(data, "doc_id int, text string").repartition(5)
+    tie = {r["text"]: r["t"] for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    order = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, tie[r[1]]))
+    want = sorted((str(d), hashlib.sha256(W.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in W.fingerprint_edits(df).collect()) == want
+
+
+def test_one_window_for_all_lengths():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(900))
+    for n in (526, 527, 600):
+        a, b = (np.unique(W.winnow(W.codes(t))[0]) for t in (text[:n], text[: n + 1]))
+        assert W.likeness(a, b) > 0.9
