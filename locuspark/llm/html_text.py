@@ -1,31 +1,41 @@
 """Text of web pages, laid out as a browser shows it.
 
 A tokenizer and a tree builder with implied end tags turn the page into a
-tree; visibility rules mark what is not shown (elements that never are, the
-``hidden`` attribute, inline styles, and simple ``.class``, ``#id`` and tag
-rules of style sheets); a renderer then emits all text that is shown.  Blocks
-stand on lines of their own, paragraphs and headings are set off by a blank
-line, list items have bullets or numbers and are indented by depth, white space
-is collapsed except in preformatted text, and table cells are set in aligned
-columns.  Nothing is dropped as boilerplate.
+tree; visibility rules mark what is not shown: elements that never are, the
+``hidden`` attribute, inline styles, and rules of style sheets whose selectors
+are made of tags, classes and ids, alone, joined (``p.a#b``), or as descendants
+and children of others.  What is under ``display: none`` is gone with all in it;
+``visibility: hidden`` veils text until a ``visibility: visible`` inside.  A
+renderer then emits all text that is shown.  Blocks stand on lines of their own,
+paragraphs and headings are set off by a blank line, list items have bullets or
+numbers and are indented by depth, white space is collapsed except in
+preformatted text, and table cells are set in aligned columns, with room left
+where one spans rows or columns.  Nothing is dropped as boilerplate.
 
 The work is linear in the page's length and uses no recursion, so depth and
 length of a page are not limited.
 
 Defined cases: a null or empty page gives an empty text; text outside any tag
-is shown; an unclosed comment or tag ends at the end of the page.
+is shown; an unclosed comment or tag ends at the end of the page; a quote that
+never closes is part of the tag up to the next ``>``; a rule that hides is not
+undone by a later rule of a sheet; repeated rows are rendered each; an empty
+table gives no row; columns other than the id and the page are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locuspark.plans.naming import col
+
 
 def _set(names: str) -> frozenset[str]:
     return frozenset(names.split())
@@ -57,10 +67,12 @@ IMPLIED = {
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+_VEIL = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _PIECE = re.compile(r"([^{}]*)([{}])")
 _SCREEN = re.compile(r"@layer\b|@media\s*(?:[^,]*,)*\s*(?:(?:only\s+)?(?:screen|all)\s*)?(?:,|$)", re.I)
-_SIMPLE = re.compile(r"[.#]?[a-zA-Z_][\w-]*$")
+_SELECTOR = re.compile(r"(?:\*|[a-zA-Z][\w-]*)?(?:[.#][a-zA-Z_-][\w-]*)*(?:\s*[> ]\s*(?:\*|[a-zA-Z][\w-]*)?(?:[.#][a-zA-Z_-][\w-]*)*)*$")
+_STEP = re.compile(r"(>?)\s*([^\s>]+)")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 _ODD = re.compile(r"[\t\n\r\f]|  ")
 #: Widest column that narrower cells are padded to.
@@ -68,11 +80,13 @@ WIDEST = 60
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hidden")
+    __slots__ = ("tag", "attrs", "children", "hidden", "veiled", "met")
 
-    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool):
-        self.tag, self.attrs, self.hidden = tag, attrs, hidden
+    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool, veiled: bool = False):
+        self.tag, self.attrs, self.hidden, self.veiled = tag, attrs, hidden, veiled
         self.children: list[Node | str] = []
+        #: Steps of longer selectors that this element, and those around it, meet.
+        self.met: tuple[frozenset, frozenset] = (frozenset(), frozenset())
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -82,9 +96,8 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def hiding_selectors(sheet: str) -> set[str]:
-    """Simple selectors of rules that hide; within at-rules, if these hold on any screen."""
-    out: set[str] = set()
+def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of rules; within at-rules, if these hold on any screen."""
     held: list[str] = []  # what stands before each open brace
     skipped = 0  # open at-rules that need not hold
     for before, brace in _PIECE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
@@ -93,10 +106,59 @@ def hiding_selectors(sheet: str) -> set[str]:
             skipped += _conditional(held[-1])
         elif held:
             selectors = held.pop()
-            if not skipped and _HIDING.search(before):
-                out |= {s for s in map(str.strip, selectors.split(",")) if _SIMPLE.match(s)}
+            if not skipped:
+                yield from ((s.strip(), before) for s in selectors.split(","))
             skipped -= _conditional(selectors)
-    return out
+
+
+def hiding_selectors(sheet: str) -> set[str]:
+    """Selectors of rules that take elements, or their text, from view."""
+    return {s for s, what in style_rules(sheet) if s and _SELECTOR.match(s) and (_GONE.search(what) or _veil(what, False))}
+
+
+def _veil(style: str, now: bool) -> bool:
+    """Whether text is veiled under a style; the last word counts."""
+    found = _VEIL.findall(style)
+    return found[-1].lower() != "visible" if found else now
+
+
+class Rules:
+    """Rules that set whether elements are shown.
+
+    Those of one step are found by its rarest part, an id, a class or a tag;
+    of longer ones every element keeps the steps met so far.
+    """
+
+    def __init__(self) -> None:
+        self.single: dict[str, list[tuple[frozenset[str], str]]] = {}
+        self.chains: list[tuple[list[tuple[bool, frozenset[str]]], str]] = []
+
+    def add(self, sheet: str) -> None:
+        for selector, what in style_rules(sheet):
+            if selector and _SELECTOR.match(selector) and (_GONE.search(what) or _VEIL.search(what)):
+                steps = [(bool(child), frozenset(x if x[0] in ".#" else x.lower() for x in re.findall(r"[.#]?[\w-]+", part))) for child, part in _STEP.findall(selector)]
+                if len(steps) > 1:
+                    self.chains.append((steps, what))
+                else:
+                    key = max(steps[0][1], key=lambda x: ("#" in x, "." in x), default="*")
+                    self.single.setdefault(key, []).append((steps[0][1], what))
+
+    def found(self, node: Node, around: Node) -> Iterator[str]:
+        """Declarations of the rules that a new element meets."""
+        names = {node.tag, "*", *("." + c for c in node.attrs.get("class", "").split())}
+        if "id" in node.attrs:
+            names.add("#" + node.attrs["id"])
+        for key in names & self.single.keys():
+            yield from (what for needed, what in self.single[key] if needed <= names)
+        if self.chains:
+            own, above = set(), around.met[0] | around.met[1]
+            for r, (steps, what) in enumerate(self.chains):
+                for k, (child, needed) in enumerate(steps):
+                    if needed <= names and (k == 0 or (r, k - 1) in (around.met[0] if child else above)):
+                        own.add((r, k))
+                        if k == len(steps) - 1:
+                            yield what
+            node.met = frozenset(own), above
 
 
 def _conditional(before: str) -> bool:
@@ -109,18 +171,17 @@ class Builder:
     def __init__(self, page: str):
         self.root = Node("#root", {}, False)
         self.open = [self.root]
-        self.rules: set[str] = set()
+        self.rules = Rules()
         self._read(page)
 
-    def _hides(self, tag: str, attrs: dict[str, str]) -> bool:
-        if tag in NEVER or "hidden" in attrs or (tag == "dialog" and "open" not in attrs):
-            return True
-        if attrs:
-            if _HIDING.search(attrs.get("style", "")):
-                return True
-            if self.rules and ("#" + attrs.get("id", "") in self.rules or any("." + c in self.rules for c in attrs.get("class", "").split())):
-                return True
-        return tag in self.rules
+    def _shown(self, node: Node, around: Node) -> None:
+        """Set whether an element, and the text in it, is shown."""
+        tag, attrs, node.veiled = node.tag, node.attrs, around.veiled
+        node.hidden = tag in NEVER or "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
+        for what in (*self.rules.found(node, around), attrs.get("style", "")):
+            if what:
+                node.hidden |= bool(_GONE.search(what))
+                node.veiled = _veil(what, node.veiled)
 
     def _text(self, s: str) -> None:
         if s:
@@ -148,8 +209,8 @@ class Builder:
             self._pop_to(*IMPLIED[tag])
         if tag in ("html", "body", "head") and any(n.tag == tag for n in self.open):
             return
-        attrs = attributes(raw)
-        node = Node(tag, attrs, self._hides(tag, attrs))
+        node = Node(tag, attributes(raw), False)
+        self._shown(node, self.open[-1])
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -194,7 +255,7 @@ class Builder:
                     end = n if end < 0 else end
                     body = page[at:end]
                     if tag == "style":
-                        self.rules |= hiding_selectors(body)
+                        self.rules.add(body)
                     elif tag in ("textarea", "title"):
                         self._text(body)
                     if self.open[-1].tag == tag:
@@ -272,26 +333,50 @@ class Flow:
 
 
 class Table:
+    """Rows of cells, each with its column; cells that span rows keep their columns from the next ones."""
+
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[int, list[str], int]]] = []
+        self.taken: dict[int, int] = {}  # the row up to which a column is taken
+        self.next = 0
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.next = 0
+
+    def group(self) -> None:
+        """A new group of rows, into which no cell reaches."""
+        self.taken.clear()
+
+    def cell(self, lines: list[str], columns: int, rows: int) -> None:
+        if not self.rows:
+            self.row()
+        at = len(self.rows) - 1
+        while self.taken.get(self.next, -1) >= at:
+            self.next += 1
+        self.rows[-1].append((self.next, lines, columns))
+        if rows != 1:
+            self.taken |= dict.fromkeys(range(self.next, self.next + columns), at + rows - 1 if rows else 1 << 30)
+        self.next += columns
 
     def lines(self) -> list[str]:
         """Rows with their cells in aligned columns, two spaces apart."""
         width: dict[int, int] = {}
         for row in self.rows:
-            c = 0
-            for cell, span in row:
+            for c, cell, span in row:
                 if span == 1:
                     width[c] = max(width.get(c, 0), *(len(s) for s in cell if len(s) <= WIDEST), 0)
-                c += span
+        columns = sorted(width)
+        before = [0, *accumulate(width[c] for c in columns)]
         out = []
         for row in self.rows:
-            for k in range(max((len(cell) for cell, _ in row), default=0)):
-                c, line = 0, ""
-                for cell, span in row:
-                    room = sum(width.get(x, 0) for x in range(c, c + span)) + 2 * (span - 1)
-                    line += (cell[k] if k < len(cell) else "").ljust(room) + "  "
-                    c += span
+            start = [before[bisect_left(columns, c)] + 2 * c for c, _, _ in row]
+            for k in range(max((len(cell) for _, cell, _ in row), default=0)):
+                line = ""
+                for (_, cell, _), at in zip(row, start, strict=True):
+                    if k < len(cell) and cell[k]:
+                        line = line.ljust(at) if len(line) + 2 <= at or not line else line + "  "
+                        line += cell[k]
                 out.append(line.rstrip())
         return out
 
@@ -318,9 +403,7 @@ def render(page: str | None) -> str:
                 cell = flow.done()
                 flows.pop()
                 flow = flows[-1]
-                if not tables[-1].rows:
-                    tables[-1].rows.append([])
-                tables[-1].rows[-1].append((cell, saved))
+                tables[-1].cell(cell, *saved)
             elif tag == "table":
                 for s in tables.pop().lines():
                     flow.plain(s)
@@ -352,7 +435,7 @@ def render(page: str | None) -> str:
             flow.gap()
             continue
         if tag == "input":
-            if node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+            if not node.veiled and node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 flow.text(node.attrs.get("value", ""))
             continue
         children = node.children
@@ -361,13 +444,16 @@ def render(page: str | None) -> str:
         if tag in CELL and tables:
             flow = Flow()
             flows.append(flow)
-            todo.append((node, ("#cell", max(1, min(1000, _number(node.attrs.get("colspan"), 1))))))
+            spans = max(1, min(1000, _number(node.attrs.get("colspan"), 1))), max(0, min(65534, _number(node.attrs.get("rowspan"), 1)))
+            todo.append((node, ("#cell", spans)))
         elif tag == "table":
             flow.gap()
             tables.append(Table())
             todo.append((node, (tag, None)))
         elif tag == "tr" and tables:
-            tables[-1].rows.append([])
+            tables[-1].row()
+        elif tag in ROW_GROUP and tables:
+            tables[-1].group()
         elif tag in BLOCK or tag in CELL:
             saved = None
             if tag in SPACED and not (tag in LISTS and lists):
@@ -379,13 +465,13 @@ def render(page: str | None) -> str:
             elif tag == "li":
                 saved = flow.indent
                 kind = lists[-1] if lists else ["ul", 1]
+                bullet = "- "
                 if kind[0] == "ol":
                     kind[1] = _number(node.attrs.get("value"), kind[1])
-                    flow.bullet = f"{kind[1]}. "
+                    bullet = f"{kind[1]}. "
                     kind[1] += 1
-                else:
-                    flow.bullet = "- "
-                flow.indent += " " * len(flow.bullet)
+                flow.indent += " " * len(bullet)
+                flow.bullet = "" if node.veiled else bullet
             elif tag in ("dd", "blockquote"):
                 saved = flow.indent
                 flow.indent += "    " if tag == "dd" else "  "
@@ -396,7 +482,7 @@ def render(page: str | None) -> str:
             todo.append((node, (tag, saved)))
         elif tag == "option":
             flow.space = True
-        todo.extend((c, None) for c in reversed(children))
+        todo.extend((c, None) for c in reversed(children) if not (node.veiled and isinstance(c, str)))
     return "\n".join(flow.done())
 
 
@@ -411,5 +497,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
                 got = [render(h) for h in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in got], pa.int64())], names=["id", "text", "n_chars", "n_lines"])
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(col(id_col).alias("id"), col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(run, f"id {kind}, text string, n_chars long, n_lines long").withColumnRenamed("id", id_col)

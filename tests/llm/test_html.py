@@ -43,3 +43,71 @@ def test_rules_of_other_media_and_stray_quotes():
 
     for tag in ('<p class="a"">', "<p title=Bob's>", '<p title="a>b">', "<p title=a=\"b>"):
         assert shown(Builder(f"{tag}one</p><p>it's</p> end").root) == "oneit's end"
+
+
+def test_veils_rowspan_and_joined_selectors():
+    assert render('<div style="visibility:hidden">a<span style="visibility:visible">b</span>c</div>d') == "b\nd"
+    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>") == "A  B\n   C\nD  E"
+    sheet = "<style>div.note{display:none} p#x.y, .a .b, ul > li.c{display:none} .v{visibility:hidden} .w{visibility:visible}</style>"
+    assert render(sheet + "<div class=note>n</div><p class=note>m</p>") == "m"
+    assert render(sheet + '<p id=x class="y z">n</p><p id=x>m</p>') == "m"
+    assert render(sheet + "<div class=a><i><b class=b>n</b></i>m</div><b class=b>k</b>") == "m\nk"
+    assert render(sheet + "<ul><li class=c>n<li>m</ul><ol><li class=c>k</ol>") == "- m\n\n1. k"
+    assert render(sheet + "<p class=v>n<b class=w>m</b></p>") == "m"
+    assert render("<style>@media print{nav{display:none}}</style><nav>menu</nav>x") == "menu\nx"
+
+
+def test_tables_with_spans():
+    page = "<table><tr><td rowspan=0 colspan=2>w<td>B<tr><td>C<tbody><tr><td>D<td>E<td>F</table>"
+    assert render(page) == "w     B\n      C\nD  E  F"
+
+
+def pages(rng, n):
+    """Random pages, also broken ones, with the words that they show."""
+    for _ in range(n):
+        words, out, number = [], [], 0
+
+        def text():
+            nonlocal number
+            number += 1
+            return f"w{number}x"
+
+        def part(depth, shown, veiled, tags=()):
+            for _ in range(rng.randrange(1, 5)):
+                kind = rng.randrange(9)
+                if kind < 4 or depth > 5:
+                    w = text()
+                    out.append(f" {w} ")
+                    if shown and not veiled:
+                        words.append(w)
+                elif kind == 4:
+                    out.append(rng.choice(["<!-- c -->", "<br>", "<script>var a='<p>';</script>", "<img alt=x>", *(["<hr/>"] if "p" not in tags else [])]))
+                else:
+                    tag = rng.choice(["div", "p", "span", "b", "section", "h2", "ul", "em"])
+                    attr, hide, veil = rng.choice([("", 0, None), (' class="q\'s"', 0, None), (" title=it's", 0, None), (" hidden", 1, None), (' style="display:none"', 1, None), (" class=gone", 1, None), (" class=veil", 0, True), (' style="visibility:visible"', 0, False), (' data-x=a"b', 0, None)])
+                    inner = [tag, "p"] if tag in ("div", "section", "h2", "ul") else [tag]
+                    if tag == "p" and "p" in tags:
+                        tag = "span"
+                    if tag in ("div", "section", "h2", "ul") and "p" in tags:
+                        tag = "b"
+                    out.append(f"<{tag}{attr}>")
+                    part(depth + 1, shown and not hide, veiled if veil is None else veil, (*tags, *inner[:1], tag))
+                    out.append(f"</{tag}>")
+
+        part(0, True, False)
+        yield "<style>.gone{display:none} .veil{visibility:hidden}</style>" + "".join(out), words
+
+
+def test_all_shown_words_and_no_others():
+    import random
+
+    for page, words in pages(random.Random(12), 400):
+        assert render(page).replace("- ", " ").split() == words, page
+
+
+def test_long_page_and_empty_table(spark):
+    page = "<ul>" + "<li>item <b>of</b> a list" * 100_000 + "</ul>" + "<table>" + "<tr><td rowspan=3>a<td>b" * 20_000
+    lines = render(page).split("\n")
+    assert lines[99_999] == "- item of a list" and sum("a" in x.split() for x in lines[100_000:]) == 20_000
+    df = spark.createDataFrame([], "page_id long, html string, text string, n_chars long")
+    assert extract(df).columns == ["page_id", "text", "n_chars", "n_lines"] and extract(df).count() == 0
