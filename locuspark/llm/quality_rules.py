@@ -1,15 +1,17 @@
 """Document quality by weak supervision: rules vote, their accuracies are estimated.
 
 Each rule looks at figures of a text and votes good (1), bad (-1) or abstains
-(0).  Given the unseen quality y of a text the votes are taken as independent,
-each rule having its own accuracy: how often it votes 1, 0 and -1 on good
-texts, and how often on bad ones.  Expectation-maximisation estimates these and
-the share of good texts from the votes alone, over all texts that the base
-rules leave in question; it needs only how often each pattern of votes occurs,
-which is one aggregation and at most 3 to the number of rules (243) rows.  No
-rule is taken to vote against more than ``WRONG`` of the good texts.  A text is
-kept if its posterior probability of being good reaches ``KEEP``, whatever
-single rules say.
+(0), which says nothing.  Given the unseen quality y of a text the votes are
+taken as independent, each rule having its own accuracy: how often its votes on
+good texts, and how often those on bad texts, are bad ones.
+Expectation-maximisation estimates these and the share of good texts from the
+votes alone, over all texts that the base rules leave in question; it needs only
+how often each pattern of votes occurs, which is one aggregation and at most 3
+to the number of rules (243) rows.  The maximisation is constrained: rules are
+written so as to spare good texts, and none is taken to vote against more than
+``WRONG`` of those it votes on; without that, good and bad would not be told
+apart by votes that mostly agree.  A text is kept if its posterior probability
+of being good reaches ``KEEP``, whatever single rules say.
 
 Figures, words being maximal runs of characters other than 0x20 and 0x09-0x0D:
 word_chars (code points in words), n_symbols (characters of ``#*$%&|<>``),
@@ -19,8 +21,9 @@ n_dup_lines (lines with a word that equal an earlier line) and n_repeat_words
 All of it is DataFrame expressions.  Repeated windows are found by sorting the
 window hashes of a text, so a long text costs n log n.
 
-Defined cases: a null text has no word and fails; repeated rows vote each; an
-empty table gives no row.
+Defined cases: a null or empty text has no word and fails; repeated rows vote
+each; texts of any length are read whole; an empty table gives no row; columns
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locuspark.plans.naming import col
 from locuspark.plans.scratch import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -37,7 +41,7 @@ SYMBOLS = "#*$%&|<>"
 KEEP = 0.5
 #: Start values: probability of being good without and with a vote against.
 START = (0.95, 0.2)
-WRONG = 0.005
+WRONG = 0.02
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 
@@ -89,8 +93,8 @@ def figures(text: Column) -> dict[str, Column]:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words and the figures of each row."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(col(id_col).alias("id"), text.alias("text"))
     words = F.filter(F.split(F.col("text"), WHITE), lambda w: w != "")
     both = bound(words, lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     rows = rows.select("id", *[c.cast("long").alias(k) for k, c in figures(F.col("text")).items()], both.alias("_w"))
@@ -112,7 +116,8 @@ def votes() -> dict[str, Column]:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
     return {
-        "length": three(F.col("n_words") >= 100, F.col("n_words") < MIN_WORDS),
+        # Texts too short have failed the base rules.
+        "length": three(F.col("n_words") >= 100, F.lit(False)),
         "word_length": three(mean.between(3.0, 9.0), (mean < 2.5) | (mean > 11.0)),
         "symbols": three(marks < 0.05, marks > 0.2),
         "repeats": three(repeats < 0.2, repeats > 0.4),
@@ -124,30 +129,34 @@ def votes() -> dict[str, Column]:
 Verdict = tuple[float, list[dict[int, float]]]
 
 
+def accuracies(patterns: list[tuple[tuple[int, ...], int]], good: list[float]) -> tuple[float, list[tuple[float, float]]]:
+    """The maximisation step: the share of good texts, and of each rule the shares of bad votes among
+    those on good texts and on bad ones; one vote of each kind is added to each."""
+    total = sum(n for _, n in patterns)
+    share = min(0.99, max(0.01, sum(n * p for (_, n), p in zip(patterns, good, strict=True)) / total))
+    out = []
+    for j in range(len(patterns[0][0])):
+        seen = {(y, x): 1.0 for y in (0, 1) for x in (-1, 1)}
+        for (v, n), p in zip(patterns, good, strict=True):
+            if v[j]:
+                seen[1, v[j]] += n * p
+                seen[0, v[j]] += n * (1 - p)
+        out.append((min(WRONG, seen[1, -1] / (seen[1, -1] + seen[1, 1])), seen[0, -1] / (seen[0, -1] + seen[0, 1])))
+    return share, out
+
+
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> Verdict:
     """The log odds that expectation-maximisation finds, from counts of vote patterns.
 
     A rule that votes against good texts more often than against bad ones says
     nothing, so that good and bad cannot change places.
     """
-    total = sum(n for _, n in patterns)
-    rules = range(len(patterns[0][0]) if patterns else 0)
+    nothing = {x: 0.0 for x in (-1, 0, 1)}
     good = [START[-1 in v] for v, _ in patterns]
-    verdict: Verdict = (0.0, [{x: 0.0 for x in (-1, 0, 1)} for _ in votes()])
-    for _ in range(rounds if total else 0):
-        share = min(0.99, max(0.01, sum(n * p for (_, n), p in zip(patterns, good, strict=True)) / total))
-        steps = []
-        for j in rules:
-            seen = {(y, x): 1.0 for y in (0, 1) for x in (-1, 0, 1)}
-            for (v, n), p in zip(patterns, good, strict=True):
-                seen[1, v[j]] += n * p
-                seen[0, v[j]] += n * (1 - p)
-            sums = {y: sum(seen[y, x] for x in (-1, 0, 1)) for y in (0, 1)}
-            p_good = {x: seen[1, x] / sums[1] for x in (-1, 0, 1)}
-            p_bad = {x: seen[0, x] / sums[0] for x in (-1, 0, 1)}
-            p_good[-1] = min(p_good[-1], WRONG)
-            fair = p_bad[-1] > p_good[-1]
-            steps.append({x: math.log(p_good[x] / p_bad[x]) if fair else 0.0 for x in (-1, 0, 1)})
+    verdict: Verdict = (0.0, [nothing for _ in (patterns[0][0] if patterns else ())])
+    for _ in range(rounds if patterns else 0):
+        share, rules = accuracies(patterns, good)
+        steps = [{-1: math.log(a / b), 0: 0.0, 1: math.log((1 - a) / (1 - b))} if b > a else nothing for a, b in rules]
         verdict = (math.log(share / (1 - share)), steps)
         good = [posterior(v, verdict) for v, _ in patterns]
     return verdict
@@ -165,9 +174,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rules = votes()
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     counted = rows.filter(~failed).select(*[c.alias(k) for k, c in rules.items()]).groupBy(*rules).count().collect()
+    # An empty table has no pattern, and no row that a vote could change.
     start, steps = estimate(sorted((tuple(r[k] for k in rules), r["count"]) for r in counted))
     z = F.lit(start)
-    for c, by_vote in zip(rules.values(), steps, strict=True):
+    for c, by_vote in zip(rules.values(), steps, strict=bool(steps)):
         z = z + F.when(c == 1, by_vote[1]).when(c == -1, by_vote[-1]).otherwise(by_vote[0])
     rows = rows.withColumn("quality", 1 / (1 + F.exp(-z))).withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))

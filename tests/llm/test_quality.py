@@ -43,3 +43,47 @@ def test_verdicts(spark):
 def test_estimates_need_no_votes(spark):
     assert Q.estimate([])[0] == 0.0
     assert Q.judged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_accuracies_are_found_from_votes_alone():
+    rng = random.Random(5)
+    true = [(0.01, 0.6), (0.0, 0.3), (0.015, 0.8), (0.01, 0.45), (0.01, 0.5)]
+    counts, right = Counter(), Counter()
+    for _ in range(40_000):
+        good = rng.random() < 0.85
+        votes = tuple(0 if rng.random() < 0.1 else -1 if rng.random() < (a if good else b) else 1 for a, b in true)
+        counts[votes] += 1
+        right[votes] += good
+    patterns = sorted(counts.items())
+    verdict = Q.estimate(patterns)
+    share, found = Q.accuracies(patterns, [Q.posterior(v, verdict) for v, _ in patterns])
+    assert abs(share - 0.85) < 0.03
+    assert all(abs(a - x) < 0.012 and abs(b - y) < 0.06 for (a, b), (x, y) in zip(found, true, strict=True))
+    off = sum(n * abs(Q.posterior(v, verdict) - right[v] / n) for v, n in patterns) / 40_000
+    assert off < 0.02
+    # One vote against is outweighed, as all-must-pass filtering would not have it.
+    assert Q.posterior((1, 1, 1, -1, 1), verdict) > Q.KEEP > Q.posterior((-1, 1, -1, 1, 1), verdict)
+
+
+def test_kept_equals_brute_force(spark):
+    import math
+
+    rows = [(i, t) for i, t in enumerate(texts() * 3)]
+    rng = random.Random(4)
+    rows += [(1000 + i, " ".join("word"[: rng.randrange(1, 5)] + str(rng.randrange(900)) + rng.choice(["", "", "#$%"]) for _ in range(rng.randrange(40, 200)))) for i in range(200)]
+    got = {r["doc_id"]: r for r in Q.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def votes(t):
+        n, chars, symbols, dup, rep = brute(t)
+        three = lambda good, bad: -1 if bad else int(good)
+        return (three(n >= 100, False), three(3 <= chars / n <= 9, chars / n < 2.5 or chars / n > 11), three(symbols / n < 0.05, symbols / n > 0.2), three(rep / n < 0.2, rep / n > 0.4), three(dup == 0, dup >= 3))
+
+    failed = {d: brute(t)[0] < 50 or 100 * brute(t)[4] > 50 * brute(t)[0] for d, t in rows}
+    verdict = Q.estimate(sorted(Counter(votes(t) for d, t in rows if not failed[d]).items()))
+    for d, t in rows:
+        assert got[d]["base_failed"] == failed[d]
+        if not failed[d]:
+            want = Q.posterior(votes(t), verdict)
+            assert math.isclose(got[d]["quality"], want, abs_tol=1e-9) and got[d]["kept"] == (want >= Q.KEEP)
+        else:
+            assert not got[d]["kept"]
