@@ -13,21 +13,25 @@ x become P'(P(x) + 1), where P' is the inverse of P, so none maps to itself.
 
 All of it is DataFrame expressions; rows without a match are not touched.
 
-Validity: card numbers have 13 to 19 digits (in groups or not) and begin with
-2 to 6, or pass the Luhn check; those that pass it keep passing.  IBANs have a
-right check number, which is computed anew.  Social security numbers have an
-area other than 000, 666 and 9xx, a group other than 00 and a serial other than
-0000.  Phone numbers have a leading plus sign, or an area code in brackets, or
-three parted groups of 3, 3 and 4 digits; country code and separators stay.
-Addresses have four numbers up to 255.  Dates (year-month-day, day.month.year
-or month/day/year) exist and lie from 1900 to 2099.
+Validity: card numbers have 13 to 19 digits (in groups or not) and pass the
+Luhn check, as their pseudonyms do.  IBANs have a right check number, which is
+computed anew.  Social security numbers have an area other than 000, 666 and
+9xx, a group other than 00 and a serial other than 0000.  Phone numbers have a
+leading plus sign, or an area code in brackets, or three parted groups of 3, 3
+and 4 digits; country code and separators stay, and the other digits are
+permuted alike however they are parted.  Addresses have four numbers up to 255.
+Dates (year-month-day, day.month.year, month/day/year, or day/month/year if the
+day is over 12) exist and lie from 1900 to 2099; those of the last form are
+permuted among themselves, so that their pseudonyms are read alike.
 
 Mail addresses are no numbers or dates, but name a person just as these do:
 each one is replaced by letters that are a keyed hash of it, at a host that
 cannot exist.
 
-Defined cases: a null text stays null, an empty one empty; equal rows give
-equal results; other columns are passed on untouched.
+Defined cases: a null text stays null, an empty one empty; texts of any length
+are searched whole; equal rows give equal results, repeated or not; ids are not
+looked at; an empty table gives no row; other columns are passed on untouched,
+whatever their names, except the counts named below, which are replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locuspark.plans.naming import col, fresh
+
 ROUNDS = 6
 
 # The patterns of each kind, and the span of years of dates.
@@ -47,6 +53,8 @@ SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
 PHONE = r"(?:(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4})(?!\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 CARD = r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?!\d|[.\-]\d)"
+#: Country codes, of which none begins another.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 KINDS = {"mail": MAIL, "iban": IBAN, "date": DATE, "ssn": SSN, "phone": PHONE, "address": ADDRESS, "card": CARD}
 #: 1900-01-01 to 2099-12-31 has 73,049 days, 319 times 229.
 DAYS = (319, 229)
@@ -136,9 +144,7 @@ def card(key: str, s: Column) -> Column:
     def body(d: Column) -> Column:
         payload = permuted_digits(key, "card", F.substr(d, F.lit(1), F.length(d) - 1))
         with_check = bound(payload, lambda p: F.concat(p, ((10 - luhn_sum(p, 1) % 10) % 10).cast("string")))
-        n = F.length(d)
-        free = F.concat(F.substr(d, F.lit(1), F.lit(1)), permuted_digits(key, "digits", F.substr(d, F.lit(2), n - 1)))
-        return F.when(luhn_sum(d, 0) % 10 == 0, with_check).when(d.rlike("^[2-6]") | (n == 16), free)
+        return F.when(luhn_sum(d, 0) % 10 == 0, with_check)
 
     return bound(digits_of(s), lambda d: refilled(s, body(d)))
 
@@ -185,7 +191,7 @@ def ssn(key: str, s: Column) -> Column:
 
 def phone(key: str, s: Column) -> Column:
     """Other digits after the country code; none for too few or too many of them."""
-    code = F.regexp_extract(s, r"^\+\d{1,3}(?=\D)", 0)
+    code = F.regexp_extract(s, COUNTRY, 0)
     rest = F.substr(s, F.length(code) + 1)
     own = digits_of(rest)
     return F.when(F.length(own).between(7, 14), F.concat(code, bound(rest, lambda r: refilled(r, permuted_digits(key, "phone", digits_of(r))))))
@@ -219,7 +225,28 @@ def date(key: str, s: Column) -> Column:
         new = F.date_add(first, permuted(key, F.lit("date"), F.datediff(day, first), *[F.lit(x).cast("long") for x in DAYS]).cast("int"))
         return F.when(day.isNotNull(), bound(new, lambda d: shown(d, order, sep)))
 
-    return F.when(s.contains("-"), one(("y", "m", "d"), "-")).when(s.contains("/"), one(("m", "d", "y"), "/")).otherwise(one(("d", "m", "y"), "."))
+    def late() -> Column:
+        """Day/month/year with a day over 12: a month since 1900, and one of 19 days; skips days that are none."""
+        p = F.split(s, "/")
+        day = F.try_to_date(F.concat_ws("-", p[2], F.lpad(p[1], 2, "0"), F.lpad(p[0], 2, "0")), "yyyy-MM-dd")
+        number = ((F.year(day) - 1900) * 12 + F.month(day) - 1) * 19 + F.dayofmonth(day) - 13
+
+        def of(v: Column) -> Column:
+            month = F.floor(v / 19).cast("int")
+            return F.date_add(F.add_months(first, month), (v % 19 + 12).cast("int"))
+
+        def exists(v: Column) -> Column:
+            return F.dayofmonth(of(v)) == v % 19 + 13
+
+        def again(v: Column) -> Column:
+            return permuted(key, F.lit("late"), v, F.lit(2400).cast("long"), F.lit(19).cast("long"))
+
+        # 3 of 100 numbers are no days; 40 steps miss one day in 10 ** 60.
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(40)), again(number.cast("long")), lambda v, _: F.when(exists(v), v).otherwise(again(v)))
+        return F.when(day.isNotNull() & (F.dayofmonth(day) > 12), bound(new, lambda v: shown(of(v), ("d", "m", "y"), "/")))
+
+    slashed = F.coalesce(one(("m", "d", "y"), "/"), late())
+    return F.when(s.contains("-"), one(("y", "m", "d"), "-")).when(s.contains("/"), slashed).otherwise(one(("d", "m", "y"), "."))
 
 
 def mail(key: str, s: Column) -> Column:
@@ -262,13 +289,13 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", kinds: tuple
     no shuffle; texts without a digit and an at sign are not searched.  Columns
     named ``n_<kind>`` are replaced.
     """
-    text = F.col(f"`{text_col}`").cast("string")
-    names = {"_made", text_col, *(f"n_{k}" for k in kinds)}
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    made = docs.select(*rest, text.alias(text_col), F.when(text.rlike("[@0-9]"), replaced(key, text, kinds)).alias("_made"))
+    text = col(text_col).cast("string")
+    counts = [f"n_{k}" for k in kinds]
+    (made,) = fresh([*docs.columns, *counts], "made")
+    names = [c for c in docs.columns if c not in counts]
+    rows = docs.select(*[text.alias(c) if c == text_col else col(c) for c in names], F.when(text.rlike("[@0-9]"), replaced(key, text, kinds)).alias(made))
 
     def count(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter(F.col("_made.kinds"), lambda x: x == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
+        return F.coalesce(F.size(F.filter(col(made)["kinds"], lambda x: x == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in kinds]
-    return made.select(*rest, F.coalesce(F.col("_made.text"), F.col(f"`{text_col}`")).alias(text_col), *counts)
+    return rows.select(*[F.coalesce(col(made)["text"], col(c)).alias(c) if c == text_col else col(c) for c in names], *[count(k) for k in kinds])

@@ -55,3 +55,91 @@ def test_long_numbers_keep_length(spark):
 
 def test_empty_table(spark):
     assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def test_day_before_month_and_phone_linking(spark):
+    texts = ["born 31/12/1980", "31/12/1980", "29/02/2000 30/02/2000 13/13/2000 12/31/1980", "+1 (017) 555-7713 +10175557713 +49 170 5557713", "card 4111 1111 1111 1112"]
+    a, b, c, d, e = (r["text"] for r in run(spark, texts))
+    assert a == "born " + b and re.fullmatch(r"(1[3-9]|2\d|3[01])/\d\d/(19|20)\d\d", b) and b != "31/12/1980"
+    datetime.datetime.strptime(b, "%d/%m/%Y")
+    first, second, third, fourth = c.split(" ")
+    assert first != "29/02/2000" and second == "30/02/2000" and third == "13/13/2000"
+    datetime.datetime.strptime(fourth, "%m/%d/%Y")
+    one = re.match(r"(\+1 \(\d{3}\) \d{3}-\d{4}) (\+1\d{10}) \+49 ", d)
+    assert re.sub(r"[^+\d]", "", one[1]) == one[2] != "+10175557713"
+    assert e == texts[4]
+
+
+def test_late_days_are_one_to_one(spark):
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(1500)]
+    shown = [d.strftime("%d/%m/%Y") for d in days if d.day > 12]
+    got = [r["text"] for r in run(spark, shown)]
+    assert len(set(got)) == len(shown) and not any(x == y for x, y in zip(got, shown, strict=True))
+    assert all(datetime.datetime.strptime(x, "%d/%m/%Y").day > 12 for x in got)
+
+
+def permuted(key, label, x, a, b):
+    """The permutation, with plain numbers and loops."""
+    import hashlib
+
+    def hashed(i, number, modulus):
+        return int(hashlib.sha256(f"{key}|{label}|{i}|{number}".encode()).hexdigest()[:15], 16) % modulus
+
+    def rounds(v, order, sign):
+        l, r = divmod(v, b)
+        for i in order:
+            if i % 2 == 0:
+                l = (l + sign * hashed(i, r, a)) % a
+            else:
+                r = (r + sign * hashed(i, l, b)) % b
+        return l * b + r
+
+    return rounds((rounds(x, range(pii.ROUNDS), 1) + 1) % (a * b), reversed(range(pii.ROUNDS)), -1)
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(3)
+    texts, want = [], []
+    for _ in range(60):
+        parts, new = [], []
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.randrange(4)
+            if kind == 0:
+                day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049))
+                then = datetime.date(1900, 1, 1) + datetime.timedelta(permuted("k", "date", (day - datetime.date(1900, 1, 1)).days, *pii.DAYS))
+                parts.append(day.isoformat())
+                new.append(then.isoformat())
+            elif kind == 1:
+                n = [rng.randrange(256) for _ in range(4)]
+                v = permuted("k", "address", int.from_bytes(bytes(n)), 65536, 65536)
+                parts.append(".".join(map(str, n)))
+                new.append(".".join(map(str, v.to_bytes(4))))
+            elif kind == 2:
+                pay = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+                full = lambda p: p + next(c for c in "0123456789" if luhn(p + c))
+                parts.append(full(pay))
+                new.append(full(f"{permuted('k', 'card|15', int(pay), 10**8, 10**7):015d}"))
+            else:
+                parts.append(w := rng.choice(["word", "1234", "99.9", "é7"]))
+                new.append(w)
+        texts.append(" ; ".join(parts))
+        want.append(" ; ".join(new))
+    assert [r["text"] for r in run(spark, texts)] == want
+
+
+def test_any_names_null_ids_repeats_long_texts(spark):
+    long = "x y 123-45-6789 " * 20_000
+    rows = [(None, "on 2023-02-28", 1, "a"), (None, "on 2023-02-28", 1, "a"), (5, long, 2, "b"), (6, None, 3, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _made int, `made.x` string").withColumn("made", df_lit(7))
+    out = pii.pseudonymize(df, "k")
+    assert out.columns == [*df.columns, *(f"n_{k}" for k in pii.KINDS)]
+    got = out.orderBy("_made").collect()
+    assert got[0] == got[1] and got[0]["_made"] == 1 and got[0]["made"] == 7 and got[0]["text"] != "on 2023-02-28"
+    assert got[2]["n_ssn"] == 20_000 and len(got[2]["text"]) == len(long) and "123-45-6789" not in got[2]["text"]
+    assert got[3]["text"] is None and got[3]["n_ssn"] == 0
+
+
+def df_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
