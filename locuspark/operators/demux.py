@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.functions import sequence as S
+from locuspark.sources import fastq
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,8 @@ class Demux:
     even_barcodes: bool = False
     internal_sites: tuple[str, ...] = ()
     adapters: tuple[str, ...] = ()
+    #: For reverse mates: the adapters that go with the barcode of the forward mate.
+    barcode_adapters: tuple[tuple[str, tuple[str, ...]], ...] = ()
     adapter_rate: float = 0.1
     adapter_overhang: int = 0
     least_insert: int = 1
@@ -53,8 +56,12 @@ def _state(seq: Column, qual: Column, good: Column, dest: Column, ana: Column, o
     return F.struct(seq.alias("seq"), qual.alias("qual"), good.cast("int").alias("good"), dest.alias("dest"), ana.alias("ana"), override.alias("override"), done.alias("done"))
 
 
-def tree(reads: DataFrame, s: Demux, seq: str = "seq", qual: str = "qual") -> DataFrame:
-    """``reads`` with ``_t``: struct of the result of the decision tree."""
+def tree(reads: DataFrame, s: Demux, seq: str = "seq", qual: str = "qual", barcode: Column | None = None) -> DataFrame:
+    """``reads`` with ``_t``: struct of the result of the decision tree.
+
+    ``barcode`` is that of the mate, for adapters by barcode; without a known
+    one there is nothing to look for.
+    """
     sites, no = list(s.sites), F.lit("")
     q, u = F.col(seq), F.col(qual)
     if s.trunc_first > 0:
@@ -105,8 +112,12 @@ def tree(reads: DataFrame, s: Demux, seq: str = "seq", qual: str = "qual") -> Da
         cut = S.site_length(q, sites)
         return F.when(cut.isNotNull(), now(seq=F.substr(q, cut + 1), qual=F.substr(u, cut + 1), **extra)).otherwise(fail)
 
-    if s.adapters:
-        df = df.withColumn("_a", F.when(~F.col("_t.done"), S.find_adapter(q, list(s.adapters), s.adapter_rate)))
+    if s.adapters or (s.barcode_adapters and barcode is not None):
+        if s.adapters:
+            start = S.find_adapter(q, list(s.adapters), s.adapter_rate)
+        else:
+            start = F.coalesce(*[F.when(barcode == b, S.find_adapter(q, list(a), s.adapter_rate)) for b, a in s.barcode_adapters], F.lit(-1))
+        df = df.withColumn("_a", F.when(~F.col("_t.done"), start))
         label = F.concat(ana, F.lit("_ad"))
         if s.crop_adapter:
             insert = F.col("_a") + s.adapter_overhang - length
@@ -164,7 +175,7 @@ def pair_table(f: dict[str, Column], r: dict[str, Column], double: bool, mark: b
 def paired(pairs: DataFrame, forward: Demux, reverse: Demux) -> DataFrame:
     """Pairs (f_seq, f_qual, r_seq, r_qual) with new mates, destinations and labels."""
     t = tree(pairs, forward, "f_seq", "f_qual").withColumnRenamed("_t", "_f")
-    t = tree(t, reverse, "r_seq", "r_qual").withColumnRenamed("_t", "_v")
+    t = tree(t, reverse, "r_seq", "r_qual", F.col("_f.dest")).withColumnRenamed("_t", "_v")
     f, r = ({c: F.col(f"{x}.{c}") for c in RESULT} for x in ("_f", "_v"))
     t = t.withColumn("_p", pair_table(f, r, forward.double_adapter, forward.mark_adapter))
     f_seq, r_seq = F.when(F.col("_p.copy") == "f", S.revcomp(r["seq"])).otherwise(f["seq"]), F.when(F.col("_p.copy") == "r", S.revcomp(f["seq"])).otherwise(r["seq"])
@@ -186,6 +197,22 @@ def paired(pairs: DataFrame, forward: Demux, reverse: Demux) -> DataFrame:
     return t.drop("_plain")
 
 
+def write_fastq(result: DataFrame, path: str, compress: bool = False, header: str = "header", failed: bool = False) -> None:
+    """Reads of ``single`` as FASTQ files in a folder ``dest=...`` each; those without destination only if asked for.
+
+    ``result`` is best a written table: the filter on the destination would
+    otherwise work out the chain of repairs once more for every column.
+    """
+    fastq.write(result if failed else result.filter("dest != 'NN'"), path, ["dest"], compress, header)
+
+
+def write_fastq_pairs(result: DataFrame, path: str, compress: bool = False, f_header: str = "f_header", r_header: str = "r_header") -> None:
+    """Pairs of ``paired`` as FASTQ files, forward and reverse mates in folders of their own."""
+    for side, header in (("f", f_header), ("r", r_header)):
+        mates = result.filter(F.col(f"{side}_dest") != "NN").withColumn("dest", F.col(f"{side}_dest"))
+        fastq.write(mates, f"{path}/{side}", ["dest"], compress, header, f"{side}_seq", f"{side}_qual")
+
+
 def report(result: DataFrame) -> DataFrame:
     """(dest, ana, n)."""
     return result.groupBy("dest", "ana").agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuspark.functions import sequence as S
+from locuspark.plans.ordering import running_sum
 
 MISSING = "-999"
 
@@ -115,10 +116,10 @@ def phase_swaps(seed: int) -> Column:
 def locus_offsets(lengths: DataFrame) -> DataFrame:
     """(poploc, start, end), 1-based, of each locus in the concatenated alignment.
 
-    ``lengths`` (poploc, len) has one row a locus; the running sum is over loci.
+    ``lengths`` (poploc, len) has one row a locus.
     """
-    end = F.sum("len").over(W.orderBy("poploc").rowsBetween(W.unboundedPreceding, 0))
-    return lengths.select("poploc", (end - F.col("len") + 1).alias("start"), end.alias("end"))
+    ends = running_sum(lengths.select("poploc", "len"), [F.col("poploc")], F.col("len"), "end")
+    return ends.select("poploc", (F.col("end") - F.col("len") + 1).alias("start"), "end")
 
 
 def alignment(cells: DataFrame, loci: DataFrame, inds: DataFrame, missing: str = "N") -> DataFrame:

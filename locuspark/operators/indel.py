@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuspark.operators.components import connected_components
+from locuspark.plans.ordering import ranked
 
 K = 10
 IDENTITY = 0.9
@@ -42,5 +43,5 @@ def clusters(reps: DataFrame) -> DataFrame:
 def outputs(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clusters numbered from 1, and loci that are alone in theirs."""
     n = F.count(F.lit(1)).over(W.partitionBy("cluster"))
-    numbered = found.select(F.dense_rank().over(W.orderBy("cluster")).cast("long").alias("cluster_no"), "poploc", n.alias("n_loc"))
+    numbered = ranked(found.withColumn("n_loc", n), ["cluster"], "cluster_no").select("cluster_no", "poploc", "n_loc")
     return numbered, numbered.filter("n_loc = 1").select("poploc")

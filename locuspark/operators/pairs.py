@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuspark.operators.components import connected_components
+from locuspark.plans.ordering import ranked
 
 
 def pair_key(header: str = "read_id") -> Column:
@@ -49,7 +50,7 @@ def poison_groups(groups: DataFrame, selfs: DataFrame) -> tuple[DataFrame, DataF
 def loc_groups(groups: DataFrame) -> DataFrame:
     """(loc_group, n_loc, poploc), groups numbered from 1 by their first locus."""
     n = F.count(F.lit(1)).over(W.partitionBy("first"))
-    return groups.select(F.dense_rank().over(W.orderBy("first")).cast("long").alias("loc_group"), n.alias("n_loc"), "poploc")
+    return ranked(groups.withColumn("n_loc", n), ["first"], "loc_group").select("loc_group", "n_loc", "poploc")
 
 
 def group_size_hist(groups: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuspark.functions import sequence as S
 from locuspark.operators.components import connected_components
 from locuspark.operators.similarity import similar_pairs
+from locuspark.plans.ordering import ranked
 
 
 def pool_alleles(alleles: DataFrame) -> DataFrame:
@@ -20,12 +20,12 @@ def pop_loci(pool: DataFrame, d: Column | int) -> DataFrame:
     """(poploc, popall, seq, sl): components of plain Hamming distance at most d.
 
     Ids are ranks from 1: of (sl, least sequence) for loci, (sl, sequence) for
-    alleles.  The ranks go over the catalogue, which does not grow with reads.
+    alleles.
     """
     pairs = similar_pairs(pool, [], "seq", d, ignore_n=False)
     found = connected_components(pairs.select(F.col("seq1").alias("a"), F.col("seq2").alias("b")))
     named = pool.join(found.withColumnRenamed("node", "seq"), "seq", "left").withColumn("first", F.coalesce("component", "seq"))
-    return named.select(F.dense_rank().over(W.orderBy("sl", "first")).cast("long").alias("poploc"), F.dense_rank().over(W.orderBy("sl", "seq")).cast("long").alias("popall"), "seq", "sl")
+    return ranked(ranked(named, ["sl", "first"], "poploc"), ["sl", "seq"], "popall").select("poploc", "popall", "seq", "sl")
 
 
 def catalogue(popall: DataFrame) -> DataFrame:

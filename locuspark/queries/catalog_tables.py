@@ -77,8 +77,8 @@ def _q(run):
 
 def _pair_reads(db: Db) -> DataFrame:
     """The two mates of each key, as (ind, loc1, loc2)."""
-    both = db.f.mate_reads.groupBy("ind", "pair_key").agg(F.min("loc").alias("loc1"), F.max("loc").alias("loc2"), F.count(F.lit(1)).alias("n"))
-    return both.filter("n >= 2").select("ind", "loc1", "loc2")
+    named = db.f.mate_reads.select("ind", pairs.pair_key("read_key").alias("pair_key"), F.col("loc").alias("poploc"))
+    return db.f.stage("pair_reads", lambda: pairs.read_pair_join(named))
 
 
 def _groups(db: Db) -> DataFrame:
@@ -114,7 +114,7 @@ _VAR = f"{_CAT}, pv AS (SELECT pa.poploc, popall, any_value(seq) AS seq, any_val
 _LINK = f"{_VAR}, lk AS (SELECT ind, loc, all_id, poploc, popall, popallvar, depth, pv.seq FROM v_alleles a JOIN pv ON a.seq = pv.seq), ll AS (SELECT DISTINCT ind, loc, poploc FROM lk), il AS (SELECT DISTINCT ind, loc, loc_dep FROM v_alleles), gt AS (SELECT DISTINCT poploc, ind FROM lk)"
 _FACT = f"{_LINK}, fa AS (SELECT poploc, ind, sum(depth)::DOUBLE AS all_dep, count(DISTINCT (loc, all_id)) AS n_all, min(depth)::DOUBLE AS least_dep, count(DISTINCT loc) AS n_indloc FROM lk GROUP BY ALL), td AS (SELECT poploc, ll.ind, sum(loc_dep)::DOUBLE AS tot_dep FROM ll JOIN il ON ll.ind = il.ind AND ll.loc = il.loc GROUP BY ALL), fx AS (SELECT fa.*, tot_dep, CASE WHEN n_all = 1 THEN all_dep / 2 ELSE least_dep END AS minor_dep, all_dep / tot_dep AS frac_used FROM fa JOIN td ON fa.poploc = td.poploc AND fa.ind = td.ind)"
 _LF = f"{_FACT}, lf AS (SELECT poploc, count(*) AS n_ind, max(n_all) AS n_all_ind, sum(n_indloc)::BIGINT AS n_indloc, min(frac_used) AS least_frac, (sum(n_indloc) > count(*))::BIGINT AS ties FROM fx GROUP BY poploc), nl AS (SELECT poploc, any_value(sl) AS sl, count(*) AS n_all FROM pv GROUP BY poploc)"
-_MR = "mr AS (SELECT ind, pair_key, min(loc) AS loc1, max(loc) AS loc2, count(*) AS n FROM v_mate_reads GROUP BY ALL HAVING count(*) >= 2), pcn AS (SELECT loc1, loc2, count(*) AS n_seqpairs, count(DISTINCT ind) AS n_ind FROM mr WHERE loc1 != loc2 GROUP BY ALL), sm AS (SELECT loc1 AS poploc, count(*) AS n_seqpairs, count(DISTINCT ind) AS n_ind FROM mr WHERE loc1 = loc2 GROUP BY ALL)"
+_MR = "mr AS (SELECT ind, pair_key, min(loc) AS loc1, max(loc) AS loc2, count(*) AS n FROM (SELECT ind, array_to_string(list_concat(string_split(read_key, '_')[1:4], string_split(read_key, '_')[6:]), '_') AS pair_key, loc FROM v_mate_reads) k GROUP BY ALL HAVING count(*) >= 2), pcn AS (SELECT loc1, loc2, count(*) AS n_seqpairs, count(DISTINCT ind) AS n_ind FROM mr WHERE loc1 != loc2 GROUP BY ALL), sm AS (SELECT loc1 AS poploc, count(*) AS n_seqpairs, count(DISTINCT ind) AS n_ind FROM mr WHERE loc1 = loc2 GROUP BY ALL)"
 _PG = f"{_MR}, ge AS (SELECT loc1 AS x, loc2 AS y FROM pcn UNION ALL SELECT loc2, loc1 FROM pcn), gw AS (SELECT DISTINCT loc AS poploc, loc AS r FROM v_mate_reads UNION SELECT w.poploc, e.y FROM gw w JOIN ge e ON w.r = e.x), pg AS (SELECT poploc, min(r) AS first FROM gw GROUP BY poploc), bad AS (SELECT DISTINCT first FROM pg JOIN sm ON pg.poploc = sm.poploc)"
 _UD = f"{_LINK}, ud AS (SELECT poploc AS unit, ll.ind, sum(loc_dep)::BIGINT AS dep FROM ll JOIN il ON ll.ind = il.ind AND ll.loc = il.loc GROUP BY ALL)"
 _SC = f"{_UD}, sc AS (SELECT 1::BIGINT AS range_no, unit, ind, dep, (dep - min(dep) OVER w)::DOUBLE / nullif(max(dep) OVER w - min(dep) OVER w, 0) AS scaldep, 100 * (1 - cume_dist() OVER (PARTITION BY ind ORDER BY dep)) AS dep_perc FROM ud WINDOW w AS (PARTITION BY ind))"
@@ -149,6 +149,12 @@ def _locus(column: str, least: float, most: float):
     return _q(lambda db: selection.loc_between(db.locus_facts, column, least, most))
 
 
+def _deep_in_many(db: Db) -> DataFrame:
+    """Loci with genotypes of a depth of 30 or more in 45 to 1000 individuals."""
+    deep = db.facts.filter("tot_dep >= 30").select("poploc", "ind")
+    return selection.loc_between(selection.locus_facts(deep, db.links, db.facts, db.popall), "n_ind", 45, 1000)
+
+
 def _even(column: str) -> Column:
     return F.col(column) % 2 == 0
 
@@ -188,10 +194,10 @@ QUERIES = {
     "drop_empty_loci": (_q(lambda db: db.sel.restrict(gt=db.sel.gt.filter((F.col("ind") == 1) & _even("poploc"))).loc), f"{_LINK} SELECT DISTINCT poploc FROM gt WHERE ind = 1 AND poploc % 2 = 0"),
     "genotype_facts": (_q(lambda db: db.facts), f"{_FACT} SELECT poploc, ind, all_dep, n_all, least_dep, n_indloc, tot_dep, minor_dep, round(frac_used, 6) AS frac_used FROM fx"),
     "loc_sl": (_locus("sl", 32, 40), f"{_LF} SELECT poploc FROM nl WHERE sl BETWEEN 32 AND 40"),
-    "loc_nind": (_locus("n_ind", 6, 60), f"{_LF} SELECT poploc FROM lf WHERE n_ind BETWEEN 6 AND 60"),
+    "loc_nind": (_q(_deep_in_many), f"{_FACT} SELECT poploc FROM fx WHERE tot_dep >= 30 GROUP BY poploc HAVING count(*) BETWEEN 45 AND 1000"),
     "loc_nall": (_locus("n_all", 2, 2), f"{_LF} SELECT poploc FROM nl WHERE n_all = 2"),
     "loc_nsnp": (_locus("n_snp", 1, 2), f"{_LF} SELECT poploc FROM ca WHERE n_snp BETWEEN 1 AND 2"),
-    "loc_nall_ind": (_locus("n_all_ind", 1, 2), f"{_LF} SELECT poploc FROM lf WHERE n_all_ind BETWEEN 1 AND 2"),
+    "loc_nall_ind": (_locus("n_all_ind", 2, 2), f"{_LF} SELECT poploc FROM lf WHERE n_all_ind = 2"),
     "loc_ties": (_locus("ties", 0, 0), f"{_LF} SELECT poploc FROM lf WHERE ties = 0"),
     "loc_fracud": (_locus("least_frac", 0.85, 1.0), f"{_LF} SELECT poploc FROM lf WHERE least_frac BETWEEN 0.85::DOUBLE AND 1.0"),
     "loc_split": (_q(lambda db: db.sel.loc.join(population.split_loci(db.loci_links).select("poploc").distinct(), "poploc", "left_anti")), f"{_LINK} SELECT DISTINCT poploc FROM gt WHERE poploc NOT IN (SELECT poploc FROM ll WHERE (ind, loc) IN (SELECT (ind, loc) FROM ll GROUP BY ind, loc HAVING count(*) > 1))"),

@@ -27,7 +27,8 @@ def _written(f: Fixture, lines: DataFrame) -> str:
 def scan_fastq(f: Fixture) -> DataFrame:
     """Reads written as four lines each and scanned again."""
     record = F.concat_ws("\n", F.concat(F.lit("@r_"), "o", F.lit("_"), "i", F.lit("_"), "tl"), "seq", F.lit("+"), "qual")
-    back = fastq.read_plain(f.spark, _written(f, f.reads_q.select(record.alias("line"))))
+    path = _written(f, f.reads_q.select(record.alias("line")))
+    back = fastq.read(f.spark, path)
     return back.groupBy("header", "seq", "qual").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -54,7 +55,8 @@ def scan_selection(f: Fixture) -> DataFrame:
 
 def phred_histogram_wide(f: Fixture) -> DataFrame:
     hist = reads_qc.phred_histogram(f.reads_q.withColumn("file", F.lit("all")), ["file"])
-    return reads_qc.phred_histogram_wide(hist, ["file"], list(range(12, 41)))
+    wide = reads_qc.phred_histogram_wide(hist, ["file"], list(range(12, 41)))
+    return wide.select("file", F.col("pos").cast("long").alias("pos"), *[F.round(F.col(str(k)), 6).alias(str(k)) for k in range(12, 41)])
 
 
 def _diploid(db: Db) -> DataFrame:
@@ -97,8 +99,8 @@ def _frame(f: Fixture, rows: list[tuple], schema: str) -> DataFrame:
 def scan_fastq_pair(f: Fixture) -> DataFrame:
     """Mates written to two sets of records and matched by their place."""
     rows = f.mates.withColumn("name", F.concat_ws("_", F.lit("@p"), "o", "i", "tl")).coalesce(1)
-    sides = [fastq.read_plain(f.spark, _written(f, rows.select(F.concat_ws("\n", "name", f"{s}_seq", F.lit("+"), f"{s}_qual").alias("line")))).select("record_no", *[F.col(c).alias(f"{s}_{c}") for c in ("header", "seq")]) for s in ("f", "r")]
-    return sides[0].join(sides[1], "record_no").groupBy("f_header", "r_header", "f_seq", "r_seq").agg(F.count(F.lit(1)).alias("n"))
+    paths = tuple(_written(f, rows.select(F.concat_ws("\n", "name", f"{s}_seq", F.lit("+"), f"{s}_qual").alias("line"))) for s in ("f", "r"))
+    return fastq.read_pairs(f.spark, [paths]).groupBy("f_header", "r_header", "f_seq", "r_seq").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scan_settings_kv(f: Fixture) -> DataFrame:
@@ -139,6 +141,13 @@ _REP = f"{_POP}, rp AS (SELECT poploc, seq FROM (SELECT *, row_number() OVER (PA
 _IND = f"{_REP}, km AS (SELECT DISTINCT poploc, substr(seq, i::INT, 10) AS mer FROM rp, range(1, 24) t(i)), ip AS (SELECT DISTINCT a.poploc AS x, b.poploc AS y FROM km a JOIN km b ON a.mer = b.mer AND a.poploc != b.poploc JOIN rp ra ON ra.poploc = a.poploc JOIN rp rb ON rb.poploc = b.poploc WHERE levenshtein(ra.seq, rb.seq) <= 3), iw AS (SELECT poploc, poploc AS r FROM rp UNION SELECT w.poploc, e.y FROM iw w JOIN ip e ON w.r = e.x), ic AS (SELECT poploc, min(r) AS cluster FROM iw GROUP BY poploc)"
 _GRID = f"{_DIP}, ok2 AS (SELECT * FROM di WHERE k <= 2), gd AS (SELECT l.poploc, i.ind, a1, a2 FROM (SELECT DISTINCT poploc FROM ok2) l CROSS JOIN (SELECT DISTINCT ind FROM ok2) i LEFT JOIN ok2 ON ok2.poploc = l.poploc AND ok2.ind = i.ind)"
 
+_ARLEQUIN = """SELECT unnest(['[Profile]', 'Title="Title"', 'NbSamples=' || (SELECT count(*) FROM pops), 'DataType=STANDARD', 'GenotypicData=1', 'GameticPhase=0', 'LocusSeparator=WHITESPACE', 'MissingData="?"', '[Data]', '[[Samples]]', '[[Structure]]', 'StructureName="one group"', 'NbGroups=1', 'Group={', '}']) AS line
+UNION ALL SELECT '"' || pop || '"' FROM pops
+UNION ALL SELECT 'SampleName="' || ind % 3 || '"' || chr(10) || 'SampleSize=' || count(DISTINCT ind) || chr(10) || 'SampleData={' FROM gd GROUP BY ind % 3
+UNION ALL SELECT '}' FROM pops
+UNION ALL SELECT ind || ' 1 ' || string_agg(coalesce(a1::VARCHAR, '?'), ' ' ORDER BY poploc) FROM gd GROUP BY ind
+UNION ALL SELECT '    ' || string_agg(coalesce(a2::VARCHAR, '?'), ' ' ORDER BY poploc) FROM gd GROUP BY ind"""
+
 QUERIES = {
     "scan_fastq": (scan_fastq, "SELECT concat('@r_', o, '_', i, '_', tl) AS header, seq, qual, count(*) AS n FROM v_reads GROUP BY ALL"),
     "scan_dist_table_ind": (scan_dist_table_ind, "SELECT * FROM (VALUES (32::BIGINT, 3::BIGINT, 4::BIGINT), (140::BIGINT, 12::BIGINT, 15::BIGINT)) t(sl, hapdist, rarehapdist)"),
@@ -163,13 +172,13 @@ QUERIES = {
     "sim_indels": (_simulated("indels"), None),
     "scan_ind_infiles": (scan_ind_infiles, "SELECT DISTINCT ind::VARCHAR AS ind, concat('reads_', ind, '.fq') AS file FROM v_reads"),
     "scan_selection": (scan_selection, f"{_LINK} SELECT poploc, ind FROM gt WHERE poploc % 3 = 0"),
-    "phred_histogram_wide": (phred_histogram_wide, None),
+    "phred_histogram_wide": (phred_histogram_wide, "SELECT 'all' AS file, p::BIGINT AS pos, " + ", ".join(f"round(100.0::DOUBLE * (count(*) FILTER (WHERE ascii(substr(qual, p::INT, 1)) = {k + 33})) / count(*), 6) AS \"{k}\"" for k in range(12, 41)) + " FROM v_reads, range(1, 33) t(p) GROUP BY p"),
     "indel_representatives": (_q(lambda db: indel.representatives(db.popall, db.sel.loc)), f"{_REP} SELECT poploc, seq FROM rp"),
     "indel_cluster": (_q(lambda db: indel.clusters(indel.representatives(db.popall, db.sel.loc))), f"{_IND} SELECT poploc, cluster FROM ic"),
     "indel_outputs": (_q(lambda db: indel.outputs(indel.clusters(indel.representatives(db.popall, db.sel.loc)))[0]), f"{_IND} SELECT dense_rank() OVER (ORDER BY cluster)::BIGINT AS cluster_no, poploc, count(*) OVER (PARTITION BY cluster) AS n_loc FROM ic"),
     "sink_structure": (_q(lambda db: _only(text_sinks.structure(_diploid(db)))), f"{_GRID} SELECT ind::VARCHAR || chr(9) || string_agg(coalesce(a1::VARCHAR, '-9'), chr(9) ORDER BY poploc) AS line FROM gd GROUP BY ind UNION ALL SELECT ind::VARCHAR || chr(9) || string_agg(coalesce(a2::VARCHAR, '-9'), chr(9) ORDER BY poploc) FROM gd GROUP BY ind"),
     "sink_genepop": (_q(lambda db: _only(text_sinks.genepop(_diploid(db), _pops(db)))), f"{_GRID} SELECT 'Title' AS line UNION ALL SELECT DISTINCT poploc::VARCHAR FROM gd UNION ALL SELECT 'Pop' FROM (SELECT DISTINCT ind % 3 FROM gd) x UNION ALL SELECT ind::VARCHAR || ' , ' || string_agg(coalesce(lpad(a1::VARCHAR, 2, '0') || lpad(a2::VARCHAR, 2, '0'), '0000'), ' ' ORDER BY poploc) FROM gd GROUP BY ind"),
-    "sink_arlequin": (_q(lambda db: _only(text_sinks.arlequin(_diploid(db), _pops(db)))), None),
+    "sink_arlequin": (_q(lambda db: _only(text_sinks.arlequin(_diploid(db), _pops(db)))), f"{_GRID}, pops AS (SELECT DISTINCT ind % 3 AS pop FROM gt) {_ARLEQUIN}"),
     "sink_fasta": (_q(lambda db: _only(text_sinks.fasta(_labelled(db), _name()))), f"{_LINK} SELECT DISTINCT '>' || poploc || '_' || popall || chr(10) || seq AS line FROM lk"),
     "sink_nexus": (_q(lambda db: _only(text_sinks.nexus(_labelled(db), _name()))), f"{_LINK}, u AS (SELECT DISTINCT poploc || '_' || popall AS name, seq FROM lk) SELECT name || ' ' || seq AS line FROM u UNION ALL SELECT unnest(['#NEXUS', 'BEGIN DATA;', 'DIMENSIONS NTAX=' || (SELECT count(*) FROM u) || ' NCHAR=32;', 'FORMAT DATATYPE=DNA MISSING=- GAP=N;', 'MATRIX', ';', 'END;'])"),
     "sink_phylip": (_q(lambda db: _only(text_sinks.phylip(_labelled(db), _name()))), f"{_LINK}, u AS (SELECT DISTINCT poploc || '_' || popall AS name, seq FROM lk) SELECT rpad(name, 13, ' ') || seq AS line FROM u UNION ALL SELECT (SELECT count(*) FROM u) || ' 32'"),

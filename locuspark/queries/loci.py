@@ -14,7 +14,7 @@ GOOD, HAP, RARE = 4, 4, 6
 
 
 def _svars(f: Fixture) -> DataFrame:
-    return I.svar_count(f.reads)
+    return f.stage("svars", lambda: I.svar_count(f.reads))
 
 
 def _long(df: DataFrame, *columns: str) -> DataFrame:
@@ -115,8 +115,10 @@ def svar_groups(binom: bool):
 
 
 def locus_min_depth(f: Fixture) -> DataFrame:
-    loci = I.alleles(I.groups_of(I.snp_call_freq(used(f))), min_depth=30)[0]
-    return loci.groupBy("cat").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("loc_dep") < 30).alias("n_shallow"))
+    """Loci by whether they reach the least depth, and those lost for it, which count one lost allele each."""
+    loci = I.alleles(I.groups_of(I.snp_call_freq(used(f))), min_depth=30)[0].withColumn("shallow", F.col("loc_dep") < 30)
+    lost = F.when(F.col("shallow") & (F.col("cat") == "lost") & (F.col("n_alleles") == 0), F.col("lost_alleles") * F.col("potlostmore")).otherwise(0)
+    return loci.groupBy("shallow").agg(F.count(F.lit(1)).alias("n"), F.sum("loc_dep").cast("long").alias("depth"), F.sum(lost).cast("long").alias("n_lost"))
 
 
 def single_svar_locus(f: Fixture) -> DataFrame:
@@ -177,7 +179,7 @@ QUERIES = {
     "locus_components": (locus_components, f"{_CC} SELECT ind, seq, depth, first FROM loci"),
     "rare_assign": (rare_assign, f"{_USED} SELECT ind, loc, seq, depth FROM used WHERE NOT good"),
     "locus_depth": (locus_depth, f"{_COL} SELECT ind, loc, loc_dep FROM dep"),
-    "locus_min_depth": (locus_min_depth, None),
+    "locus_min_depth": (locus_min_depth, f"{_COL} SELECT loc_dep < 30 AS shallow, count(*) AS n, sum(loc_dep)::BIGINT AS depth, (count(*) FILTER (WHERE loc_dep < 30))::BIGINT AS n_lost FROM dep GROUP BY loc_dep < 30"),
     "single_svar_locus": (single_svar_locus, f"{_USED} SELECT ind, loc, CASE WHEN contains(min(seq), 'N') THEN 0 ELSE 1 END::INT AS n_alleles, sum(depth)::BIGINT AS depth FROM used GROUP BY ind, loc HAVING count(*) = 1"),
     "snp_call_freq": (snp_call_freq, f"{_FREQ} SELECT ind, loc, seq, corrected FROM cor"),
     "snp_call_binom": (snp_call_binom, f"{_BINOM} SELECT ind, loc, seq, corrected FROM cor"),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.functions import sequence as S
 from locuspark.operators import demux, reads_qc
+from locuspark.plans.scratch import scratch_dir
 from locuspark.queries.fixtures import BARCODES, SITE, Fixture
+from locuspark.sources import fastq
 
 LIMITS = [(1, 20), (5, 15), (32, 14)]
 ADAPTER = "ACGTTGCA"
@@ -158,7 +162,11 @@ def fdm_report(f: Fixture) -> DataFrame:
 
 
 def fdm_demux(f: Fixture) -> DataFrame:
-    return _count(f.stage("demuxed", lambda: demux.single(f.raw, DEMUX)).filter("dest != 'NN'"), "dest", "ind")
+    """Reads written as gzip FASTQ files by destination, and read again."""
+    path = f"{scratch_dir(f.spark)}/{uuid.uuid4().hex}"
+    named = f.stage("demuxed", lambda: demux.single(f.raw, DEMUX)).withColumn("header", F.concat(F.lit("@r_"), "ind", F.lit("_"), "o", F.lit("_"), "i", F.lit("_"), "tl"))
+    demux.write_fastq(named, path, compress=True)
+    return _count(fastq.read(f.spark, path, ["dest"]), "dest", "header", "seq")
 
 
 def fdm_pair(f: Fixture) -> DataFrame:
@@ -187,6 +195,14 @@ t2 AS (SELECT *, coalesce(exact, s_fix, b_fix) AS bar, CASE WHEN exact IS NOT NU
 t3 AS (SELECT *, concat('{SITE}', substr(seq, length(bar) + 6)) AS cut FROM t2),
 t4 AS (SELECT ind, o, i, tl, CASE WHEN bar IS NULL THEN 'NN' WHEN contains(cut, 'TTAAC') THEN 'NN' ELSE bar END AS dest, CASE WHEN bar IS NOT NULL AND contains(cut, 'TTAAC') THEN ana0 || '_rint' ELSE ana0 END AS ana, CASE WHEN bar IS NULL OR contains(cut, 'TTAAC') THEN 0 ELSE 1 END AS good, CASE WHEN bar IS NOT NULL AND contains(cut, 'TTAAC') THEN 'rint' ELSE '' END AS override, CASE WHEN bar IS NULL THEN seq WHEN contains(cut, 'TTAAC') THEN cut ELSE substr(substr(cut, 6), 1, 28) END AS seq FROM t3)"""
 
+#: The tree of ``fdm_pair`` for one mate, and the table of pairs.
+_MATE = "CASE WHEN NOT regexp_matches({s}, '^[ACGT][ACGT]') THEN 'r1_c_fail' WHEN contains({s}, 'GGCC') THEN 'clean_rint' WHEN {a} < 5 THEN 'clean_ads' WHEN {a} IS NOT NULL THEN 'clean_ad' ELSE 'clean' END"
+_START = "list_min(list_filter(range(0, 12), lambda p: starts_with('ACGTTG', substr({s}, p + 1, 6))))"
+_PAIR = f"""m AS (SELECT {_MATE.format(s="f_seq", a=_START.format(s="f_seq"))} AS f, {_MATE.format(s="r_seq", a=_START.format(s="r_seq"))} AS r FROM v_mates),
+g AS (SELECT *, f IN ('clean', 'clean_ad') AS fg, r IN ('clean', 'clean_ad') AS rg, f IN ('clean_rint', 'clean_ads') AS fx, r IN ('clean_rint', 'clean_ads') AS rx FROM m)
+SELECT CASE WHEN fx OR rx OR NOT fg THEN 'NN' WHEN rg THEN 'SAMP' ELSE 'SAMP_sg' END AS f_dest, CASE WHEN fx OR rx OR NOT rg THEN 'NN' WHEN fg THEN 'SAMP' ELSE 'SAMP_sg' END AS r_dest,
+f AS f_ana, CASE f WHEN 'clean_rint' THEN 'rint_pair' WHEN 'clean_ads' THEN 'ads_pair' ELSE r END AS r_ana, count(*) AS n FROM g GROUP BY ALL"""
+
 _KEYS = "ind, o, i, tl"
 _SITE4 = S.iupac_expand("GRTC")
 
@@ -222,6 +238,6 @@ QUERIES = {
     "fdm_tree": (fdm_tree, f"{_TREE} SELECT {_KEYS}, dest, ana, good, override FROM t4"),
     "fdm_single": (fdm_single, f"{_TREE} SELECT {_KEYS}, dest, ana, seq FROM t4"),
     "fdm_report": (fdm_report, f"{_TREE} SELECT dest, ana, count(*) AS n FROM t4 GROUP BY ALL"),
-    "fdm_demux": (fdm_demux, f"{_TREE} SELECT dest, ind, count(*) AS n FROM t4 WHERE dest != 'NN' GROUP BY ALL"),
-    "fdm_pair": (fdm_pair, None),
+    "fdm_demux": (fdm_demux, f"{_TREE} SELECT dest, concat('@r_', ind, '_', o, '_', i, '_', tl) AS header, seq, count(*) AS n FROM t4 WHERE dest != 'NN' GROUP BY ALL"),
+    "fdm_pair": (fdm_pair, _PAIR),
 }

@@ -1,22 +1,31 @@
-"""FASTQ files as a Spark data source, plain or gzip, single or in pairs.
+"""FASTQ files, plain or gzip, single or in pairs, read and written by Spark's text source.
 
-``spark.read.format("fastq").option("path", "a.fq,b.fq.gz").load()`` gives
-(file_no, record_no, header, seq, plus, qual), one partition a file, as gzip
-cannot be split.  Splittable, plain files can also be read by
-``read_plain``, which numbers lines within Spark.
+Files may lie in any store that Spark reads.  Plain files are split among
+tasks, gzip files are one split each.  Reading numbers the lines of each file
+from the splits they come from and groups them by four; writing is one text row
+a record, so it needs no shuffle, and records can be parted into folders by any
+columns.
+
+``spark.read.format("fastq")`` is the same for files that the executors see by
+local paths, one partition a file and without a shuffle.
 """
 
 from __future__ import annotations
 
 import gzip
+import itertools
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+PARTS = ("header", "seq", "plus", "qual")
 SCHEMA = "file_no int, record_no long, header string, seq string, plus string, qual string"
+#: Records that the data source hands on together.
+BATCH = 10_000
 
 
 class _File(InputPartition):
@@ -31,14 +40,19 @@ class FastqReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_File(i, p) for i, p in enumerate(self.paths)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         open_ = gzip.open if partition.path.endswith(".gz") else open
-        with open_(partition.path, "rt", encoding="utf-8") as f:
-            for record, header in enumerate(f):
-                rest = [f.readline().rstrip("\r\n") for _ in range(3)]
-                if not rest[2] and len(rest[0]):
-                    raise ValueError(f"{partition.path}: record {record} is not complete")
-                yield (partition.number, record, header.rstrip("\r\n"), *rest)
+        schema = pa.schema([("file_no", pa.int32()), ("record_no", pa.int64()), *((c, pa.string()) for c in PARTS)])
+        with open_(partition.path, "rt", encoding="utf-8", newline="\n") as f:
+            done = 0
+            while lines := [s.rstrip("\r\n") for s in itertools.islice(f, 4 * BATCH)]:
+                while lines and not lines[-1] and len(lines) % 4:
+                    lines.pop()  # blank lines at the end of the file
+                n = len(lines) // 4
+                if len(lines) % 4 or any(not h.startswith("@") for h in lines[::4]):
+                    raise ValueError(f"{partition.path}: a record after number {done} is not complete")
+                yield pa.RecordBatch.from_arrays([pa.array([partition.number] * n, pa.int32()), pa.array(range(done, done + n), pa.int64()), *(pa.array(lines[k::4], pa.string()) for k in range(4))], schema=schema)
+                done += n
 
 
 class FastqSource(DataSource):
@@ -55,33 +69,62 @@ class FastqSource(DataSource):
         return FastqReader([p.strip() for p in self.options["path"].split(",") if p.strip()])
 
 
-def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of the files, numbered within each."""
+def register(spark: SparkSession) -> None:
+    """Let ``spark.read.format("fastq")`` be known."""
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("path", ",".join(paths)).load()
+
+
+def read(spark: SparkSession, paths: str | list[str], keys: list[str] | None = None) -> DataFrame:
+    """(path, record_no, header, seq, plus, qual) of files or folders of files, numbered from 0 within each.
+
+    ``keys`` are columns that folder names hold, as ``write`` makes them.
+    Blank lines at the end of a file are of no account; a file of another number
+    of lines than a multiple of four, or a record without ``@``, is an error.
+    """
+    keys = keys or []
+    lines = spark.read.text(paths).select("value", *keys, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    within = W.partitionBy("path", "start").orderBy("at")
+    lines = lines.withColumn("n", F.row_number().over(within))
+    # One row for each split of a file: the number of lines before it.
+    splits = lines.groupBy("path", "start").agg(F.max("n").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(splits.select("path", "start", before.alias("before")), ["path", "start"]).withColumn("line", F.col("before") + F.col("n") - 1)
+    four = numbered.groupBy("path", *keys, F.floor(F.col("line") / 4).alias("record_no"))
+    rows = four.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("line") % 4 == k, F.rtrim(F.col("value"), F.lit("\r")))).alias(c) for k, c in enumerate(PARTS)])
+    blank = (F.col("n") < 4) & (F.concat_ws("", *PARTS) == "")
+    whole = (F.col("n") == 4) & F.col("header").startswith("@")
+    checked = F.when(whole, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("a record is not complete in "), F.col("path"))).cast("string"))
+    return rows.filter(~blank).select("path", *keys, "record_no", checked.alias("header"), "seq", "plus", "qual")
 
 
 def read_pairs(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
     """Records of pairs of files side by side; mates are matched by their place."""
-    f, r = (read(spark, [p[k] for p in pairs]) for k in (0, 1))
-    keys = ["file_no", "record_no"]
-    sides = [x.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("header", "seq", "plus", "qual")]) for s, x in (("f", f), ("r", r))]
-    return sides[0].join(sides[1], keys)
+    sides = []
+    for k, s in enumerate("fr"):
+        one = [read(spark, p[k]).withColumn("pair_no", F.lit(i)) for i, p in enumerate(pairs)]
+        whole = one[0]
+        for x in one[1:]:
+            whole = whole.unionByName(x)
+        sides.append(whole.select("pair_no", "record_no", *[F.col(c).alias(f"{s}_{c}") for c in PARTS]))
+    return sides[0].join(sides[1], ["pair_no", "record_no"])
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one plain file, split among tasks.
+    """Records of one file or folder, without the paths."""
+    return read(spark, path).drop("path")
+
+
+def record(header: Column, seq: Column, qual: Column) -> Column:
+    """The four lines of a record."""
+    return F.concat_ws("\n", header, seq, F.lit("+"), qual)
+
+
+def write(reads: DataFrame, path: str, keys: list[str] | None = None, compress: bool = False, header: str = "header", seq: str = "seq", qual: str = "qual") -> None:
+    """Records as FASTQ files in a folder, or in a folder for each value of ``keys``.
 
-    Lines get their number from the partition's first line number (one count
-    for each partition goes to the driver) and are grouped by four.
+    No shuffle: every task writes its own files.  ``compress`` makes them gzip.
     """
-    lines = spark.read.text(path).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    counts = sorted(lines.groupBy("part").count().collect())
-    offsets, total = {}, 0
-    for part, n in counts:
-        offsets[part] = total
-        total += n
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("part")) if offsets else F.lit(0)
-    line = base + F.row_number().over(W.partitionBy("part").orderBy("at")) - 1
-    four = lines.select("value", line.alias("line")).groupBy(F.floor(F.col("line") / 4).alias("record_no"))
-    return four.agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("header", "seq", "plus", "qual"))])
+    keys = keys or []
+    rows = reads.select(record(F.col(header), F.col(seq), F.col(qual)).alias("value"), *keys)
+    out = rows.write.mode("overwrite").option("compression", "gzip" if compress else "none")
+    (out.partitionBy(*keys) if keys else out).text(path)
