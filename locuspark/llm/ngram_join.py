@@ -1,6 +1,8 @@
 """Near-duplicate join: Jaccard likeness of word 5-gram sets, 0.8 or more.
 
-1. Equal texts fold into one representative, the one with the least id.
+1. Equal texts fold into one representative, which stands for the one with the
+   least id.  (The sketch of step 2 is made of every row, before the fold, as
+   that spares a shuffle of the texts.)
 2. Each representative gets a signature of ``HASHES`` MinHash values.  Runs of
    ``ROWS`` values form ``BANDS`` band keys; a pair at the threshold shares
    none of them with probability (1 - 0.8**5)**32 = 3e-6.
@@ -29,9 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from locuspark.llm.arrays import U64, blocks, buffers, mix, shingles, words
 from locuspark.operators.components import connected_components
+from locuspark.plans.naming import col, fresh
 from locuspark.plans.scratch import materialize
 
 K = 5
@@ -235,16 +239,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or this text, without the row itself), is_first (whether the row's text is
     the first of its class) and text_md5.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("same"), text.alias("text"))
-    # A text without any id goes by a hash of itself, below all ids.
-    own = F.coalesce(F.col("id"), -F.abs(F.xxhash64("same")))
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    # Texts go by their least id if that is a whole number, else, and without any, by a hash, below all ids.
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    number = F.col("id").cast("long") if whole else F.lit(None).cast("long")
+    rows = docs.select(col(id_col).alias("id"), F.md5(text).alias("same"), text.alias("text"))
+    own = F.coalesce(number, -F.abs(F.xxhash64("same")))
     keys = materialize(rows.select("id", "same"))
-    copies = keys.groupBy("same").agg(F.coalesce(F.min("id"), -F.abs(F.xxhash64("same"))).alias("node"), F.count(F.lit(1)).alias("copies"))
+    copies = keys.groupBy("same").agg(F.coalesce(F.min(number), -F.abs(F.xxhash64("same"))).alias("node"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
     reps = materialize(copies)
     # The sketches: of one row for each text, the first of those with the least id.
-    sketch = rows.select("id", "same", "text").mapInArrow(_sketch, "id long, same string, n_grams long, sig binary").filter("sig is not null")
-    nodes = materialize(sketch.dropDuplicates(["same"]).drop("id").join(reps, "same"))
+    sketch = rows.select(F.lit(0).cast("long").alias("id"), "same", "text").mapInArrow(_sketch, "id long, same string, n_grams long, sig binary").filter("sig is not null")
+    nodes = materialize(sketch.dropDuplicates(["same"]).drop("id").join(reps.drop("first"), "same"))
     bands = nodes.select("node", "sig").mapInArrow(_bands, "node long, band long")
     bands = materialize(bands)
     shared = bands.groupBy("band").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -267,13 +273,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     per_text = reps.join(links, "node", "left").join(classes, "node", "left")
-    per_text = per_text.select("same", F.col("node").alias("copy_id"), F.coalesce("component", "node").alias("class_id"), F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    return keys.join(per_text, "same").select(F.col("id").alias(id_col), "copy_id", "class_id", "n_copies", "n_text_links", "n_links", (own == F.col("class_id")).alias("is_first"), F.col("same").alias("text_md5"))
+    class_node = F.coalesce("component", "node")
+    counts = [F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")]
+    is_first = own == F.col("class_id")
+    if whole:
+        per_text = per_text.select("same", F.col("node").alias("copy_id"), class_node.alias("class_id"), *counts)
+    else:
+        name = F.coalesce(F.col("first").cast("string"), F.concat(F.lit("md5:"), F.col("same")))
+        per_text = per_text.select("same", class_node.alias("class"), name.alias("copy_id"), *counts)
+        per_text = per_text.join(per_text.groupBy("class").agg(F.min("copy_id").alias("class_id")), "class").drop("class")
+        is_first = (F.col("copy_id") == F.col("class_id")) & (F.coalesce(F.col("id").cast("string"), F.concat(F.lit("md5:"), F.col("same"))) == F.col("copy_id"))
+    return keys.join(per_text, "same").select(F.col("id").alias(id_col), "copy_id", "class_id", "n_copies", "n_text_links", "n_links", is_first.alias("is_first"), F.col("same").alias("text_md5"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of each class with the least id, with all columns of ``docs``."""
-    first = near_duplicates(docs, id_col, text_col).filter("is_first").select(F.col(id_col).alias("_id"), F.col("text_md5").alias("_md5"))
-    rows = docs.withColumn("_same", F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    kept = rows.join(first.distinct().hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_md5")), "left_semi")
-    return kept.dropDuplicates([id_col, "_same"]).drop("_same")
+    same, first_id, first_md5 = fresh(docs.columns, "same", "first_id", "first_md5")
+    first = near_duplicates(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "id", "text").filter("is_first").select(F.col("id").alias(first_id), F.col("text_md5").alias(first_md5))
+    rows = docs.withColumn(same, F.md5(F.coalesce(col(text_col).cast("string"), F.lit(""))))
+    kept = rows.join(first.distinct().hint("shuffle_hash"), col(id_col).eqNullSafe(F.col(first_id)) & (F.col(same) == F.col(first_md5)), "left_semi")
+    # Repeated rows of one id and text: one of them.
+    return kept.dropDuplicates([id_col, same]).drop(same)
