@@ -28,7 +28,7 @@ def scan_fastq(f: Fixture) -> DataFrame:
     """Reads written as four lines each and scanned again."""
     record = F.concat_ws("\n", F.concat(F.lit("@r_"), "o", F.lit("_"), "i", F.lit("_"), "tl"), "seq", F.lit("+"), "qual")
     path = _written(f, f.reads_q.select(record.alias("line")))
-    back = fastq.read(f.spark, path)
+    back = fastq.read(f.spark, [path])
     return back.groupBy("header", "seq", "qual").agg(F.count(F.lit(1)).alias("n"))
 
 

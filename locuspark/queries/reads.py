@@ -166,7 +166,7 @@ def fdm_demux(f: Fixture) -> DataFrame:
     path = f"{scratch_dir(f.spark)}/{uuid.uuid4().hex}"
     named = f.stage("demuxed", lambda: demux.single(f.raw, DEMUX)).withColumn("header", F.concat(F.lit("@r_"), "ind", F.lit("_"), "o", F.lit("_"), "i", F.lit("_"), "tl"))
     demux.write_fastq(named, path, compress=True)
-    return _count(fastq.read(f.spark, path, ["dest"]), "dest", "header", "seq")
+    return _count(fastq.read_folder(f.spark, path, ["dest"]), "dest", "header", "seq")
 
 
 def fdm_pair(f: Fixture) -> DataFrame:

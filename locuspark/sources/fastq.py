@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gzip
 import itertools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,8 +75,8 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqSource)
 
 
-def read(spark: SparkSession, paths: str | list[str], keys: list[str] | None = None) -> DataFrame:
-    """(path, record_no, header, seq, plus, qual) of files or folders of files, numbered from 0 within each.
+def read_folder(spark: SparkSession, paths: str | list[str], keys: list[str] | None = None) -> DataFrame:
+    """(path, keys, record_no, header, seq, plus, qual) of files or folders of files, numbered from 0 within each file.
 
     ``keys`` are columns that folder names hold, as ``write`` makes them.
     Blank lines at the end of a file are of no account; a file of another number
@@ -83,8 +84,7 @@ def read(spark: SparkSession, paths: str | list[str], keys: list[str] | None = N
     """
     keys = keys or []
     lines = spark.read.text(paths).select("value", *keys, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    within = W.partitionBy("path", "start").orderBy("at")
-    lines = lines.withColumn("n", F.row_number().over(within))
+    lines = lines.withColumn("n", F.row_number().over(W.partitionBy("path", "start").orderBy("at")))
     # One row for each split of a file: the number of lines before it.
     splits = lines.groupBy("path", "start").agg(F.max("n").alias("lines"))
     before = F.coalesce(F.sum("lines").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -97,21 +97,29 @@ def read(spark: SparkSession, paths: str | list[str], keys: list[str] | None = N
     return rows.filter(~blank).select("path", *keys, "record_no", checked.alias("header"), "seq", "plus", "qual")
 
 
+def _uri(path: str) -> str:
+    """A path without doubled slashes after its scheme, which Spark writes in two ways."""
+    return re.sub(r"^([A-Za-z][\w+.-]*):/+", r"\1:/", path)
+
+
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file_no, record_no, header, seq, plus, qual) of the files, in the order given, numbered from 0 within each."""
+    number = {_uri(u): i for i, p in enumerate(paths) for u in spark.read.text(p).inputFiles()}
+    rows = read_folder(spark, paths)
+    uri = F.regexp_replace("path", r"^([A-Za-z][\w+.-]*):/+", "$1:/")
+    file_no = F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), uri) if number else F.lit(0)
+    return rows.select(file_no.cast("int").alias("file_no"), "record_no", *PARTS)
+
+
 def read_pairs(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
     """Records of pairs of files side by side; mates are matched by their place."""
-    sides = []
-    for k, s in enumerate("fr"):
-        one = [read(spark, p[k]).withColumn("pair_no", F.lit(i)) for i, p in enumerate(pairs)]
-        whole = one[0]
-        for x in one[1:]:
-            whole = whole.unionByName(x)
-        sides.append(whole.select("pair_no", "record_no", *[F.col(c).alias(f"{s}_{c}") for c in PARTS]))
-    return sides[0].join(sides[1], ["pair_no", "record_no"])
+    sides = [read(spark, [p[k] for p in pairs]).select("file_no", "record_no", *[F.col(c).alias(f"{s}_{c}") for c in PARTS]) for k, s in enumerate("fr")]
+    return sides[0].join(sides[1], ["file_no", "record_no"])
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one file or folder, without the paths."""
-    return read(spark, path).drop("path")
+    """Records of one file."""
+    return read_folder(spark, path).drop("path")
 
 
 def record(header: Column, seq: Column, qual: Column) -> Column:

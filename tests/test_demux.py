@@ -66,3 +66,25 @@ def test_joined_mates(spark):
     s = Demux(sites=("GA",), join_mates=True)
     x = pair(spark, "GATT", "GACCC", s, s)
     assert x[2] == "GATTGGTC" and x[3] == "GACCAATC"
+
+
+def test_adapters_by_the_barcode_of_the_forward_mate(spark):
+    f = Demux(sites=("GATC",), barcodes=("AAAA", "CCCC"))
+    r = Demux(sites=("GG",), barcode_adapters=(("AAAA", ("TTTTTT", "TTTTTA")), ("CCCC", ("ACACAC",))), adapter_rate=0.0, least_insert=1)
+    insert = "GGCATCATCGG"
+    rows = [(1, "AAAAGATCTT", insert + "TTTTTA"), (2, "CCCCGATCTT", insert + "TTTTTA"), (3, "CCCCGATCTT", insert + "ACACAC"), (4, "GGGGGATCTT", insert + "ACACAC")]
+    df = spark.createDataFrame([(i, a, "I" * len(a), b, "I" * len(b)) for i, a, b in rows], "id long, f_seq string, f_qual string, r_seq string, r_qual string")
+    got = {x["id"]: (x["r_seq"], x["r_ana"], x["f_dest"], x["r_dest"]) for x in demux.paired(df, f, r).collect()}
+    assert got[1] == (insert[2:], "clean_ad", "AAAA", "AAAA") and got[3] == (insert[2:], "clean_ad", "CCCC", "CCCC")
+    assert got[2] == (insert + "TTTTTA", "clean", "CCCC", "CCCC")
+    assert got[4][:2] == (insert + "ACACAC", "clean")
+
+
+def test_pairs_written_as_fastq(spark, tmp_path):
+    from locuspark.sources import fastq
+
+    rows = [("@1", "ACGT", "IIII", "@1r", "TTTT", "!!!!", "A", "A"), ("@2", "CCCC", "IIII", "@2r", "GGGG", "!!!!", "B_sg", "NN")]
+    df = spark.createDataFrame(rows, "f_header string, f_seq string, f_qual string, r_header string, r_seq string, r_qual string, f_dest string, r_dest string")
+    demux.write_fastq_pairs(df, str(tmp_path))
+    f, r = (sorted((x["dest"], x["header"], x["seq"]) for x in fastq.read_folder(spark, f"{tmp_path}/{s}", ["dest"]).collect()) for s in "fr")
+    assert f == [("A", "@1", "ACGT"), ("B_sg", "@2", "CCCC")] and r == [("A", "@1r", "TTTT")]

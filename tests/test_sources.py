@@ -66,3 +66,35 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["dest"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("dest").count().collect()} == {"SAMP": 2, "NN": 1}
+
+
+def test_fastq_written_by_destination_and_split_files(spark, tmp_path):
+    rows = [(f"@r{i} x", "ACGT"[i % 4] * 5, "I@+!#"[i % 5] * 5, f"d{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "header string, seq string, qual string, dest string").repartition(3)
+    for compress in (False, True):
+        path = str(tmp_path / f"out{compress}")
+        fastq.write(df, path, ["dest"], compress)
+        back = fastq.read_folder(spark, path, ["dest"])
+        assert sorted((r["header"], r["seq"], r["qual"], r["dest"]) for r in back.collect()) == sorted(rows)
+    text = "".join(f"@n{i}\n{'ACGT' * (i % 9 + 1)}\n+\n{'@III' * (i % 9 + 1)}\n" for i in range(3000))
+    (tmp_path / "big.fq").write_text(text + "\n\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = fastq.read(spark, [str(tmp_path / "big.fq")]).orderBy("record_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["header"] for r in got] == [f"@n{i}" for i in range(3000)] and got[8]["qual"] == "@III" * 9
+
+
+def test_fastq_data_source(spark, tmp_path):
+    (tmp_path / "a.fq").write_text(RECORDS + "\n")
+    (tmp_path / "b.fq").write_text(RECORDS + "@lone\n")
+    fastq.register(spark)
+    load = lambda name: spark.read.format("fastq").option("path", str(tmp_path / name)).load()
+    assert [tuple(r) for r in load("a.fq").orderBy("record_no").collect()][1] == (0, 1, "@b 2", "TTTT", "+x", "!!!!")
+    for read in (load, lambda name: fastq.read(spark, [str(tmp_path / name)])):
+        with pytest.raises(Exception, match="not complete"):
+            read("b.fq").collect()
