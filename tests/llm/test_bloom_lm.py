@@ -92,7 +92,7 @@ def keys_of(text):
 
 def test_next_tokens_sum_to_one_at_most(spark):
     df, rows = table(spark)
-    model, _ = B.train(df)
+    model, _ = B.train(df, order=3)
     probes = B.Probes(model.parts, model.shards)
     kinds = sorted({w for _, t, _ in rows for w in toks(t) if w}) + ["unseen"]
     for history in ("w1", "w0 w2", "the", "w3 unseen", "unseen", ""):
@@ -100,7 +100,7 @@ def test_next_tokens_sum_to_one_at_most(spark):
         for w in [*kinds, None]:
             now, before, begin = keys_of(f"{history} {w or ''}")
             at = len(toks(history)) - 1
-            p.append([float(c[at]) for c in model.chains(*B.levels_of(probes, now, before, begin), begin)])
+            p.append([float(c[at]) for c in model.chains(*B.levels_of(probes, now, before, begin, 3)[:3], begin)])
         p = np.array(p).sum(axis=0)
         assert abs(p[0] - 1) < 0.03 and p[1] < 1.03 and p[2] < 1.03 and p[1] > 0.5
 
@@ -128,14 +128,15 @@ def brute(rows, keep, model):
             p2 = (low(two[w[i - 1], w[i]]) + B.PRIOR * p1) / (context + B.PRIOR)
             p3 = p2 if i == 1 else (low(three[w[i - 2], w[i - 1], w[i]]) + B.PRIOR * p2) / (high(two[w[i - 2], w[i - 1]]) + B.PRIOR)
             sums += np.log10([p1, p2, p3])
-        out.append(((d is None, d or 0), math.log10(np.array(B.SHARES) @ 10.0**sums) if sums.max() > -300 else sums.max()))
+        sums = sums[: model.order]
+        out.append(((d is None, d or 0), math.log10(np.array(B.SHARES[model.order]) @ 10.0**sums) if sums.max() > -300 else sums.max()))
     return sorted(out)
 
 
-@pytest.mark.parametrize("part_bytes", [B.PART_BYTES, 200])
-def test_score_equals_brute_force(spark, part_bytes, monkeypatch):
+@pytest.mark.parametrize(("part_bytes", "order"), [(B.PART_BYTES, 2), (B.PART_BYTES, 3), (200, 3)])
+def test_score_equals_brute_force(spark, part_bytes, order):
     df, rows = table(spark, 300)
-    model, counts = B.train(df.filter(~B.held_out(F.col("doc_id"))), head=7, part_bytes=part_bytes)
+    model, counts = B.train(df.filter(~B.held_out(F.col("doc_id"))), part_bytes=part_bytes, order=order)
     assert (len(model.parts) > 1) == (part_bytes == 200)
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["score"]) for r in B.score(df, model, counts).collect())
     want = brute(rows, lambda d: not out(d), model)
@@ -153,3 +154,15 @@ def test_repeated_text_scores_higher_and_long_text(spark):
     got = {r["doc_id"]: r for r in B.score(df, *B.train(df)).collect()}
     assert got[1000]["score"] == got[1001]["score"] > got[5]["score"] + 5
     assert got[1002]["n_tokens"] == 200_001 and math.isfinite(got[1002]["score"])
+
+
+def test_narrow_round_trip():
+    rng = np.random.default_rng(4)
+    for top in (1, 255, 256, 2**40, 2**63):
+        x = rng.integers(0, top, 50, dtype=np.uint64)
+        assert (B.wide(B.narrow(x)) == x).all()
+    keys = np.unique(rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64))
+    for kind, k in ((1, keys), (2, np.unique(keys & B._KEPT))):
+        counts = rng.integers(1, 4, len(k))
+        got = sorted(x for row in B._packed(kind, k, counts, 8) for x in zip(*(y.tolist() for y in B._unpacked(*row, 8)), strict=True))
+        assert got == list(zip(k.tolist(), counts.tolist(), strict=True))
