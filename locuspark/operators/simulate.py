@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +33,23 @@ class Settings:
 
 
 def sim_loci(s: Settings, rng: random.Random) -> list[str]:
-    """Random sequences of equal composition, each ``least_distance`` from all others."""
-    out: list[str] = []
+    """Random sequences of equal composition, each ``least_distance`` from all others.
+
+    An error if so many cannot be found in a hundred tries a locus.
+    """
+    found = np.zeros((s.loci, s.length), np.uint8)
     letters = list(("ACGT" * (s.length // 4 + 1))[: s.length])
+    n = 0
     for _ in range(s.loci * 100):
-        if len(out) == s.loci:
+        if n == s.loci:
             break
         rng.shuffle(letters)
-        new = "".join(letters)
-        if all(sum(a != b for a, b in zip(new, x, strict=True)) >= s.least_distance for x in out[-2000:]):
-            out.append(new)
-    return out
+        found[n] = np.frombuffer("".join(letters).encode(), np.uint8)
+        if n == 0 or (found[:n] != found[n]).sum(axis=1).min() >= s.least_distance:
+            n += 1
+    if n < s.loci:
+        raise ValueError(f"found {n} of {s.loci} loci that are {s.least_distance} apart")
+    return [bytes(x).decode() for x in found]
 
 
 def sim_alleles(locus: str, n: int, rng: random.Random) -> list[str]:

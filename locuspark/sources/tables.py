@@ -48,7 +48,7 @@ def settings(text: str, known: set[str]) -> dict[str, str]:
     """``key value # comment`` lines; a key without a value has an empty one."""
     out = {}
     for line in text.splitlines():
-        key, _, value = line.partition("#")[0].strip().partition(" ")
+        key, value = (*line.partition("#")[0].split(maxsplit=1), "", "")[:2]
         if key and key not in known:
             raise ValueError(f"unknown setting: {key}")
         if key:
@@ -104,10 +104,14 @@ def selection(spark: SparkSession, loci_links: DataFrame, ind: str | None = None
     )
 
 
-def user_groups(spark: SparkSession, path: str, inds: DataFrame) -> DataFrame:
-    """(ind, grp) of the second column; the individuals must be those of ``inds``."""
+def user_groups(spark: SparkSession, path: str, inds: DataFrame, column: int = 1, more: list[str] | None = None) -> DataFrame:
+    """(ind, grp) of the column of that number, from 0; the individuals must be those of ``inds``.
+
+    ``more`` names the columns after the first that are wanted instead of grp, in order.
+    """
     x = F.split("line", "\t")
-    rows = _lines(spark, path).select(x[0].cast(inds.schema["ind"].dataType).alias("ind"), x[1].alias("grp"))
+    wanted = [(column, "grp")] if more is None else list(enumerate(more, 1))
+    rows = _lines(spark, path).select(x[0].cast(inds.schema["ind"].dataType).alias("ind"), *[F.get(x, F.lit(i)).alias(c) for i, c in wanted])
     for a, b, what in ((inds, rows, "have no group"), (rows, inds, "are not selected")):
         if missing := [r[0] for r in a.join(b, "ind", "left_anti").select("ind").take(5)]:
             raise ValueError(f"individuals {missing} {what}")

@@ -98,3 +98,24 @@ def test_fastq_data_source(spark, tmp_path):
     for read in (load, lambda name: fastq.read(spark, [str(tmp_path / name)])):
         with pytest.raises(Exception, match="not complete"):
             read("b.fq").collect()
+
+
+def test_settings_and_group_columns(spark, tmp_path):
+    assert tables.settings("a\tx y # z\n  b   1\nc\n\n# d", {"a", "b", "c"}) == {"a": "x y", "b": "1", "c": ""}
+    (tmp_path / "g").write_text("1\tnorth\t3\t5\n2\tsouth\t4\t6\n")
+    inds = spark.createDataFrame([(1,), (2,)], "ind long")
+    assert sorted(map(tuple, tables.user_groups(spark, str(tmp_path / "g"), inds).collect())) == [(1, "north"), (2, "south")]
+    assert sorted(map(tuple, tables.user_groups(spark, str(tmp_path / "g"), inds, 2).collect())) == [(1, "3"), (2, "4")]
+    assert sorted(map(tuple, tables.user_groups(spark, str(tmp_path / "g"), inds, more=["pop", "x", "y"]).collect())) == [(1, "north", "3", "5"), (2, "south", "4", "6")]
+
+
+def test_simulated_loci_are_apart_from_all_others():
+    import random
+
+    from locuspark.operators import simulate
+
+    s = simulate.Settings(loci=40, length=40, least_distance=18)
+    loci = simulate.sim_loci(s, random.Random(1))
+    assert len(loci) == 40 and all(sum(a != b for a, b in zip(x, y, strict=True)) >= 18 for i, x in enumerate(loci) for y in loci[:i])
+    with pytest.raises(ValueError, match="loci that are"):
+        simulate.sim_loci(simulate.Settings(loci=40, length=20, least_distance=20), random.Random(1))
