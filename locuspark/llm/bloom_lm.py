@@ -1,8 +1,8 @@
 """Scoring texts by a log-frequency Bloom filter language model.
 
 The corpus is counted exactly, in parts: every task counts the words, word
-pairs and word triples of its texts, the counts meet by hash shard, and each
-shard writes its share of the model.  Counts are quantised to the levels
+pairs and, at ``ORDER`` 3, word triples of its texts, the counts meet by hash
+shard, and each shard writes its share of the model.  Counts are quantised to the levels
 1, 2, ..., 8-9, 10-11, ..., 16-19, ... (four an octave); the filter holds the keys
 (n-gram, 1) ... (n-gram, level), so a level is found by probing 1, 2, ... until
 a probe fails.  A false positive raises a level by one at most with the
@@ -20,19 +20,18 @@ where low and high are the least and the largest count of a level.  As low is at
 most, and high at least, the true count, the probabilities of all next tokens
 sum to one at most, but for false positives.  An n-gram is probed only if the
 words, and the pairs, that it is made of are found.  The model's probability of
-a text is the mean, weighted by ``SHARES``, of the three chains over its tokens,
+a text is the mean, weighted by ``SHARES``, of these chains over its tokens,
 which is a distribution over texts as the chains are.
 
 No n-gram is left out, however many there are.  The filter goes to the workers
-in parts of about ``PART_BYTES`` each, a broadcast each, and a worker holds one
-part in memory at a time: texts are taken in stretches of ``STRETCH`` bytes, the
-distinct n-grams of a stretch are probed part by part.  The parts together have
-about 12 bits for each level of each different n-gram of the corpus, on the
-disks of the executors.
-
-Exact counts of words, for the base figures alone: those of the most frequent
-words (at most ``HEAD``, 12 bytes each) are broadcast; those of rarer words, if
-there are more, come by a shuffle join.  The score does not depend on that.
+in parts of about ``PART_BYTES`` each, a broadcast each, and the driver and a
+worker hold one part in memory at a time: texts are taken in stretches of
+``STRETCH`` bytes, the distinct n-grams of a stretch are probed part by part.  A
+part also has the exact counts of its words (``HEAD`` words at most, but those
+of one shard at least), for the base figures alone; the score does not use them.
+The parts together have about 12 bits for each level of each different n-gram
+of the corpus, and 10 to 16 bytes for each different word, on the disks of the
+executors.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as
 the empty string in the split; repeated rows are trained on and scored each; an
@@ -56,11 +55,13 @@ from locuspark.plans.scratch import input_partitions, materialize
 
 BITS = 12
 PROBES = 6
-PART_BYTES = 32 << 20
-STRETCH = 8 << 20
-HEAD = 4_000_000
+PART_BYTES = 24 << 20
+STRETCH = 2 << 20
+HEAD = 1_000_000
 PRIOR = 4.0
-SHARES = (0.9, 0.05, 0.05)
+#: Longest n-grams of the model, 2 or 3, and the weights of its chains.
+ORDER = 2
+SHARES = {2: (0.9, 0.1), 3: (0.9, 0.05, 0.05)}
 #: Tokens that a task counts before it sends the counts on.
 COUNTED = 3_000_000
 
@@ -89,8 +90,12 @@ def tokens(data: np.ndarray, at: np.ndarray, i: int, j: int) -> tuple[np.ndarray
     return now, before, begin
 
 
+#: Keys of pairs and triples have 56 bits, so that they take less room on their way to the shards.
+_KEPT = U64((1 << 64) - 256)
+
+
 def pair(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    return mix(before * _JOIN[0] + now * _JOIN[1])
+    return mix(before * _JOIN[0] + now * _JOIN[1]) & _KEPT
 
 
 def triples(now: np.ndarray, before: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +103,7 @@ def triples(now: np.ndarray, before: np.ndarray, begin: np.ndarray) -> tuple[np.
     has = np.ones(len(now), bool)
     has[begin[:-1]] = False
     at = np.flatnonzero(has)
-    return mix(before[at - 1] * _JOIN[2] + before[at] * _JOIN[3] + now[at] * _JOIN[4]), at
+    return mix(before[at - 1] * _JOIN[2] + before[at] * _JOIN[3] + now[at] * _JOIN[4]) & _KEPT, at
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -143,22 +148,29 @@ def filled(keys: np.ndarray, counts: np.ndarray, most_bytes: int | None = None)
     return np.packbits(bits)
 
 
-class Filter:
-    """Neighbouring shards of a log-frequency filter, from number ``first`` of ``total`` on; a key's shard is in its top bits."""
+def shard_of(keys: np.ndarray, shift: int) -> np.ndarray:
+    return np.zeros(len(keys), np.int64) if shift == 64 else (keys >> U64(shift)).astype(np.int64)
 
-    def __init__(self, shards: list[bytes], first: int = 0, total: int | None = None):
-        self.shift = 64 - ((total or len(shards)).bit_length() - 1)
-        self.first = first
-        sizes = np.array([len(s) for s in shards], dtype=np.int64)
+
+class Filter:
+    """Shards of a log-frequency filter, of ``total`` in all; a key's shard is in its top bits."""
+
+    def __init__(self, filters: list[bytes], shards: np.ndarray | None = None, total: int | None = None):
+        total = total or len(filters)
+        self.shift = 64 - (total.bit_length() - 1)
+        #: Place here of each shard.
+        self.place = np.zeros(total, np.int64)
+        self.place[np.arange(total) if shards is None else shards] = np.arange(len(filters))
+        sizes = np.array([len(s) for s in filters], dtype=np.int64)
         self.bits = (sizes * 8).astype(U64)
         self.begin = ((np.cumsum(sizes) - sizes) * 8).astype(U64)
-        self.bytes = np.frombuffer(b"".join(shards), dtype=np.uint8)
+        self.bytes = np.frombuffer(b"".join(filters), dtype=np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, by probing one level after the other."""
-        out = np.zeros(len(keys), dtype=np.int64)
+        out = np.zeros(len(keys), dtype=np.uint8)
         open_ = np.arange(len(keys))
-        shard = np.zeros(len(keys), np.int64) if self.shift == 64 else (keys >> U64(self.shift)).astype(np.int64) - self.first
+        shard = self.place[shard_of(keys, self.shift)]
         at = 1
         while len(open_):
             k, s = keys[open_], shard[open_]
@@ -175,28 +187,52 @@ class Filter:
         return out
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest one needs; the first byte says how many."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def wide(b: bytes) -> np.ndarray:
+    """What ``narrow`` was given."""
+    parts = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    out = np.zeros((len(parts), 8), np.uint8)
+    out[:, : b[0]] = parts
+    return out.view("<u8").ravel().astype(U64)
+
+
 _PART = "kind int, shard int, keys binary, counts binary"
 _PART_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def _shift(kind: int) -> U64:
+    return U64(8 if kind > 1 else 0)
+
+
 def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple]:
-    """Rows of keys by shard: those that occur once without counts, then the others."""
-    for k, c in ((keys[counts == 1], None), (keys[counts > 1], counts[counts > 1].astype(np.uint32))):
+    """Rows of keys by shard, as steps from one to the next: those that occur once, without counts, then the others."""
+    for k, c in ((keys[counts == 1], None), (keys[counts > 1], counts[counts > 1])):
         edge = np.append(np.searchsorted(k, np.array([(s << 64) // shards for s in range(shards)], dtype=U64)), len(k))
         for s in range(shards):
             if edge[s] < edge[s + 1]:
-                yield kind, s, k[edge[s] : edge[s + 1]].tobytes(), b"" if c is None else c[edge[s] : edge[s + 1]].tobytes()
+                own = (k[edge[s] : edge[s + 1]] - U64((s << 64) // shards)) >> _shift(kind)
+                yield kind, s, narrow(np.diff(own, prepend=U64(0))), b"" if c is None else narrow(c[edge[s] : edge[s + 1]])
+
+
+def _unpacked(kind: int, shard: int, keys: bytes, counts: bytes, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    k = (np.cumsum(wide(keys), dtype=U64) << _shift(kind)) + U64((shard << 64) // shards)
+    return k, wide(counts).astype(np.int64) if counts else np.ones(len(k), np.int64)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _counted(shards: int):
+def _counted(shards: int, order: int):
     """Counts of words (kind 1), pairs (kind 2) and triples (kind 3) of texts, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list[np.ndarray], ...] = ([], [], [])
+        held: list[list[np.ndarray]] = [[] for _ in range(order)]
         n = 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -211,8 +247,10 @@ def _counted(shards: int):
             data, at = buffers(b.column(0))
             for i, j in blocks(at):
                 now, before, begin = tokens(data, at, i, j)
-                for keys, new in zip(held, (now, pair(before, now), triples(now, before, begin)[0]), strict=True):
-                    keys.append(new)
+                held[0].append(now)
+                held[1].append(pair(before, now))
+                if order > 2:
+                    held[2].append(triples(now, before, begin)[0])
                 n += len(now)
                 if n >= COUNTED:
                     yield from out()
@@ -222,53 +260,44 @@ def _counted(shards: int):
     return run
 
 
-_MODEL_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
-_MODEL = _PART + ", stats array<bigint>"
-#: Number of thresholds 2**i at which words of a count of at least 2**i are counted.
-_STEPS = 40
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact word counts (kind 1) and the filter (kind 2) of the one shard of a partition."""
-    held: dict[int, tuple[list, list]] = {}
-    shard = 0
-    for b in batches:
-        for kind, shard, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):  # noqa: B007
-            k, c = held.setdefault(kind, ([], []))
-            k.append(np.frombuffer(keys, U64))
-            c.append(np.frombuffer(counts, np.uint32).astype(np.int64) if counts else np.ones(len(k[-1]), np.int64))
-    if not held:
-        return
-    summed = [_summed(*held.pop(kind)) for kind in sorted(held)]
-    k, c = summed[0] if len(summed[0][0]) else (np.zeros(0, U64), np.zeros(0, np.int64))
-    lev = level(c)
-    stats = [len(k), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()), *(int((c >= 1 << i).sum()) for i in range(_STEPS))]
-    stats += np.bincount(lev, minlength=_LEVELS + 1).tolist() + [int(x) for x in np.bincount(lev, c, minlength=_LEVELS + 1)]
-    yield _batch([(1, shard, k.tobytes(), c.tobytes(), stats)], _MODEL_ARROW)
-    keys, counts = (np.concatenate(x) for x in zip(*summed, strict=True))
-    yield _batch([(2, shard, filled(keys, counts).tobytes(), b"", [len(keys)])], _MODEL_ARROW)
+_MODEL = "shard int, words binary, counts binary, filter binary, stats array<bigint>"
+_MODEL_ARROW = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary()), ("stats", pa.list_(pa.int64()))])
+
+
+def _joined(shards: int):
+    """Exact word counts, the filter and figures of the one shard of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {1: ([], [])}
+        shard = None
+        for b in batches:
+            for kind, shard, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):  # noqa: B007
+                for got, new in zip(held.setdefault(kind, ([], [])), _unpacked(kind, shard, keys, counts, shards), strict=True):
+                    got.append(new)
+        if shard is None:
+            return
+        summed = [_summed(*held.pop(kind)) for kind in sorted(held)]
+        k, c = summed[0]
+        lev = level(c)
+        end = int(c[k == END].sum())
+        stats = [len(k), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()), end, *np.bincount(lev, minlength=_LEVELS + 1).tolist(), *(int(x) for x in np.bincount(lev, c, minlength=_LEVELS + 1))]
+        keys, counts = (np.concatenate(x) for x in zip(*summed, strict=True))
+        yield _batch([(shard, k.tobytes(), narrow(c), filled(keys, counts).tobytes(), stats)], _MODEL_ARROW)
+
+    return run
 
 
 class Model:
-    """What scoring needs beside the filter: exact counts of the head's words, and figures of the levels."""
+    """What scoring needs beside the parts: figures of the corpus and of the levels."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, stats: np.ndarray, docs: int):
-        self.keys, self.counts, self.docs = keys, counts, docs
-        self.types, self.total, n1, n2 = (int(x) for x in stats[:4])
-        self.whole = len(keys) == self.types
+    def __init__(self, stats: np.ndarray):
+        self.types, self.total, n1, n2, self.docs = (int(x) for x in stats[:5])
         self.discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        number, sums = stats[4 + _STEPS :].reshape(2, -1)
+        number, sums = stats[5:].reshape(2, -1)
         #: Mean count of the words of each level; of levels without words, which false positives reach, the least.
         self.mean = np.where(number > 0, sums / np.maximum(number, 1), _LEAST)
-
-    def head(self, h: np.ndarray) -> np.ndarray:
-        """Exact counts of words that are in the head, else -1 (0 if the head is all)."""
-        at = np.searchsorted(self.keys, h)
-        out = np.full(len(h), 0 if self.whole else -1, dtype=np.int64)
-        inside = at < len(self.keys)
-        inside[inside] = self.keys[at[inside]] == h[inside]
-        out[inside] = self.counts[at[inside]]
-        return out
+        self.shards, self.order = 1, ORDER
+        self.parts: list[Broadcast] = []
 
     def word(self, levels: np.ndarray) -> np.ndarray:
         """Discounted probability of words of these levels; all unseen words are one type."""
@@ -276,8 +305,8 @@ class Model:
             return np.ones(len(levels))
         return np.where(levels > 0, self.mean[levels] - self.discount, self.discount * self.types) / self.total
 
-    def chains(self, one: np.ndarray, two: np.ndarray, three: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of each token by words, by pairs and by triples, from the levels of its n-grams."""
+    def chains(self, one: np.ndarray, two: np.ndarray, three: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+        """Probabilities of each token by words, by pairs and, at order 3, by triples, from the levels of its n-grams."""
         inner = np.ones(len(one), bool)
         inner[begin[:-1]] = False
         at = np.flatnonzero(inner)
@@ -285,165 +314,133 @@ class Model:
         first[at] = _MOST[one[at - 1]]
         p1 = self.word(one)
         p2 = (_LEAST[two] + PRIOR * p1) / (first + PRIOR)
+        if self.order < 3:
+            return [p1, p2]
         p3 = p2.copy()
         p3[at] = (_LEAST[three[at]] + PRIOR * p2[at]) / (_MOST[two[at - 1]] + PRIOR)
-        return p1, p2, p3
+        return [p1, p2, p3]
+
 
+class Part:
+    """Some shards of the filter, and the exact counts of their words."""
 
-def _ended(sizes: list[int], limit: int) -> list[int]:
-    """Numbers of neighbouring shards that make up each part of at most ``limit`` bytes, one shard at least."""
-    out, size = [], limit + 1
-    for s in sizes:
-        if size + s > limit:
-            out.append(0)
-            size = 0
-        out[-1] += 1
-        size += s
-    return out
+    def __init__(self, rows: list[tuple[int, bytes, bytes, bytes]], total: int):
+        rows = sorted(rows)
+        self.shards = np.array([r[0] for r in rows], dtype=np.int64)
+        self.keys = np.concatenate([np.frombuffer(r[1], U64) for r in rows])
+        counts = np.concatenate([wide(r[2]) for r in rows])
+        self.counts = counts.astype(np.min_scalar_type(int(counts.max(initial=1))))
+        self.filter = Filter([r[3] for r in rows], self.shards, total)
 
+    def exact(self, keys: np.ndarray) -> np.ndarray:
+        """Exact counts of words."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at].astype(np.int64), 0)
 
-#: A part of the filter: its first shard, the shard after its last, and its bytes.
-Part = tuple[int, int, Broadcast]
 
+def train(docs: DataFrame, text_col: str = "text", head: int = HEAD, part_bytes: int = PART_BYTES, order: int = ORDER) -> tuple[Model, DataFrame]:
+    """The model of all texts, of n-grams up to ``order``, with its parts, and the table of its shards.
 
-def train(docs: DataFrame, text_col: str = "text", head: int = HEAD, part_bytes: int = PART_BYTES) -> tuple[Model, DataFrame]:
-    """The model of all texts, with the filter's parts, and the table of exact word counts."""
-    spark = docs.sparkSession
+    A part is closed before it would have more than ``part_bytes`` or ``head`` words.
+    """
+    context = docs.sparkSession.sparkContext
     shards = 1 << max(0, (2 * input_partitions(docs) - 1).bit_length())
-    counted = docs.select(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_counted(shards), _PART)
+    counted = docs.select(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_counted(shards, order), _PART)
     # Each shard, and nothing else, in a task of its own; shards are as many as the scan's partitions, twice.
-    table = materialize(counted.repartitionById(shards, "shard").mapInArrow(_joined, _MODEL))
-    zero = np.zeros(4 + _STEPS + 2 * (_LEVELS + 1), np.int64)
-    # One row of statistics for each shard, then at most head words, then one part of the filter at a time.
-    stats = np.sum([zero, *(np.array(r[0]) for r in table.filter("kind = 1").select("stats").toLocalIterator())], axis=0)
-    least = next((1 << i for i in range(_STEPS) if stats[4 + i] <= head), 1 << _STEPS)
-    got_keys, got_counts = [], []
-    for k, c in table.filter("kind = 1").select("keys", "counts").mapInArrow(_at_least(least), "keys binary, counts binary").toLocalIterator():
-        got_keys.append(np.frombuffer(k, U64))
-        got_counts.append(np.frombuffer(c, np.uint32))
-    keys, counts = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((U64, got_keys), (np.uint32, got_counts)))
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    ends = docs_of(table)
-    model = Model(keys, counts, stats, ends)
-    sizes = {r["shard"]: r["n"] for r in table.filter("kind = 2").select("shard", F.length("keys").alias("n")).toLocalIterator()}
-    model.shards, model.parts, s = shards, [], 0
-    for n in _ended([sizes.get(x, 8) for x in range(shards)], part_bytes):
-        made = {r["shard"]: bytes(r["keys"]) for r in table.filter((F.col("kind") == 2) & F.col("shard").between(s, s + n - 1)).select("shard", "keys").toLocalIterator()}
-        model.parts.append((s, s + n, spark.sparkContext.broadcast(Filter([made.get(x, bytes(8)) for x in range(s, s + n)], s, shards))))
-        s += n
-    return model, table.filter("kind = 1")
-
-
-def docs_of(table: DataFrame) -> int:
-    """Number of texts: the exact count of the end token."""
-    got = table.filter("kind = 1").select("keys", "counts").mapInArrow(_ends, "n long").agg(F.sum("n")).first()[0]
-    return int(got or 0)
-
-
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = sum(int(np.frombuffer(c, np.int64)[np.frombuffer(k, U64) == END].sum()) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-
-def _at_least(least: int):
-    schema = pa.schema([("keys", pa.binary()), ("counts", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(counts, np.int64)
-                keep = c >= least
-                yield _batch([(np.frombuffer(keys, U64)[keep].tobytes(), np.minimum(c[keep], (1 << 32) - 1).astype(np.uint32).tobytes())], schema)
-
-    return run
+    table = materialize(counted.repartitionById(shards, "shard").mapInArrow(_joined(shards), _MODEL))
+    # The driver gets one row of figures for each shard, then one part at a time.
+    stats = np.zeros(5 + 2 * (_LEVELS + 1), np.int64)
+    for r in table.select("stats").toLocalIterator():
+        stats += np.array(r[0], dtype=np.int64)
+    model = Model(stats)
+    model.shards, model.order = shards, order
+    rows: list[tuple[int, bytes, bytes, bytes]] = []
+
+    def close() -> None:
+        if rows:
+            model.parts.append(context.broadcast(Part(rows, shards)))
+            rows.clear()
+
+    for r in table.select("shard", "words", "counts", "filter").toLocalIterator():
+        row = (r[0], bytes(r[1]), bytes(r[2]), bytes(r[3]))
+        if sum(len(x) for o in [*rows, row] for x in o[1:]) > part_bytes or sum(len(o[1]) // 8 for o in [*rows, row]) > head:
+            close()
+        rows.append(row)
+    close()
+    return model, table
 
 
 class Probes:
-    """Levels of keys by the parts of the filter, of which one is in memory at a time."""
+    """What the parts know of keys; one part is in memory at a time."""
 
-    def __init__(self, parts: list[Part], shards: int):
-        self.parts, self.shift = parts, 64 - (shards.bit_length() - 1)
+    def __init__(self, parts: list[Broadcast], shards: int):
+        self.parts, self.shards = parts, shards
 
-    def levels(self, *asked: np.ndarray) -> list[np.ndarray]:
-        """The levels of several arrays of keys."""
+    def levels(self, *asked: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The levels of several arrays of keys, and exact counts of the first, which are words."""
         distinct = [np.unique(k, return_inverse=True) for k in asked]
-        found = [np.zeros(len(k), np.int64) for k, _ in distinct]
-        for first, end, part in self.parts:
-            for (k, _), out in zip(distinct, found, strict=True):
-                a, z = (len(k) if s << self.shift >> 64 else int(np.searchsorted(k, U64(s << self.shift))) for s in (first, end))
-                if a < z:
-                    out[a:z] = part.value.levels(k[a:z])
+        found = [np.zeros(len(k), np.uint8) for k, _ in distinct]
+        exact = np.zeros(len(distinct[0][0]), np.int64)
+        shard = [shard_of(k, 64 - (self.shards.bit_length() - 1)) for k, _ in distinct]
+        for shared in self.parts:
+            part, mine = shared.value, np.zeros(self.shards, bool)
+            mine[part.shards] = True
+            for i, (k, _) in enumerate(distinct):
+                at = np.flatnonzero(mine[shard[i]])
+                found[i][at] = part.filter.levels(k[at])
+                if i == 0:
+                    exact[at] = part.exact(k[at])
+            del part
             if len(self.parts) > 1:
                 # Only the value kept by the worker goes; the broadcast stays on the executor's disk.
-                vars(part).pop("_value", None)
-        return [out[which] for (_, which), out in zip(distinct, found, strict=True)]
+                vars(shared).pop("_value", None)
+        return [out[which] for (_, which), out in zip(distinct, found, strict=True)], exact[distinct[0][1]]
 
 
-def levels_of(probes: Probes, now: np.ndarray, before: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Levels of the word, the pair and the triple that end at each token; 0 if what they are made of is not found."""
+def levels_of(probes: Probes, now: np.ndarray, before: np.ndarray, begin: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of the word, the pair and the triple that end at each token, 0 if what they are made of is not found; the word's exact count."""
     key, at = triples(now, before, begin)
-    one, two, some = probes.levels(now, pair(before, now), key)
+    (one, two, *longer), exact = probes.levels(now, pair(before, now), *([key] if order > 2 else []))
     first = np.ones(len(now), bool)
     first[at] = one[at - 1] > 0
     two = np.where((one > 0) & first, two, 0)
-    three = np.zeros(len(now), np.int64)
-    three[at] = np.where((two[at] > 0) & (two[at - 1] > 0), some, 0)
-    return one, two, three
+    three = np.zeros(len(now), np.uint8)
+    for some in longer:
+        three[at] = np.where((two[at] > 0) & (two[at - 1] > 0), some, 0)
+    return one, two, three, exact
 
 
 def _log_mean(chains: list[np.ndarray]) -> np.ndarray:
     """log10 of the weighted mean of 10**x over the chains."""
     x = np.stack(chains)
     top = x.max(axis=0)
-    return top + np.log10(np.array(SHARES) @ np.power(10.0, x - top))
+    return top + np.log10(np.array(SHARES[len(chains)]) @ np.power(10.0, x - top))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, table: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row for row: the id, n_tokens, n_known, base_score and score.
 
-    Spark drops the broadcast parts once the result is no longer referred to.
+    ``table``, that of the shards, is not read: all of it is in the model's parts.
+    Spark drops these once the result is no longer referred to.
     """
-    parts, shards = model.parts, model.shards
-    small = {k: v for k, v in vars(model).items() if k not in ("parts", "shards")}
-    shared = docs.sparkSession.sparkContext.broadcast(small)
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = ["id", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, probes = Model.__new__(Model), Probes(parts, shards)
-        vars(m).update(shared.value)
-        floor = m.total + m.types + 1
+        probes = Probes(model.parts, model.shards)
+        floor = model.total + model.types + 1
         for b in batches:
-            data, at = buffers(b.column(2))
+            data, at = buffers(b.column(1))
             for i, j in blocks(at, STRETCH):
                 now, before, begin = tokens(data, at, i, j)
-                sums = [np.add.reduceat(np.log10(p), begin[:-1]) for p in m.chains(*levels_of(probes, now, before, begin), begin)]
-                distinct, which = np.unique(now, return_inverse=True)
-                known = m.head(distinct)[which]
-                base = np.where(known >= 0, np.log10((np.maximum(known, 0) + 1) / floor), 0.0)
-                rare = np.flatnonzero(known < 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, begin).astype(np.int32)), pa.array(now[rare].view(np.int64)))
+                *levels, known = levels_of(probes, now, before, begin, model.order)
+                sums = [np.add.reduceat(np.log10(p), begin[:-1]) for p in model.chains(*levels, begin)]
+                base = np.log10((known + 1) / floor)
                 flat = [np.diff(begin), np.add.reduceat((known > 0).astype(np.int64), begin[:-1]), np.add.reduceat(base, begin[:-1]), _log_mean(sums)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *map(pa.array, flat), lists], names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInArrow(run, f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<bigint>")
-    if not model.whole:
-        # Words beyond the head: their exact counts come by a shuffle join.
-        out = materialize(out)
-        rare = counts.select("keys", "counts").mapInArrow(_unpacked, "word bigint, n bigint")
-        each = out.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
-        found = each.join(rare, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        sums = found.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(model.total + model.types + 1)))).alias("more_base"))
-        out = out.join(sums, "row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("more_base", F.lit(0.0)))
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", "base_score", "score")
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed word counts as rows."""
-    for b in batches:
-        for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            k, c = np.frombuffer(keys, U64).view(np.int64), np.frombuffer(counts, np.int64)
-            for a in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000]), pa.array(c[a : a + 100_000])], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, flat)], names=schema)
+
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    out = rows.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col)
