@@ -166,3 +166,39 @@ def test_narrow_round_trip():
         counts = rng.integers(1, 4, len(k))
         got = sorted(x for row in B._packed(kind, k, counts, 8) for x in zip(*(y.tolist() for y in B._unpacked(*row, 8)), strict=True))
         assert got == list(zip(k.tolist(), counts.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_no_task_has_the_whole_model(spark, monkeypatch, order):
+    """Many stretches, by their shards: the scores are right without any part going to all workers."""
+    df, rows = table(spark, 200)
+    learn = ~B.held_out(F.col("doc_id"))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("the model was broadcast"))
+    apart = B.score(df, *B.train(df.filter(learn), order=order))
+    model, at_once = B.train_and_score(df, learn, order=order, stretch=50)
+    assert model.shards >= 16
+    want = brute(rows, lambda d: not out(d), model)
+    c = Counter(w for d, t, _ in rows if not out(d) for w in toks(t))
+    known = sorted(((d is None, d or 0), sum(c[w] > 0 for w in toks(t))) for d, t, _ in rows)
+    for scored in (apart, at_once):
+        got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["score"], r["n_known"]) for r in scored.collect())
+        far = [abs(a[1] - b[1]) for a, b in zip(got, want, strict=True)]
+        assert [(a[0], a[2]) for a in got] == known and np.median(far) < 1e-6 and max(far) < 2
+
+
+def test_ids_of_other_types(spark):
+    df, rows = table(spark, 20)
+    named = df.withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
+    _, scored = B.train_and_score(named, F.lit(True))
+    got = scored.collect()
+    assert scored.schema["doc_id"].dataType.simpleString() == "string"
+    assert sorted((r["doc_id"] or "", r["n_tokens"]) for r in got) == sorted(("" if d is None else f"n{d}", len(toks(t))) for d, t, _ in rows)
+
+
+def test_counts_round_trip():
+    keys = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x10C6F7A0B5ED8D)
+    counts = np.where(np.arange(2000) % 7 == 0, 0, np.where(np.arange(2000) % 5 == 0, np.arange(2000) * 1000, 1))
+    rows = list(B._packed(1, keys, counts, 4))
+    assert len(rows) == len({r[1] for r in rows})
+    got = [x for row in rows for x in zip(*(y.tolist() for y in B._unpacked(*row, 4)), strict=True)]
+    assert got == list(zip(keys.tolist(), counts.tolist(), strict=True))
