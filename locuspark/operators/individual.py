@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,11 +16,7 @@ from pyspark.sql import functions as F
 from locuspark.functions import sequence as S
 from locuspark.operators.components import connected_components
 from locuspark.operators.similarity import similar_between, similar_pairs
-
-
-def bound(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once."""
-    return F.transform(F.array(value), body)[0]
+from locuspark.plans.scratch import materialize
 
 
 def svar_count(reads: DataFrame) -> DataFrame:
@@ -85,38 +80,48 @@ def locus_depth(used: DataFrame) -> DataFrame:
     return used.groupBy("ind", "loc", "sl").agg(F.sum("depth").alias("loc_dep"))
 
 
-def _columns(svars: Column, sl: Column) -> Column:
-    """For each position the depth of each letter, and the number of letters."""
-
-    def at(p: Column) -> Column:
-        def depth(letter: str) -> Column:
-            return F.aggregate(svars, F.lit(0).cast("long"), lambda t, v: t + F.when(F.substr(v["seq"], p + 1, F.lit(1)) == letter, v["depth"]).otherwise(0))
+def _variable(used: DataFrame) -> DataFrame:
+    """(ind, loc, sl, loc_dep, pos): positions (from 1; null where there is none) at which the svars of a locus differ.
 
-        return F.struct(*[depth(x).alias(x) for x in "ACGTN"], F.size(S.column_letters(F.transform(svars, lambda v: v["seq"]), p)).alias("kinds"))
-
-    return F.transform(F.sequence(F.lit(0), sl - 1), at)
+    Bit planes are summed up by ``bit_or`` and ``bit_and``, so no svar is spelled out and nothing is gathered.
+    """
+    planes = used.select("ind", "loc", "sl", "depth", S.planes(F.col("seq")).alias("p"))
+    words = planes.select("ind", "loc", "sl", "depth", F.posexplode(F.arrays_zip("p.hi", "p.lo", "p.n")).alias("word", "p"))
+    differ = [F.bit_or(F.col(f"p.{x}")).bitwiseXOR(F.bit_and(F.col(f"p.{x}"))) for x in ("hi", "lo", "n")]
+    sums = words.groupBy("ind", "loc", "sl", "word").agg(F.sum("depth").alias("loc_dep"), differ[0].bitwiseOR(differ[1]).bitwiseOR(differ[2]).alias("bits"))
+    length = F.least(F.lit(S.WORD), F.col("sl") - F.col("word") * S.WORD)
+    places = F.filter(F.sequence(F.lit(1), length), lambda p: F.getbit("bits", length - p) == 1)
+    return sums.select("ind", "loc", "sl", "loc_dep", "word", F.explode_outer(F.transform(places, lambda p: p + F.col("word") * S.WORD)).alias("pos"))
 
 
 def _resolve(col: Column, letter: Column, least: Column) -> Column:
-    """The letter that stands for one at a variable position; ``least``: depth of a good base."""
+    """The letter that stands for one at a variable position with these depths; ``least``: depth of a good base."""
     good = {x: (col[x] > 0) & (col[x] >= least) for x in "ACGT"}
     n_good = sum((g.cast("int") for g in good.values()), F.lit(0))
     bad = (col["N"] > 0) | F.greatest(*[((col[x] > 0) & (col[x] < least)).cast("int") for x in "ACGT"]).cast("boolean")
     bases = F.greatest(*[col[x] for x in "ACGT"])
     only = F.coalesce(*[F.when(g, F.lit(x)) for x, g in good.items()])
     own_good = F.coalesce(*[F.when(letter == x, g) for x, g in good.items()], F.lit(False))
-    return F.when((col["kinds"] < 2) | (bases == 0) | ~bad, letter).when(n_good == 1, only).when(n_good == 0, F.lit("N")).otherwise(F.when(own_good, letter).otherwise(F.lit("N")))
+    return F.when((bases == 0) | ~bad, letter).when(n_good == 1, only).when(n_good == 0, F.lit("N")).otherwise(F.when(own_good, letter).otherwise(F.lit("N")))
 
 
 def _corrected(used: DataFrame, least_of) -> DataFrame:
-    per = used.groupBy("ind", "loc", "sl").agg(F.array_sort(F.collect_list(F.struct("seq", "depth"))).alias("svars"), F.sum("depth").alias("loc_dep"))
+    """Svars with their corrected sequence: depths by position and letter, then a join of what they replace.
 
-    def fix(v: Column, columns: Column) -> Column:
-        new = F.array_join(F.transform(columns, lambda c, p: _resolve(c, F.substr(v["seq"], p + 1, F.lit(1)), least_of(c, F.col("loc_dep")))), "")
-        return F.struct(v["seq"].alias("seq"), v["depth"].alias("depth"), new.alias("corrected"))
-
-    fixed = bound(_columns(F.col("svars"), F.col("sl")), lambda columns: F.transform("svars", lambda v: fix(v, columns)))
-    return per.select("ind", "loc", "sl", "loc_dep", F.explode(fixed).alias("v")).select("ind", "loc", "sl", "loc_dep", "v.*")
+    Only positions that vary are spelled out.  A locus gets at most five
+    replacements a position, so its row stays small however many svars it has.
+    """
+    variable = materialize(_variable(used))
+    at = variable.filter("pos is not null").select("ind", "loc", "loc_dep", "pos")
+    letters = used.select("ind", "loc", "seq", "depth").join(at, ["ind", "loc"]).withColumn("letter", F.expr("substr(seq, pos, 1)"))
+    sums = letters.groupBy("ind", "loc", "loc_dep", "pos").agg(*[F.coalesce(F.sum(F.when(F.col("letter") == x, F.col("depth"))), F.lit(0)).alias(x) for x in "ACGTN"])
+    col = {x: F.col(x) for x in "ACGTN"}
+    least = least_of(col, F.col("loc_dep"))
+    news = [F.when((col[x] > 0) & (_resolve(col, F.lit(x), least) != x), F.struct("pos", F.lit(x).alias("old"), _resolve(col, F.lit(x), least).alias("new"))) for x in "ACGTN"]
+    swaps = sums.select("ind", "loc", F.explode(F.array_compact(F.array(*news))).alias("swap")).groupBy("ind", "loc").agg(F.collect_list("swap").alias("swaps"))
+    loci = variable.filter("word = 0").select("ind", "loc", "loc_dep").distinct().join(swaps, ["ind", "loc"], "left")
+    new = F.aggregate("swaps", F.col("seq"), lambda s, w: F.when(F.substr("seq", w["pos"], F.lit(1)) == w["old"], F.overlay(s, w["new"], w["pos"])).otherwise(s))
+    return used.join(loci, ["ind", "loc"]).select("ind", "loc", "sl", "loc_dep", "seq", "depth", F.coalesce(new, "seq").alias("corrected"))
 
 
 def snp_call_freq(used: DataFrame, c: float = 0.2) -> DataFrame:
@@ -147,86 +152,71 @@ def snp_call_binom(used: DataFrame, e: float = 0.01) -> DataFrame:
     return _corrected(used, least)
 
 
-def _ignoring_n(a: str, b: str) -> int:
-    return sum(x != y and x != "N" and y != "N" for x, y in zip(a, b, strict=True))
+def _compatible(seqs: DataFrame) -> DataFrame:
+    """Edges (a, b), both ways, between sequences of a locus that agree but for N; ends are ``ind|loc|seq``."""
+    with_n = seqs.filter(F.col("seq").contains("N")).select("ind", "loc").distinct()
+    pairs = similar_pairs(seqs.join(with_n, ["ind", "loc"], "left_semi"), ["ind", "loc"], "seq", 0, ignore_n=True)
+    ends = [F.concat_ws("|", "ind", "loc", c) for c in ("seq1", "seq2")]
+    return pairs.select(F.explode(F.array(F.struct(ends[0].alias("a"), ends[1].alias("b")), F.struct(ends[1].alias("a"), ends[0].alias("b")))).alias("e")).select("e.a", "e.b")
 
 
-def build_groups(rows: list[tuple[str, float]], binom: bool) -> tuple[list[tuple[str, float]], int, int]:
-    """Groups of compatible corrected svars: (sequence, depth) each, lost alleles, whether more may be lost.
-
-    A component of the zero-distance graph that is a clique is a group.  From
-    any other one the members with N are taken out; the rest form groups of
-    equal sequence, and a member taken out gives its depth to those it fits.
-    """
-    rows = sorted(rows)
-    n = len(rows)
-    fits = [[_ignoring_n(a, b) == 0 for b, _ in rows] for a, _ in rows]
-    left, groups, lost, more = set(range(n)), [], 0, 0
-    while left:
-        part, todo = set(), [min(left)]
-        while todo:
-            i = todo.pop()
-            if i not in part:
-                part.add(i)
-                todo += [j for j in left if fits[i][j]]
-        left -= part
-        ids = sorted(part)
-        if all(fits[i][j] for i in ids for j in ids):
-            seqs = [rows[i][0] for i in ids]
-            groups.append(("".join(next((x for x in col if x != "N"), "N") for col in zip(*seqs, strict=True)) if len(ids) > 1 else seqs[0], sum(rows[i][1] for i in ids)))
-            continue
-        out = [i for i in ids if "N" in rows[i][0]]
-        stay = [i for i in ids if "N" not in rows[i][0]]
-        if not stay:
-            lost += 2
-            more = max(more, int(len(out) > 2))
-            continue
-        depth: dict[str, float] = {}
-        for i in stay:
-            depth[rows[i][0]] = depth.get(rows[i][0], 0) + rows[i][1]
-        given = dict(depth)
-        donors = [i for i in out if any(fits[i][j] for j in stay)]
-        others = [i for i in out if i not in donors]
-        for i in donors:
-            receivers = sorted({rows[j][0] for j in stay if fits[i][j]})
-            beside = [j for j in others if fits[i][j]]
-            if binom:
-                if len([j for j in stay if fits[i][j]]) + len(beside) == 1:
-                    given[receivers[0]] += rows[i][1]
-            else:
-                whole = sum(depth[s] for s in receivers) + sum(rows[j][1] for j in beside)
-                for s in receivers:
-                    given[s] += rows[i][1] * depth[s] / whole
-        if len(stay) == 1:
-            lost += 1
-            more = max(more, int(len(out) > 1))
-        elif others:
-            lost += 1
-            more = max(more, int(len(out) > 1))
-        elif donors:
-            more = 1
-        groups += sorted(given.items())
-    return groups, lost, more
+def _consensus(members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq): the base found at each position, N if there is none."""
+    letters = members.select(*keys, F.posexplode(S.chars(F.col("seq"))).alias("pos", "letter"))
+    each = letters.groupBy(*keys, "pos").agg(F.coalesce(F.max(F.nullif("letter", F.lit("N"))), F.lit("N")).alias("letter"))
+    return each.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("seq"))
 
 
 def groups_of(corrected: DataFrame, binom: bool = False) -> DataFrame:
-    """(ind, loc, sl, loc_dep, seq, depth, lost, more): groups of compatible svars.
-
-    Loci without N are summed by corrected sequence; only loci that still hold
-    an N go through Python, one small group of svars each.
+    """(ind, loc, sl, loc_dep, seq, depth, lost, more): groups of compatible corrected svars.
+
+    Sequences of a locus that agree but for N are linked.  A component whose
+    members are all linked to each other (the sum of degrees tells) is a group.
+    From any other one the members with N are taken out; the rest form groups,
+    and a member taken out gives its depth to those it agrees with: in
+    proportion to theirs, or, with ``binom``, all of it if there is but one.
+    ``lost`` alleles and whether there may be ``more`` are the locus's; a locus
+    without a group has one row with a null sequence.
+
+    Equal sequences are summed first (``k`` svars).  The graph holds loci with N
+    only, as a table of links; donation is a join of it.
     """
-    marked = corrected.withColumn("has_n", F.max(F.col("corrected").contains("N")).over(W.partitionBy("ind", "loc")))
-    plain = marked.filter("not has_n").groupBy("ind", "loc", "sl", "loc_dep", F.col("corrected").alias("seq")).agg(F.sum("depth").cast("double").alias("depth"))
-    plain = plain.withColumn("lost", F.lit(0)).withColumn("more", F.lit(0))
-    kind = corrected.schema["ind"].dataType.simpleString()
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups, lost, more = build_groups(list(zip(pdf["corrected"], pdf["depth"].astype(float), strict=True)), binom)
-        row = pdf.iloc[0]
-        return pd.DataFrame([(row["ind"], row["loc"], row["sl"], row["loc_dep"], s, d, lost, more) for s, d in groups or [(None, None)]], columns=["ind", "loc", "sl", "loc_dep", "seq", "depth", "lost", "more"])
-
-    hard = marked.filter("has_n").groupBy("ind", "loc").applyInPandas(one, f"ind {kind}, loc long, sl int, loc_dep long, seq string, depth double, lost int, more int")
-    return plain.unionByName(hard)
+    keys = ["ind", "loc", "sl", "loc_dep"]
+    seqs = corrected.groupBy(*keys, F.col("corrected").alias("seq")).agg(F.sum("depth").cast("double").alias("depth"), F.count(F.lit(1)).alias("k"))
+    seqs = materialize(seqs.withColumn("node", F.concat_ws("|", "ind", "loc", "seq")))
+    links = materialize(_compatible(seqs))
+    parts = connected_components(links)
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    members = materialize(seqs.join(parts, "node").join(degree, "node").withColumn("out", F.col("seq").contains("N")))
+    plain = seqs.join(parts, "node", "left_anti").select(*keys, "seq", "depth")
+
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("k"))), F.lit(0))
+    size = F.count(F.lit(1))
+    shape = members.groupBy("component").agg((F.sum("degree") == size * (size - 1)).alias("clique"), count(F.col("out")).alias("n_out"), count(~F.col("out")).alias("n_stay"))
+    members = materialize(members.join(shape, "component"))
+    cliques = members.filter("clique")
+    whole = _consensus(cliques, [*keys, "component"]).join(cliques.groupBy("component").agg(F.sum("depth").alias("depth")), "component").select(*keys, "seq", "depth")
+
+    mixed = members.filter("not clique")
+    side = lambda e: mixed.select(F.col("node").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in ("out", "depth", "k")])
+    pairs = materialize(links.join(side("a"), "a").join(side("b"), "b").filter("a_out"))
+    to_stay = pairs.filter("not b_out").groupBy(F.col("a").alias("node")).agg(F.sum("b_depth").alias("stay_depth"), F.sum("b_k").alias("stay_k"))
+    roles = materialize(mixed.join(to_stay, "node", "left").withColumn("role", F.when(~F.col("out"), "stay").when(F.col("stay_k").isNotNull(), "donor").otherwise("other")))
+    others = roles.filter("role = 'other'").select(F.col("node").alias("b"))
+    beside = pairs.join(others, "b").groupBy(F.col("a").alias("node")).agg(F.sum("b_depth").alias("beside_depth"), F.sum("b_k").alias("beside_k"))
+    donors = roles.filter("role = 'donor'").join(beside, "node", "left").select(F.col("node").alias("a"), (F.col("stay_depth") + F.coalesce("beside_depth", F.lit(0.0))).alias("whole"), (F.col("stay_k") + F.coalesce("beside_k", F.lit(0))).alias("n_whole"))
+    gift = F.when(F.col("n_whole") == 1, F.col("a_depth")).otherwise(0.0) if binom else F.col("a_depth") * F.col("b_depth") / F.col("whole")
+    given = pairs.filter("not b_out").join(donors, "a").groupBy(F.col("b").alias("node")).agg(F.sum(gift).alias("given"))
+    stay = roles.filter("role = 'stay'").join(given, "node", "left").select(*keys, "seq", (F.col("depth") + F.coalesce("given", F.lit(0.0))).alias("depth"))
+
+    per = roles.groupBy(*keys, "component", "n_out", "n_stay").agg(F.count_if(F.col("role") == "other").alias("others"), F.count_if(F.col("role") == "donor").alias("donors"))
+    lost = F.when(F.col("n_stay") == 0, 2).when((F.col("n_stay") == 1) | (F.col("others") > 0), 1).otherwise(0)
+    more = F.when(F.col("n_stay") == 0, F.col("n_out") > 2).when((F.col("n_stay") == 1) | (F.col("others") > 0), F.col("n_out") > 1).otherwise(F.col("donors") > 0)
+    losses = per.groupBy(*keys).agg(F.sum(lost).cast("int").alias("lost"), F.max(more.cast("int")).alias("more"))
+    groups = plain.unionByName(whole).unionByName(stay)
+    bare = losses.join(groups.select("ind", "loc"), ["ind", "loc"], "left_anti").select(*keys, F.lit(None).cast("string").alias("seq"), F.lit(None).cast("double").alias("depth"), "lost", "more")
+    found = groups.join(losses.select("ind", "loc", "lost", "more"), ["ind", "loc"], "left").select(*keys, "seq", "depth", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("more", F.lit(0)).alias("more"))
+    return found.unionByName(bare)
 
 
 def alleles(groups: DataFrame, least_freq: float = 0.2, binom: bool = False, min_depth: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -93,17 +93,13 @@ def call_locus_binom(f: Fixture) -> DataFrame:
 
 
 def alleles_freq(f: Fixture) -> DataFrame:
-    """Alleles of the loci whose corrected svars hold no N."""
-    c = I.snp_call_freq(used(f))
-    plain = c.join(c.filter(F.col("corrected").contains("N")).select("ind", "loc").distinct(), ["ind", "loc"], "left_anti")
-    return _long(I.alleles(I.groups_of(plain))[1].select("ind", "loc", "all_id", "seq", F.round("depth", 6).alias("depth")), "all_id")
+    """Alleles of all loci, by frequency."""
+    return _long(_alleles(f, False)[1].select("ind", "loc", "all_id", "seq", F.round("depth", 6).alias("depth")), "all_id")
 
 
 def alleles_binom(f: Fixture) -> DataFrame:
     """The same by likelihood ratio."""
-    c = I.snp_call_binom(used(f))
-    plain = c.join(c.filter(F.col("corrected").contains("N")).select("ind", "loc").distinct(), ["ind", "loc"], "left_anti")
-    return _long(I.alleles(I.groups_of(plain, True), binom=True)[1].select("ind", "loc", "all_id", "seq", F.round("depth", 6).alias("depth")), "all_id")
+    return _long(_alleles(f, True)[1].select("ind", "loc", "all_id", "seq", F.round("depth", 6).alias("depth")), "all_id")
 
 
 def svar_groups(binom: bool):
@@ -114,6 +110,20 @@ def svar_groups(binom: bool):
     return run
 
 
+def svar_groups_uncorrected(binom: bool):
+    """Groups of the svars as they were read: reads with N link svars that differ, so most rules of groups are met."""
+
+    def run(f: Fixture) -> DataFrame:
+        return I.groups_of(I.snp_call_freq(used(f), -1), binom).select("ind", "loc", "seq", F.round("depth", 6).alias("depth"), "lost", "more")
+
+    return run
+
+
+def call_locus_uncorrected(f: Fixture) -> DataFrame:
+    """Loci called without correction of svars."""
+    return _long(I.alleles(I.groups_of(I.snp_call_freq(used(f), -1)))[0], "sl", "lost_alleles", "potlostmore")
+
+
 def locus_min_depth(f: Fixture) -> DataFrame:
     """Loci by whether they reach the least depth, and those lost for it, which count one lost allele each."""
     loci = I.alleles(I.groups_of(I.snp_call_freq(used(f))), min_depth=30)[0].withColumn("shallow", F.col("loc_dep") < 30)
@@ -167,7 +177,50 @@ cor AS (SELECT u.ind, u.loc, u.seq, any_value(u.depth) AS depth, string_agg(CASE
 
 _FREQ = _call("floor(loc_dep * 0.2::DOUBLE)")
 _BINOM = _call("CASE WHEN bases < 2 THEN 0 ELSE greatest(floor(n1 * ln(0.99::DOUBLE / 0.5) / ln(0.5::DOUBLE / 0.01) + 1), n2) END")
-_PLAIN = "pl AS (SELECT c.ind, c.loc, c.corrected AS seq, sum(c.depth)::DOUBLE AS depth FROM cor c WHERE NOT EXISTS (SELECT 1 FROM cor n WHERE n.ind = c.ind AND n.loc = c.loc AND contains(n.corrected, 'N')) GROUP BY ALL)"
+
+
+def _groups(call: str, gift: str) -> str:
+    """``call`` and the groups of compatible svars: ``grp`` (ind, loc, seq, depth) and ``ls`` (ind, loc, lost, more)."""
+    return f"""{call},
+hs AS (SELECT ind, loc, corrected AS seq, sum(depth)::DOUBLE AS depth, count(*) AS k, contains(corrected, 'N') AS n FROM cor GROUP BY ALL),
+ed AS (SELECT a.ind, a.loc, a.seq AS x, b.seq AS y FROM hs a JOIN hs b ON a.ind = b.ind AND a.loc = b.loc AND a.seq <> b.seq WHERE (a.n OR b.n) AND {_dist('a.seq', 'b.seq')} = 0),
+wk AS (SELECT ind, loc, seq, seq AS r FROM hs UNION SELECT w.ind, w.loc, w.seq, e.y FROM wk w JOIN ed e ON w.ind = e.ind AND w.loc = e.loc AND w.r = e.x),
+cp AS (SELECT ind, loc, seq, min(r) AS c, count(*) AS size FROM wk GROUP BY ind, loc, seq),
+dg AS (SELECT ind, loc, x AS seq, count(*) AS deg FROM ed GROUP BY ALL),
+nd AS (SELECT hs.*, c, coalesce(deg, 0) = size - 1 AS full_deg FROM hs JOIN cp USING (ind, loc, seq) LEFT JOIN dg USING (ind, loc, seq)),
+cl AS (SELECT ind, loc, c, bool_and(full_deg) AS clique, coalesce(sum(k) FILTER (n), 0) AS n_out, coalesce(sum(k) FILTER (NOT n), 0) AS n_stay FROM nd GROUP BY ALL),
+mx AS (SELECT nd.*, n_out, n_stay FROM nd JOIN cl USING (ind, loc, c) WHERE NOT clique),
+pr AS (SELECT a.ind, a.loc, a.seq AS x, b.seq AS y, a.depth AS dx, b.depth AS dy, b.k AS ky, b.n AS ny FROM ed JOIN mx a ON a.ind = ed.ind AND a.loc = ed.loc AND a.seq = ed.x AND a.n JOIN mx b ON b.ind = ed.ind AND b.loc = ed.loc AND b.seq = ed.y),
+rc AS (SELECT ind, loc, x AS seq, sum(dy) AS rd, sum(ky) AS rk FROM pr WHERE NOT ny GROUP BY ALL),
+rl AS (SELECT mx.*, rd, rk, CASE WHEN NOT n THEN 's' WHEN rk IS NOT NULL THEN 'd' ELSE 'o' END AS role FROM mx LEFT JOIN rc USING (ind, loc, seq)),
+bs AS (SELECT pr.ind, pr.loc, x AS seq, sum(dy) AS bd, sum(ky) AS bk FROM pr JOIN rl ON rl.ind = pr.ind AND rl.loc = pr.loc AND rl.seq = pr.y AND role = 'o' GROUP BY ALL),
+gv AS (SELECT pr.ind, pr.loc, y AS seq, sum({gift}) AS given FROM pr JOIN rl d ON d.ind = pr.ind AND d.loc = pr.loc AND d.seq = pr.x AND d.role = 'd' LEFT JOIN bs ON bs.ind = pr.ind AND bs.loc = pr.loc AND bs.seq = pr.x WHERE NOT ny GROUP BY ALL),
+ls AS (SELECT ind, loc, sum(lost)::INT AS lost, max(more)::INT AS more FROM (SELECT ind, loc, c, CASE WHEN any_value(n_stay) = 0 THEN 2 WHEN any_value(n_stay) = 1 OR count(*) FILTER (role = 'o') > 0 THEN 1 ELSE 0 END AS lost, CASE WHEN any_value(n_stay) = 0 THEN any_value(n_out) > 2 WHEN any_value(n_stay) = 1 OR count(*) FILTER (role = 'o') > 0 THEN any_value(n_out) > 1 ELSE count(*) FILTER (role = 'd') > 0 END::INT AS more FROM rl GROUP BY ind, loc, c) q GROUP BY ind, loc),
+cs AS (SELECT ind, loc, c, string_agg(b, '' ORDER BY p) AS seq FROM (SELECT ind, loc, c, p, coalesce(max(substr(seq, p, 1)) FILTER (substr(seq, p, 1) <> 'N'), 'N') AS b FROM nd JOIN cl USING (ind, loc, c), (SELECT unnest(range(1, 33))::INT AS p) t WHERE clique GROUP BY ALL) q GROUP BY ALL),
+g1 AS (SELECT ind, loc, cs.seq, sum(depth) AS depth FROM cs JOIN nd USING (ind, loc, c) GROUP BY ind, loc, c, cs.seq UNION ALL SELECT ind, loc, seq, depth + coalesce(given, 0) FROM rl LEFT JOIN gv USING (ind, loc, seq) WHERE role = 's'),
+grp AS (SELECT d.ind, d.loc, loc_dep, seq, depth, coalesce(lost, 0) AS lost, coalesce(more, 0) AS more FROM dep d LEFT JOIN g1 USING (ind, loc) LEFT JOIN ls USING (ind, loc))"""
+
+
+_GROUPS = {False: _groups(_FREQ, "dx * dy / (rd + coalesce(bd, 0))"), True: _groups(_BINOM, "CASE WHEN rk + coalesce(bk, 0) = 1 THEN dx ELSE 0 END")}
+_RAW = {binom: _groups(f"{_COL}, cor AS (SELECT ind, loc, seq, depth, seq AS corrected FROM used)", gift) for binom, gift in {False: "dx * dy / (rd + coalesce(bd, 0))", True: "CASE WHEN rk + coalesce(bk, 0) = 1 THEN dx ELSE 0 END"}.items()}
+_OK = {
+    False: "al AS (SELECT *, seq IS NOT NULL AND NOT contains(seq, 'N') AND depth >= floor(loc_dep * 0.2::DOUBLE) AS ok FROM grp)",
+    True: "sn AS (SELECT ind, loc, coalesce(list_sort(list(depth), 'DESC')[2], 0) AS second FROM grp WHERE seq IS NOT NULL AND NOT contains(seq, 'N') GROUP BY ALL), al AS (SELECT grp.*, seq IS NOT NULL AND NOT contains(seq, 'N') AND depth >= coalesce(second, 0) AS ok FROM grp LEFT JOIN sn USING (ind, loc))",
+}
+
+
+def _alleles_sql(binom: bool, more: str = "") -> str:
+    return f"{_GROUPS[binom]}, {_OK[binom]} SELECT ind, loc, {more}row_number() OVER (PARTITION BY ind, loc ORDER BY seq)::BIGINT AS all_id, seq, round(depth, 6) AS depth FROM al WHERE ok"
+
+
+def _groups_sql(base: str) -> str:
+    return f"{base} SELECT ind, loc, seq, round(depth, 6) AS depth, lost::INT AS lost, more::INT AS more FROM grp"
+
+
+def _loci_sql(base: str, binom: bool) -> str:
+    n = "(count(*) FILTER (ok))"
+    return f"{base}, {_OK[binom]} SELECT ind, loc, CASE WHEN {n} > 0 THEN 'valid' ELSE 'lost' END AS cat, 32::BIGINT AS sl, any_value(loc_dep) AS loc_dep, {n} AS n_alleles, (max(lost) + count(*) FILTER (seq IS NOT NULL AND NOT ok))::BIGINT AS lost_alleles, max(more)::BIGINT AS potlostmore FROM al GROUP BY ind, loc"
+
 
 QUERIES = {
     "svar_count": (svar_count, "SELECT ind, length(seq)::BIGINT AS sl, seq, count(*) AS depth FROM v_reads GROUP BY ALL"),
@@ -183,13 +236,16 @@ QUERIES = {
     "single_svar_locus": (single_svar_locus, f"{_USED} SELECT ind, loc, CASE WHEN contains(min(seq), 'N') THEN 0 ELSE 1 END::INT AS n_alleles, sum(depth)::BIGINT AS depth FROM used GROUP BY ind, loc HAVING count(*) = 1"),
     "snp_call_freq": (snp_call_freq, f"{_FREQ} SELECT ind, loc, seq, corrected FROM cor"),
     "snp_call_binom": (snp_call_binom, f"{_BINOM} SELECT ind, loc, seq, corrected FROM cor"),
-    "svar_groups_freq": (svar_groups(False), None),
-    "svar_groups_binom": (svar_groups(True), None),
-    "alleles_freq": (alleles_freq, f"{_FREQ}, {_PLAIN} SELECT pl.ind, pl.loc, row_number() OVER (PARTITION BY pl.ind, pl.loc ORDER BY pl.seq)::BIGINT AS all_id, pl.seq, depth FROM pl JOIN dep ON pl.ind = dep.ind AND pl.loc = dep.loc WHERE depth >= floor(loc_dep * 0.2::DOUBLE)"),
-    "alleles_binom": (alleles_binom, f"{_BINOM}, {_PLAIN}, rk AS (SELECT *, coalesce(list_sort(list(depth) OVER (PARTITION BY ind, loc), 'DESC')[2], 0) AS second FROM pl) SELECT ind, loc, row_number() OVER (PARTITION BY ind, loc ORDER BY seq)::BIGINT AS all_id, seq, depth FROM rk WHERE depth >= second"),
-    "call_locus_freq": (call_locus_freq, None),
-    "call_locus_binom": (call_locus_binom, None),
-    "core_slice": (core_slice, None),
+    "svar_groups_freq": (svar_groups(False), _groups_sql(_GROUPS[False])),
+    "svar_groups_binom": (svar_groups(True), _groups_sql(_GROUPS[True])),
+    "alleles_freq": (alleles_freq, _alleles_sql(False)),
+    "alleles_binom": (alleles_binom, _alleles_sql(True)),
+    "call_locus_freq": (call_locus_freq, _loci_sql(_GROUPS[False], False)),
+    "call_locus_binom": (call_locus_binom, _loci_sql(_GROUPS[True], True)),
+    "svar_groups_uncorrected_freq": (svar_groups_uncorrected(False), _groups_sql(_RAW[False])),
+    "svar_groups_uncorrected_binom": (svar_groups_uncorrected(True), _groups_sql(_RAW[True])),
+    "call_locus_uncorrected": (call_locus_uncorrected, _loci_sql(_RAW[False], False)),
+    "core_slice": (core_slice, _alleles_sql(False, "32::INT AS sl, ").replace("::BIGINT AS all_id", "::INT AS all_id")),
     "consensus_n_resolve": (consensus_n_resolve, f"{_COL} SELECT ind, loc, string_agg(b, '' ORDER BY p) AS cons FROM (SELECT ind, loc, p, coalesce(max(b) FILTER (WHERE b != 'N'), 'N') AS b FROM colb GROUP BY ALL) x GROUP BY ALL"),
     "var_positions": (var_positions, f"{_COL} SELECT ind, loc, coalesce('p:' || string_agg(p::VARCHAR, '/' ORDER BY p) FILTER (WHERE k > 1), 'NA') AS varpos FROM (SELECT ind, loc, p, count(*) AS k FROM colb GROUP BY ALL) x GROUP BY ALL"),
     "reads_annotate": (reads_annotate, f"{_USED} SELECT u.ind, loc, good, count(*) AS n_reads, min(read_no) AS first_read FROM v_reads r JOIN used u ON r.ind = u.ind AND r.seq = u.seq GROUP BY ALL"),

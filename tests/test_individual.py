@@ -1,35 +1,39 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from locuspark.operators import individual as I
 
+from plain_groups import build_groups
+
 
 def test_groups_of_cliques_sum():
-    groups, lost, more = I.build_groups([("AC", 5.0), ("AG", 4.0)], False)
+    groups, lost, more = build_groups([("AC", 5.0), ("AG", 4.0)], False)
     assert groups == [("AC", 5.0), ("AG", 4.0)] and (lost, more) == (0, 0)
-    groups, lost, more = I.build_groups([("AN", 2.0), ("AC", 5.0)], False)
+    groups, lost, more = build_groups([("AN", 2.0), ("AC", 5.0)], False)
     assert groups == [("AC", 7.0)] and (lost, more) == (0, 0)
 
 
 def test_promiscuous_without_survivor():
-    groups, lost, more = I.build_groups([("ANC", 1.0), ("NGC", 1.0), ("TNC", 1.0)], False)
+    groups, lost, more = build_groups([("ANC", 1.0), ("NGC", 1.0), ("TNC", 1.0)], False)
     assert groups == [] and (lost, more) == (2, 1)
 
 
 def test_promiscuous_with_two_survivors():
     rows = [("AC", 6.0), ("AG", 2.0), ("AN", 4.0)]
-    groups, lost, more = I.build_groups(rows, False)
+    groups, lost, more = build_groups(rows, False)
     assert groups == [("AC", 9.0), ("AG", 3.0)] and (lost, more) == (0, 1)
-    groups, lost, more = I.build_groups(rows, True)
+    groups, lost, more = build_groups(rows, True)
     assert groups == [("AC", 6.0), ("AG", 2.0)]
 
 
 def test_promiscuous_with_one_survivor():
     # NC fits AC, and NC fits TN; TN does not fit AC.
     rows = [("AC", 6.0), ("NC", 3.0), ("TN", 3.0)]
-    groups, lost, more = I.build_groups(rows, False)
+    groups, lost, more = build_groups(rows, False)
     assert groups == [("AC", 8.0)] and (lost, more) == (1, 1)
-    groups, _, _ = I.build_groups(rows, True)
+    groups, _, _ = build_groups(rows, True)
     assert groups == [("AC", 6.0)]
 
 
@@ -77,3 +81,43 @@ def test_rare_svars_need_exactly_one_locus(spark):
 def test_chain_is_one_locus(spark):
     svars = spark.createDataFrame([(1, 4, s, 9) for s in ("AAAA", "AAAT", "AATT")], "ind long, sl int, seq string, depth long")
     assert {r["loc"] for r in I.loci_of(svars, 4, F.lit(1), F.lit(1)).collect()} == {1}
+
+
+@pytest.mark.parametrize("binom", [False, True])
+def test_groups_equal_the_plain_rule_on_random_loci(spark, binom):
+    rng = random.Random(11)
+    loci = {}
+    for loc in range(10_000):
+        sl, letters = rng.choice([(2, "ACN"), (3, "ACN"), (4, "ACGTN"), (70, "AN")])
+        base = ["A"] * sl
+        rows = []
+        for _ in range(rng.randrange(1, 7)):
+            s = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                s[rng.randrange(min(sl, 4)) * (1 if sl < 9 else 17)] = rng.choice(letters)
+            rows.append(("".join(s), rng.randrange(1, 20)))
+        loci[loc] = rows
+    flat = [(1, loc, len(rows[0][0]), sum(d for _, d in rows), f"{i}", d, s) for loc, rows in loci.items() for i, (s, d) in enumerate(rows)]
+    df = spark.createDataFrame(flat, "ind long, loc long, sl int, loc_dep long, seq string, depth long, corrected string")
+    got = {}
+    for r in I.groups_of(df, binom).collect():
+        groups, figures = got.setdefault(r["loc"], ([], (r["lost"], r["more"])))
+        assert figures == (r["lost"], r["more"])
+        groups += [(r["seq"], round(r["depth"], 6))] if r["seq"] is not None else []
+    for loc, rows in loci.items():
+        groups, lost, more = build_groups([(s, float(d)) for s, d in rows], binom)
+        assert sorted(got[loc][0]) == sorted((s, round(d, 6)) for s, d in groups) and got[loc][1] == (lost, more), (loc, rows)
+
+
+def test_long_sequences_are_corrected_position_by_position(spark):
+    base = "ACGT" * 40
+    rows = [(base, 50), (base[:65] + "T" + base[66:], 1), (base[:130] + "N" + base[131:], 1), (base[:2] + "A" + base[3:], 40)]
+    got = {r["seq"]: r["corrected"] for r in I.snp_call_freq(used(spark, rows)).collect()}
+    assert got == {rows[0][0]: base, rows[1][0]: base, rows[2][0]: base, rows[3][0]: rows[3][0]}
+
+
+def test_a_locus_of_a_hundred_thousand_svars(spark):
+    letters = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.substr(F.lit("ACGT"), 1 + F.pmod(F.floor(F.col("id") / F.pow(F.lit(4), i)), F.lit(4)).cast("int"), F.lit(1))), "")
+    svars = spark.range(100_000).select(F.lit(1).cast("long").alias("ind"), F.lit(1).cast("long").alias("loc"), F.lit(41).alias("sl"), F.concat(F.lit("A" * 32), letters).alias("seq"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("good"))
+    got = I.snp_call_freq(svars, 0.2)
+    assert got.count() == 100_000 and got.filter("length(corrected) = 41 and loc_dep = 100000").count() == 100_000
