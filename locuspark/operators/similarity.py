@@ -3,6 +3,12 @@
 A sequence is cut into d + 1 fragments; two sequences with at most d
 mismatches have at least one fragment in common.  Fragments are joined by
 equality, and the distance is checked on bit planes.
+
+A fragment that very many sequences share (the remnant of a restriction site)
+is no key.  Cut into d + 2 fragments, the same two sequences have two in
+common, so sequences with such a heavy fragment are joined by pairs of those.
+Groups that are heavy even then are dealt in pairs of blocks, so no task gets a
+group that grows with the data, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -11,33 +17,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.functions import sequence as S
+from locuspark.plans.scratch import materialize
 
 #: A fragment with more N than this is compared with all sequences of its group.
 MOST_N = 3
+#: A key is heavy if the sequences of both sides that share it are, multiplied, more than the square of this.
+HEAVY = 2000
+
+
+def _n_count(s: Column) -> Column:
+    return F.length(s) - F.length(F.translate(s, "N", ""))
+
+
+def _rows(df: DataFrame, keys: list[str], seq: str, d: Column) -> DataFrame:
+    """(keys, sl, seq, planes, d) of each different sequence."""
+    return df.select(*keys, F.col(seq).alias("seq"), F.length(seq).alias("sl"), d.cast("int").alias("d")).distinct().withColumn("planes", S.planes(F.col("seq")))
 
 
-def _pieces(df: DataFrame, keys: list[str], seq: str, d: Column, ignore_n: bool) -> DataFrame:
-    """Rows (keys, sl, seq, planes, k, piece); piece is null where anything fits."""
-    rows = df.select(*keys, F.col(seq).alias("seq"), F.length(seq).alias("sl"), S.planes(F.col(seq)).alias("planes"), d.cast("int").alias("_d"))
-    rows = rows.select("*", F.posexplode(S.fragments(F.col("seq"), F.col("_d"))).alias("k", "fragment")).drop("_d")
+def _wide(rows: DataFrame) -> DataFrame:
+    """Sequences with a fragment, by either cut, of more than ``MOST_N`` N."""
+    many = lambda d: F.exists(S.fragments(F.col("seq"), d), lambda x: _n_count(x) > MOST_N)
+    return rows.filter((_n_count(F.col("seq")) > MOST_N) & (many(F.col("d")) | many(F.col("d") + 1)))
+
+
+def _expanded(fragment: Column, ignore_n: bool) -> Column:
+    """The keys of a fragment: itself, or all it stands for; none with too many N, which ``_wide`` has."""
     if not ignore_n:
-        return rows.withColumnRenamed("fragment", "piece")
-    n = F.length("fragment") - F.length(F.translate("fragment", "N", ""))
-    open_ = F.when(n > MOST_N, F.array(F.lit(None).cast("string"))).otherwise(S.n_expand(F.col("fragment")))
-    return rows.select("*", F.explode(open_).alias("piece")).drop("fragment")
+        return F.array(fragment)
+    return F.when(_n_count(fragment) == 0, F.array(fragment)).when(_n_count(fragment) > MOST_N, F.array().cast("array<string>")).otherwise(S.n_expand(fragment))
+
+
+def _pieces(rows: DataFrame, keys: list[str], ignore_n: bool) -> DataFrame:
+    """(keys, sl, seq, planes, k, piece) by the cut into d + 1 fragments."""
+    each = rows.select(*keys, "sl", "seq", "planes", F.posexplode(S.fragments(F.col("seq"), F.col("d"))).alias("k", "fragment"))
+    return each.select(*keys, "sl", "seq", "planes", "k", F.explode(_expanded(F.col("fragment"), ignore_n)).alias("piece"))
+
+
+def _double_pieces(rows: DataFrame, keys: list[str], ignore_n: bool) -> DataFrame:
+    """The same by pairs of the cut into d + 2 fragments."""
+    each = rows.select(*keys, "sl", "seq", "planes", S.fragments(F.col("seq"), F.col("d") + 1).alias("all"))
+    each = each.select("*", F.posexplode("all").alias("i", "first")).select("*", F.posexplode("all").alias("j", "second")).filter("i < j")
+    two = F.flatten(F.transform(_expanded(F.col("first"), ignore_n), lambda x: F.transform(_expanded(F.col("second"), ignore_n), lambda y: F.concat_ws("|", x, y))))
+    return each.select(*keys, "sl", "seq", "planes", (F.col("i") * (F.size("all") + 1) + F.col("j")).alias("k"), F.explode(two).alias("piece"))
+
+
+def _heavy(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """(on, l_blocks, r_blocks) of the keys that join too many rows."""
+    n = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    both = n(left, "l").withColumn("r", F.col("l")) if left is right else n(left, "l").join(n(right, "r"), on)
+    return materialize(both.filter(F.col("l") * F.col("r") > HEAVY * HEAVY).select(*on, F.ceil(F.col("l") / HEAVY).cast("int").alias("l_blocks"), F.ceil(F.col("r") / HEAVY).cast("int").alias("r_blocks")))
+
+
+def _blocked(pieces: DataFrame, heavy: DataFrame, on: list[str], own: str, other: str) -> DataFrame:
+    """Rows of heavy keys in a block of their own side, once for each block of the other; rows of other keys as they are."""
+    rows = pieces.join(heavy, on, "left")
+    block = F.pmod(F.xxhash64("seq"), F.coalesce(own, F.lit(1)))
+    rows = rows.withColumn("block", block).withColumn("meets", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+    return rows.drop("l_blocks", "r_blocks")
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], ignore_n: bool) -> list[tuple[DataFrame, DataFrame]]:
+    """Pairs of tables (keys, sl, seq, planes, k, piece, block, meets) of rows to join."""
+    on = [*keys, "sl", "k", "piece"]
+    same = left is right
+    lp = materialize(_pieces(left, keys, ignore_n))
+    rp = lp if same else materialize(_pieces(right, keys, ignore_n))
+    heavy = _heavy(lp, rp, on)
+    plain = lambda df: df.withColumn("block", F.lit(0).cast("long")).withColumn("meets", F.lit(0))
+    if heavy.isEmpty():
+        return [(plain(lp), plain(rp))]
+    light = [plain(p.join(heavy, on, "left_anti")) for p in (lp, rp)]
+    touched = lambda rows, p: rows.join(p.join(heavy, on, "left_semi").select(*keys, "seq").distinct(), [*keys, "seq"], "left_semi")
+    ld = materialize(_double_pieces(touched(left, lp), keys, ignore_n))
+    rd = ld if same else materialize(_double_pieces(touched(right, rp), keys, ignore_n))
+    more = _heavy(ld, rd, on)
+    return [(light[0], light[1]), (_blocked(ld, more, on, "l_blocks", "r_blocks"), _blocked(rd, more, on, "r_blocks", "l_blocks"))]
 
 
-def _joined(a: DataFrame, b: DataFrame, keys: list[str], ignore_n: bool) -> DataFrame:
-    left = a.select(*keys, "sl", "k", "piece", F.col("seq").alias("seq1"), F.col("planes").alias("p1"))
-    right = b.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "sl", "k", "piece")], F.col("seq").alias("seq2"), F.col("planes").alias("p2"))
-    same = [F.col(k) == F.col(f"_{k}") for k in (*keys, "sl")]
-    parts = [left.filter("piece is not null").join(right.filter("_piece is not null"), [*same, F.col("k") == F.col("_k"), F.col("piece") == F.col("_piece")])]
+def _pairs(a: DataFrame, b: DataFrame, keys: list[str], ignore_n: bool) -> DataFrame:
+    """(keys, sl, seq1, seq2, dist) of all pairs that may be near; the distance is exact."""
+    right_of = lambda df, names: df.select(*[F.col(c).alias(f"_{c}") for c in names], F.col("seq").alias("seq2"), F.col("planes").alias("p2"))
+    left_of = lambda df, names: df.select(*names, F.col("seq").alias("seq1"), F.col("planes").alias("p1"))
+    group, single = [*keys, "sl"], [*keys, "sl", "k", "piece"]
+    parts = []
+    for left, right in dealt(a, b, keys, ignore_n):
+        l, r = left_of(left, [*single, "block", "meets"]), right_of(right, [*single, "block", "meets"])  # noqa: E741
+        parts.append(l.join(r, [*[F.col(c) == F.col(f"_{c}") for c in single], F.col("block") == F.col("_meets"), F.col("meets") == F.col("_block")]))
     if ignore_n:
         # Few sequences have so many N; each meets every sequence of its own group and length.
-        whole_l, whole_r = (x.select(*keep).distinct() for x, keep in ((left, [*keys, "sl", "seq1", "p1"]), (right, [*(f"_{k}" for k in (*keys, "sl")), "seq2", "p2"])))
-        wide_l, wide_r = (x.filter(f"{p} is null").drop("k", "_k", "piece", "_piece").distinct() for x, p in ((left, "piece"), (right, "_piece")))
-        parts += [wide_l.join(whole_r, same), whole_l.join(wide_r, same)]
-    wanted = [F.col(k) for k in keys] + [F.col("sl"), F.col("seq1"), F.col("seq2"), S.planes_distance(F.col("p1"), F.col("p2"), ignore_n).alias("dist")]
+        same = [F.col(c) == F.col(f"_{c}") for c in group]
+        parts += [left_of(_wide(a), group).join(right_of(b, group), same), left_of(a, group).join(right_of(_wide(b), group), same)]
+    wanted = [F.col(c) for c in group] + [F.col("seq1"), F.col("seq2"), S.planes_distance(F.col("p1"), F.col("p2"), ignore_n).alias("dist")]
     out = parts[0].select(*wanted)
     for p in parts[1:]:
         out = out.unionByName(p.select(*wanted))
@@ -51,9 +121,9 @@ def similar_pairs(df: DataFrame, keys: list[str], seq: str, d: Column | int, ign
     are never paired; repeated sequences count once.
     """
     d = F.lit(d) if isinstance(d, int) else d
-    pieces = _pieces(df, keys, seq, d, ignore_n)
-    own = df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.length(seq).alias("_l"), d.alias("_most")).distinct()
-    out = _joined(pieces, pieces, keys, ignore_n).filter("seq1 < seq2")
+    rows = materialize(_rows(df, keys, seq, d))
+    own = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("sl").alias("_l"), F.col("d").alias("_most")).distinct()
+    out = _pairs(rows, rows, keys, ignore_n).filter("seq1 < seq2")
     out = out.join(own, [*[F.col(k) == F.col(f"_{k}") for k in keys], F.col("sl") == F.col("_l")]).filter("dist <= _most")
     return out.select(*keys, "sl", "seq1", "seq2", "dist").distinct()
 
@@ -61,10 +131,10 @@ def similar_pairs(df: DataFrame, keys: list[str], seq: str, d: Column | int, ign
 def similar_between(a: DataFrame, b: DataFrame, keys: list[str], seq_a: str, seq_b: str, d: Column | int, ignore_n: bool) -> DataFrame:
     """All pairs (keys, sl, seq1 of a, seq2 of b, dist) with dist at most d of a."""
     d = F.lit(d) if isinstance(d, int) else d
-    own = a.select(*[F.col(k).alias(f"_{k}") for k in keys], F.length(seq_a).alias("_l"), d.cast("int").alias("_most")).distinct()
+    left = materialize(_rows(a, keys, seq_a, d))
+    own = left.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("sl").alias("_l"), F.col("d").alias("_most")).distinct()
     b2 = b.select(*keys, F.col(seq_b).alias("seq")).join(own, [*[F.col(k) == F.col(f"_{k}") for k in keys], F.length("seq") == F.col("_l")])
-    left = _pieces(a, keys, seq_a, d, ignore_n)
-    right = _pieces(b2.select(*keys, "seq", "_most"), keys, "seq", F.col("_most"), ignore_n)
-    out = _joined(left, right, keys, ignore_n)
+    right = materialize(_rows(b2.select(*keys, "seq", "_most"), keys, "seq", F.col("_most")))
+    out = _pairs(left, right, keys, ignore_n)
     out = out.join(own, [*[F.col(k) == F.col(f"_{k}") for k in keys], F.col("sl") == F.col("_l")]).filter("dist <= _most")
     return out.select(*keys, "sl", "seq1", "seq2", "dist").distinct()
