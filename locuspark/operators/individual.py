@@ -239,6 +239,25 @@ def alleles(groups: DataFrame, least_freq: float = 0.2, binom: bool = False, min
     return loci, kept.select("ind", "loc", "sl", "all_id", "seq", "depth")
 
 
-def reads_annotate(reads: DataFrame, svars: DataFrame) -> DataFrame:
-    """Reads with the columns of their svar (ind, seq); others vanish."""
-    return reads.join(svars, ["ind", "seq"])
+def reads_annotate(reads: DataFrame, svars: DataFrame, both_strands: bool = False) -> DataFrame:
+    """Reads with the columns of their svar (ind, seq); others vanish.
+
+    With ``both_strands`` a read also stands for its reverse complement, as which
+    it may have an svar of its own.  The join is on the strand that comes first in
+    order, so it is as one join for either; ``strand`` tells f or r, ``seq`` is the
+    svar's, and ``mate`` the number the read's name gets: 1, or 2 for r.  A read
+    that equals its reverse complement comes as both.
+    """
+    if not both_strands:
+        return reads.join(svars, ["ind", "seq"])
+    first = lambda s: F.least(s, S.revcomp(s))
+    left = reads.withColumn("read_seq", F.col("seq")).withColumn("first", first(F.col("seq"))).drop("seq")
+    both = left.join(svars.withColumn("first", first(F.col("seq"))), ["ind", "first"]).drop("first")
+    f, r = F.col("seq") == F.col("read_seq"), F.col("seq") == S.revcomp(F.col("read_seq"))
+    strands = F.array_compact(F.array(F.when(f, F.lit("f")), F.when(r, F.lit("r"))))
+    return both.withColumn("strand", F.explode(strands)).withColumn("mate", F.when(F.col("strand") == "f", 1).otherwise(2)).drop("read_seq")
+
+
+def mate_header(header: Column, mate: Column) -> Column:
+    """A read's name with the number of the mate at its end in place of 1."""
+    return F.when(mate == 1, header).otherwise(F.regexp_replace(header, "_1$", "_2"))

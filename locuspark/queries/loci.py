@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.functions import sequence as S
+from locuspark.operators import database
 from locuspark.operators import individual as I
 from locuspark.operators.similarity import similar_pairs as pairs_within
+from locuspark.plans.scratch import materialize, scratch_dir
 from locuspark.queries.fixtures import Fixture
 
 GOOD, HAP, RARE = 4, 4, 6
@@ -152,8 +156,34 @@ def reads_annotate(f: Fixture) -> DataFrame:
     return I.reads_annotate(f.reads, info).groupBy("ind", "loc", "good").agg(F.count(F.lit(1)).alias("n_reads"), F.min("read_no").alias("first_read"))
 
 
+def reads_annotate_rc(f: Fixture) -> DataFrame:
+    """Reads and their reverse complements by the svars of either strand."""
+    info = used(f).select("ind", "seq", "loc", "good")
+    back = info.select("ind", S.revcomp(F.col("seq")).alias("seq"), (F.col("loc") + 1000).alias("loc"), "good").filter("ind % 3 <> 0")
+    header = F.concat_ws("_", F.lit("@L"), "ind", "o", "i", F.lit("1"))
+    rows = I.reads_annotate(f.reads.withColumn("header", header), info.unionByName(back), both_strands=True)
+    return rows.select("ind", "loc", "good", "strand", I.mate_header(F.col("header"), F.col("mate")).alias("header")).groupBy("ind", "loc", "good", "strand").agg(F.count(F.lit(1)).alias("n_reads"), F.min("header").alias("first_header"), F.max("header").alias("last_header"))
+
+
+def _called(reads: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a run over reads."""
+    svars = materialize(I.loci_of(I.svar_count(reads), GOOD, F.lit(HAP), F.lit(RARE)))
+    loci, alleles = I.alleles(materialize(I.groups_of(I.snp_call_freq(svars))))
+    return {"svars": svars, "alleles": alleles, "loci": loci}
+
+
 def ind_status(f: Fixture) -> DataFrame:
-    return used(f).groupBy("ind").agg(F.count_distinct("loc").alias("n_loci"), (F.count(F.lit(1)) > 0).cast("int").alias("success"))
+    """A database after two runs, the second one done twice: some individuals have unusable reads, some none of enough depth."""
+    reads = f.reads.select("ind", F.when((F.col("ind") % 13 == 5) & (F.col("o") % 5 == 0), F.translate("seq", "A", "X")).otherwise(F.col("seq")).alias("seq"))
+    reads = reads.filter("ind % 17 <> 3").unionByName(f.reads.filter("ind % 17 = 3").select("ind", F.concat("seq", F.lpad(F.translate(F.conv((8 * F.col("o") + F.col("i")).cast("string"), 10, 4), "0123", "ACGT"), 12, "A")).alias("seq")))
+    path = f"{scratch_dir(f.spark)}/{uuid.uuid4().hex}"
+    for batch, rest in (("first", 0), ("second", 1), ("second", 1)):
+        own = reads.filter(F.col("ind") % 2 == rest)
+        listed = own.select("ind").distinct()
+        if batch == "second":
+            listed = listed.unionByName(listed.select((-F.col("ind")).alias("ind")).filter("ind % 7 = 0"))
+        database.append(path, batch, own, listed, _called)
+    return database.status(f.spark, path).select("ind", "batch", "success", "reason", "n_loci")
 
 
 def _dist(a: str, b: str) -> str:
@@ -249,5 +279,6 @@ QUERIES = {
     "consensus_n_resolve": (consensus_n_resolve, f"{_COL} SELECT ind, loc, string_agg(b, '' ORDER BY p) AS cons FROM (SELECT ind, loc, p, coalesce(max(b) FILTER (WHERE b != 'N'), 'N') AS b FROM colb GROUP BY ALL) x GROUP BY ALL"),
     "var_positions": (var_positions, f"{_COL} SELECT ind, loc, coalesce('p:' || string_agg(p::VARCHAR, '/' ORDER BY p) FILTER (WHERE k > 1), 'NA') AS varpos FROM (SELECT ind, loc, p, count(*) AS k FROM colb GROUP BY ALL) x GROUP BY ALL"),
     "reads_annotate": (reads_annotate, f"{_USED} SELECT u.ind, loc, good, count(*) AS n_reads, min(read_no) AS first_read FROM v_reads r JOIN used u ON r.ind = u.ind AND r.seq = u.seq GROUP BY ALL"),
-    "ind_status": (ind_status, f"{_USED} SELECT ind, count(DISTINCT loc) AS n_loci, 1::INT AS success FROM used GROUP BY ind"),
+    "reads_annotate_rc": (reads_annotate_rc, f"{_USED}, sx AS (SELECT ind, seq, loc, good FROM used UNION ALL SELECT ind, translate(reverse(seq), 'ACGT', 'TGCA'), loc + 1000, good FROM used WHERE ind % 3 <> 0), both_ AS (SELECT ind, seq, 'f' AS strand, concat_ws('_', '@L', ind, o, i, 1) AS header FROM v_reads UNION ALL SELECT ind, translate(reverse(seq), 'ACGT', 'TGCA'), 'r', concat_ws('_', '@L', ind, o, i, 2) FROM v_reads) SELECT b.ind, loc, good, strand, count(*) AS n_reads, min(header) AS first_header, max(header) AS last_header FROM both_ b JOIN sx ON b.ind = sx.ind AND b.seq = sx.seq GROUP BY ALL"),
+    "ind_status": (ind_status, f"{_USED}, st AS (SELECT ind, CASE WHEN ind % 2 = 0 THEN 'first' ELSE 'second' END AS batch, CASE WHEN bool_or(ind % 13 = 5 AND o % 5 = 0 AND ind % 17 <> 3 AND contains(seq, 'A')) THEN 'letters other than ACGTN' WHEN ind % 17 = 3 THEN 'no locus' END AS reason FROM v_reads GROUP BY ind UNION ALL SELECT DISTINCT -ind, 'second', 'no reads' FROM v_reads WHERE ind % 2 = 1 AND ind % 7 = 0), nl AS (SELECT ind, count(DISTINCT loc) AS n FROM used GROUP BY ind) SELECT st.ind, batch, (reason IS NULL)::INT AS success, reason, CASE WHEN reason IS NULL THEN n ELSE 0 END::BIGINT AS n_loci FROM st LEFT JOIN nl ON st.ind = nl.ind"),
 }
