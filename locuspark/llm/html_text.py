@@ -44,14 +44,16 @@ def _set(names: str) -> frozenset[str]:
 # Names of elements by their role in HTML.
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 RAW = _set("script style textarea title xmp iframe noembed noframes noscript")
-NEVER = _set("head title script style template noscript iframe noembed noframes object audio video canvas svg datalist map")
+NEVER = _set("head title script style template noscript iframe noembed noframes audio video canvas datalist rp desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient")
 HEAD = _set("base basefont bgsound link meta noframes noscript script style template title")
-BLOCK = _set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table ul")
+BLOCK = _set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table text ul")
 SPACED = _set("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre figure table fieldset")
-CLOSES_P = BLOCK - _set("body html optgroup legend") | _set("hr xmp plaintext")
+CLOSES_P = BLOCK - _set("body caption html optgroup legend text") | _set("hr xmp plaintext")
 CELL = _set("td th")
 ROW_GROUP = _set("thead tbody tfoot")
 LISTS = _set("ul ol menu dir")
+#: Elements of drawings whose own text is not drawn.
+BARE = _set("svg g")
 #: Elements that end when the key begins, and those up to which one looks for them.
 IMPLIED = {
     "li": (_set("li"), LISTS | CELL | _set("table")),
@@ -59,6 +61,8 @@ IMPLIED = {
     "dd": (_set("dt dd"), _set("dl table") | CELL),
     "option": (_set("option"), _set("select optgroup datalist")),
     "optgroup": (_set("option optgroup"), _set("select")),
+    "rt": (_set("rt rp"), _set("ruby")),
+    "rp": (_set("rt rp"), _set("ruby")),
     "tr": (_set("tr td th caption colgroup"), _set("table thead tbody tfoot")),
     "td": (_set("td th caption colgroup"), _set("table tr")),
     "th": (_set("td th caption colgroup"), _set("table tr")),
@@ -67,8 +71,8 @@ IMPLIED = {
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-_GONE = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
-_VEIL = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([a-z-]+)(?:\s+[a-z-]+)*\s*(!\s*important)?", re.I)
+_VEIL = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)\s*(!\s*important)?", re.I)
 _PIECE = re.compile(r"([^{}]*)([{}])")
 _SCREEN = re.compile(r"@layer\b|@media\s*(?:[^,]*,)*\s*(?:(?:only\s+)?(?:screen|all)\s*)?(?:,|$)", re.I)
 _SELECTOR = re.compile(r"(?:\*|[a-zA-Z][\w-]*)?(?:[.#][a-zA-Z_-][\w-]*)*(?:\s*[> ]\s*(?:\*|[a-zA-Z][\w-]*)?(?:[.#][a-zA-Z_-][\w-]*)*)*$")
@@ -111,15 +115,27 @@ def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
             skipped -= _conditional(selectors)
 
 
+def _last(found: list[tuple[str, str]]) -> tuple[bool, str] | None:
+    """Whether the declaration that counts in one style is important, and its value."""
+    weighty = [v for v, important in found if important]
+    return (bool(weighty), (weighty or [v for v, _ in found])[-1].lower()) if found else None
+
+
+def _hides(style: str) -> bool:
+    display, veil = _last(_DISPLAY.findall(style)), _last(_VEIL.findall(style))
+    return bool(display and display[1] == "none" or veil and veil[1] != "visible")
+
+
 def hiding_selectors(sheet: str) -> set[str]:
     """Selectors of rules that take elements, or their text, from view."""
-    return {s for s, what in style_rules(sheet) if s and _SELECTOR.match(s) and (_GONE.search(what) or _veil(what, False))}
+    return {s for s, what in style_rules(sheet) if s and _SELECTOR.match(s) and _hides(what)}
 
 
-def _veil(style: str, now: bool) -> bool:
-    """Whether text is veiled under a style; the last word counts."""
-    found = _VEIL.findall(style)
-    return found[-1].lower() != "visible" if found else now
+def _strength(parts: list[frozenset[str]]) -> tuple[int, int, int]:
+    """How many ids, classes and tags a selector names."""
+    names = [x for part in parts for x in part if x != "*"]
+    ids, classes = sum(x[0] == "#" for x in names), sum(x[0] == "." for x in names)
+    return ids, classes, len(names) - ids - classes
 
 
 class Rules:
@@ -130,35 +146,40 @@ class Rules:
     """
 
     def __init__(self) -> None:
-        self.single: dict[str, list[tuple[frozenset[str], str]]] = {}
-        self.chains: list[tuple[list[tuple[bool, frozenset[str]]], str]] = []
+        self.single: dict[str, list[tuple[frozenset[str], tuple, str]]] = {}
+        self.chains: list[tuple[list[tuple[bool, frozenset[str]]], tuple, str]] = []
+        self.n = 0
 
     def add(self, sheet: str) -> None:
         for selector, what in style_rules(sheet):
-            if selector and _SELECTOR.match(selector) and (_GONE.search(what) or _VEIL.search(what)):
+            if selector and _SELECTOR.match(selector) and (_DISPLAY.search(what) or _VEIL.search(what)):
                 steps = [(bool(child), frozenset(x if x[0] in ".#" else x.lower() for x in re.findall(r"[.#]?[\w-]+", part))) for child, part in _STEP.findall(selector)]
+                self.n += 1
+                rank = (*_strength([s for _, s in steps]), self.n)
                 if len(steps) > 1:
-                    self.chains.append((steps, what))
+                    self.chains.append((steps, rank, what))
                 else:
                     key = max(steps[0][1], key=lambda x: ("#" in x, "." in x), default="*")
-                    self.single.setdefault(key, []).append((steps[0][1], what))
+                    self.single.setdefault(key, []).append((steps[0][1], rank, what))
 
-    def found(self, node: Node, around: Node) -> Iterator[str]:
-        """Declarations of the rules that a new element meets."""
+    def found(self, node: Node, around: Node) -> list[str]:
+        """Declarations of the rules that a new element meets, the strongest last."""
         names = {node.tag, "*", *("." + c for c in node.attrs.get("class", "").split())}
         if "id" in node.attrs:
             names.add("#" + node.attrs["id"])
+        met: list[tuple[tuple, str]] = []
         for key in names & self.single.keys():
-            yield from (what for needed, what in self.single[key] if needed <= names)
+            met += [(rank, what) for needed, rank, what in self.single[key] if needed <= names]
         if self.chains:
             own, above = set(), around.met[0] | around.met[1]
-            for r, (steps, what) in enumerate(self.chains):
+            for r, (steps, rank, what) in enumerate(self.chains):
                 for k, (child, needed) in enumerate(steps):
                     if needed <= names and (k == 0 or (r, k - 1) in (around.met[0] if child else above)):
                         own.add((r, k))
                         if k == len(steps) - 1:
-                            yield what
+                            met.append((rank, what))
             node.met = frozenset(own), above
+        return [what for _, what in sorted(met)]
 
 
 def _conditional(before: str) -> bool:
@@ -177,11 +198,18 @@ class Builder:
     def _shown(self, node: Node, around: Node) -> None:
         """Set whether an element, and the text in it, is shown."""
         tag, attrs, node.veiled = node.tag, node.attrs, around.veiled
-        node.hidden = tag in NEVER or "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
+        node.hidden = "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
+        bound = [False, False]  # whether display and visibility are set by an important declaration
         for what in (*self.rules.found(node, around), attrs.get("style", "")):
             if what:
-                node.hidden |= bool(_GONE.search(what))
-                node.veiled = _veil(what, node.veiled)
+                for k, found in enumerate((_last(_DISPLAY.findall(what)), _last(_VEIL.findall(what)))):
+                    if found and (found[0] or not bound[k]):
+                        bound[k] = found[0]
+                        if k == 0:
+                            node.hidden = found[1] == "none"
+                        else:
+                            node.veiled = found[1] != "visible"
+        node.hidden |= tag in NEVER
 
     def _text(self, s: str) -> None:
         if s:
@@ -405,6 +433,7 @@ def render(page: str | None) -> str:
                 flow = flows[-1]
                 tables[-1].cell(cell, *saved)
             elif tag == "table":
+                flow.line()  # text of the table that is in no cell
                 for s in tables.pop().lines():
                     flow.plain(s)
                     flow.line()
@@ -482,7 +511,7 @@ def render(page: str | None) -> str:
             todo.append((node, (tag, saved)))
         elif tag == "option":
             flow.space = True
-        todo.extend((c, None) for c in reversed(children) if not (node.veiled and isinstance(c, str)))
+        todo.extend((c, None) for c in reversed(children) if not ((node.veiled or tag in BARE) and isinstance(c, str)))
     return "\n".join(flow.done())
 
 

@@ -14,7 +14,9 @@ rows is thus spread over ``BUCKETS`` groups.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; repeated rows are documents of their own; an empty table gives
-an empty mix; a source of size 0 gets target 0.
+an empty mix; a source of size 0 gets target 0; texts of any length count whole;
+other columns may have any names and are passed on by ``repeated``, of which the
+rows come as they are; ids are ordered by their own type, null ids last.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuspark.plans.naming import col, fresh
 from locuspark.plans.ordering import numbered
 from locuspark.plans.scratch import materialize
 
@@ -115,10 +118,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, whole."""
-    plan = mix(docs, id_col, text_col, source_col, cut=False, **settings).filter("epochs > 0")
-    plan = plan.groupBy(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("text_hash").alias("_h")).agg(F.sum("epochs").alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    both = rows.join(plan.hint("shuffle_hash"), (F.col("_hash") == F.col("_h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_i")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_s")))
+    hashed, own_id, own_source, own_hash, n, n_rows, copy = fresh(docs.columns, "hash", "id", "source", "own_hash", "n", "n_rows", "copy")
+    slim = docs.select(col(id_col).alias("i"), col(text_col).alias("t"), col(source_col).alias("s"))
+    plan = mix(slim, "i", "t", "s", cut=False, **settings).filter("epochs > 0")
+    plan = plan.groupBy(F.col("i").alias(own_id), F.col("s").alias(own_source), F.col("text_hash").alias(own_hash)).agg(F.sum("epochs").alias(n), F.count(F.lit(1)).alias(n_rows))
+    rows = docs.withColumn(hashed, F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit(""))))
+    both = rows.join(plan.hint("shuffle_hash"), (col(hashed) == col(own_hash)) & col(id_col).eqNullSafe(col(own_id)) & col(source_col).cast("string").eqNullSafe(col(own_source)))
     # Equal rows share what the mix takes of them; the rounding is up.
-    times = F.ceil(F.col("_n") / F.col("_rows")).cast("int")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = F.ceil(col(n) / col(n_rows)).cast("int")
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[col(c) for c in docs.columns])

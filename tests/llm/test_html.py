@@ -111,3 +111,46 @@ def test_long_page_and_empty_table(spark):
     assert lines[99_999] == "- item of a list" and sum("a" in x.split() for x in lines[100_000:]) == 20_000
     df = spark.createDataFrame([], "page_id long, html string, text string, n_chars long")
     assert extract(df).columns == ["page_id", "text", "n_chars", "n_lines"] and extract(df).count() == 0
+
+
+def test_captions_and_stray_text_of_tables_have_lines_of_their_own():
+    assert render("<table><caption>Cap</caption><tr><th>H<td>v</table>") == "Cap\nH  v"
+    assert render("<table>Intro text<tr><td>x</table>") == "Intro text\nx"
+    assert render("a<table><caption>C d<tr><td>x<td>y<tr><td>z</table>b") == "a\n\nC d\nx  y\nz\n\nb"
+
+
+def test_the_strongest_last_declaration_counts():
+    assert render('<style>.h{display:none}</style><p class=h style="display:block">one') == "one"
+    assert render("<style>.h{display:none} .b{display:block}</style><p class='b h'>one") == "one"
+    assert render('<p style="display:none;display:block">one') == "one"
+    assert render('<p style="display:block;display:none">one<p>two') == "two"
+    assert render("<style>#i{display:none} .b{display:block}</style><p class=b id=i>one<p>two") == "two"
+    assert render("<style>.b{display:none !important}</style><p class=b style='display:block'>one<p>two") == "two"
+    assert render("<style>div .b{display:none} p{display:block}</style><div><p class=b>one</p></div><p class=b>two") == "two"
+    assert render('<p hidden style="display:block">one') == "one"
+    assert render('<style>.v{visibility:hidden} p.v{visibility:visible}</style><p class=v>one') == "one"
+
+
+def test_drawings_objects_and_ruby():
+    assert render("<svg><title>no</title><defs><text>no</text></defs>no<g>no<text>Label one</text><text>two</text></g></svg>") == "Label one\ntwo"
+    assert render("<object data=x>inside</object> out") == "inside out"
+    assert render("<ruby>a<rp>(<rt>b<rp>)</ruby>c") == "abc"
+    assert render("<map name=m>text<area></map>") == "text"
+
+
+def test_words_are_never_glued_or_lost_with_captions_and_overrides():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(300):
+        words, page = [], "<style>.h{display:none}</style>"
+        for _ in range(rng.randrange(1, 6)):
+            new = [f"w{len(words) + i}" for i in range(5)]
+            words += new
+            page += rng.choice([
+                "<table><caption>{0}</caption><tr><td>{1}<td>{2}<tr><th>{3}</th></tr></table><p>{4}",
+                "<table>{0}<tr><td>{1}</td></tr><tr><td>{2}<table><caption>{3}<tr><td>{4}</table></table>",
+                '<div class=h style="display:block">{0}</div><ul><li>{1}<li class=h style="display:list-item">{2}</ul><p>{3}<p>{4}',
+                "<object><p>{0}</object><svg><text>{1}</text><text>{2}</text></svg><div>{3}</div>{4}<br>",
+            ]).format(*new)
+        assert sorted(w for w in render(page).split() if w != "-") == sorted(words), page

@@ -73,3 +73,43 @@ def test_keys_prefer_quality(spark):
 
 def test_empty_table(spark):
     assert M.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_which_documents_are_taken_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    df, rows = table(spark, 120)
+    keyed = df.select("doc_id", "source", M.word_count(F.col("text")).alias("size_"), M.exponential_key(7, F.coalesce("text", F.lit("")), M.quality(F.coalesce("text", F.lit(""))), F.col("doc_id")).alias("key")).collect()
+    sizes = defaultdict(int)
+    for r in keyed:
+        sizes[r["source"]] += r["size_"]
+    want, targets = [], expected_targets(dict(sizes))
+    for source in sizes:
+        budget = int(targets[source] + 0.5)
+        whole = budget // sizes[source] if sizes[source] else 0
+        rest = budget - whole * sizes[source]
+        for r in sorted((r for r in keyed if r["source"] == source), key=lambda r: (r["key"], r["doc_id"])):
+            extra = max(0, min(rest, r["size_"]))
+            rest -= r["size_"]
+            want.append((r["doc_id"], source, r["size_"], whole * r["size_"] + extra))
+    got = [(r["doc_id"], r["source"], r["size"], r["taken"]) for r in M.mix(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_repeated_keeps_columns_of_any_names(spark):
+    names = ["doc_id", "text", "source", "_i", "_hash", "_copy", "hash", "id", "n", "a.b", "copy"]
+    rows = [(i, "w " * (i % 7 + 1), "s" if i % 3 else None, *[f"{c}{i}" for c in names[3:]]) for i in range(40)] + [(0, "w ", None, *["again"] * 8)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'`{c}` string' for c in names[3:])}")
+    got = M.repeated(df)
+    assert got.columns == names
+    out = got.collect()
+    assert out and {tuple(r) for r in out} <= set(rows)
+    slim = M.repeated(df.select("doc_id", "text", "source"))
+    assert slim.count() == len(out)
+    odd = M.repeated(df.withColumnRenamed("text", "t.t").withColumnRenamed("source", "_s"), "doc_id", "t.t", "_s")
+    assert odd.count() == len(out)
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "w " * 200_000, "a"), (2, "w", "a"), (3, "w w", "b")], "doc_id long, text string, source string")
+    assert {(r["doc_id"], r["size"]) for r in M.mix(df).collect()} == {(1, 200_000), (2, 1), (3, 2)}
