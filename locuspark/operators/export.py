@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuspark.functions import sequence as S
-from locuspark.plans.ordering import running_sum
+from locuspark.plans.ordering import ranked, running_sum
 
 MISSING = "-999"
 
@@ -23,10 +23,54 @@ def genotype_cells(links: DataFrame, gt: DataFrame) -> DataFrame:
     return per.select("poploc", "ind", F.array_join(F.transform("a", lambda x: x["popallvar"]), "/").alias("alleles"), shown.alias("depths"))
 
 
-def matrix(cells: DataFrame, value: str, inds: list | None = None) -> DataFrame:
-    """One row a locus, one column an individual; missing cells are -999."""
-    wide = cells.groupBy("poploc").pivot("ind", inds).agg(F.first(value))
-    return wide.na.fill(MISSING)
+def dense(items: Column, at: Column, fill, n: Column) -> Column:
+    """``items`` (arrays of values, in order) at their places (arrays of numbers from 1) among n, with fillers between.
+
+    ``fill(k)`` is an array of k fillers.  The work is in proportion to the result.
+    """
+    gap = lambda p, i: p - F.when(i > 0, F.get(at, i - 1)).otherwise(0) - 1
+    parts = F.flatten(F.transform(F.arrays_zip(at.alias("p"), items.alias("v")), lambda x, i: F.concat(fill(gap(x["p"], i)), F.array(x["v"]))))
+    return F.concat(parts, fill(n - F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(0))))
+
+
+def individual_index(inds: DataFrame) -> DataFrame:
+    """(ind, place): the place, from 1, of each individual among all."""
+    return ranked(inds.select("ind").distinct(), ["ind"], "place")
+
+
+def matrix_rows(cells: DataFrame, value: str, index: DataFrame, block: int = 1000, missing: str = MISSING) -> DataFrame:
+    """(poploc, block, first, cells): the cells of a locus in arrays of up to ``block`` individuals, by their place.
+
+    ``first`` is the place of the array's first cell.  Arrays stay small however
+    many individuals there are, and nothing depends on their names.
+    """
+    n = index.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
+    blocks = F.sequence(F.lit(0), F.lit(max(0, -(-n // block) - 1)))
+    size = F.least(F.lit(block), F.lit(n) - F.col("block") * block)
+    own = cells.join(index, "ind").select("poploc", F.floor((F.col("place") - 1) / block).cast("int").alias("block"), ((F.col("place") - 1) % block + 1).cast("int").alias("at"), F.col(value).alias("value"))
+    held = own.groupBy("poploc", "block").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("c")).select("poploc", "block", "c.at", "c.value")
+    rows = cells.select("poploc").distinct().select("poploc", F.explode(blocks).alias("block")).join(held, ["poploc", "block"], "left")
+    at, values = F.coalesce("at", F.array().cast("array<int>")), F.coalesce("value", F.array().cast("array<string>"))
+    rows = rows.select("poploc", "block", size.cast("int").alias("size"), at.alias("at"), values.alias("value"))
+    return rows.select("poploc", "block", (F.col("block") * block + 1).alias("first"), dense(F.col("value"), F.col("at"), lambda k: F.array_repeat(F.lit(missing), k), F.col("size")).alias("cells"))
+
+
+def matrix_cells(rows: DataFrame, index: DataFrame, value: str) -> DataFrame:
+    """(poploc, ind, value) of all cells of a matrix, missing ones too."""
+    each = rows.select("poploc", "first", F.posexplode("cells").alias("k", value)).select("poploc", (F.col("first") + F.col("k")).alias("place"), value)
+    return each.join(index, "place").select("poploc", "ind", value)
+
+
+def matrix_lines(rows: DataFrame) -> DataFrame:
+    """(poploc, line): the matrix as text, parted by tabs."""
+    per = rows.groupBy("poploc").agg(F.array_sort(F.collect_list(F.struct("block", F.array_join("cells", "\t").alias("text")))).alias("b"))
+    return per.select("poploc", F.concat_ws("\t", F.col("poploc").cast("string"), F.array_join(F.transform("b", lambda x: x["text"]), "\t")).alias("line"))
+
+
+def matrix(cells: DataFrame, value: str, inds: list) -> DataFrame:
+    """One row a locus, one column for each of a few individuals; missing cells are -999."""
+    picked = [F.coalesce(F.max(F.when(F.col("ind") == i, F.col(value))), F.lit(MISSING)).alias(str(i)) for i in inds]
+    return cells.groupBy("poploc").agg(*picked)
 
 
 def locus_table(catalogue: DataFrame, sel_loc: DataFrame) -> DataFrame:
@@ -110,7 +154,22 @@ def gt_diploid(links: DataFrame, gt: DataFrame, numbers: DataFrame) -> DataFrame
 
 def phase_swaps(seed: int) -> Column:
     """Whether a heterozygote's alleles change places: parity of a hash of seed, individual and locus."""
-    return F.pmod(F.xxhash64(F.lit(seed), "ind", "poploc"), F.lit(2)) == 1
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("ind").cast("string"), F.col("poploc").cast("string"))), 1, 1).isin(*"13579bdf")
+
+
+def phased(links: DataFrame, gt: DataFrame, values: DataFrame, value: str, seed: int = 1) -> DataFrame:
+    """(poploc, ind, copy, part): the two copies of each selected genotype, in an order drawn by the seed.
+
+    ``values`` (poploc, popall, value) is what each allele shows; genotypes of
+    more than two alleles are an error.
+    """
+    rows = links.join(gt, ["poploc", "ind"], "left_semi").select("poploc", "ind", "popall").distinct().join(values.select("poploc", "popall", F.col(value).cast("string").alias("v")), ["poploc", "popall"])
+    per = rows.groupBy("poploc", "ind").agg(F.array_sort(F.collect_list(F.struct("popall", "v"))).alias("a"))
+    first = F.when(F.size("a") > 2, F.raise_error(F.lit("a genotype has more than two alleles")).cast("string")).otherwise(F.col("a")[0]["v"])
+    last = F.element_at("a", -1)["v"]
+    swap = phase_swaps(seed)
+    pair = F.array(F.when(swap, last).otherwise(first), F.when(swap, first).otherwise(last))
+    return per.select("poploc", "ind", F.posexplode(pair).alias("copy", "part")).withColumn("copy", F.col("copy") + 1)
 
 
 def locus_offsets(lengths: DataFrame) -> DataFrame:
@@ -122,16 +181,21 @@ def locus_offsets(lengths: DataFrame) -> DataFrame:
     return ends.select("poploc", (F.col("end") - F.col("len") + 1).alias("start"), "end")
 
 
-def alignment(cells: DataFrame, loci: DataFrame, inds: DataFrame, missing: str = "N") -> DataFrame:
-    """(ind, copy, seq): strings of (poploc, ind, copy, part) joined in locus order, missing ones filled.
+def alignment(cells: DataFrame, loci: DataFrame, inds: DataFrame, missing: str = "N", copies: int = 2) -> DataFrame:
+    """(ind, copy, seq): strings of (poploc, ind, copy, part) joined in locus order, what is missing filled.
 
-    ``loci`` has (poploc, len).
+    ``loci`` has (poploc, len).  Parts know their place in the alignment, so the
+    gap before each one is a run of the missing letter; loci and individuals are
+    never crossed.
     """
-    grid = inds.select("ind").join(loci.select("poploc", "len"), F.lit(True))
-    grid = grid.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    full = grid.join(cells, ["poploc", "ind", "copy"], "left").withColumn("part", F.coalesce("part", F.repeat(F.lit(missing), F.col("len"))))
-    per = full.groupBy("ind", "copy").agg(F.array_sort(F.collect_list(F.struct("poploc", "part"))).alias("p"))
-    return per.select("ind", "copy", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("seq"))
+    offsets = locus_offsets(loci)
+    total = offsets.agg(F.coalesce(F.max("end"), F.lit(0))).first()[0]
+    placed = cells.join(offsets, "poploc").groupBy("ind", "copy").agg(F.array_sort(F.collect_list(F.struct("start", "end", "part"))).alias("p"))
+    rows = inds.select("ind").distinct().withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).join(placed, ["ind", "copy"], "left")
+    gap = lambda x, i: x["start"] - 1 - F.when(i > 0, F.get(F.col("p"), i - 1)["end"]).otherwise(0)
+    parts = F.transform("p", lambda x, i: F.concat(F.repeat(F.lit(missing), gap(x, i).cast("int")), x["part"]))
+    tail = F.repeat(F.lit(missing), (F.lit(total) - F.coalesce(F.try_element_at("p", F.lit(-1))["end"], F.lit(0))).cast("int"))
+    return rows.select("ind", "copy", F.concat(F.coalesce(F.array_join(parts, ""), F.lit("")), tail).alias("seq"))
 
 
 def dosage(links: DataFrame, gt: DataFrame, binary: DataFrame) -> DataFrame:
@@ -142,9 +206,9 @@ def dosage(links: DataFrame, gt: DataFrame, binary: DataFrame) -> DataFrame:
 
 def alignment_dosage(dosages: DataFrame, missing: str = "-") -> DataFrame:
     """(ind, seq): dosages joined in locus order."""
-    per = dosages.groupBy("ind").agg(F.map_from_entries(F.collect_list(F.struct("poploc", F.col("dosage").cast("string")))).alias("m"))
-    order = dosages.select("poploc").distinct().agg(F.array_sort(F.collect_list("poploc")).alias("order"))
-    return per.join(F.broadcast(order), F.lit(True)).select("ind", F.array_join(F.transform("order", lambda p: F.coalesce(F.try_element_at(F.col("m"), p), F.lit(missing))), "").alias("seq"))
+    cells = dosages.select("poploc", "ind", F.lit(1).alias("copy"), F.col("dosage").cast("string").alias("part"))
+    loci = dosages.select("poploc").distinct().withColumn("len", F.lit(1))
+    return alignment(cells, loci, dosages.select("ind"), missing, copies=1).select("ind", "seq")
 
 
 def seq_indall(links: DataFrame, gt: DataFrame, popall: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -168,9 +232,14 @@ def seq_individual(links: DataFrame, gt: DataFrame, popall: DataFrame, with_miss
     two = two.withColumn("copy", F.col("copy") + 1)
     if not with_missing:
         return two
+    # All copies of a locus have one length, so a missing cell is filled by it.
     length = two.groupBy("poploc").agg(F.max(F.length("seq")).alias("len"))
-    grid = length.join(gt.select("ind").distinct(), F.lit(True)).select("poploc", "ind", "len", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    return grid.join(two, ["poploc", "ind", "copy"], "left").select("poploc", "ind", "copy", F.coalesce("seq", F.repeat(F.lit(missing), F.col("len"))).alias("seq"))
+    index = individual_index(gt.select("ind"))
+    cells = two.groupBy("poploc", "ind").agg(F.concat_ws("|", F.max(F.when(F.col("copy") == 1, F.col("seq"))), F.max(F.when(F.col("copy") == 2, F.col("seq")))).alias("both"))
+    full = matrix_cells(matrix_rows(cells, "both", index, missing=""), index, "both").join(length, "poploc")
+    gaps = F.repeat(F.lit(missing), F.col("len"))
+    sides = F.when(F.col("both") == "", F.array(gaps, gaps)).otherwise(F.split("both", r"\|"))
+    return full.select("poploc", "ind", F.posexplode(sides).alias("copy", "seq")).withColumn("copy", F.col("copy") + 1)
 
 
 def svars_drilldown(links: DataFrame, svars: DataFrame, allele_seqs: DataFrame) -> DataFrame:

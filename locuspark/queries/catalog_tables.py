@@ -133,14 +133,36 @@ def _two_at_most(db: Db) -> DataFrame:
 def _wide(value: str):
     def run(db: Db) -> DataFrame:
         cells = export.genotype_cells(db.links, db.sel.gt)
-        wide = export.matrix(cells, value)
-        names = [c for c in wide.columns if c != "poploc"]
-        # Long again, so that columns do not depend on the individuals: also shows the missing cells.
-        return wide.unpivot("poploc", names, "ind", value).withColumn("ind", F.col("ind").cast("long"))
+        index = export.individual_index(db.sel.ind)
+        # As cells again, so that the result's columns do not depend on the individuals: also shows the missing ones.
+        return export.matrix_cells(export.matrix_rows(cells, value, index), index, value)
 
     return run
 
 
+def _alignment(db: Db, kind: str) -> DataFrame:
+    """Two sequences an individual: letters of the variable loci, or 0 and 1 of those with two bases."""
+    if kind == "dna":
+        shown = db.seen.filter("popallvar != 'consensus'").withColumnRenamed("popallvar", "part")
+    else:
+        shown = export.gt_biallelic(export.gt_first_snp(db.seen)).select("poploc", "popall", F.col("bin").alias("part"))
+    loci = shown.groupBy("poploc").agg(F.max(F.length(F.col("part").cast("string"))).alias("len"))
+    gt = _two_at_most(db)
+    return export.alignment(export.phased(db.links, gt, shown, "part", seed=5), loci, gt, "N" if kind == "dna" else "-")
+
+
+def _alignment_sql(shown: str, missing: str) -> str:
+    swap = "substr(md5(concat_ws('|', 5, ind, poploc)), 1, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f')"
+    return (
+        f"ok AS (SELECT poploc, ind FROM lk GROUP BY ALL HAVING count(DISTINCT popall) <= 2), sh AS ({shown}), ln AS (SELECT poploc, max(length(part)) AS len FROM sh GROUP BY ALL), "
+        f"ph AS (SELECT poploc, ind, CASE WHEN {swap} THEN list_reverse(v) ELSE v END AS v FROM (SELECT x.poploc, x.ind, list(part ORDER BY x.popall) AS v FROM (SELECT DISTINCT lk.poploc, lk.ind, lk.popall FROM lk JOIN ok USING (poploc, ind)) x JOIN sh USING (poploc, popall) GROUP BY ALL) y) "
+        f"SELECT i.ind, c::BIGINT AS copy, string_agg(coalesce(CASE WHEN c = 1 THEN v[1] ELSE v[-1] END, repeat('{missing}', len::INT)), '' ORDER BY ln.poploc) AS seq FROM ln CROSS JOIN (SELECT DISTINCT ind FROM ok) i CROSS JOIN (VALUES (1), (2)) t(c) LEFT JOIN ph ON ph.poploc = ln.poploc AND ph.ind = i.ind GROUP BY i.ind, c"
+    )
+
+
+_SHOWN = "SELECT DISTINCT poploc, popall, popallvar AS part FROM lk WHERE popallvar <> 'consensus'"
+
+
 def _merge(db: Db) -> DataFrame:
     return population.merge_halves(db.popall, MSL, *OVER)
 
@@ -224,6 +246,8 @@ QUERIES = {
     "gt_renumber": (_q(lambda db: export.gt_renumber(db.seen)), f"{_DIP} SELECT poploc, popall, allele_no FROM nm"),
     "gt_diploid": (_q(lambda db: export.gt_diploid(db.links, _two_at_most(db), export.gt_renumber(db.seen))), f"{_DIP} SELECT poploc, ind, a1, a2 FROM di WHERE k <= 2"),
     "locus_offsets": (_q(lambda db: export.locus_offsets(db.catalogue.select("poploc", F.col("n_snp").alias("len")))), f"{_CAT} SELECT poploc, (sum(n_snp) OVER (ORDER BY poploc) - n_snp + 1)::BIGINT AS start, (sum(n_snp) OVER (ORDER BY poploc))::BIGINT AS end FROM ca"),
+    "alignment_dna": (_q(lambda db: _alignment(db, "dna")), f"{_LINK}, {_alignment_sql(_SHOWN, 'N')}"),
+    "alignment_binary": (_q(lambda db: _alignment(db, "binary")), f"{_SN}, {_alignment_sql('SELECT poploc, popall, bin::VARCHAR AS part FROM bi', '-')}"),
     "alignment_build": (_q(lambda db: export.alignment_dosage(export.dosage(db.links, _two_at_most(db), export.gt_biallelic(export.gt_first_snp(db.seen))))), f"{_SN}, ok AS (SELECT poploc, ind FROM lk GROUP BY ALL HAVING count(DISTINCT popall) <= 2), ds AS (SELECT x.poploc, x.ind, CASE WHEN count(*) = 1 THEN 2 * max(bin) ELSE sum(bin) END AS dosage FROM (SELECT DISTINCT lk.poploc, lk.ind, lk.popall FROM lk JOIN ok ON lk.poploc = ok.poploc AND lk.ind = ok.ind) x JOIN bi ON x.poploc = bi.poploc AND x.popall = bi.popall GROUP BY ALL) SELECT i.ind, string_agg(coalesce(ds.dosage::INT::VARCHAR, '-'), '' ORDER BY l.poploc) AS seq FROM (SELECT DISTINCT poploc FROM ds) l CROSS JOIN (SELECT DISTINCT ind FROM ds) i LEFT JOIN ds ON ds.poploc = l.poploc AND ds.ind = i.ind GROUP BY i.ind"),
     "seq_indall": (_q(lambda db: export.seq_indall(db.links, db.sel.gt, db.popall).drop("grp")), f"{_SEQ} SELECT poploc, popall, ind, n_copies, seq FROM sc2"),
     "seq_nonidentical": (_q(lambda db: export.seq_nonidentical(db.links, db.sel.gt, db.popall)), f"{_LINK} SELECT DISTINCT poploc, popall, seq FROM lk"),

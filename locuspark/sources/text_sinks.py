@@ -9,21 +9,23 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuspark.operators.export import dense
+from locuspark.plans.ordering import numbered, ranked
 
-def write_lines(lines: DataFrame, path: str, one_file: bool = True) -> None:
-    """Lines in order.  One file is written by one task; parts are dealt by range of the number."""
+
+def write_lines(lines: DataFrame, path: str, one_file: bool = False) -> None:
+    """Lines in order, as parts by range of the number; as one file they go through one task."""
     ordered = lines.orderBy("line_no") if not one_file else lines.repartition(1).sortWithinPartitions("line_no")
     ordered.select("line").write.mode("overwrite").text(path)
 
 
 def _lines(*parts: tuple[DataFrame, list[Column]]) -> DataFrame:
-    """Parts (rows with ``line``, their order) one after the other, numbered."""
-    keyed = [df.select(F.lit(i).alias("part"), F.struct(*order).alias("o"), "line") for i, (df, order) in enumerate(parts)]
-    numbered = [k.select("part", F.row_number().over(W.partitionBy("part").orderBy("o")).alias("n"), "line") for k in keyed]
-    return reduce(DataFrame.unionByName, numbered).select((F.col("part") * F.lit(1 << 40) + F.col("n")).alias("line_no"), "line")
+    """Parts (rows with ``line``, their order) one after the other, numbered by ranges of their order."""
+    keyed = [(i, df.select("line", *[o.alias(f"_o{k}") for k, o in enumerate(order)]), len(order)) for i, (df, order) in enumerate(parts)]
+    each = [numbered(df, [F.col(f"_o{k}") for k in range(n)], "n").select((F.lit(i) * F.lit(1 << 40) + F.col("n") + 1).alias("line_no"), "line") for i, df, n in keyed]
+    return reduce(DataFrame.unionByName, each)
 
 
 def _text(df: DataFrame, *lines: str) -> tuple[DataFrame, list[Column]]:
@@ -59,11 +61,12 @@ def phylip(seqs: DataFrame, label: Column, seq: str = "seq") -> DataFrame:
 
 
 def _by_ind(diploid: DataFrame, cell: Column, sep: str, missing: str) -> DataFrame:
-    """(ind, line): cells of (poploc, ind) in locus order."""
-    loci = diploid.select("poploc").distinct()
-    grid = diploid.select("ind").distinct().join(loci, F.lit(True)).join(diploid.select("poploc", "ind", cell.alias("cell")), ["poploc", "ind"], "left")
-    per = grid.groupBy("ind").agg(F.array_sort(F.collect_list(F.struct("poploc", F.coalesce("cell", F.lit(missing)).alias("cell")))).alias("c"))
-    return per.select("ind", F.array_join(F.transform("c", lambda x: x["cell"]), sep).alias("cells"))
+    """(ind, cells): cells of (poploc, ind) in locus order, the missing ones filled by place."""
+    index = ranked(diploid.select("poploc").distinct(), ["poploc"], "place")
+    n = index.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
+    placed = diploid.select("poploc", "ind", cell.alias("cell")).join(index, "poploc").groupBy("ind").agg(F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "cell"))).alias("c"))
+    full = dense(F.col("c.cell"), F.col("c.place"), lambda k: F.array_repeat(F.lit(missing), k), F.lit(n).cast("int"))
+    return placed.select("ind", F.array_join(full, sep).alias("cells"))
 
 
 def structure(diploid: DataFrame, pre: DataFrame | None = None) -> DataFrame:

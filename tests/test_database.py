@@ -114,3 +114,29 @@ def test_selection_report(spark):
     sel = Selection.default(population.link_loci(lk))
     rows = selection.selection_report(sel, sel.restrict(ind=sel.ind.filter("ind = 0"))).collect()
     assert [tuple(r) for r in rows] == [("ind", 3, 1), ("loc", 1, 1), ("gt", 3, 1)]
+
+
+def test_phased_copies_and_alignment_without_crossing(spark):
+    lk = links(spark, [(i, 1, a, 1, a, v, 5.0) for i in range(40) for a, v in ((1, "AC"), (2, "GT"))] + [(50, 1, 1, 2, 3, "T", 5.0)])
+    gt = lk.select("poploc", "ind").distinct()
+    values = lk.select("poploc", "popall", "popallvar").distinct()
+    one, two = (export.phased(lk, gt, values, "popallvar", seed) for seed in (1, 2))
+    got = {(r["ind"], r["copy"]): r["part"] for r in one.filter("poploc = 1").collect()}
+    assert all({got[i, 1], got[i, 2]} == {"AC", "GT"} for i in range(40)) and len({got[i, 1] for i in range(40)}) == 2
+    assert sorted(map(tuple, one.collect())) != sorted(map(tuple, two.collect()))
+    seqs = export.alignment(one, values.groupBy("poploc").agg(F.max(F.length("popallvar")).alias("len")), gt)
+    assert "CartesianProduct" not in seqs._jdf.queryExecution().toString() and "BroadcastNestedLoopJoin" not in seqs._jdf.queryExecution().toString()
+    rows = {(r["ind"], r["copy"]): r["seq"] for r in seqs.collect()}
+    assert len(rows) == 82 and rows[50, 1] == rows[50, 2] == "NNT" and {rows[i, 1][:2] for i in range(40)} == {"AC", "GT"} and rows[0, 1][2] == "N"
+
+
+def test_matrix_of_fifty_thousand_individuals(spark):
+    n = 50_000
+    cells = spark.range(n).filter("id % 7 <> 3").select((F.col("id") % 2).alias("poploc"), F.col("id").alias("ind"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("alleles"))
+    index = export.individual_index(spark.range(n).select(F.col("id").alias("ind")))
+    rows = export.matrix_rows(cells, "alleles", index)
+    assert rows.count() == 100 and rows.agg(F.min(F.size("cells")), F.max(F.size("cells"))).first() == (1000, 1000)
+    bad = export.matrix_cells(rows, index, "alleles").filter(F.col("alleles") != F.when((F.col("ind") % 7 != 3) & (F.col("ind") % 2 == F.col("poploc")), F.concat(F.lit("v"), F.col("ind").cast("string"))).otherwise("-999"))
+    assert bad.count() == 0
+    lines = export.matrix_lines(export.matrix_rows(cells.filter("ind < 5"), "alleles", export.individual_index(spark.range(5).select(F.col("id").alias("ind"))), block=2))
+    assert {r["line"] for r in lines.collect()} == {"0\tv0\t-999\tv2\t-999\tv4", "1\t-999\tv1\t-999\t-999\t-999"}
