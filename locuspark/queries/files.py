@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.operators import depth, export, indel, population, reads_qc, simulate
-from locuspark.plans.scratch import scratch_dir
+from locuspark.plans.scratch import materialize, scratch_dir
 from locuspark.queries.catalog_tables import _DIP, _LINK, _MMM, _POP, _SEQ, Db, _long, _q, _two_at_most
 from locuspark.queries.fixtures import BARCODES, Fixture
 from locuspark.sources import fastq, tables, text_sinks
@@ -24,11 +24,29 @@ def _written(f: Fixture, lines: DataFrame) -> str:
     return path
 
 
+def _files(f: Fixture, lines: DataFrame) -> list[str]:
+    """Text files of one column, one for each task, in the order of the tasks."""
+    path = f"{scratch_dir(f.spark)}/{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return sorted(f.spark.read.text(path).inputFiles())
+
+
+def _in_small_splits(f: Fixture, read) -> DataFrame:
+    """What is read, written anew, with files cut into splits of 400,000 bytes."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = f.spark.conf.get(name)
+    f.spark.conf.set(name, "400000")
+    try:
+        return materialize(read())
+    finally:
+        f.spark.conf.set(name, before)
+
+
 def scan_fastq(f: Fixture) -> DataFrame:
-    """Reads written as four lines each and scanned again."""
+    """Reads written as four lines each and scanned again, in many splits."""
     record = F.concat_ws("\n", F.concat(F.lit("@r_"), "o", F.lit("_"), "i", F.lit("_"), "tl"), "seq", F.lit("+"), "qual")
-    path = _written(f, f.reads_q.select(record.alias("line")))
-    back = fastq.read(f.spark, [path])
+    paths = _files(f, f.reads_q.select(record.alias("line")))
+    back = _in_small_splits(f, lambda: fastq.read(f.spark, paths).select("header", "seq", "qual"))
     return back.groupBy("header", "seq", "qual").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -97,10 +115,11 @@ def _frame(f: Fixture, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def scan_fastq_pair(f: Fixture) -> DataFrame:
-    """Mates written to two sets of records and matched by their place."""
-    rows = f.mates.withColumn("name", F.concat_ws("_", F.lit("@p"), "o", "i", "tl")).coalesce(1)
-    paths = tuple(_written(f, rows.select(F.concat_ws("\n", "name", f"{s}_seq", F.lit("+"), f"{s}_qual").alias("line"))) for s in ("f", "r"))
-    return fastq.read_pairs(f.spark, [paths]).groupBy("f_header", "r_header", "f_seq", "r_seq").agg(F.count(F.lit(1)).alias("n"))
+    """Mates written to two sets of files and matched by their place."""
+    rows = f.mates.withColumn("name", F.concat_ws("_", F.lit("@p"), "o", "i", "tl"))
+    paths = [_files(f, rows.select(F.concat_ws("\n", "name", f"{s}_seq", F.lit("+"), f"{s}_qual").alias("line"))) for s in ("f", "r")]
+    back = _in_small_splits(f, lambda: fastq.read_pairs(f.spark, list(zip(*paths, strict=True))).select("f_header", "r_header", "f_seq", "r_seq"))
+    return back.groupBy("f_header", "r_header", "f_seq", "r_seq").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scan_settings_kv(f: Fixture) -> DataFrame:

@@ -1,10 +1,12 @@
 """FASTQ files, plain or gzip, single or in pairs, read and written by Spark's text source.
 
 Files may lie in any store that Spark reads.  Plain files are split among
-tasks, gzip files are one split each.  Reading numbers the lines of each file
-from the splits they come from and groups them by four; writing is one text row
-a record, so it needs no shuffle, and records can be parted into folders by any
-columns.
+tasks, gzip files are one split each.  A first pass counts the lines of each
+split and keeps the few at its ends; so every split knows at which line of a
+record it begins, and a second pass forms records within their splits, without a
+shuffle.  Only records that lie across an end of a split are put together by a
+join of those few lines.  Writing is one text row a record, so it needs no
+shuffle either, and records can be parted into folders by any columns.
 
 ``spark.read.format("fastq")`` is the same for files that the executors see by
 local paths, one partition a file and without a shuffle.
@@ -23,10 +25,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from locuspark.plans.scratch import materialize
+
 PARTS = ("header", "seq", "plus", "qual")
 SCHEMA = "file_no int, record_no long, header string, seq string, plus string, qual string"
 #: Records that the data source hands on together.
 BATCH = 10_000
+#: Most splits of which the line counts (16 bytes each) are broadcast; beyond, they are joined.
+SPLITS = 1 << 20
 
 
 class _File(InputPartition):
@@ -75,6 +81,73 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqSource)
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
+    """(split, first row, last row + 1) of the rows of one split that come together."""
+    path, start = batch.column("path").to_pylist(), batch.column("start").to_pylist()
+    a = 0
+    while a < len(path):
+        # Rows of a split are not mixed with others, so most batches are one run.
+        b = len(path) if (path[-1], start[-1]) == (path[a], start[a]) else next(k for k in range(a, len(path)) if (path[k], start[k]) != (path[a], start[a]))
+        yield (path[a], start[a]), a, b
+        a = b
+
+
+def _ends(keys: list[str]):
+    """For each split: its number of lines, and the first and the last three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lines, first, last, own = None, 0, [], [], []
+        names = [*keys, "path", "start", "lines", "first", "last"]
+
+        def done() -> pa.RecordBatch:
+            rest = [pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int64()), pa.array([lines], pa.int64()), *(pa.array([x], pa.list_(pa.string())) for x in (first, last))]
+            return pa.RecordBatch.from_arrays([*own, *rest], names=names)
+
+        for batch in batches:
+            value = batch.column("value")
+            for split, a, b in _runs(batch):
+                if split != now:
+                    if now:
+                        yield done()
+                    now, lines, first, last = split, 0, [], []
+                    own = [batch.column(k).slice(a, 1) for k in keys]
+                if len(first) < 3:
+                    first = (first + value.slice(a, min(3, b - a)).to_pylist())[:3]
+                last = (last + value.slice(max(a, b - 3), min(3, b - a)).to_pylist())[-3:]
+                lines += b - a
+        if now:
+            yield done()
+
+    return run
+
+
+def _records(keys: list[str]):
+    """Records that lie in one split; ``before`` is the number of lines of the file before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, carry = None, 0, None
+        for batch in batches:
+            for split, a, b in _runs(batch):
+                value = batch.column("value").slice(a, b - a)
+                if split != now:
+                    now, at, carry = split, batch.column("before")[a].as_py(), None
+                    skip = -at % 4  # lines of a record that began before
+                if skip:
+                    gone = min(skip, len(value))
+                    value, skip, at = value.slice(gone), skip - gone, at + gone
+                if carry is not None and len(carry):
+                    value = pa.concat_arrays([carry, value])
+                n = len(value) // 4
+                carry = value.slice(4 * n)
+                if n:
+                    each = [value.take(pa.array(range(k, 4 * n, 4), pa.int64())) for k in range(4)]
+                    own = [pa.concat_arrays([batch.column(k).slice(a, 1)] * n) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([split[0]] * n, pa.string()), pa.array(range(at // 4, at // 4 + n), pa.int64()), *each], names=[*keys, "path", "record_no", *PARTS])
+                    at += 4 * n
+
+    return run
+
+
 def read_folder(spark: SparkSession, paths: str | list[str], keys: list[str] | None = None) -> DataFrame:
     """(path, keys, record_no, header, seq, plus, qual) of files or folders of files, numbered from 0 within each file.
 
@@ -83,18 +156,29 @@ def read_folder(spark: SparkSession, paths: str | list[str], keys: list[str] | N
     of lines than a multiple of four, or a record without ``@``, is an error.
     """
     keys = keys or []
-    lines = spark.read.text(paths).select("value", *keys, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.withColumn("n", F.row_number().over(W.partitionBy("path", "start").orderBy("at")))
-    # One row for each split of a file: the number of lines before it.
-    splits = lines.groupBy("path", "start").agg(F.max("n").alias("lines"))
+    lines = spark.read.text(paths).select(*keys, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.rtrim("value", F.lit("\r")).alias("value"))
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields if f.name in keys]
+    ends = materialize(lines.mapInArrow(_ends(keys), ", ".join([*own, "path string, start long, lines long, first array<string>, last array<string>"])))
     before = F.coalesce(F.sum("lines").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = lines.join(splits.select("path", "start", before.alias("before")), ["path", "start"]).withColumn("line", F.col("before") + F.col("n") - 1)
-    four = numbered.groupBy("path", *keys, F.floor(F.col("line") / 4).alias("record_no"))
-    rows = four.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("line") % 4 == k, F.rtrim(F.col("value"), F.lit("\r")))).alias(c) for k, c in enumerate(PARTS)])
+    counts = materialize(ends.select("path", "start", before.alias("before")))
+    split = F.xxhash64("path", "start")
+    small = counts.select(split.alias("split"), "before")
+    known = lines.withColumn("split", split).join(F.broadcast(small) if small.count() <= SPLITS else small, "split").drop("split")
+    inner = known.mapInArrow(_records(keys), ", ".join([*own, "path string, record_no long", *(f"{c} string" for c in PARTS)])).withColumn("n", F.lit(4).cast("long"))
+
+    # The lines of records that are not whole in one split.
+    rows = ends.join(counts, ["path", "start"])
+    place = lambda x, i, shift: F.struct((shift + i).alias("i"), x.alias("value"))
+    few = F.array_distinct(F.concat(F.transform("first", lambda x, i: place(x, i, F.lit(0).cast("long"))), F.transform("last", lambda x, i: place(x, i, F.col("lines") - F.size("last")))))
+    few = rows.select(*keys, "path", "before", "lines", F.explode(few).alias("x")).withColumn("line", F.col("before") + F.col("x.i")).withColumn("record_no", F.floor(F.col("line") / 4))
+    few = few.filter((F.col("record_no") * 4 < F.col("before")) | (F.col("record_no") * 4 + 3 >= F.col("before") + F.col("lines")))
+    crossing = few.groupBy(*keys, "path", "record_no").agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("x.value"))).alias(c) for k, c in enumerate(PARTS)], F.count(F.lit(1)).alias("n"))
+
+    all_ = inner.unionByName(crossing)
     blank = (F.col("n") < 4) & (F.concat_ws("", *PARTS) == "")
     whole = (F.col("n") == 4) & F.col("header").startswith("@")
     checked = F.when(whole, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("a record is not complete in "), F.col("path"))).cast("string"))
-    return rows.filter(~blank).select("path", *keys, "record_no", checked.alias("header"), "seq", "plus", "qual")
+    return all_.filter(~blank).select("path", *keys, "record_no", checked.alias("header"), "seq", "plus", "qual")
 
 
 def _uri(path: str) -> str:

@@ -119,3 +119,30 @@ def test_simulated_loci_are_apart_from_all_others():
     assert len(loci) == 40 and all(sum(a != b for a, b in zip(x, y, strict=True)) >= 18 for i, x in enumerate(loci) for y in loci[:i])
     with pytest.raises(ValueError, match="loci that are"):
         simulate.sim_loci(simulate.Settings(loci=40, length=20, least_distance=20), random.Random(1))
+
+
+@pytest.mark.parametrize("split", ["60", "333", "100000"])
+def test_records_across_splits_of_any_size(spark, tmp_path, split):
+    lines = [x for i in range(10) for x in (f"@r{i}", "ACGT" * (i % 9 + 1), "+", "@" * (4 * (i % 9 + 1)))]
+    (tmp_path / "a.fq").write_text("\n".join(lines) + "\n\n")
+    (tmp_path / "b.fq").write_text("\r\n".join(lines[:16]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = fastq.read(spark, [str(tmp_path / "a.fq"), str(tmp_path / "b.fq")])
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(f, i, *lines[4 * i : 4 * i + 4]) for f, n in ((0, 10), (1, 4)) for i in range(n)]
+    # The lines meet no exchange: what is exchanged is read from the short tables of the first pass.
+    for part in plan.split("Union")[1:]:
+        scan = part.split("MapInArrow")
+        assert len(scan) == 2 and "Exchange" not in scan[1].split("BroadcastExchange")[0]
+
+
+def test_broken_records_are_errors(spark, tmp_path):
+    for k, text in enumerate(("@a\nAC\n+\n", "@a\nAC\n+\nII\nb\nAC\n+\nII\n")):
+        (tmp_path / f"{k}.fq").write_text(text)
+        with pytest.raises(Exception, match="not complete"):
+            fastq.read(spark, [str(tmp_path / f"{k}.fq")]).collect()
