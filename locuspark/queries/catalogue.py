@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.queries import catalog_tables, files, loci, reads
+from locuspark.queries import catalog_tables, chain, files, loci, reads
 from locuspark.queries.fixtures import Fixture, duckdb_views
 
-_PARTS = [reads.QUERIES, loci.QUERIES, catalog_tables.QUERIES, files.QUERIES]
+_PARTS = [reads.QUERIES, loci.QUERIES, catalog_tables.QUERIES, files.QUERIES, chain.QUERIES]
 
 
 def _query(run: Callable[[Fixture], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
