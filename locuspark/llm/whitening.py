@@ -40,11 +40,14 @@ _MOST = float(1 << 62)
 _LOW = (1 << 20) - 1
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector has entries, all of them finite."""
+    return (F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+
+
 def fixed(vector: Column) -> Column:
-    """The entries as whole numbers; null unless all entries are finite."""
-    v = vector.cast("array<double>")
-    good = (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return F.when(good, F.transform(v, lambda c: F.floor(F.greatest(F.least(c * SCALE, F.lit(_MOST)), F.lit(-_MOST))).cast("long") + F.lit(SHIFT).cast("long")))
+    """The entries of a finite vector as whole numbers."""
+    return F.transform(vector, lambda c: F.floor(F.greatest(F.least(c.cast("double") * SCALE, F.lit(_MOST)), F.lit(-_MOST))) + F.lit(SHIFT).cast("long"))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -142,11 +145,11 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     spark = rows.sparkSession
     names = fresh([id_col], "component", "n", "deviation", "whitened", "explained", "identity_error")
     schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), *[T.StructField(c, t()) for c, t in zip(names, (T.IntegerType, T.LongType, T.LongType, T.DoubleType, T.DoubleType, T.DoubleType), strict=True)]])
-    usable = rows.select(col(id_col).alias("id"), fixed(col(vector_col)).alias("x")).filter("x is not null")
-    size = usable.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    found = rows.select(col(id_col).alias("id"), col(vector_col).alias("v")).filter(finite(F.col("v")))
+    size = found.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if size is None:
         return spark.createDataFrame([], schema)
-    usable = usable.filter(F.size("x") == size["d"])
+    usable = found.filter(F.size("v") == size["d"]).select("id", fixed(F.col("v")).alias("x"))
     fit = materialize(usable.select("x").distinct())
     n, sums = _fit_sums(fit, size["d"])
     _, covariance = _moments(fit, n, sums, None)
