@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.functions import sequence as S
+from locuspark.plans.scratch import materialize
+from locuspark.sources import fastq
 
 
 def phred_histogram(reads: DataFrame, keys: list[str], offset: int = 33) -> DataFrame:
@@ -43,3 +45,27 @@ def phred_filter_report(reads: DataFrame, key: str, limits: list[tuple[int, int]
     """(key, n_seq, n_bad, prop_bad, n_good)."""
     r = reads.groupBy(key).agg(F.count(F.lit(1)).alias("n_seq"), F.count_if(~passes(F.col("qual"), limits, offset)).alias("n_bad"))
     return r.select(key, "n_seq", "n_bad", (F.col("n_bad") / F.col("n_seq")).alias("prop_bad"), (F.col("n_seq") - F.col("n_bad")).alias("n_good"))
+
+
+def write_filtered(reads: DataFrame, limits: list[tuple[int, int]], path: str, key: str, compress: bool = False, offset: int = 33) -> DataFrame:
+    """Writes the reads that pass as FASTQ, in a folder for each value of ``key``; gives the report of the filter.
+
+    Nothing is shuffled for the files: every task writes what passes of its reads.
+    """
+    fastq.write(phred_pos_filter(reads, limits, offset), path, [key], compress)
+    return phred_filter_report(reads, key, limits, offset)
+
+
+def write_filtered_pairs(pairs: DataFrame, forward: list[tuple[int, int]], reverse: list[tuple[int, int]], path: str, key: str, compress: bool = False, offset: int = 33) -> DataFrame:
+    """The same for mates (f_ and r_ of header, seq and qual), in folders ``f`` and ``r``: pairs of which both pass.
+
+    The pairs are written once before, so both sides come from the same parts and
+    mates stand at the same place of files of the same number.
+    """
+    good = materialize(phred_pos_filter_pair(pairs, forward, reverse, offset))
+    for side in "fr":
+        fastq.write(good, f"{path}/{side}", [key], compress, f"{side}_header", f"{side}_seq", f"{side}_qual")
+    n = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_seq"))
+    kept = good.groupBy(key).agg(F.count(F.lit(1)).alias("n_good"))
+    r = n.join(kept, key, "left").withColumn("n_good", F.coalesce("n_good", F.lit(0)))
+    return r.select(key, "n_seq", (F.col("n_seq") - F.col("n_good")).alias("n_bad"), (1 - F.col("n_good") / F.col("n_seq")).alias("prop_bad"), "n_good")

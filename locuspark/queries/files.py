@@ -12,6 +12,7 @@ from locuspark.operators import depth, export, indel, population, reads_qc, simu
 from locuspark.plans.scratch import materialize, scratch_dir
 from locuspark.queries.catalog_tables import _DIP, _LINK, _MMM, _POP, _SEQ, Db, _long, _q, _two_at_most
 from locuspark.queries.fixtures import BARCODES, Fixture
+from locuspark.queries.reads import LIMITS
 from locuspark.sources import fastq, tables, text_sinks
 
 SIM = simulate.Settings(inds=6, loci=20, reads=8, length=60, least_distance=12, mate=80, mutations=2, indels=4, error=0.01, unknown=0.002, seed=5)
@@ -122,6 +123,46 @@ def scan_fastq_pair(f: Fixture) -> DataFrame:
     return back.groupBy("f_header", "r_header", "f_seq", "r_seq").agg(F.count(F.lit(1)).alias("n"))
 
 
+def phred_filter_written(f: Fixture) -> DataFrame:
+    """Reads that pass the positional filter, written by file and scanned again, beside the report."""
+    path = f"{scratch_dir(f.spark)}/{uuid.uuid4().hex}"
+    reads = f.reads_q.select((F.col("ind") % 5).cast("int").alias("file"), F.concat_ws("_", F.lit("@r"), "ind", "o", "i", "tl").alias("header"), "seq", "qual")
+    report = reads_qc.write_filtered(reads, LIMITS, path, "file", compress=True)
+    back = fastq.read_folder(f.spark, path, ["file"]).groupBy("file").agg(F.count(F.lit(1)).alias("n_written"), F.min("header").alias("first"), F.max("header").alias("last"), F.max("qual").alias("most"))
+    return _long(report.select("file", "n_seq", "n_bad", "n_good").join(back, "file"))
+
+
+def phred_filter_pair_written(f: Fixture) -> DataFrame:
+    """Pairs of which both mates pass, written as two sets of files and matched by their place."""
+    path = f"{scratch_dir(f.spark)}/{uuid.uuid4().hex}"
+    header = lambda n: F.concat_ws("_", F.lit("@p"), "ind", "o", "i", "tl", F.lit(n)).alias
+    pairs = f.mates.select((F.col("ind") % 3).cast("int").alias("file"), header("1")("f_header"), "f_seq", "f_qual", header("2")("r_header"), "r_seq", "r_qual")
+    reads_qc.write_filtered_pairs(pairs, [(1, 20), (3, 18)], [(2, 16)], path, "file")
+    sides = [sorted(f.spark.read.text(f"{path}/{s}").inputFiles()) for s in "fr"]
+    both = fastq.read_pairs(f.spark, list(zip(*sides, strict=True)))
+    return both.select("f_header", "r_header", "f_seq", "r_seq").groupBy("f_header", "r_header", "f_seq", "r_seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sink_structure_columns(f: Fixture) -> DataFrame:
+    """STRUCTURE lines with columns of a user's table after the names."""
+    db = Db(f)
+    lines = db.sel.ind.select(F.concat_ws("\t", F.col("ind").cast("string"), (F.col("ind") % 3).cast("string"), F.concat(F.lit("site"), (F.col("ind") % 4).cast("string"))).alias("line"))
+    user = tables.user_groups(f.spark, _written(f, lines), db.sel.ind, more=["pop", "site"])
+    return _only(text_sinks.structure(_diploid(db), user.select("ind", F.concat_ws("\t", "pop", "site").alias("columns"))))
+
+
+def svars_fasta(f: Fixture) -> DataFrame:
+    """Alleles and svars of each locus and individual as FASTA files by locus, scanned again."""
+    db = Db(f)
+    svars = f.reads.groupBy("ind", F.col("tl").alias("loc"), "seq").agg(F.count(F.lit(1)).alias("depth")).withColumn("svarcat", F.when(F.col("depth") > 1, "used").otherwise("discarded"))
+    rows = export.svars_drilldown(db.links, svars, f.alleles)
+    path = f"{scratch_dir(f.spark)}/{uuid.uuid4().hex}"
+    label = F.concat_ws("_", "ind", "kind", F.col("depth").cast("long").cast("string"))
+    text_sinks.write_fasta(rows, label, path, ["poploc"], [F.col(c) for c in ("ind", "kind", "seq", "depth")])
+    back = f.spark.read.text(path)
+    return back.filter("value like '>%'").groupBy("poploc", F.col("value").alias("header")).agg(F.count(F.lit(1)).alias("n")).unionByName(back.filter("value not like '>%'").groupBy("poploc", F.lit("").alias("header")).agg(F.count(F.lit(1)).alias("n"))).withColumn("poploc", F.col("poploc").cast("long"))
+
+
 def scan_settings_kv(f: Fixture) -> DataFrame:
     got = tables.settings("sites GATC # the site\nbarcodes\n\ntrunc 28", {"sites", "barcodes", "trunc"})
     return _frame(f, sorted(got.items()), "key string, value string")
@@ -167,7 +208,13 @@ UNION ALL SELECT '}' FROM pops
 UNION ALL SELECT ind || ' 1 ' || string_agg(coalesce(a1::VARCHAR, '?'), ' ' ORDER BY poploc) FROM gd GROUP BY ind
 UNION ALL SELECT '    ' || string_agg(coalesce(a2::VARCHAR, '?'), ' ' ORDER BY poploc) FROM gd GROUP BY ind"""
 
+_GOOD_READ = " AND ".join(f"ascii(substr(qual, {p}, 1)) >= {33 + least}" for p, least in LIMITS)
+
 QUERIES = {
+    "phred_filter_written": (phred_filter_written, f"SELECT ind % 5 AS file, count(*) AS n_seq, count(*) FILTER (NOT ({_GOOD_READ})) AS n_bad, count(*) FILTER ({_GOOD_READ}) AS n_good, count(*) FILTER ({_GOOD_READ}) AS n_written, min(h) FILTER ({_GOOD_READ}) AS first, max(h) FILTER ({_GOOD_READ}) AS last, max(qual) FILTER ({_GOOD_READ}) AS most FROM (SELECT *, concat_ws('_', '@r', ind, o, i, tl) AS h FROM v_reads) r GROUP BY ind % 5"),
+    "phred_filter_pair_written": (phred_filter_pair_written, "SELECT concat_ws('_', '@p', ind, o, i, tl, 1) AS f_header, concat_ws('_', '@p', ind, o, i, tl, 2) AS r_header, f_seq, r_seq, count(*) AS n FROM v_mates WHERE ascii(substr(f_qual, 1, 1)) >= 53 AND ascii(substr(f_qual, 3, 1)) >= 51 AND ascii(substr(r_qual, 2, 1)) >= 49 GROUP BY ALL"),
+    "sink_structure_columns": (sink_structure_columns, f"{_GRID} SELECT ind || chr(9) || ind % 3 || chr(9) || 'site' || ind % 4 || chr(9) || string_agg(coalesce(a1::VARCHAR, '-9'), chr(9) ORDER BY poploc) AS line FROM gd GROUP BY ind UNION ALL SELECT ind || chr(9) || ind % 3 || chr(9) || 'site' || ind % 4 || chr(9) || string_agg(coalesce(a2::VARCHAR, '-9'), chr(9) ORDER BY poploc) FROM gd GROUP BY ind"),
+    "svars_fasta": (svars_fasta, f"{_LINK}, dd AS (SELECT poploc, ind, 'allele' AS kind, depth::BIGINT AS depth FROM lk UNION ALL SELECT l.poploc, l.ind, CASE WHEN s.depth > 1 THEN 'used' ELSE 'discarded' END, s.depth FROM ll l JOIN (SELECT ind, tl AS loc, seq, count(*) AS depth FROM v_reads GROUP BY ALL) s ON l.ind = s.ind AND l.loc = s.loc) SELECT poploc, '>' || ind || '_' || kind || '_' || depth AS header, count(*) AS n FROM dd GROUP BY ALL UNION ALL SELECT poploc, '', count(*) FROM dd GROUP BY poploc"),
     "scan_fastq": (scan_fastq, "SELECT concat('@r_', o, '_', i, '_', tl) AS header, seq, qual, count(*) AS n FROM v_reads GROUP BY ALL"),
     "scan_dist_table_ind": (scan_dist_table_ind, "SELECT * FROM (VALUES (32::BIGINT, 3::BIGINT, 4::BIGINT), (140::BIGINT, 12::BIGINT, 15::BIGINT)) t(sl, hapdist, rarehapdist)"),
     "scan_filter_positions": (scan_filter_positions, "SELECT * FROM (VALUES ('f', 1::BIGINT, 20::BIGINT), ('r', 5::BIGINT, 15::BIGINT)) t(strand, pos, min_score)"),

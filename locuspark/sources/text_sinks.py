@@ -38,6 +38,16 @@ def fasta(seqs: DataFrame, label: Column, seq: str = "seq", order: list[Column]
     return _lines((rows, [F.col(c) for c in rows.columns if c.startswith("_")]))
 
 
+def write_fasta(seqs: DataFrame, label: Column, path: str, keys: list[str], order: list[Column], seq: str = "seq") -> None:
+    """Sequences as FASTA, in a folder for each value of ``keys``, in order within it; a folder's rows stay in one file up to a task's share.
+
+    Rows are dealt by ranges of keys and order, so a large folder is written by several tasks, in parts in order.
+    """
+    rows = seqs.select(*keys, F.concat(F.lit(">"), label, F.lit("\n"), F.col(seq)).alias("line"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    by = [*keys, *[f"_o{i}" for i in range(len(order))]]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).select("line", *keys).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
 def _counts(seqs: DataFrame, seq: str) -> tuple[int, int]:
     n, length = seqs.agg(F.count(F.lit(1)), F.max(F.length(seq))).first()
     return n, length or 0
