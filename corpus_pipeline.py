@@ -16,7 +16,12 @@ from locuspark.plans.scratch import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject.
+
+    A null or empty text has a score as any other; repeated rows are judged alike;
+    without labels, or without documents, nothing is rejected; columns may have
+    any names and come as they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     aside = toxicity.held_out(F.col("doc_id"))
     model = toxicity.train(docs.filter(~aside), labels.filter(~aside))
@@ -25,23 +30,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that recur from other documents."""
+    """Documents without lines that recur from other documents; ``n_chars`` follows the text.
+
+    A null text stays null and an empty one empty; copies of one text keep and
+    lose the same lines; an empty table stays empty; other columns come as they are.
+    """
     out = line_templates.drop_recurring(docs)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that with the least id.
+
+    Null, empty and blank texts are one text each, so one of them stays; of
+    repeated rows one stays; an empty table stays empty; columns come as they are.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is one of its own; documents without words are taken in whole
+    epochs only; equal rows share what the mix takes of them; an empty table stays
+    empty; columns of any names come as they are.
+    """
     return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
+    """The pieces of all documents in sequences of 1024 tokens.
+
+    A null or empty text is its end token alone; repeated rows are documents of
+    their own; texts of any length are packed whole; an empty table gives no piece.
+    """
     return packing.pack(docs, tokenizer_folder())
 
 

@@ -92,3 +92,35 @@ def test_links_within_a_block_count_once(spark, monkeypatch):
 
     out = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {(r["n_text_links"], r["n_links"]) for r in out} == {(1, 1)}
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Most pairs here lie between 0.8 and 0.9, where bands and pruning would lose the first ones."""
+    rng = random.Random(6)
+    rows, want, hard = [], 0, 0
+    for g in range(150):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([60, 120, 300]))]
+        own = []
+        for _ in range(4):
+            w = list(base)
+            at, run = rng.randrange(len(w)), rng.randrange(1, max(2, len(w) // 14))
+            w[at : at + run] = [f"x{rng.randrange(10**6)}" for _ in range(run)]
+            own.append(" ".join(w))
+        s = [sets(t) for t in own]
+        for a in range(4):
+            for b in range(a):
+                likeness = len(s[a] & s[b]) / len(s[a] | s[b])
+                want += likeness >= 0.8
+                hard += 0.8 <= likeness < 0.9
+        rows += [(len(rows) + i, t, "") for i, t in enumerate(own)]
+    found = sum(r["n_text_links"] for r in J.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) / 2
+    assert hard > 150 and 0.999 * want <= found <= want
+
+
+def test_very_long_texts_string_ids_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [("b", long, "x"), ("a", long + " end", "x"), ("c", "other words that are only here", "x")]
+    out = J.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string, same string")).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_text_links"]) for r in out} == {("a", "a", 1), ("b", "a", 1), ("c", "c", 0)}
+    kept = J.one_of_each(spark.createDataFrame(rows, "doc_id string, text string, same string"))
+    assert kept.columns == ["doc_id", "text", "same"] and {r["doc_id"] for r in kept.collect()} == {"a", "c"}
