@@ -95,7 +95,7 @@ def test_links_within_a_block_count_once(spark, monkeypatch):
 
 
 def test_recall_of_pairs_near_the_threshold(spark):
-    """Most pairs here lie between 0.8 and 0.9, where bands and pruning would lose the first ones."""
+    """Many pairs here lie between 0.8 and 0.9, where bands and pruning would lose the first ones."""
     rng = random.Random(6)
     rows, want, hard = [], 0, 0
     for g in range(150):
