@@ -61,17 +61,17 @@ def _double_pieces(rows: DataFrame, keys: list[str], ignore_n: bool) -> DataFram
     return each.select(*keys, "sl", "seq", "planes", (F.col("i") * (F.size("all") + 1) + F.col("j")).alias("k"), F.explode(two).alias("piece"))
 
 
-def _heavy(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def heavy_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """(on, l_blocks, r_blocks) of the keys that join too many rows."""
     n = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
     both = n(left, "l").withColumn("r", F.col("l")) if left is right else n(left, "l").join(n(right, "r"), on)
     return materialize(both.filter(F.col("l") * F.col("r") > HEAVY * HEAVY).select(*on, F.ceil(F.col("l") / HEAVY).cast("int").alias("l_blocks"), F.ceil(F.col("r") / HEAVY).cast("int").alias("r_blocks")))
 
 
-def _blocked(pieces: DataFrame, heavy: DataFrame, on: list[str], own: str, other: str) -> DataFrame:
+def blocked(pieces: DataFrame, heavy: DataFrame, on: list[str], own: str, other: str, by: str = "seq") -> DataFrame:
     """Rows of heavy keys in a block of their own side, once for each block of the other; rows of other keys as they are."""
     rows = pieces.join(heavy, on, "left")
-    block = F.pmod(F.xxhash64("seq"), F.coalesce(own, F.lit(1)))
+    block = F.pmod(F.xxhash64(by), F.coalesce(own, F.lit(1)))
     rows = rows.withColumn("block", block).withColumn("meets", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
     return rows.drop("l_blocks", "r_blocks")
 
@@ -82,7 +82,7 @@ def dealt(left: DataFrame, right: DataFrame, keys: list[str], ignore_n: bool) ->
     same = left is right
     lp = materialize(_pieces(left, keys, ignore_n))
     rp = lp if same else materialize(_pieces(right, keys, ignore_n))
-    heavy = _heavy(lp, rp, on)
+    heavy = heavy_keys(lp, rp, on)
     plain = lambda df: df.withColumn("block", F.lit(0).cast("long")).withColumn("meets", F.lit(0))
     if heavy.isEmpty():
         return [(plain(lp), plain(rp))]
@@ -90,8 +90,8 @@ def dealt(left: DataFrame, right: DataFrame, keys: list[str], ignore_n: bool) ->
     touched = lambda rows, p: rows.join(p.join(heavy, on, "left_semi").select(*keys, "seq").distinct(), [*keys, "seq"], "left_semi")
     ld = materialize(_double_pieces(touched(left, lp), keys, ignore_n))
     rd = ld if same else materialize(_double_pieces(touched(right, rp), keys, ignore_n))
-    more = _heavy(ld, rd, on)
-    return [(light[0], light[1]), (_blocked(ld, more, on, "l_blocks", "r_blocks"), _blocked(rd, more, on, "r_blocks", "l_blocks"))]
+    more = heavy_keys(ld, rd, on)
+    return [(light[0], light[1]), (blocked(ld, more, on, "l_blocks", "r_blocks"), blocked(rd, more, on, "r_blocks", "l_blocks"))]
 
 
 def _pairs(a: DataFrame, b: DataFrame, keys: list[str], ignore_n: bool) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.operators import depth, export, indel, population, reads_qc, simulate
+from locuspark.plans.ordering import ranked
 from locuspark.plans.scratch import materialize, scratch_dir
 from locuspark.queries.catalog_tables import _DIP, _LINK, _MMM, _POP, _SEQ, Db, _long, _q, _two_at_most
 from locuspark.queries.fixtures import BARCODES, Fixture
@@ -94,6 +95,18 @@ def _name() -> Column:
     return F.concat_ws("_", F.col("poploc").cast("string"), F.col("popall").cast("string"))
 
 
+def _gapped(f: Fixture) -> DataFrame:
+    """(id, seq): the different sequences of the reads, without N, every seventh with letters put in."""
+    return f.stage("gapped", lambda: ranked(f.reads.select(F.expr(_GAPPED).alias("seq")).distinct(), ["seq"], "id"))
+
+
+def indel_greedy(f: Fixture) -> DataFrame:
+    """Sequences of lengths from 29 to 35 in clusters around centroids."""
+    rows = _gapped(f)
+    found = f.stage("gapped_clusters", lambda: indel.clusters(rows.withColumnRenamed("id", "poploc")))
+    return rows.join(found.withColumnRenamed("poploc", "id"), "id")
+
+
 def _only(df: DataFrame) -> DataFrame:
     return df.select("line")
 
@@ -197,8 +210,22 @@ def _simulated(part: str):
 
 _UC = ("H\t0\t32\t95\t+\t0\t0\tx\tL2\tL1", "C\t0\t2\t*\t*\t*\t*\t*\tL1\t*", "S\t0\t1\t*\t*\t*\t*\t*\tL1\t*")
 
+
+def _greedy(source: str) -> str:
+    """Greedy centroids of (id, seq), one sequence after another."""
+    return (
+        f"gs AS MATERIALIZED ({source}), gn AS MATERIALIZED (SELECT x.id AS a, y.id AS b, length(x.seq) AS la, levenshtein(x.seq, y.seq) AS d FROM gs x JOIN gs y ON (length(x.seq) > length(y.seq) OR (length(x.seq) = length(y.seq) AND x.id < y.id)) AND 10 * length(y.seq) >= 9 * length(x.seq) WHERE 10 * levenshtein(x.seq, y.seq) <= length(x.seq)), "
+        "go AS MATERIALIZED (SELECT row_number() OVER (ORDER BY length(seq) DESC, id) AS k, id, coalesce(nb, []) AS nb FROM gs LEFT JOIN (SELECT b, list(a) AS nb FROM gn GROUP BY b) n ON n.b = gs.id), "
+        "gc AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS c UNION ALL SELECT o.k, CASE WHEN list_has_any(gc.c, o.nb) THEN gc.c ELSE list_append(gc.c, o.id) END FROM gc JOIN go o ON o.k = gc.k + 1), "
+        "gx AS (SELECT unnest(c) AS id FROM gc WHERE k = (SELECT max(k) FROM gc)), gm AS (SELECT b, arg_min(a, (d, -la, a)) AS a FROM gn JOIN gx ON gx.id = gn.a WHERE b NOT IN (SELECT id FROM gx) GROUP BY b), "
+        "gk AS (SELECT id, coalesce(a, id) AS cluster FROM gs LEFT JOIN gm ON gm.b = gs.id)"
+    )
+
+
 _REP = f"{_POP}, rp AS (SELECT poploc, seq FROM (SELECT *, row_number() OVER (PARTITION BY poploc ORDER BY popall) AS k FROM pa) x WHERE k = 1)"
-_IND = f"{_REP}, km AS (SELECT DISTINCT poploc, substr(seq, i::INT, 10) AS mer FROM rp, range(1, 24) t(i)), ip AS (SELECT DISTINCT a.poploc AS x, b.poploc AS y FROM km a JOIN km b ON a.mer = b.mer AND a.poploc != b.poploc JOIN rp ra ON ra.poploc = a.poploc JOIN rp rb ON rb.poploc = b.poploc WHERE levenshtein(ra.seq, rb.seq) <= 3), iw AS (SELECT poploc, poploc AS r FROM rp UNION SELECT w.poploc, e.y FROM iw w JOIN ip e ON w.r = e.x), ic AS (SELECT poploc, min(r) AS cluster FROM iw GROUP BY poploc)"
+_IND = f"{_REP}, {_greedy('SELECT poploc AS id, seq FROM rp')}, ic AS (SELECT id AS poploc, cluster FROM gk)"
+_GAPPED = "CASE o % 7 WHEN 0 THEN concat(substr(replace(seq, 'N', ''), 1, CAST(1 + tl AS INT)), substr('ACGT', CAST(1 + i % 4 AS INT), 1 + CAST(i % 3 AS INT)), substr(replace(seq, 'N', ''), CAST(2 + tl AS INT))) ELSE replace(seq, 'N', '') END"
+_GREEDY = f"{_greedy(f'SELECT dense_rank() OVER (ORDER BY seq)::BIGINT AS id, seq FROM (SELECT DISTINCT {_GAPPED} AS seq FROM v_reads) d')}"
 _GRID = f"{_DIP}, ok2 AS (SELECT * FROM di WHERE k <= 2), gd AS (SELECT l.poploc, i.ind, a1, a2 FROM (SELECT DISTINCT poploc FROM ok2) l CROSS JOIN (SELECT DISTINCT ind FROM ok2) i LEFT JOIN ok2 ON ok2.poploc = l.poploc AND ok2.ind = i.ind)"
 
 _ARLEQUIN = """SELECT unnest(['[Profile]', 'Title="Title"', 'NbSamples=' || (SELECT count(*) FROM pops), 'DataType=STANDARD', 'GenotypicData=1', 'GameticPhase=0', 'LocusSeparator=WHITESPACE', 'MissingData="?"', '[Data]', '[[Samples]]', '[[Structure]]', 'StructureName="one group"', 'NbGroups=1', 'Group={', '}']) AS line
@@ -242,6 +269,7 @@ QUERIES = {
     "indel_representatives": (_q(lambda db: indel.representatives(db.popall, db.sel.loc)), f"{_REP} SELECT poploc, seq FROM rp"),
     "indel_cluster": (_q(lambda db: indel.clusters(indel.representatives(db.popall, db.sel.loc))), f"{_IND} SELECT poploc, cluster FROM ic"),
     "indel_outputs": (_q(lambda db: indel.outputs(indel.clusters(indel.representatives(db.popall, db.sel.loc)))[0]), f"{_IND} SELECT dense_rank() OVER (ORDER BY cluster)::BIGINT AS cluster_no, poploc, count(*) OVER (PARTITION BY cluster) AS n_loc FROM ic"),
+    "indel_greedy": (indel_greedy, f"{_GREEDY} SELECT id, seq, cluster FROM gk JOIN gs USING (id)"),
     "sink_structure": (_q(lambda db: _only(text_sinks.structure(_diploid(db)))), f"{_GRID} SELECT ind::VARCHAR || chr(9) || string_agg(coalesce(a1::VARCHAR, '-9'), chr(9) ORDER BY poploc) AS line FROM gd GROUP BY ind UNION ALL SELECT ind::VARCHAR || chr(9) || string_agg(coalesce(a2::VARCHAR, '-9'), chr(9) ORDER BY poploc) FROM gd GROUP BY ind"),
     "sink_genepop": (_q(lambda db: _only(text_sinks.genepop(_diploid(db), _pops(db)))), f"{_GRID} SELECT 'Title' AS line UNION ALL SELECT DISTINCT poploc::VARCHAR FROM gd UNION ALL SELECT 'Pop' FROM (SELECT DISTINCT ind % 3 FROM gd) x UNION ALL SELECT ind::VARCHAR || ' , ' || string_agg(coalesce(lpad(a1::VARCHAR, 2, '0') || lpad(a2::VARCHAR, 2, '0'), '0000'), ' ' ORDER BY poploc) FROM gd GROUP BY ind"),
     "sink_arlequin": (_q(lambda db: _only(text_sinks.arlequin(_diploid(db), _pops(db)))), f"{_GRID}, pops AS (SELECT DISTINCT ind % 3 AS pop FROM gt) {_ARLEQUIN}"),
