@@ -25,6 +25,13 @@ def iupac_expand(pattern: str) -> list[str]:
     return ["".join(p) for p in product(*(IUPAC[c] for c in pattern.upper()))]
 
 
+def iupac_variants(s: Column) -> Column:
+    """The same of a column of patterns; null with a letter that is no code."""
+    codes = F.create_map(*[F.lit(x) for code, bases in IUPAC.items() for x in (code, ",".join(bases))])
+    bases = lambda c: F.split(F.element_at(codes, c), ",")
+    return F.aggregate(chars(F.upper(s)), F.array(F.lit("")), lambda done, c: F.flatten(F.transform(done, lambda x: F.transform(bases(c), lambda b: F.concat(x, b)))))
+
+
 def iupac_regex(pattern: str) -> str:
     """A regular expression for a pattern."""
     return "".join(IUPAC[c] if len(IUPAC[c]) == 1 else f"[{IUPAC[c]}]" for c in pattern.upper())

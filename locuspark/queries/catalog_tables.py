@@ -177,6 +177,11 @@ def _deep_in_many(db: Db) -> DataFrame:
     return selection.loc_between(selection.locus_facts(deep, db.links, db.facts, db.popall), "n_ind", 45, 1000)
 
 
+def _deep(db: Db) -> DataFrame:
+    """Genotypes of a total depth of 45 or more."""
+    return db.facts.filter("tot_dep >= 45").select("poploc", "ind")
+
+
 def _even(column: str) -> Column:
     return F.col(column) % 2 == 0
 
@@ -234,22 +239,22 @@ QUERIES = {
     "selection_report": (_q(lambda db: selection.selection_report(db.sel, db.sel.restrict(ind=db.sel.ind.filter(F.col("ind") % 3 != 0)))), f"{_LINK} SELECT 'ind' AS what, count(DISTINCT ind) AS n_before, count(DISTINCT ind) FILTER (WHERE ind % 3 != 0) AS n_after FROM gt UNION ALL SELECT 'loc', count(DISTINCT poploc), count(DISTINCT poploc) FILTER (WHERE ind % 3 != 0) FROM gt UNION ALL SELECT 'gt', count(*), count(*) FILTER (WHERE ind % 3 != 0) FROM gt"),
     "genotype_matrix": (_q(_wide("alleles")), f"{_CELL} SELECT l.poploc, i.ind, coalesce(ce.alleles, '-999') AS alleles FROM (SELECT DISTINCT poploc FROM gt) l, (SELECT DISTINCT ind FROM gt) i LEFT JOIN ce ON ce.poploc = l.poploc AND ce.ind = i.ind"),
     "depth_matrix": (_q(_wide("depths")), f"{_CELL} SELECT l.poploc, i.ind, coalesce(ce.depths, '-999') AS depths FROM (SELECT DISTINCT poploc FROM gt) l, (SELECT DISTINCT ind FROM gt) i LEFT JOIN ce ON ce.poploc = l.poploc AND ce.ind = i.ind"),
-    "locus_table": (_q(lambda db: export.locus_table(db.catalogue, db.sel.loc).drop("pos", "sl", "n_all")), f"{_CAT} SELECT poploc, cons, n_snp, varpos FROM ca"),
-    "locus_table_selected": (_q(lambda db: export.locus_table_selected(db.links, db.sel.gt.filter("ind % 2 = 0"), db.popall).drop("sl", "count_maj")), f"{_LINK}, ev AS (SELECT DISTINCT poploc, popall, seq FROM lk WHERE ind % 2 = 0), {_cat('ev', 'cs')}, ne AS (SELECT poploc, count(DISTINCT ind) AS n_ind, count(DISTINCT (ind, loc)) AS n_indloc, count(DISTINCT popall) AS n_all FROM lk WHERE ind % 2 = 0 GROUP BY poploc) SELECT cs.poploc, cons, n_snp, varpos, n_all, n_ind, n_indloc, (n_indloc > n_ind)::BIGINT AS ties FROM cs JOIN ne ON cs.poploc = ne.poploc"),
+    "locus_table": (_q(lambda db: export.locus_table(db.catalogue, db.sel.loc).withColumn("pos", F.array_join("pos", ","))), f"{_CAT}, po AS (SELECT poploc, coalesce(string_agg((p - 1)::VARCHAR, ',' ORDER BY p) FILTER (WHERE k > 1), '') AS pos FROM ca_c GROUP BY poploc), nn AS (SELECT poploc, any_value(sl)::BIGINT AS sl, count(*) AS n_all FROM pa GROUP BY poploc) SELECT ca.poploc, sl, cons, n_snp, varpos, n_all, pos FROM ca JOIN po ON po.poploc = ca.poploc JOIN nn ON nn.poploc = ca.poploc"),
+    "locus_table_selected": (_q(lambda db: export.locus_table_selected(db.links, _deep(db), db.popall)), f"{_FACT}, dp AS (SELECT lk.* FROM lk JOIN fx ON fx.poploc = lk.poploc AND fx.ind = lk.ind WHERE tot_dep >= 45), ev AS (SELECT DISTINCT poploc, popall, seq FROM dp), {_cat('ev', 'cs')}, ne AS (SELECT poploc, count(DISTINCT ind) AS n_ind, count(DISTINCT (ind, loc)) AS n_indloc, count(DISTINCT popall) AS n_all, any_value(length(seq)) AS sl FROM dp GROUP BY poploc), mj AS (SELECT poploc, max(n)::BIGINT AS count_maj FROM (SELECT poploc, popall, sum(CASE WHEN k = 1 THEN 2 ELSE 1 END) AS n FROM (SELECT *, count(*) OVER (PARTITION BY poploc, ind) AS k FROM (SELECT DISTINCT poploc, ind, popall FROM dp) u) v GROUP BY ALL) w GROUP BY poploc) SELECT cs.poploc, sl, count_maj, cons, n_snp, varpos, n_all, n_ind, n_indloc, (n_indloc > n_ind)::BIGINT AS ties FROM cs JOIN ne ON cs.poploc = ne.poploc JOIN mj ON mj.poploc = cs.poploc"),
     "major_allele_count": (_q(lambda db: export.major_allele_count(db.links, db.sel.gt)), f"{_SEQ} SELECT poploc, max(n)::BIGINT AS count_maj FROM (SELECT poploc, popall, sum(n_copies) AS n FROM sc2 GROUP BY ALL) x GROUP BY poploc"),
-    "gt_prune_alleles": (_q(lambda db: export.gt_prune_alleles(db.links, db.sel.gt.filter("ind = 1"))), f"{_LINK} SELECT DISTINCT poploc, popall, popallvar FROM lk WHERE ind = 1"),
+    "gt_prune_alleles": (_q(lambda db: export.gt_prune_alleles(db.links, _deep(db))), f"{_FACT} SELECT DISTINCT lk.poploc, popall, popallvar FROM lk JOIN fx ON fx.poploc = lk.poploc AND fx.ind = lk.ind WHERE tot_dep >= 45"),
     "gt_allele_limit": (_q(lambda db: export.gt_allele_limit(db.seen)), f"{_LINK} SELECT max(n) AS n_most, (max(n) <= 99)::BIGINT AS fits FROM (SELECT poploc, count(*) AS n FROM pa GROUP BY poploc) x"),
     "gt_drop_invariant": (_q(lambda db: export.gt_drop_invariant(db.seen)), f"{_LINK} SELECT poploc FROM pa GROUP BY poploc HAVING count(*) > 1"),
     "gt_first_snp": (_q(lambda db: export.gt_first_snp(db.seen)), f"{_SN} SELECT poploc, popall, pos, base, (instr('ACGT', base))::BIGINT AS code FROM fs"),
     "gt_biallelic": (_q(lambda db: export.gt_biallelic(export.gt_first_snp(db.seen))), f"{_SN} SELECT * FROM bi"),
-    "gt_trim_varpos": (_q(lambda db: export.gt_trim_varpos(export.gt_prune_alleles(db.links, db.sel.gt.filter("ind % 3 = 0")))), f"{_LINK}, sn AS (SELECT DISTINCT poploc, popall, popallvar FROM lk WHERE ind % 3 = 0), l3 AS (SELECT poploc, popall, p, substr(popallvar, (p + 1)::INT, 1) AS base FROM sn, range(0, 32) t(p) WHERE popallvar != 'consensus' AND p < length(popallvar)), v3 AS (SELECT poploc, p FROM l3 GROUP BY ALL HAVING count(DISTINCT base) > 1) SELECT sn.poploc, sn.popall, coalesce(string_agg(base, '' ORDER BY l3.p) FILTER (WHERE v3.p IS NOT NULL), '') AS trimmed FROM sn LEFT JOIN l3 ON sn.poploc = l3.poploc AND sn.popall = l3.popall LEFT JOIN v3 ON v3.poploc = l3.poploc AND v3.p = l3.p GROUP BY sn.poploc, sn.popall"),
+    "gt_trim_varpos": (_q(lambda db: export.gt_trim_varpos(export.gt_prune_alleles(db.links, _deep(db)))), f"{_FACT}, sn AS (SELECT DISTINCT lk.poploc, popall, popallvar FROM lk JOIN fx ON fx.poploc = lk.poploc AND fx.ind = lk.ind WHERE tot_dep >= 45), l3 AS (SELECT poploc, popall, p, substr(popallvar, (p + 1)::INT, 1) AS base FROM sn, range(0, 32) t(p) WHERE popallvar != 'consensus' AND p < length(popallvar)), v3 AS (SELECT poploc, p FROM l3 GROUP BY ALL HAVING count(DISTINCT base) > 1) SELECT sn.poploc, sn.popall, coalesce(string_agg(base, '' ORDER BY l3.p) FILTER (WHERE v3.p IS NOT NULL), '') AS trimmed FROM sn LEFT JOIN l3 ON sn.poploc = l3.poploc AND sn.popall = l3.popall LEFT JOIN v3 ON v3.poploc = l3.poploc AND v3.p = l3.p GROUP BY sn.poploc, sn.popall"),
     "gt_renumber": (_q(lambda db: export.gt_renumber(db.seen)), f"{_DIP} SELECT poploc, popall, allele_no FROM nm"),
     "gt_diploid": (_q(lambda db: export.gt_diploid(db.links, _two_at_most(db), export.gt_renumber(db.seen))), f"{_DIP} SELECT poploc, ind, a1, a2 FROM di WHERE k <= 2"),
     "locus_offsets": (_q(lambda db: export.locus_offsets(db.catalogue.select("poploc", F.col("n_snp").alias("len")))), f"{_CAT} SELECT poploc, (sum(n_snp) OVER (ORDER BY poploc) - n_snp + 1)::BIGINT AS start, (sum(n_snp) OVER (ORDER BY poploc))::BIGINT AS end FROM ca"),
     "alignment_dna": (_q(lambda db: _alignment(db, "dna")), f"{_LINK}, {_alignment_sql(_SHOWN, 'N')}"),
     "alignment_binary": (_q(lambda db: _alignment(db, "binary")), f"{_SN}, {_alignment_sql('SELECT poploc, popall, bin::VARCHAR AS part FROM bi', '-')}"),
     "alignment_build": (_q(lambda db: export.alignment_dosage(export.dosage(db.links, _two_at_most(db), export.gt_biallelic(export.gt_first_snp(db.seen))))), f"{_SN}, ok AS (SELECT poploc, ind FROM lk GROUP BY ALL HAVING count(DISTINCT popall) <= 2), ds AS (SELECT x.poploc, x.ind, CASE WHEN count(*) = 1 THEN 2 * max(bin) ELSE sum(bin) END AS dosage FROM (SELECT DISTINCT lk.poploc, lk.ind, lk.popall FROM lk JOIN ok ON lk.poploc = ok.poploc AND lk.ind = ok.ind) x JOIN bi ON x.poploc = bi.poploc AND x.popall = bi.popall GROUP BY ALL) SELECT i.ind, string_agg(coalesce(ds.dosage::INT::VARCHAR, '-'), '' ORDER BY l.poploc) AS seq FROM (SELECT DISTINCT poploc FROM ds) l CROSS JOIN (SELECT DISTINCT ind FROM ds) i LEFT JOIN ds ON ds.poploc = l.poploc AND ds.ind = i.ind GROUP BY i.ind"),
-    "seq_indall": (_q(lambda db: export.seq_indall(db.links, db.sel.gt, db.popall).drop("grp")), f"{_SEQ} SELECT poploc, popall, ind, n_copies, seq FROM sc2"),
+    "seq_indall": (_q(lambda db: export.seq_indall(db.links, db.sel.gt, db.popall, db.sel.ind.select("ind", F.concat(F.lit("g"), (F.col("ind") % 3).cast("string")).alias("grp")))), f"{_SEQ} SELECT poploc, popall, ind, 'g' || ind % 3 AS grp, n_copies, seq FROM sc2"),
     "seq_nonidentical": (_q(lambda db: export.seq_nonidentical(db.links, db.sel.gt, db.popall)), f"{_LINK} SELECT DISTINCT poploc, popall, seq FROM lk"),
     "seq_individual": (_q(lambda db: export.seq_individual(db.links, _two_at_most(db), db.popall)), f"{_SEQ}, s2 AS (SELECT poploc, ind, min(seq) AS a, max(seq) AS b FROM sq GROUP BY ALL HAVING count(*) <= 2) SELECT poploc, ind, 1::BIGINT AS copy, a AS seq FROM s2 UNION ALL SELECT poploc, ind, 2::BIGINT, b FROM s2"),
     "svars_drilldown": (_q(lambda db: export.svars_drilldown(db.links, db.f.reads.groupBy("ind", F.col("tl").alias("loc"), "seq").agg(F.count(F.lit(1)).alias("depth")).withColumn("svarcat", F.when(F.col("depth") > 1, "used").otherwise("discarded")), db.f.alleles)), f"{_LINK} SELECT poploc, ind, 'allele' AS kind, seq, depth::DOUBLE AS depth FROM lk UNION ALL SELECT l.poploc, l.ind, CASE WHEN s.depth > 1 THEN 'used' ELSE 'discarded' END, s.seq, s.depth::DOUBLE FROM ll l JOIN (SELECT ind, tl AS loc, seq, count(*) AS depth FROM v_reads GROUP BY ALL) s ON l.ind = s.ind AND l.loc = s.loc"),

@@ -1,9 +1,9 @@
-"""Queries on scans, text formats, indel clusters and simulated reads."""
+"""Queries on scans, text formats, indel clusters and reads drawn from genotypes."""
 
 from __future__ import annotations
 
-import random
 import uuid
+from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +12,12 @@ from locuspark.operators import depth, export, indel, population, reads_qc, simu
 from locuspark.plans.ordering import ranked
 from locuspark.plans.scratch import materialize, scratch_dir
 from locuspark.queries.catalog_tables import _DIP, _LINK, _MMM, _POP, _SEQ, Db, _long, _q, _two_at_most
-from locuspark.queries.fixtures import BARCODES, Fixture
+from locuspark.queries.fixtures import Fixture
 from locuspark.queries.reads import LIMITS
 from locuspark.sources import fastq, tables, text_sinks
 
-SIM = simulate.Settings(inds=6, loci=20, reads=8, length=60, least_distance=12, mate=80, mutations=2, indels=4, error=0.01, unknown=0.002, seed=5)
+#: Seed of whatever is drawn.
+SEED = 5
 
 
 def _written(f: Fixture, lines: DataFrame) -> str:
@@ -52,14 +53,122 @@ def scan_fastq(f: Fixture) -> DataFrame:
     return back.groupBy("header", "seq", "qual").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _line(*columns: str) -> Column:
+    return F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("line")
+
+
+def _lengths(f: Fixture, note: str) -> DataFrame:
+    """Lines of the lengths of raw reads, with a tenth and a seventh of each; a line that is no row of the table among them."""
+    sl = f.raw.select(F.length("seq").alias("sl")).distinct()
+    rows = sl.select(F.concat_ws(" ", "sl", F.floor(F.col("sl") / 10), F.floor(F.col("sl") / 7)).alias("line"))
+    return rows.unionByName(sl.select(F.concat(F.lit(note), F.col("sl").cast("string")).alias("line")))
+
+
 def scan_dist_table_ind(f: Fixture) -> DataFrame:
-    rows = f.spark.createDataFrame([("32 3 4",), ("no numbers",), ("140\t12\t15",), ("41 4",)], "line string")
-    return _long(tables.dist_table(f.spark, _written(f, rows)))
+    return _long(tables.dist_table(f.spark, _written(f, _lengths(f, "no numbers of "))))
+
+
+def scan_dist_table_pop(f: Fixture) -> DataFrame:
+    rows = _lengths(f, "x ").select(F.regexp_replace("line", r"^(\d+) (\d+) \d+$", "$1 $2").alias("line"))
+    return _long(tables.dist_table(f.spark, _written(f, rows), ("sl", "dist"), (1, 6)))
 
 
 def scan_filter_positions(f: Fixture) -> DataFrame:
-    rows = f.spark.createDataFrame([("f 1 20",), ("r\t5\t15",)], "line string")
-    return _long(tables.filter_positions(f.spark, _written(f, rows)))
+    """The least score at each position of either mate, as limits of the positional filter."""
+    score = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda p: F.ascii(F.substr(s, p, F.lit(1))) - 33)
+    rows = [f.mates.select(F.lit(s).alias("strand"), F.posexplode(score(f"{s}_qual")).alias("p", "score")) for s in "fr"]
+    least = rows[0].unionByName(rows[1]).groupBy("strand", (F.col("p") + 1).alias("pos")).agg(F.min("score").alias("score"))
+    return _long(tables.filter_positions(f.spark, _written(f, least.select(_line("strand", "pos", "score")))))
+
+
+def _list_file(f: Fixture, lines: list[str]) -> str:
+    """A list of files of reads, as a user gives it."""
+    return _written(f, f.spark.createDataFrame([(x,) for x in lines], "line string"))
+
+
+def scan_file_list_single(f: Fixture) -> DataFrame:
+    """Reads in the files of a list, one a line, counted by individual."""
+    record = F.concat_ws("\n", F.concat_ws("_", F.lit("@r"), "ind", "o", "i", "tl"), "seq", F.lit("+"), "qual")
+    listed = _list_file(f, _files(f, f.reads_q.select(record.alias("line"))))
+    back = fastq.read(f.spark, tables.file_list(f.spark, listed))
+    return back.groupBy(F.split("header", "_")[1].cast("long").alias("ind")).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("qual").alias("most"))
+
+
+def scan_file_list_paired(f: Fixture) -> DataFrame:
+    """Mates in the pairs of files of a list, two a line, counted by individual."""
+    rows = f.mates.withColumn("name", F.concat_ws("_", F.lit("@p"), "ind", "o", "i", "tl"))
+    sides = [_files(f, rows.select(F.concat_ws("\n", "name", f"{s}_seq", F.lit("+"), f"{s}_qual").alias("line"))) for s in ("f", "r")]
+    listed = _list_file(f, ["\t".join(p) for p in zip(*sides, strict=True)])
+    back = fastq.read_pairs(f.spark, tables.file_pairs(f.spark, listed))
+    return back.groupBy(F.split("f_header", "_")[1].cast("long").alias("ind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("f_header") == F.col("r_header")).alias("n_mates"), F.min("f_seq").alias("first"), F.max("r_seq").alias("last"))
+
+
+def _figures(f: Fixture) -> DataFrame:
+    """What a user would set after a look at the reads: one row."""
+    return f.reads.agg(F.count_distinct("ind").alias("inds"), F.count_distinct("tl").alias("loci"), F.max(F.length("seq")).alias("length"), F.max("read_no").alias("reads"))
+
+
+def scan_settings_kv(f: Fixture) -> DataFrame:
+    """Settings with comments, a key without a value and an empty line."""
+    names = _figures(f).columns
+    text = _figures(f).select(F.concat_ws("\n", *[F.concat_ws(" ", F.lit(c), F.col(c).cast("string"), F.lit("# of the reads")) for c in names], F.lit(""), F.lit("barcodes"))).first()[0]
+    return f.spark.createDataFrame(sorted(tables.settings(text, {*names, "barcodes"}).items()), "key string, value string")
+
+
+def settings_echo(f: Fixture) -> DataFrame:
+    """The settings of a run, with its figures and its seed, for a replay."""
+    found = _figures(f).first().asDict()
+    return f.spark.createDataFrame(tables.settings_rows(simulate.Settings(**found, seed=SEED)), "key string, value string")
+
+
+def _codes(f: Fixture) -> DataFrame:
+    """The different barcodes before the site, but for the damaged ones."""
+    code = F.substr(F.col("seq"), F.lit(1), F.length("seq") - 37)
+    return f.raw.select(code.alias("barcode")).filter("barcode not like 'N%'").distinct()
+
+
+def scan_barcodes(f: Fixture) -> DataFrame:
+    got = tables.barcodes(f.spark, _written(f, _codes(f).select(F.col("barcode").alias("line"))))
+    return f.spark.createDataFrame([(x,) for x in got], "barcode string")
+
+
+def scan_bc_adapters(f: Fixture) -> DataFrame:
+    """Adapters that begin with a code of two bases and go on with the barcode's end."""
+    lines = _codes(f).select(F.concat("barcode", F.lit(" R"), F.substr(F.col("barcode"), F.lit(3))).alias("line"))
+    got = tables.barcode_adapters(f.spark, _written(f, lines))
+    return f.spark.createDataFrame([(b, a) for b, x in got.items() for a in x], "barcode string, adapter string")
+
+
+def scan_sl_ranges(f: Fixture) -> DataFrame:
+    """Ranges from each length of raw reads to the next."""
+    lines = f.raw.select(F.length("seq").alias("lo")).distinct().select(F.concat_ws("\t", "lo", F.col("lo") + 1).alias("line"))
+    return f.spark.createDataFrame(tables.sl_ranges(f.spark, _written(f, lines)), "lo long, hi long")
+
+
+def scan_usearch_uc(f: Fixture) -> DataFrame:
+    """Clusters written as records of a clustering tool and read again."""
+    reps = _gapped(f).withColumnRenamed("id", "poploc")
+    found = f.stage("gapped_clusters", lambda: indel.clusters(reps))
+    return tables.cluster_records(f.spark, _files(f, indel.records(reps, found)))
+
+
+def merge_settings(f: Fixture) -> DataFrame:
+    """Overlaps of halves allowed for twice the length of raw reads, merged to that length and up to 19 more."""
+    rows = f.raw.select((2 * F.length("seq")).alias("msl"), (F.length("seq") + F.col("ind") % 20).alias("spl")).distinct().collect()
+    got = [(msl, spl, *(population.merge_settings(msl, spl, 30) or (0, 0))) for msl, spl in rows]
+    return f.spark.createDataFrame(got, "msl long, spl long, mino long, maxo long")
+
+
+def sim_reads(f: Fixture) -> DataFrame:
+    """Reads drawn without error from the diploid genotypes: how many of each locus and individual, and from how many alleles."""
+    db = Db(f)
+    seqs = export.seq_individual(db.links, _two_at_most(db), db.popall)
+    copies = seqs.join(db.popall.select("poploc", "popall", "seq"), ["poploc", "seq"])
+    drawn = simulate.sim_reads(copies, simulate.Settings(reads=40, error=0.0, length=32, seed=SEED))
+    key = F.split("header", "_")
+    drawn = drawn.select("ind", key[1].cast("long").alias("poploc"), key[2].cast("long").alias("popall"), "seq")
+    ok = drawn.join(db.popall.select("poploc", "popall", F.col("seq").alias("true")), ["poploc", "popall"])
+    return _long(ok.groupBy("poploc", "ind").agg(F.count(F.lit(1)).alias("n_reads"), F.count_if(F.col("seq") == F.col("true")).alias("n_true"), F.count_distinct("popall").alias("n_alleles")))
 
 
 def scan_ind_infiles(f: Fixture) -> DataFrame:
@@ -111,23 +220,6 @@ def _only(df: DataFrame) -> DataFrame:
     return df.select("line")
 
 
-def sim_truth(f: Fixture) -> DataFrame:
-    """Genotypes of the simulator."""
-    return simulate.sim_database(f.spark, SIM)
-
-
-def sim_reads(f: Fixture) -> DataFrame:
-    return simulate.sim_reads(sim_truth(f), SIM)
-
-
-def _text(f: Fixture, *lines: str) -> str:
-    return _written(f, f.spark.createDataFrame([(x,) for x in lines], "line string"))
-
-
-def _frame(f: Fixture, rows: list[tuple], schema: str) -> DataFrame:
-    return f.spark.createDataFrame(rows, schema)
-
-
 def scan_fastq_pair(f: Fixture) -> DataFrame:
     """Mates written to two sets of files and matched by their place."""
     rows = f.mates.withColumn("name", F.concat_ws("_", F.lit("@p"), "o", "i", "tl"))
@@ -176,41 +268,6 @@ def svars_fasta(f: Fixture) -> DataFrame:
     return back.filter("value like '>%'").groupBy("poploc", F.col("value").alias("header")).agg(F.count(F.lit(1)).alias("n")).unionByName(back.filter("value not like '>%'").groupBy("poploc", F.lit("").alias("header")).agg(F.count(F.lit(1)).alias("n"))).withColumn("poploc", F.col("poploc").cast("long"))
 
 
-def scan_settings_kv(f: Fixture) -> DataFrame:
-    got = tables.settings("sites GATC # the site\nbarcodes\n\ntrunc 28", {"sites", "barcodes", "trunc"})
-    return _frame(f, sorted(got.items()), "key string, value string")
-
-
-def settings_echo(f: Fixture) -> DataFrame:
-    return _frame(f, tables.settings_rows(SIM), "key string, value string")
-
-
-def merge_settings(f: Fixture) -> DataFrame:
-    rows = [(msl, spl, *(population.merge_settings(msl, spl, 10) or (0, 0))) for msl, spl in ((160, 120), (160, 155), (100, 90), (100, 91))]
-    return _frame(f, rows, "msl long, spl long, mino long, maxo long")
-
-
-def _simulated(part: str):
-    def run(f: Fixture) -> DataFrame:
-        rng = random.Random(SIM.seed)
-        loci = simulate.sim_loci(SIM, rng)
-        if part == "loci":
-            return _frame(f, list(enumerate(loci)), "locus long, seq string")
-        own = [simulate.sim_alleles(x, SIM.mutations, rng) for x in loci]
-        if part == "duplicates":
-            own = simulate.sim_duplicates(own, 3)
-        if part == "indels":
-            own = simulate.sim_indels(own, SIM, rng)
-        if part == "freqs":
-            return _frame(f, [(i, k, c) for i, a in enumerate(own) for k, c in enumerate(simulate.sim_freqs(len(a), 2 * SIM.inds, rng))], "locus long, allele long, copies long")
-        return _frame(f, [(i, k, x) for i, a in enumerate(own) for k, x in enumerate(a)], "locus long, allele long, seq string")
-
-    return run
-
-
-_UC = ("H\t0\t32\t95\t+\t0\t0\tx\tL2\tL1", "C\t0\t2\t*\t*\t*\t*\t*\tL1\t*", "S\t0\t1\t*\t*\t*\t*\t*\tL1\t*")
-
-
 def _greedy(source: str) -> str:
     """Greedy centroids of (id, seq), one sequence after another."""
     return (
@@ -237,32 +294,33 @@ UNION ALL SELECT '    ' || string_agg(coalesce(a2::VARCHAR, '?'), ' ' ORDER BY p
 
 _GOOD_READ = " AND ".join(f"ascii(substr(qual, {p}, 1)) >= {33 + least}" for p, least in LIMITS)
 
+_FIGURES = "SELECT unnest(['inds', 'loci', 'length', 'reads']) AS key, unnest([count(DISTINCT ind), count(DISTINCT tl), max(length(seq)), max(read_no)])::VARCHAR AS value FROM v_reads"
+_CODES = "bc AS (SELECT DISTINCT substr(seq, 1, length(seq) - 37) AS barcode FROM v_raw WHERE seq NOT LIKE 'N%')"
+#: Settings that are left as they are.
+_OWN = [f for f in fields(simulate.Settings) if f.name not in ("inds", "loci", "length", "reads", "seed")]
+
 QUERIES = {
     "phred_filter_written": (phred_filter_written, f"SELECT ind % 5 AS file, count(*) AS n_seq, count(*) FILTER (NOT ({_GOOD_READ})) AS n_bad, count(*) FILTER ({_GOOD_READ}) AS n_good, count(*) FILTER ({_GOOD_READ}) AS n_written, min(h) FILTER ({_GOOD_READ}) AS first, max(h) FILTER ({_GOOD_READ}) AS last, max(qual) FILTER ({_GOOD_READ}) AS most FROM (SELECT *, concat_ws('_', '@r', ind, o, i, tl) AS h FROM v_reads) r GROUP BY ind % 5"),
     "phred_filter_pair_written": (phred_filter_pair_written, "SELECT concat_ws('_', '@p', ind, o, i, tl, 1) AS f_header, concat_ws('_', '@p', ind, o, i, tl, 2) AS r_header, f_seq, r_seq, count(*) AS n FROM v_mates WHERE ascii(substr(f_qual, 1, 1)) >= 53 AND ascii(substr(f_qual, 3, 1)) >= 51 AND ascii(substr(r_qual, 2, 1)) >= 49 GROUP BY ALL"),
     "sink_structure_columns": (sink_structure_columns, f"{_GRID} SELECT ind || chr(9) || ind % 3 || chr(9) || 'site' || ind % 4 || chr(9) || string_agg(coalesce(a1::VARCHAR, '-9'), chr(9) ORDER BY poploc) AS line FROM gd GROUP BY ind UNION ALL SELECT ind || chr(9) || ind % 3 || chr(9) || 'site' || ind % 4 || chr(9) || string_agg(coalesce(a2::VARCHAR, '-9'), chr(9) ORDER BY poploc) FROM gd GROUP BY ind"),
     "svars_fasta": (svars_fasta, f"{_LINK}, dd AS (SELECT poploc, ind, 'allele' AS kind, depth::BIGINT AS depth FROM lk UNION ALL SELECT l.poploc, l.ind, CASE WHEN s.depth > 1 THEN 'used' ELSE 'discarded' END, s.depth FROM ll l JOIN (SELECT ind, tl AS loc, seq, count(*) AS depth FROM v_reads GROUP BY ALL) s ON l.ind = s.ind AND l.loc = s.loc) SELECT poploc, '>' || ind || '_' || kind || '_' || depth AS header, count(*) AS n FROM dd GROUP BY ALL UNION ALL SELECT poploc, '', count(*) FROM dd GROUP BY poploc"),
+    "scan_dist_table_ind": (scan_dist_table_ind, "SELECT DISTINCT length(seq) AS sl, length(seq) // 10 AS hapdist, length(seq) // 7 AS rarehapdist FROM v_raw"),
+    "scan_dist_table_pop": (scan_dist_table_pop, "SELECT DISTINCT length(seq) AS sl, length(seq) // 10 AS dist FROM v_raw"),
+    "scan_filter_positions": (scan_filter_positions, "SELECT s AS strand, p::BIGINT AS pos, min(ascii(substr(CASE s WHEN 'f' THEN f_qual ELSE r_qual END, p::INT, 1)) - 33)::BIGINT AS min_score FROM v_mates, (VALUES ('f'), ('r')) x(s), range(1, 17) t(p) GROUP BY ALL"),
+    "scan_file_list_single": (scan_file_list_single, "SELECT ind, count(*) AS n, min(seq) AS first, max(qual) AS most FROM v_reads GROUP BY ind"),
+    "scan_file_list_paired": (scan_file_list_paired, "SELECT ind, count(*) AS n, count(*) AS n_mates, min(f_seq) AS first, max(r_seq) AS last FROM v_mates GROUP BY ind"),
+    "scan_settings_kv": (scan_settings_kv, f"{_FIGURES} UNION ALL SELECT 'barcodes', ''"),
+    "settings_echo": (settings_echo, f"{_FIGURES} UNION ALL SELECT unnest({[f.name for f in _OWN]}), unnest({[str(f.default) for f in _OWN]}) UNION ALL SELECT 'seed', '{SEED}'"),
+    "scan_barcodes": (scan_barcodes, f"{_CODES} SELECT barcode FROM bc"),
+    "scan_bc_adapters": (scan_bc_adapters, f"{_CODES} SELECT barcode, b || substr(barcode, 3) AS adapter FROM bc, (VALUES ('A'), ('G')) t(b)"),
+    "scan_sl_ranges": (scan_sl_ranges, "SELECT DISTINCT length(seq) AS lo, length(seq) + 1 AS hi FROM v_raw"),
+    "scan_usearch_uc": (scan_usearch_uc, f"{_GREEDY}, gr AS (SELECT id, length(seq) AS sl, cluster, dense_rank() OVER (ORDER BY cluster) - 1 AS no FROM gk JOIN gs USING (id)) SELECT no AS cluster, 'L' || id AS label, 'H' AS kind, sl AS size FROM gr WHERE id <> cluster UNION ALL SELECT no, 'L' || cluster, 'C', count(*) FROM gr GROUP BY no, cluster"),
+    "merge_settings": (merge_settings, "SELECT DISTINCT 2 * l AS msl, l + d AS spl, CASE WHEN l - d >= 30 THEN 30 ELSE 0 END::BIGINT AS mino, CASE WHEN l - d >= 30 THEN l - d ELSE 0 END AS maxo FROM (SELECT length(seq) AS l, ind % 20 AS d FROM v_raw) x"),
+    "sim_reads": (sim_reads, f"{_DIP} SELECT poploc, ind, 40::BIGINT AS n_reads, 40::BIGINT AS n_true, k AS n_alleles FROM di WHERE k <= 2"),
     "scan_fastq": (scan_fastq, "SELECT concat('@r_', o, '_', i, '_', tl) AS header, seq, qual, count(*) AS n FROM v_reads GROUP BY ALL"),
-    "scan_dist_table_ind": (scan_dist_table_ind, "SELECT * FROM (VALUES (32::BIGINT, 3::BIGINT, 4::BIGINT), (140::BIGINT, 12::BIGINT, 15::BIGINT)) t(sl, hapdist, rarehapdist)"),
-    "scan_filter_positions": (scan_filter_positions, "SELECT * FROM (VALUES ('f', 1::BIGINT, 20::BIGINT), ('r', 5::BIGINT, 15::BIGINT)) t(strand, pos, min_score)"),
     "scan_fastq_pair": (scan_fastq_pair, "SELECT concat('@p_', o, '_', i, '_', tl) AS f_header, concat('@p_', o, '_', i, '_', tl) AS r_header, f_seq, r_seq, count(*) AS n FROM v_mates GROUP BY ALL"),
-    "scan_file_list_single": (lambda f: _frame(f, [(x,) for x in tables.file_list(f.spark, _text(f, "a.fq", "b.fq.gz"))], "path string"), "SELECT unnest(['a.fq', 'b.fq.gz']) AS path"),
-    "scan_file_list_paired": (lambda f: _frame(f, tables.file_pairs(f.spark, _text(f, "a_1.fq a_2.fq", "b_1.fq\tb_2.fq")), "f string, r string"), "SELECT * FROM (VALUES ('a_1.fq', 'a_2.fq'), ('b_1.fq', 'b_2.fq')) t(f, r)"),
-    "scan_settings_kv": (scan_settings_kv, "SELECT * FROM (VALUES ('sites', 'GATC'), ('barcodes', ''), ('trunc', '28')) t(key, value)"),
-    "scan_dist_table_pop": (lambda f: _long(tables.dist_table(f.spark, _text(f, "32 4", "140 0", "x 1"), ("sl", "dist"), (1, 6))), "SELECT * FROM (VALUES (32::BIGINT, 4::BIGINT), (140::BIGINT, 0::BIGINT)) t(sl, dist)"),
-    "scan_barcodes": (lambda f: _frame(f, [(x,) for x in tables.barcodes(f.spark, _text(f, *BARCODES))], "barcode string"), f"SELECT unnest({BARCODES}) AS barcode"),
-    "scan_bc_adapters": (lambda f: _frame(f, [(b, a) for b, x in tables.barcode_adapters(f.spark, _text(f, "ACGT GRT", "TTGC AAC")).items() for a in x], "barcode string, adapter string"), "SELECT * FROM (VALUES ('ACGT', 'GAT'), ('ACGT', 'GGT'), ('TTGC', 'AAC')) t(barcode, adapter)"),
-    "scan_sl_ranges": (lambda f: _frame(f, tables.sl_ranges(f.spark, _text(f, "32\t79", "80\t140")), "lo long, hi long"), "SELECT * FROM (VALUES (32::BIGINT, 79::BIGINT), (80::BIGINT, 140::BIGINT)) t(lo, hi)"),
     "scan_user_groups": (lambda f: tables.user_groups(f.spark, _written(f, f.ind_loci.select(F.concat(F.col("ind").cast("string"), F.lit("\tg"), (F.col("ind") % 3).cast("string")).alias("line")).distinct()), f.ind_loci.select("ind").distinct()), "SELECT DISTINCT ind, concat('g', ind % 3) AS grp FROM v_alleles"),
-    "scan_usearch_uc": (lambda f: tables.cluster_records(f.spark, _text(f, *_UC)), "SELECT * FROM (VALUES (0::BIGINT, 'L2', 'H', 32::BIGINT), (0::BIGINT, 'L1', 'C', 2::BIGINT)) t(cluster, label, kind, size)"),
-    "merge_settings": (merge_settings, "SELECT * FROM (VALUES (160::BIGINT, 120::BIGINT, 10::BIGINT, 40::BIGINT), (160::BIGINT, 155::BIGINT, 0::BIGINT, 0::BIGINT), (100::BIGINT, 90::BIGINT, 10::BIGINT, 10::BIGINT), (100::BIGINT, 91::BIGINT, 0::BIGINT, 0::BIGINT)) t(msl, spl, mino, maxo)"),
     "da_allind": (_q(lambda db: depth.min_med_max(db.scaled)), f"{_MMM} SELECT * FROM mm"),
-    "settings_echo": (settings_echo, None),
-    "sim_loci": (_simulated("loci"), None),
-    "sim_alleles": (_simulated("alleles"), None),
-    "sim_duplicates": (_simulated("duplicates"), None),
-    "sim_freqs": (_simulated("freqs"), None),
-    "sim_indels": (_simulated("indels"), None),
     "scan_ind_infiles": (scan_ind_infiles, "SELECT DISTINCT ind::VARCHAR AS ind, concat('reads_', ind, '.fq') AS file FROM v_reads"),
     "scan_selection": (scan_selection, f"{_LINK} SELECT poploc, ind FROM gt WHERE poploc % 3 = 0"),
     "phred_histogram_wide": (phred_histogram_wide, "SELECT 'all' AS file, p::BIGINT AS pos, " + ", ".join(f"round(100.0::DOUBLE * (count(*) FILTER (WHERE ascii(substr(qual, p::INT, 1)) = {k + 33})) / count(*), 6) AS \"{k}\"" for k in range(12, 41)) + " FROM v_reads, range(1, 33) t(p) GROUP BY p"),
@@ -277,6 +335,4 @@ QUERIES = {
     "sink_nexus": (_q(lambda db: _only(text_sinks.nexus(_labelled(db), _name()))), f"{_LINK}, u AS (SELECT DISTINCT poploc || '_' || popall AS name, seq FROM lk) SELECT name || ' ' || seq AS line FROM u UNION ALL SELECT unnest(['#NEXUS', 'BEGIN DATA;', 'DIMENSIONS NTAX=' || (SELECT count(*) FROM u) || ' NCHAR=32;', 'FORMAT DATATYPE=DNA MISSING=- GAP=N;', 'MATRIX', ';', 'END;'])"),
     "sink_phylip": (_q(lambda db: _only(text_sinks.phylip(_labelled(db), _name()))), f"{_LINK}, u AS (SELECT DISTINCT poploc || '_' || popall AS name, seq FROM lk) SELECT rpad(name, 13, ' ') || seq AS line FROM u UNION ALL SELECT (SELECT count(*) FROM u) || ' 32'"),
     "seq_individual_missing": (_q(lambda db: export.seq_individual(db.links, _two_at_most(db), db.popall, with_missing=True)), f"{_SEQ}, s2 AS (SELECT poploc, ind, min(seq) AS a, max(seq) AS b FROM sq GROUP BY ALL HAVING count(*) <= 2) SELECT l.poploc, i.ind, c.c::BIGINT AS copy, coalesce(CASE WHEN c.c = 1 THEN a ELSE b END, repeat('N', 32)) AS seq FROM (SELECT DISTINCT poploc FROM s2) l CROSS JOIN (SELECT DISTINCT ind FROM s2) i CROSS JOIN (VALUES (1), (2)) c(c) LEFT JOIN s2 ON s2.poploc = l.poploc AND s2.ind = i.ind"),
-    "sim_genotypes": (sim_truth, None),
-    "sim_reads": (sim_reads, None),
 }

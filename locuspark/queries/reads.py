@@ -123,8 +123,9 @@ def half_overlaps(f: Fixture) -> DataFrame:
 
 
 def iupac_expand(f: Fixture) -> DataFrame:
-    rows = [(p, k, v) for p in ("RYN", "BDH", "ACGT") for k, v in enumerate(S.iupac_expand(p))]
-    return f.spark.createDataFrame(rows, "pattern string, k long, variant string")
+    """What the codes of the first letters of reads, a site's pattern before them, may stand for."""
+    patterns = f.reads.select(F.concat(F.lit("RY"), F.substr(F.col("seq"), F.lit(1), F.lit(6))).alias("pattern")).distinct()
+    return patterns.select("pattern", F.posexplode(S.iupac_variants(F.col("pattern"))).alias("k", "variant")).withColumn("k", F.col("k").cast("long"))
 
 
 def phred_histogram(f: Fixture) -> DataFrame:
@@ -230,7 +231,7 @@ QUERIES = {
     "concat_revcomp_pair": (concat_revcomp_pair, f"SELECT {_KEYS}, x AS f_seq, translate(reverse(x), 'ACGT', 'TGCA') AS r_seq FROM (SELECT *, concat(substr(f_seq, 1, 14), translate(reverse(substr(r_seq, 1, 14)), 'ACGT', 'TGCA')) AS x FROM v_mates) y"),
     "split_fragments": (split_fragments, "SELECT k::BIGINT AS k, CASE WHEN k = 4 THEN substr(seq, 25) ELSE substr(seq, (k * 6 + 1)::INT, 6) END AS fragment, count(*) AS n FROM v_reads, range(0, 5) t(k) GROUP BY ALL"),
     "half_overlaps": (half_overlaps, "SELECT q::BIGINT AS overlap, count(*) AS n FROM v_reads, range(0, 9) t(q) WHERE q = 0 OR (q >= 2 AND substr(seq, (17 - q)::INT, q::INT) = substr(seq, 17, q::INT)) GROUP BY ALL"),
-    "iupac_expand": (iupac_expand, "SELECT 'RYN' AS pattern, (row_number() OVER (ORDER BY a, b, c) - 1)::BIGINT AS k, a || b || c AS variant FROM (VALUES ('A'), ('G')) x(a), (VALUES ('C'), ('T')) y(b), (VALUES ('A'), ('C'), ('G'), ('T')) z(c) UNION ALL SELECT 'BDH', (row_number() OVER (ORDER BY a, b, c) - 1)::BIGINT, a || b || c FROM (VALUES ('C'), ('G'), ('T')) x(a), (VALUES ('A'), ('G'), ('T')) y(b), (VALUES ('A'), ('C'), ('T')) z(c) UNION ALL SELECT 'ACGT', 0::BIGINT, 'ACGT'"),
+    "iupac_expand": (iupac_expand, "pt AS (SELECT DISTINCT concat('RY', substr(seq, 1, 6)) AS pattern FROM v_reads), ex AS (SELECT pattern, 0 AS p, '' AS variant FROM pt UNION ALL SELECT pattern, p + 1, variant || b FROM ex, LATERAL (SELECT unnest(string_split(CASE substr(pattern, p + 1, 1) WHEN 'R' THEN 'A,G' WHEN 'Y' THEN 'C,T' WHEN 'N' THEN 'A,C,G,T' ELSE substr(pattern, p + 1, 1) END, ',')) AS b) u WHERE p < 8) SELECT pattern, (row_number() OVER (PARTITION BY pattern ORDER BY variant) - 1)::BIGINT AS k, variant FROM ex WHERE p = 8"),
     "phred_histogram": (phred_histogram, "SELECT ind, p::BIGINT AS pos, (ascii(substr(qual, p::INT, 1)) - 33)::BIGINT AS score, round(100.0::DOUBLE * count(*) / max(total), 6) AS perc FROM (SELECT *, count(*) OVER (PARTITION BY ind) AS total FROM v_reads) x, range(1, 33) t(p) GROUP BY ALL"),
     "phred_pos_filter": (phred_pos_filter, "SELECT ind, count(*) AS n FROM v_reads WHERE ascii(substr(qual, 1, 1)) >= 53 AND ascii(substr(qual, 5, 1)) >= 48 AND ascii(substr(qual, 32, 1)) >= 47 GROUP BY ind"),
     "phred_pos_filter_pair": (phred_pos_filter_pair, "SELECT ind, count(*) AS n FROM v_mates WHERE ascii(substr(f_qual, 1, 1)) >= 53 AND ascii(substr(f_qual, 3, 1)) >= 51 AND ascii(substr(r_qual, 2, 1)) >= 49 GROUP BY ind"),

@@ -94,3 +94,9 @@ def test_similarity_join_equals_brute_force(spark, ignore):
     assert got == naive(rows, 3, ignore)
     both = similar_between(df.filter("g = 1"), df.filter("g = 1"), ["g"], "s", "s", 3, ignore).filter("seq1 < seq2").collect()
     assert {(r["g"], r["seq1"], r["seq2"], r["dist"]) for r in both} == naive({x for x in rows if x[0] == 1}, 3, ignore)
+
+
+def test_iupac_variants(spark):
+    rows = spark.createDataFrame([("RY",), ("nA",), ("AX",), ("",), (None,)], "p string")
+    got = {r["p"]: r["v"] for r in rows.select("p", S.iupac_variants(F.col("p")).alias("v")).collect()}
+    assert got == {"RY": S.iupac_expand("RY"), "nA": S.iupac_expand("NA"), "AX": None, "": [""], None: None} and S.iupac_expand("NA")[1] == "CA"
