@@ -7,7 +7,10 @@ good texts, and how often those on bad texts, are bad ones.
 Expectation-maximisation estimates these and the share of good texts from the
 votes alone, over all texts that the base rules leave in question; it needs only
 how often each pattern of votes occurs, which is one aggregation and at most 3
-to the number of rules (243) rows.  The maximisation is constrained: rules are
+to the number of rules (19,683) rows.  The rules overlap (symbols, letters and
+word length look at the same marks; capitals and function words at the same
+words), so that each is measured by what the others say of the texts it votes
+on.  The maximisation is constrained: rules are
 written so as to spare good texts, and none is taken to vote against more than
 ``WRONG`` of those it votes on; without that, good and bad would not be told
 apart by votes that mostly agree.  A text is kept if its posterior probability
@@ -16,7 +19,13 @@ of being good reaches ``KEEP``, whatever single rules say.
 Figures, words being maximal runs of characters other than 0x20 and 0x09-0x0D:
 word_chars (code points in words), n_symbols (characters of ``#*$%&|<>``),
 n_dup_lines (lines with a word that equal an earlier line) and n_repeat_words
-(words in windows of three words that occur twice or more in the text).
+(words in windows of three words that occur twice or more in the text).  For the
+votes also: n_letters and n_capitals (letters, upper-case letters), n_bare (words
+without a letter), n_lines (lines with a word), n_ended (those whose last
+character other than a blank is one of ``ENDS``), n_function (different words
+of ``FUNCTION_WORDS`` that occur as they are) and n_hidden (those that occur if
+case and all but letters are left out).  Texts in other languages have none of
+either, and the rule on function words then abstains.
 
 All of it is DataFrame expressions.  Repeated windows are found by sorting the
 window hashes of a text, so a long text costs n log n.
@@ -29,6 +38,7 @@ other than the id and the text are not read.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +48,9 @@ from locuspark.plans.scratch import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+ENDS = ".!?:;\"'\u00bb\u201d\u2026)"
+#: Frequent words of English, German, French and Spanish prose.
+FUNCTION_WORDS = "the and of to in is that with for was der die und das ist nicht ein mit von den le la les des et un une est que dans el los las y en por con del se no".split()
 KEEP = 0.5
 #: Start values: probability of being good without and with a vote against.
 START = (0.95, 0.2)
@@ -46,6 +59,9 @@ MIN_WORDS = 50
 MAX_REPEATED = 0.5
 
 
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals", "n_bare", "n_lines", "n_ended", "n_function", "n_hidden")
+
+
 def bound(value: Column, body) -> Column:
     """``body(value)`` with the value worked out once."""
     return F.transform(F.array(value), body)[0]
@@ -83,22 +99,34 @@ def repeated_words(words: Column) -> Column:
 
 def figures(text: Column) -> dict[str, Column]:
     """The figures of a text that need no list of its words."""
-    lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
+    letters = F.regexp_replace(text, r"\P{L}+", "")
     return {
         "word_chars": F.length(F.regexp_replace(text, WHITE, "")),
         "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")),
-        "n_dup_lines": bound(lines, lambda s: F.size(s) - F.size(F.array_distinct(s))),
+        "n_letters": F.length(letters),
+        "n_capitals": F.length(F.regexp_replace(letters, r"\P{Lu}+", "")),
+        "n_bare": F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])")),
+        "n_ended": F.regexp_count(text, F.lit(f"[{re.escape(ENDS)}][\\x20\\x09\\x0B-\\x0D]*+(?=\\n|\\z)")),
     }
 
 
+def line_figures(text: Column) -> Column:
+    """n_lines and n_dup_lines of a text."""
+    lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
+    return bound(lines, lambda s: F.struct(F.size(s).alias("n_lines"), (F.size(s) - F.size(F.array_distinct(s))).alias("n_dup_lines")))
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words and the figures of each row."""
+    """id and the figures of each row."""
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     rows = docs.select(col(id_col).alias("id"), text.alias("text"))
+    places = {k: f"_w.{k}" for k in ("n_words", "n_repeat_words", "n_function")} | {k: f"_l.{k}" for k in ("n_lines", "n_dup_lines")}
     words = F.filter(F.split(F.col("text"), WHITE), lambda w: w != "")
-    both = bound(words, lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    rows = rows.select("id", *[c.cast("long").alias(k) for k, c in figures(F.col("text")).items()], both.alias("_w"))
-    return rows.select(F.col("id").alias(id_col), F.col("_w.n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_w.n_repeat_words").cast("long").alias("n_repeat_words"))
+    function = F.array(*map(F.lit, FUNCTION_WORDS))
+    by_word = bound(words, lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words"), F.size(F.array_intersect(w, function)).alias("n_function")))
+    hidden = F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\x20\x09-\x0D]+", "")), WHITE)
+    rows = rows.select("id", *[c.cast("long").alias(k) for k, c in figures(F.col("text")).items()], F.size(F.array_intersect(hidden, function)).alias("n_hidden"), line_figures(F.col("text")).alias("_l"), by_word.alias("_w"))
+    return rows.select(F.col("id").alias(id_col), *[F.col(places.get(k, k)).cast("long").alias(k) for k in FIGURES])
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -108,6 +136,10 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 def votes() -> dict[str, Column]:
     """The rules: 1 good, -1 bad, 0 no vote."""
     n = F.greatest(F.col("n_words"), F.lit(1))
+    lines = F.greatest(F.col("n_lines"), F.lit(1))
+    capitals = F.col("n_capitals") / F.greatest(F.col("n_letters"), F.lit(1))
+    bare = F.col("n_bare") / n
+    ended = F.col("n_ended") / lines
     mean = F.col("word_chars") / n
     marks = F.col("n_symbols") / n
     repeats = F.col("n_repeat_words") / n
@@ -116,12 +148,16 @@ def votes() -> dict[str, Column]:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
     return {
-        # Texts too short have failed the base rules.
-        "length": three(F.col("n_words") >= 100, F.lit(False)),
+        # Texts shorter still have failed the base rules.
+        "length": three(F.col("n_words") >= 100, F.col("n_words") < 70),
         "word_length": three(mean.between(3.0, 9.0), (mean < 2.5) | (mean > 11.0)),
         "symbols": three(marks < 0.05, marks > 0.2),
         "repeats": three(repeats < 0.2, repeats > 0.4),
         "lines": three(F.col("n_dup_lines") == 0, F.col("n_dup_lines") >= 3),
+        "letters": three(bare < 0.1, bare > 0.3),
+        "capitals": three(capitals < 0.15, capitals > 0.4),
+        "line_ends": three(ended > 0.7, (ended < 0.3) & (lines >= 3)),
+        "function_words": three(F.col("n_function") >= 3, (F.col("n_function") == 0) & (F.col("n_hidden") >= 2)),
     }
 
 
