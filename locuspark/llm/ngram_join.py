@@ -7,8 +7,13 @@
    ``ROWS`` values form ``BANDS`` band keys; a pair at the threshold shares
    none of them with probability (1 - 0.8**5)**32 = 3e-6.
 3. Band keys held by several representatives link each of these to the least
-   of them, and the components of that graph are the candidate groups.  Every
-   candidate pair lies within a group, and no pair is written out.
+   of them.  Candidates are compared within groups, and no pair is written out.
+   A component of that graph is one group if it fits a block, or takes no more
+   comparisons than its bands would: then each pair is met once.  If it takes
+   more, as where chance links make a chain of unlike texts, each band key is a
+   group, and a pair counts in the first band that it shares, so that the work is
+   that of the bands however large a component grows.  Both ways find every pair
+   that shares a band.
 4. A group is dealt into blocks by a hash, as many as its size asks for, and
    each pair of blocks is one task's work: MinHash values of all its pairs are
    compared ``STEP`` at a time, and a pair is dropped as soon as the posterior
@@ -48,6 +53,10 @@ TOLERANCE = 1e-6
 #: Documents, and distinct 5-grams, that a block holds on average at most.
 BLOCK_DOCS = 1000
 BLOCK_GRAMS = 2_000_000
+#: Comparisons within bands that are taken to cost as much as one within a component (texts travel once for each band).
+BAND_COST = 1.0
+#: Band number of a group that is a component.
+WHOLE = -1
 #: Side of rows of a block that meets itself; else 0 and 1.
 DIAGONAL = 2
 
@@ -110,12 +119,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sig) to (node, band, at) for each band."""
     for b in batches:
         n = b.num_rows
         for a in range(0, n, 2000):
             part = b.slice(a, 2000)
             keys = [band_keys(np.frombuffer(s, np.uint32)) for s in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys)))], names=["node", "band", "at"])
+
+
+def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row of two arrays of signatures: the first band that they share."""
+    out = np.full(len(a), BANDS)
+    for c in range(0, len(a), 100_000):
+        same = (a[c : c + 100_000] == b[c : c + 100_000]).reshape(-1, BANDS, ROWS).all(axis=2)
+        out[c : c + 100_000] = np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
+    return out
 
 
 def alike(a: np.ndarray, b: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +185,7 @@ def verified(i: np.ndarray, j: np.ndarray, left: list[np.ndarray], right: list[n
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, node, copies, sig, text), sorted by cell, to links of each node."""
+    """Rows (cell, side, node, copies, sig, text, at), sorted by cell, to links of each node; at is the band of the group, if it has one."""
     cell: list[tuple] = []
     at = None
 
@@ -178,6 +197,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         sigs = [np.array([np.frombuffer(r[4], np.uint32) for r in s]) for s in (left, right)]
         i, j = alike(sigs[0], sigs[1], within)
+        if cell[0][6] != WHOLE and len(i):
+            own = first_shared(sigs[0][i], sigs[1][j]) == cell[0][6]
+            i, j = i[own], j[own]
         if not len(i):
             return
         need = [sorted({*i.tolist(), *(j.tolist() if within else ())}), sorted({*j.tolist()})]
@@ -230,6 +252,13 @@ def _grams(text: str) -> np.ndarray:
     return np.unique(shingles(h, K))
 
 
+def by_bands(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """The components of ``members`` (component, node) that take fewer comparisons by the bands of ``linked`` (node, n), n being the size of each band key a node has."""
+    whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_DOCS)
+    bands = linked.groupBy("node").agg(F.sum("n").alias("met")).join(members.select("component", "node"), "node").groupBy("component").agg(F.sum("met").alias("met"))
+    return whole.join(bands, "component").filter(F.col("n").cast("double") * F.col("n") > BAND_COST * F.col("met")).select("component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its class and links.
 
@@ -251,23 +280,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The sketches: of one row for each text, the first of those with the least id.
     sketch = rows.select(F.lit(0).cast("long").alias("id"), "same", "text").mapInArrow(_sketch, "id long, same string, n_grams long, sig binary").filter("sig is not null")
     nodes = materialize(sketch.dropDuplicates(["same"]).drop("id").join(reps.drop("first"), "same"))
-    bands = nodes.select("node", "sig").mapInArrow(_bands, "node long, band long")
-    bands = materialize(bands)
-    shared = bands.groupBy("band").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    edges = bands.join(shared, "band").filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
+    bands = materialize(nodes.select("node", "sig").mapInArrow(_bands, "node long, band long, at int"))
+    shared = bands.groupBy("band").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    linked = materialize(bands.join(shared, "band"))
+    edges = linked.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     groups = connected_components(edges)
     members = materialize(groups.join(nodes, "node").select("component", "node", "same", "copies", "n_grams", "sig"))
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
-    size = size.select("component", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("grams") / BLOCK_GRAMS, F.lit(1))).cast("int").alias("cut"))
-    dealt = members.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
+    chained = materialize(by_bands(members, linked))
+    by_component = members.join(chained, "component", "left_anti").select(F.col("component").alias("group"), F.lit(WHOLE).alias("at"), "node", "same", "copies", "n_grams", "sig")
+    by_band = linked.select("node", "band", "at").join(members.join(chained, "component", "left_semi"), "node").select(F.col("band").alias("group"), "at", "node", "same", "copies", "n_grams", "sig")
+    dealt = by_component.union(by_band)
+    size = dealt.groupBy("group", "at").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
+    size = size.select("group", "at", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("grams") / BLOCK_GRAMS, F.lit(1))).cast("int").alias("cut"))
+    dealt = dealt.join(size, ["group", "at"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
     # Block x meets every block y >= x as left side, and every y < x as right side.
     cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
     cells = cells.withColumn("side", (F.col("other") < F.col("block")).cast("int"))
     cells = cells.withColumn("side", F.when(F.col("other") == F.col("block"), F.lit(DIAGONAL)).otherwise(F.col("side")))
-    cells = cells.withColumn("cell", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
+    cells = cells.withColumn("cell", F.xxhash64("group", "at", F.least("block", "other"), F.greatest("block", "other")))
     # Texts of candidates alone are read again, each from the row with the least id.
     texts = rows.select("same", own.alias("node"), "text").join(members.select("same", "node"), ["same", "node"], "left_semi").dropDuplicates(["same"]).drop("node")
-    work = cells.join(texts, "same").select("cell", "side", "node", "copies", "sig", "text")
+    work = cells.join(texts, "same").select("cell", "side", "node", "copies", "sig", "text", "at")
     work = work.repartition("cell").sortWithinPartitions("cell", "side", "node")
     found = materialize(work.mapInArrow(_linked, "node long, links long, docs long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from locuspark.llm import ngram_join as J
 
 SCHEMA = "doc_id long, text string, class_id string"
@@ -58,6 +60,41 @@ def test_equals_brute_force(spark):
     assert got(spark, table()) == brute(table())
 
 
+def test_bands_as_groups_lose_no_link(spark, monkeypatch):
+    rows, want = table(3), brute(table(3))
+    monkeypatch.setattr(J, "BLOCK_DOCS", 2)
+    for cost in (1e9, 0.0):  # every component as one group; none
+        monkeypatch.setattr(J, "BAND_COST", cost)
+        assert got(spark, rows) == want
+
+
+def test_first_shared_band():
+    a = np.arange(4 * J.HASHES, dtype=np.uint32).reshape(4, J.HASHES)
+    b = a + np.uint32(1)
+    b[1, 3 * J.ROWS : 5 * J.ROWS] = a[1, 3 * J.ROWS : 5 * J.ROWS]
+    b[2, 1 : 1 + J.ROWS] = a[2, 1 : 1 + J.ROWS]
+    b[3] = a[3]
+    assert J.first_shared(a, b).tolist() == [J.BANDS, 3, J.BANDS, 0]
+
+
+def test_a_chain_of_unlike_texts_goes_by_bands(spark, monkeypatch):
+    # Each text shares four fifths with the next; the component is all of them, the bands are small.
+    words = [f"w{i}" for i in range(6000)]
+    rows = [(i, " ".join(words[20 * i : 20 * i + 200]), "") for i in range(250)]
+    monkeypatch.setattr(J, "BLOCK_DOCS", 20)
+    assert got(spark, rows) == brute(rows)
+
+
+def test_components_that_go_by_bands(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_DOCS", 3)
+    # A chain of five (each node shares a key of two with either neighbour), five that share all of 32 keys, and three in one block.
+    chain, dense, small = range(5), range(10, 15), range(20, 23)
+    members = [(0, v) for v in chain] + [(10, v) for v in dense] + [(20, v) for v in small]
+    linked = [(v, 2) for v in chain for _ in range(1 if v in (0, 4) else 2)] + [(v, 5) for v in dense for _ in range(32)] + [(20, 2), (21, 2), (21, 2), (22, 2)]
+    found = J.by_bands(spark.createDataFrame(members, "component long, node long"), spark.createDataFrame(linked, "node long, n long"))
+    assert [r[0] for r in found.collect()] == [0]
+
+
 def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(60)]
