@@ -24,19 +24,20 @@ words, and the pairs, that it is made of are found.  The model's probability of
 a text is the mean, weighted by ``SHARES``, of these chains over its tokens,
 which is a distribution over texts as the chains are.
 
-No n-gram is left out, however many there are, and no task has the whole filter:
-the n-grams of the stretches to score are probed in the tasks of their shards,
-and the levels go back to the stretches, a byte each, words with their exact
-counts for the base figures (the score does not use these).  So each n-gram of a
-stretch is sent and probed once, whatever the size of the model, and all work
-and traffic is in proportion to the corpus.  A shard has the n-grams of two
-stretches at most, on the average.  The shards
-together have about 12 bits for each level of each different n-gram of the
-corpus, and 10 to 16 bytes for each different word.
-
-``Model.parts`` has the same shards as broadcasts of about ``PART_BYTES`` and
-``HEAD`` words at most (those of one shard at least), for probes outside of
-``score``; they are made when first asked for.
+No n-gram is left out, however many there are.  The filter of a corpus of up to
+``SMALL`` bytes of token numbers is broadcast to the workers, in parts of about
+``PART_BYTES`` and ``HEAD`` words at most (those of one shard at least), of which
+a task has one in memory at a time.  As every task reads all of a broadcast, and
+both it and the texts grow with the corpus, that would be quadratic; so beyond
+that size no task has the whole filter: the n-grams of the stretches to score are
+probed in the tasks of their shards, and the levels go back to the stretches, a
+byte each, words with their exact counts for the base figures (the score does
+not use these).  So each n-gram of a stretch is sent and probed once, whatever
+the size of the model, and all work and traffic is in proportion to the corpus.
+Both ways ask the same filter and give the same figures.  A shard has the n-grams
+of two stretches at most, on the average.  The shards together have about 12 bits
+for each level of each different n-gram of the corpus, and 10 to 16 bytes for
+each different word.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as
 the empty string in the split; repeated rows are trained on and scored each; an
@@ -68,6 +69,8 @@ PRIOR = 4.0
 #: Longest n-grams of the model, 2 or 3, and the weights of its chains.
 ORDER = 2
 SHARES = {2: (0.9, 0.1), 3: (0.9, 0.05, 0.05)}
+#: Bytes of token numbers up to which the filter is broadcast (it has at most 3 bytes a token, 4.5 at order 3, and 16 a different word).
+SMALL = 16 << 20
 #: Tokens of a stretch, but for what its last block of texts has beyond.
 STRETCH = 1_000_000
 
@@ -521,23 +524,46 @@ def _log_mean(chains: list[np.ndarray]) -> np.ndarray:
     return top + np.log10(np.array(SHARES[len(chains)]) @ np.power(10.0, x - top))
 
 
+_SCORES = "id {}, n_tokens long, n_known long, base_score double, score double"
+
+
+def _row_scores(ids: pa.Array, row: tuple[bytes, bytes, bytes], probes: Probes | Answers, model: Model) -> list[pa.Array]:
+    """The columns of ``_SCORES`` for the texts of one stretch."""
+    now, before, begin = _tokens_of(*row)
+    *levels, known = levels_of(probes, now, before, begin, model.order)
+    sums = [np.add.reduceat(np.log10(p), begin[:-1]) for p in model.chains(*levels, begin)]
+    base = np.log10((known + 1) / (model.total + model.types + 1))
+    flat = [np.diff(begin), np.add.reduceat((known > 0).astype(np.int64), begin[:-1]), np.add.reduceat(base, begin[:-1]), _log_mean(sums)]
+    return [ids, *map(pa.array, flat)]
+
+
+_NAMES = ["id", "n_tokens", "n_known", "base_score", "score"]
+
+
 def _scored(texts: DataFrame, said: DataFrame, model: Model, id_col: str) -> DataFrame:
-    """Row for row of the stretches: the id, n_tokens, n_known, base_score and score."""
-    names = ["id", "n_tokens", "n_known", "base_score", "score"]
+    """Row for row of the stretches: the id, n_tokens, n_known, base_score and score, from what the shards said."""
 
     def run(texts: pa.Table, said: pa.Table) -> pa.Table:
-        now, before, begin = _tokens_of(*(texts.column(c)[0].as_py() for c in ("words", "tokens", "lengths")))
-        *levels, known = levels_of(Answers(said), now, before, begin, model.order)
-        sums = [np.add.reduceat(np.log10(p), begin[:-1]) for p in model.chains(*levels, begin)]
-        base = np.log10((known + 1) / (model.total + model.types + 1))
-        flat = [np.diff(begin), np.add.reduceat((known > 0).astype(np.int64), begin[:-1]), np.add.reduceat(base, begin[:-1]), _log_mean(sums)]
-        return pa.Table.from_arrays([texts.column("ids").combine_chunks().flatten(), *map(pa.array, flat)], names=names)
+        row = tuple(texts.column(c)[0].as_py() for c in ("words", "tokens", "lengths"))
+        return pa.Table.from_arrays(_row_scores(texts.column("ids").combine_chunks().flatten(), row, Answers(said), model), names=_NAMES)
 
     kind = texts.schema["ids"].dataType.elementType.simpleString()
     asked = texts.select("stretch", "ids", "words", "tokens", "lengths").repartition(2 * model.shards, "stretch").groupBy("stretch")
     answers = said.filter("stretch is not null").select("stretch", "kind", "shard", "levels", "exact").repartition(2 * model.shards, "stretch").groupBy("stretch")
-    out = asked.cogroup(answers).applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col)
+    return asked.cogroup(answers).applyInArrow(run, _SCORES.format(kind)).withColumnRenamed("id", id_col)
+
+
+def _probed(texts: DataFrame, model: Model, id_col: str) -> DataFrame:
+    """What ``_scored`` gives, from the broadcast filter."""
+    probes = Probes(model.parts, model.shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                yield pa.RecordBatch.from_arrays(_row_scores(b.column(0).slice(i, 1).flatten(), row, probes, model), names=_NAMES)
+
+    kind = texts.schema["ids"].dataType.elementType.simpleString()
+    return texts.select("ids", "words", "tokens", "lengths").mapInArrow(run, _SCORES.format(kind)).withColumnRenamed("id", id_col)
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:
@@ -546,8 +572,15 @@ def score(docs: DataFrame, model: Model, table: DataFrame | None = None, id_col:
     return _scored(texts, _sharded(texts, model.shards, model.order, True, model.table if table is None else table), model, id_col)
 
 
-def train_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, stretch: int = STRETCH) -> tuple[Model, DataFrame]:
-    """The model of the texts that ``learn`` holds for, and what ``score`` gives for all texts; n-grams are sent once for both."""
+def train_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, stretch: int = STRETCH, small: int = SMALL) -> tuple[Model, DataFrame]:
+    """The model of the texts that ``learn`` holds for, and what ``score`` gives for all texts.
+
+    The filter is broadcast if the token numbers take ``small`` bytes at most;
+    else it stays in its shards, and n-grams are sent there once for both.  The
+    results are the same.
+    """
     texts = stretches(docs, learn, id_col, text_col, stretch)
-    model, _, said = _trained(texts, order, True)
-    return model, _scored(texts, said, model, id_col)
+    # A token's number takes a byte at least, so this bounds the tokens, and with them the filter.
+    size = texts.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0))).first()[0]
+    model, _, said = _trained(texts, order, size > small)
+    return model, _scored(texts, said, model, id_col) if size > small else _probed(texts, model, id_col)

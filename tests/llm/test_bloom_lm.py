@@ -170,12 +170,12 @@ def test_narrow_round_trip():
 
 @pytest.mark.parametrize("order", [2, 3])
 def test_no_task_has_the_whole_model(spark, monkeypatch, order):
-    """Many stretches, by their shards: the scores are right without any part going to all workers."""
+    """Beyond the size up to which the filter is broadcast, the scores are right without any part going to all workers."""
     df, rows = table(spark, 200)
     learn = ~B.held_out(F.col("doc_id"))
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("the model was broadcast"))
     apart = B.score(df, *B.train(df.filter(learn), order=order))
-    model, at_once = B.train_and_score(df, learn, order=order, stretch=50)
+    model, at_once = B.train_and_score(df, learn, order=order, stretch=50, small=0)
     assert model.shards >= 16
     want = brute(rows, lambda d: not out(d), model)
     c = Counter(w for d, t, _ in rows if not out(d) for w in toks(t))
@@ -186,6 +186,22 @@ def test_no_task_has_the_whole_model(spark, monkeypatch, order):
         assert [(a[0], a[2]) for a in got] == known and np.median(far) < 1e-6 and max(far) < 2
 
 
+@pytest.mark.parametrize(("order", "part_bytes"), [(2, B.PART_BYTES), (3, 200)])
+def test_broadcast_and_shards_give_the_same(spark, monkeypatch, order, part_bytes):
+    df, _ = table(spark, 200)
+    learn = ~B.held_out(F.col("doc_id"))
+    monkeypatch.setattr(B, "PART_BYTES", part_bytes)
+    plain, sent = type(spark.sparkContext).broadcast, []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or plain(self, value))
+    rows = [sorted(map(tuple, B.train_and_score(df, learn, order=order, stretch=50, small=small)[1].collect()), key=str) for small in (0, B.SMALL)]
+    assert rows[0] == rows[1] and len(rows[0]) == df.count()
+    parts = [x for x in sent if isinstance(x, B.Part)]
+    assert len(parts) > 1 if part_bytes == 200 else len(parts) >= 1
+    assert sum(len(p.filter.bytes) for p in parts) > 0
+    empty = df.limit(0)
+    assert B.train_and_score(empty, learn)[1].count() == 0
+
+
 def test_ids_of_other_types(spark):
     df, rows = table(spark, 20)
     named = df.withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
