@@ -57,6 +57,8 @@ BLOCK_GRAMS = 2_000_000
 BAND_COST = 1.0
 #: Band number of a group that is a component.
 WHOLE = -1
+#: Tasks that the members of a group beyond one block go to while they are dealt.
+SALTS = 32
 #: Side of rows of a block that meets itself; else 0 and 1.
 DIAGONAL = 2
 
@@ -292,7 +294,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = by_component.union(by_band)
     size = dealt.groupBy("group", "at").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
     size = size.select("group", "at", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("grams") / BLOCK_GRAMS, F.lit(1))).cast("int").alias("cut"))
-    dealt = dealt.join(size, ["group", "at"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
+    # The few groups beyond one block, each in as many places as there are salts, so that no task gets all members of one.
+    large = size.filter("cut > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("same"), F.lit(SALTS)).cast("int")).join(large, ["group", "at", "salt"], "left")
+    dealt = dealt.withColumn("cut", F.coalesce("cut", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
     # Block x meets every block y >= x as left side, and every y < x as right side.
     cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
     cells = cells.withColumn("side", (F.col("other") < F.col("block")).cast("int"))
