@@ -83,11 +83,15 @@ def register(spark: SparkSession) -> None:
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
     """(split, first row, last row + 1) of the rows of one split that come together."""
+    n, split = batch.num_rows, lambda k: (batch.column("path")[k].as_py(), batch.column("start")[k].as_py())
+    # Rows of a split are not mixed with others, so most batches are one run, of which the two ends tell.
+    if n and split(0) == split(n - 1):
+        yield split(0), 0, n
+        return
     path, start = batch.column("path").to_pylist(), batch.column("start").to_pylist()
     a = 0
-    while a < len(path):
-        # Rows of a split are not mixed with others, so most batches are one run.
-        b = len(path) if (path[-1], start[-1]) == (path[a], start[a]) else next(k for k in range(a, len(path)) if (path[k], start[k]) != (path[a], start[a]))
+    while a < n:
+        b = n if (path[-1], start[-1]) == (path[a], start[a]) else next(k for k in range(a, n) if (path[k], start[k]) != (path[a], start[a]))
         yield (path[a], start[a]), a, b
         a = b
 
@@ -191,8 +195,9 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     number = {_uri(u): i for i, p in enumerate(paths) for u in spark.read.text(p).inputFiles()}
     rows = read_folder(spark, paths)
     uri = F.regexp_replace("path", r"^([A-Za-z][\w+.-]*):/+", "$1:/")
-    file_no = F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), uri) if number else F.lit(0)
-    return rows.select(file_no.cast("int").alias("file_no"), "record_no", *PARTS)
+    # A join finds a file at once, however many there are; a map would be gone through for every record.
+    numbers = spark.createDataFrame(list(number.items()), "uri string, file_no int")
+    return rows.withColumn("uri", uri).join(F.broadcast(numbers), "uri").select("file_no", "record_no", *PARTS)
 
 
 def read_pairs(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -1,4 +1,5 @@
 import gzip
+from pathlib import Path
 
 import pytest
 
@@ -146,3 +147,29 @@ def test_broken_records_are_errors(spark, tmp_path):
         (tmp_path / f"{k}.fq").write_text(text)
         with pytest.raises(Exception, match="not complete"):
             fastq.read(spark, [str(tmp_path / f"{k}.fq")]).collect()
+
+
+def test_splits_grow_with_the_files(spark, tmp_path):
+    from locuspark.queries import files
+    from locuspark.queries.fixtures import Fixture
+
+    f = Fixture.__new__(Fixture)
+    f.spark = spark
+    paths = [str(tmp_path / n) for n in "ab"]
+    for p, n in zip(paths, (30, 70), strict=True):
+        with open(p, "w") as out:
+            out.truncate(n * files.SPLIT_BYTES)
+    assert files._split_bytes(f, paths) == files.SPLIT_BYTES
+    for p in paths:
+        with open(p, "w") as out:
+            out.truncate(3 * files.SPLITS * files.SPLIT_BYTES)
+    assert files._split_bytes(f, paths) == 6 * files.SPLIT_BYTES
+
+
+def test_number_of_a_file_is_joined(spark, tmp_path):
+    paths = [str(tmp_path / f"{i}.fq") for i in range(30)]
+    for i, p in enumerate(paths):
+        Path(p).write_text(f"@r{i}\nACGT\n+\nIIII\n")
+    got = fastq.read(spark, paths[::-1])
+    assert sorted((r["file_no"], r["header"]) for r in got.collect()) == [(29 - i, f"@r{i}") for i in reversed(range(30))]
+    assert "29.fq" not in got._jdf.queryExecution().optimizedPlan().toString().replace("FileIndex", "")
