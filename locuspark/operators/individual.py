@@ -3,6 +3,10 @@
 Relations carry ``ind``; there are no per-individual files and no per-
 individual loops.  Sequence variants (svars) are distinct reads of an
 individual with their depth.
+
+Joins of tables that grow with the reads are merge joins by hint: the files of
+such tables are so small for their rows that Spark would broadcast them, all
+rows by way of the driver.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ def locus_components(good: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ind, sl, seq, depth, first): first is the least sequence of the svar's component."""
     node = lambda c: F.concat_ws("|", "ind", c)
     found = connected_components(pairs.select(node("seq1").alias("a"), node("seq2").alias("b")))
-    named = good.withColumn("node", node("seq")).join(found, "node", "left")
+    named = good.withColumn("node", node("seq")).join(found.hint("merge"), "node", "left")
     return named.select("ind", "sl", "seq", "depth", F.coalesce(F.element_at(F.split("component", r"\|"), -1), "seq").alias("first"))
 
 
@@ -63,15 +67,15 @@ def with_locus_ids(rows: DataFrame) -> DataFrame:
 def rare_assign(rare: DataFrame, loci: DataFrame, d: Column | int) -> DataFrame:
     """Rare svars (ind, sl, seq, depth, loc) that are within d of exactly one locus."""
     near = similar_between(rare, loci, ["ind"], "seq", "seq", d, ignore_n=True)
-    near = near.join(loci.select("ind", F.col("seq").alias("seq2"), "loc"), ["ind", "seq2"])
+    near = near.join(loci.select("ind", F.col("seq").alias("seq2"), "loc").hint("merge"), ["ind", "seq2"])
     one = near.groupBy("ind", F.col("seq1").alias("seq")).agg(F.countDistinct("loc").alias("n"), F.min("loc").alias("loc")).filter("n = 1").drop("n")
-    return rare.join(one, ["ind", "seq"]).select("ind", "sl", "seq", "depth", "loc")
+    return rare.join(one.hint("merge"), ["ind", "seq"]).select("ind", "sl", "seq", "depth", "loc")
 
 
 def loci_of(svars: DataFrame, good_depth: int, hapdist: Column | int, raredist: Column | int) -> DataFrame:
     """Svars of loci: (ind, loc, sl, seq, depth, good)."""
     good, rare = svars.filter(F.col("depth") >= good_depth), svars.filter(F.col("depth") < good_depth)
-    loci = with_locus_ids(locus_components(good, similar_pairs(good, ["ind"], "seq", hapdist, ignore_n=True)))
+    loci = materialize(with_locus_ids(locus_components(good, similar_pairs(good, ["ind"], "seq", hapdist, ignore_n=True))))
     both = loci.select("ind", "loc", "sl", "seq", "depth", F.lit(True).alias("good"))
     return both.unionByName(rare_assign(rare, loci, raredist).select("ind", "loc", "sl", "seq", "depth", F.lit(False).alias("good")))
 
@@ -113,15 +117,15 @@ def _corrected(used: DataFrame, least_of) -> DataFrame:
     """
     variable = materialize(_variable(used))
     at = variable.filter("pos is not null").select("ind", "loc", "loc_dep", "pos")
-    letters = used.select("ind", "loc", "seq", "depth").join(at, ["ind", "loc"]).withColumn("letter", F.expr("substr(seq, pos, 1)"))
+    letters = used.select("ind", "loc", "seq", "depth").join(at.hint("merge"), ["ind", "loc"]).withColumn("letter", F.expr("substr(seq, pos, 1)"))
     sums = letters.groupBy("ind", "loc", "loc_dep", "pos").agg(*[F.coalesce(F.sum(F.when(F.col("letter") == x, F.col("depth"))), F.lit(0)).alias(x) for x in "ACGTN"])
     col = {x: F.col(x) for x in "ACGTN"}
     least = least_of(col, F.col("loc_dep"))
     news = [F.when((col[x] > 0) & (_resolve(col, F.lit(x), least) != x), F.struct("pos", F.lit(x).alias("old"), _resolve(col, F.lit(x), least).alias("new"))) for x in "ACGTN"]
     swaps = sums.select("ind", "loc", F.explode(F.array_compact(F.array(*news))).alias("swap")).groupBy("ind", "loc").agg(F.collect_list("swap").alias("swaps"))
-    loci = variable.filter("word = 0").select("ind", "loc", "loc_dep").distinct().join(swaps, ["ind", "loc"], "left")
+    loci = variable.filter("word = 0").select("ind", "loc", "loc_dep").distinct().join(swaps.hint("merge"), ["ind", "loc"], "left")
     new = F.aggregate("swaps", F.col("seq"), lambda s, w: F.when(F.substr("seq", w["pos"], F.lit(1)) == w["old"], F.overlay(s, w["new"], w["pos"])).otherwise(s))
-    return used.join(loci, ["ind", "loc"]).select("ind", "loc", "sl", "loc_dep", "seq", "depth", F.coalesce(new, "seq").alias("corrected"))
+    return used.join(loci.hint("merge"), ["ind", "loc"]).select("ind", "loc", "sl", "loc_dep", "seq", "depth", F.coalesce(new, "seq").alias("corrected"))
 
 
 def snp_call_freq(used: DataFrame, c: float = 0.2) -> DataFrame:
@@ -155,7 +159,7 @@ def snp_call_binom(used: DataFrame, e: float = 0.01) -> DataFrame:
 def _compatible(seqs: DataFrame) -> DataFrame:
     """Edges (a, b), both ways, between sequences of a locus that agree but for N; ends are ``ind|loc|seq``."""
     with_n = seqs.filter(F.col("seq").contains("N")).select("ind", "loc").distinct()
-    pairs = similar_pairs(seqs.join(with_n, ["ind", "loc"], "left_semi"), ["ind", "loc"], "seq", 0, ignore_n=True)
+    pairs = similar_pairs(seqs.join(with_n.hint("merge"), ["ind", "loc"], "left_semi"), ["ind", "loc"], "seq", 0, ignore_n=True)
     ends = [F.concat_ws("|", "ind", "loc", c) for c in ("seq1", "seq2")]
     return pairs.select(F.explode(F.array(F.struct(ends[0].alias("a"), ends[1].alias("b")), F.struct(ends[1].alias("a"), ends[0].alias("b")))).alias("e")).select("e.a", "e.b")
 
@@ -187,35 +191,35 @@ def groups_of(corrected: DataFrame, binom: bool = False) -> DataFrame:
     links = materialize(_compatible(seqs))
     parts = connected_components(links)
     degree = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    members = materialize(seqs.join(parts, "node").join(degree, "node").withColumn("out", F.col("seq").contains("N")))
-    plain = seqs.join(parts, "node", "left_anti").select(*keys, "seq", "depth")
+    members = materialize(seqs.join(parts.hint("merge"), "node").join(degree.hint("merge"), "node").withColumn("out", F.col("seq").contains("N")))
+    plain = seqs.join(parts.hint("merge"), "node", "left_anti").select(*keys, "seq", "depth")
 
     count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("k"))), F.lit(0))
     size = F.count(F.lit(1))
     shape = members.groupBy("component").agg((F.sum("degree") == size * (size - 1)).alias("clique"), count(F.col("out")).alias("n_out"), count(~F.col("out")).alias("n_stay"))
-    members = materialize(members.join(shape, "component"))
+    members = materialize(members.join(shape.hint("merge"), "component"))
     cliques = members.filter("clique")
-    whole = _consensus(cliques, [*keys, "component"]).join(cliques.groupBy("component").agg(F.sum("depth").alias("depth")), "component").select(*keys, "seq", "depth")
+    whole = _consensus(cliques, [*keys, "component"]).join(cliques.groupBy("component").agg(F.sum("depth").alias("depth")).hint("merge"), "component").select(*keys, "seq", "depth")
 
     mixed = members.filter("not clique")
     side = lambda e: mixed.select(F.col("node").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in ("out", "depth", "k")])
-    pairs = materialize(links.join(side("a"), "a").join(side("b"), "b").filter("a_out"))
+    pairs = materialize(links.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter("a_out"))
     to_stay = pairs.filter("not b_out").groupBy(F.col("a").alias("node")).agg(F.sum("b_depth").alias("stay_depth"), F.sum("b_k").alias("stay_k"))
-    roles = materialize(mixed.join(to_stay, "node", "left").withColumn("role", F.when(~F.col("out"), "stay").when(F.col("stay_k").isNotNull(), "donor").otherwise("other")))
+    roles = materialize(mixed.join(to_stay.hint("merge"), "node", "left").withColumn("role", F.when(~F.col("out"), "stay").when(F.col("stay_k").isNotNull(), "donor").otherwise("other")))
     others = roles.filter("role = 'other'").select(F.col("node").alias("b"))
-    beside = pairs.join(others, "b").groupBy(F.col("a").alias("node")).agg(F.sum("b_depth").alias("beside_depth"), F.sum("b_k").alias("beside_k"))
-    donors = roles.filter("role = 'donor'").join(beside, "node", "left").select(F.col("node").alias("a"), (F.col("stay_depth") + F.coalesce("beside_depth", F.lit(0.0))).alias("whole"), (F.col("stay_k") + F.coalesce("beside_k", F.lit(0))).alias("n_whole"))
+    beside = pairs.join(others.hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("b_depth").alias("beside_depth"), F.sum("b_k").alias("beside_k"))
+    donors = roles.filter("role = 'donor'").join(beside.hint("merge"), "node", "left").select(F.col("node").alias("a"), (F.col("stay_depth") + F.coalesce("beside_depth", F.lit(0.0))).alias("whole"), (F.col("stay_k") + F.coalesce("beside_k", F.lit(0))).alias("n_whole"))
     gift = F.when(F.col("n_whole") == 1, F.col("a_depth")).otherwise(0.0) if binom else F.col("a_depth") * F.col("b_depth") / F.col("whole")
-    given = pairs.filter("not b_out").join(donors, "a").groupBy(F.col("b").alias("node")).agg(F.sum(gift).alias("given"))
-    stay = roles.filter("role = 'stay'").join(given, "node", "left").select(*keys, "seq", (F.col("depth") + F.coalesce("given", F.lit(0.0))).alias("depth"))
+    given = pairs.filter("not b_out").join(donors.hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(gift).alias("given"))
+    stay = roles.filter("role = 'stay'").join(given.hint("merge"), "node", "left").select(*keys, "seq", (F.col("depth") + F.coalesce("given", F.lit(0.0))).alias("depth"))
 
     per = roles.groupBy(*keys, "component", "n_out", "n_stay").agg(F.count_if(F.col("role") == "other").alias("others"), F.count_if(F.col("role") == "donor").alias("donors"))
     lost = F.when(F.col("n_stay") == 0, 2).when((F.col("n_stay") == 1) | (F.col("others") > 0), 1).otherwise(0)
     more = F.when(F.col("n_stay") == 0, F.col("n_out") > 2).when((F.col("n_stay") == 1) | (F.col("others") > 0), F.col("n_out") > 1).otherwise(F.col("donors") > 0)
     losses = per.groupBy(*keys).agg(F.sum(lost).cast("int").alias("lost"), F.max(more.cast("int")).alias("more"))
     groups = plain.unionByName(whole).unionByName(stay)
-    bare = losses.join(groups.select("ind", "loc"), ["ind", "loc"], "left_anti").select(*keys, F.lit(None).cast("string").alias("seq"), F.lit(None).cast("double").alias("depth"), "lost", "more")
-    found = groups.join(losses.select("ind", "loc", "lost", "more"), ["ind", "loc"], "left").select(*keys, "seq", "depth", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("more", F.lit(0)).alias("more"))
+    bare = losses.join(groups.select("ind", "loc").hint("merge"), ["ind", "loc"], "left_anti").select(*keys, F.lit(None).cast("string").alias("seq"), F.lit(None).cast("double").alias("depth"), "lost", "more")
+    found = groups.join(losses.select("ind", "loc", "lost", "more").hint("merge"), ["ind", "loc"], "left").select(*keys, "seq", "depth", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("more", F.lit(0)).alias("more"))
     return found.unionByName(bare)
 
 

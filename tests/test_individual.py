@@ -121,3 +121,15 @@ def test_a_locus_of_a_hundred_thousand_svars(spark):
     svars = spark.range(100_000).select(F.lit(1).cast("long").alias("ind"), F.lit(1).cast("long").alias("loc"), F.lit(41).alias("sl"), F.concat(F.lit("A" * 32), letters).alias("seq"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("good"))
     got = I.snp_call_freq(svars, 0.2)
     assert got.count() == 100_000 and got.filter("length(corrected) = 41 and loc_dep = 100000").count() == 100_000
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    from locuspark.operators import individual, similarity
+
+    rows = spark.createDataFrame([(i, 1, 8, s, 5, True) for i in range(3) for s in ("ACGTACGT", "ACGTACGA", "ACGTACGN", "TTTTACGT")], "ind long, loc long, sl int, seq string, depth long, good boolean")
+    corrected = individual.snp_call_binom(rows)
+    near = similarity.similar_pairs(rows, ["ind"], "seq", 2, ignore_n=True)
+    between = similarity.similar_between(rows, rows, ["ind"], "seq", "seq", 2, ignore_n=True)
+    for df in (corrected, near, between, individual.groups_of(corrected), individual.rare_assign(rows.drop("loc"), rows, 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
