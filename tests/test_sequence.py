@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,42 @@ def test_iupac_variants(spark):
     rows = spark.createDataFrame([("RY",), ("nA",), ("AX",), ("",), (None,)], "p string")
     got = {r["p"]: r["v"] for r in rows.select("p", S.iupac_variants(F.col("p")).alias("v")).collect()}
     assert got == {"RY": S.iupac_expand("RY"), "nA": S.iupac_expand("NA"), "AX": None, "": [""], None: None} and S.iupac_expand("NA")[1] == "CA"
+
+
+def seconds(df, expr):
+    """The shorter of two runs."""
+    took = []
+    for _ in range(2):
+        began = time.time()
+        df.select(expr.alias("x")).write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    return min(took)
+
+
+def reads(spark, n):
+    """Different strings of 32 letters of ACGTN and of 32 scores."""
+    text = "".join(random.Random(7).choice("ACGTACGTACGTN") for _ in range(2000))
+    qual = "".join(random.Random(8).choice("".join(map(chr, range(45, 74)))) for _ in range(2000))
+    cut = "cast(1 + id * 7 % 1960 as int), 32)"
+    df = spark.range(0, n, 1, 4).selectExpr(f"substr('{text}', {cut} as s", f"substr('{qual}', {cut} as q")
+    return df.repartition(4).cache()
+
+
+def window_by_window(qual, window, least, offset=33):
+    """``sliding_quality`` with a lambda for each letter of each window."""
+    w = F.least(F.length(qual), F.lit(window))
+    low = lambda i: F.aggregate(F.slice(F.col("codes"), i + 1, w), F.lit(0), lambda t, x: t + x) < (least + offset) * w
+    return F.when(F.length(qual) == 0, F.lit(True)).otherwise(~F.exists(F.sequence(F.lit(0), F.length(qual) - w), low))
+
+
+@pytest.mark.parametrize("window", [1, 5, 31, 32, 40])
+def test_windows_are_those_of_the_definition(spark, window):
+    df = reads(spark, 2000).select(F.expr("substr(q, 1, cast(rand(5) * 33 as int))").alias("q")).withColumn("codes", F.transform(F.filter(F.split("q", ""), lambda c: c != ""), F.ascii))
+    for least in (12, 20, 26):
+        rows = df.select(S.sliding_quality(F.col("q"), window, least), window_by_window(F.col("q"), window, least)).collect()
+        assert all(a == b for a, b in rows)
+
+
+def test_windows_take_less_than_their_letters(spark):
+    df = reads(spark, 200_000).withColumn("codes", F.transform(F.split("q", ""), F.ascii)).cache()
+    assert seconds(df, S.sliding_quality(F.col("q"), 5, 12)) < seconds(df, window_by_window(F.col("q"), 5, 12))
