@@ -122,6 +122,38 @@ def reads(spark, n):
     return df.repartition(4).cache()
 
 
+def letter_by_letter(s, adapters, rate, least=5):
+    """``find_adapter`` with a lambda for each letter of each start."""
+
+    def at(adapter):
+        n, a = F.length(s), len(adapter)
+
+        def fits(p):
+            overlap = F.least(F.lit(a), n - p)
+            wrong = F.aggregate(F.sequence(F.lit(1), overlap), F.lit(0), lambda t, k: t + F.when(F.substr(s, p + k, F.lit(1)) == F.substr(F.lit(adapter), k, F.lit(1)), 0).otherwise(1))
+            return wrong <= F.floor(F.lit(float(rate)) * overlap)
+
+        return F.when(n >= least, F.filter(F.sequence(F.lit(0), F.greatest(n - least, F.lit(0))), fits)).otherwise(F.array().cast("array<int>"))
+
+    return F.coalesce(F.array_min(F.concat(*[at(a) for a in adapters])), F.lit(-1))
+
+
+@pytest.mark.parametrize(("adapters", "rate", "least"), [(["ACGTTGCA"], 0.25, 5), (["ACGTTG"], 0.0, 5), (["ACG", "TTGACCATAG"], 0.1, 5), (["ACGTTGCATGCA"], 0.4, 3), (["ACGT"], 1.0, 2), (["ACGT"], -0.1, 2)])
+def test_adapters_are_those_of_the_definition(spark, monkeypatch, adapters, rate, least):
+    monkeypatch.setattr(S, "BLOCK", 500)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ACGTN" if k % 3 else "ACT\u00e9\U0001f9ec\n") for _ in range(k % 40)) + adapters[0][: k % 9] + "A" * (k % 2) for k in range(400)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    rows = df.select(S.find_adapter(F.col("s"), adapters, rate, least), letter_by_letter(F.col("s"), adapters, rate, least)).collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows]
+    assert df.filter("false").select(S.find_adapter(F.col("s"), adapters, rate, least)).count() == 0
+
+
+def test_adapters_take_less_than_their_letters(spark):
+    df = reads(spark, 60_000)
+    assert 2 * seconds(df, S.find_adapter(F.col("s"), ["ACGTTGCA"], 0.25)) < seconds(df, letter_by_letter(F.col("s"), ["ACGTTGCA"], 0.25))
+
+
 def window_by_window(qual, window, least, offset=33):
     """``sliding_quality`` with a lambda for each letter of each window."""
     w = F.least(F.length(qual), F.lit(window))
