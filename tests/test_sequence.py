@@ -122,6 +122,17 @@ def reads(spark, n):
     return df.repartition(4).cache()
 
 
+@pytest.mark.parametrize("n", [0, 1, 19, 20, 21, 40, 41, 60, 61, 150])
+def test_codes_agree_with_letters(spark, n):
+    rng = random.Random(n)
+    rows = [("".join(rng.choice("ACGTN") for _ in range(n)), "".join(rng.choice("ACGTN") for _ in range(n))) for _ in range(30)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(S.codes_distance(S.codes(F.col("a")), S.codes(F.col("b")), True), S.codes_distance(S.codes(F.col("a")), S.codes(F.col("b")), False)).collect()
+    for (a, b), r in zip(rows, got, strict=True):
+        assert tuple(r) == (sum(x != y and "N" not in (x, y) for x, y in zip(a, b, strict=True)), sum(x != y for x, y in zip(a, b, strict=True)))
+    assert one(spark, S.codes_distance(S.codes(F.nullif("a", "a")), S.codes(F.col("a")), False), a="ACGT") is None
+
+
 def letter_by_letter(s, adapters, rate, least=5):
     """``find_adapter`` with a lambda for each letter of each start."""
 
@@ -172,3 +183,9 @@ def test_windows_are_those_of_the_definition(spark, window):
 def test_windows_take_less_than_their_letters(spark):
     df = reads(spark, 200_000).withColumn("codes", F.transform(F.split("q", ""), F.ascii)).cache()
     assert seconds(df, S.sliding_quality(F.col("q"), 5, 12)) < seconds(df, window_by_window(F.col("q"), 5, 12))
+
+
+def test_codes_take_less_than_planes(spark):
+    df = reads(spark, 400_000)
+    by = lambda make, distance: seconds(df.select(make(F.col("s")).alias("a"), make(S.revcomp(F.col("s"))).alias("b")), distance(F.col("a"), F.col("b"), False))
+    assert by(S.codes, S.codes_distance) < by(S.planes, S.planes_distance)
