@@ -35,3 +35,12 @@ def test_a_read_takes_less_than_its_letters(spark):
         run(spark, line).agg(F.max("seq"), F.max("qual")).collect()
         took[run] = time.time() - began
     assert 2 * took[by_strings] < took[letter_by_letter]
+
+
+def test_alleles_are_counted_once(spark):
+    folder = "/root/testdata/sf0.001"
+    a, b = fixtures.Fixture(spark, folder).alleles, fixtures.Fixture(spark, folder).alleles
+    assert sorted(a.inputFiles()) == sorted(b.inputFiles())
+    again = fixtures.Fixture(spark, folder)._sql(fixtures.ALLELES, v_reads=fixtures.Fixture(spark, folder).reads)
+    assert a.schema.simpleString() == again.schema.simpleString()
+    assert a.count() == again.count() and a.exceptAll(again).isEmpty()
