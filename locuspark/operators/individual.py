@@ -85,47 +85,50 @@ def locus_depth(used: DataFrame) -> DataFrame:
 
 
 def _variable(used: DataFrame) -> DataFrame:
-    """(ind, loc, sl, loc_dep, pos): positions (from 1; null where there is none) at which the svars of a locus differ.
+    """(ind, loc, sl, loc_dep, word, pos): positions (from 1; null where there is none) at which the svars of a locus differ.
 
-    Bit planes are summed up by ``bit_or`` and ``bit_and``, so no svar is spelled out and nothing is gathered.
+    Codes are summed up by ``bit_or`` and ``bit_and``, so no svar is spelled out and nothing is gathered.
     """
-    planes = used.select("ind", "loc", "sl", "depth", S.planes(F.col("seq")).alias("p"))
-    words = planes.select("ind", "loc", "sl", "depth", F.posexplode(F.arrays_zip("p.hi", "p.lo", "p.n")).alias("word", "p"))
-    differ = [F.bit_or(F.col(f"p.{x}")).bitwiseXOR(F.bit_and(F.col(f"p.{x}"))) for x in ("hi", "lo", "n")]
-    sums = words.groupBy("ind", "loc", "sl", "word").agg(F.sum("depth").alias("loc_dep"), differ[0].bitwiseOR(differ[1]).bitwiseOR(differ[2]).alias("bits"))
-    length = F.least(F.lit(S.WORD), F.col("sl") - F.col("word") * S.WORD)
-    places = F.filter(F.sequence(F.lit(1), length), lambda p: F.getbit("bits", length - p) == 1)
-    return sums.select("ind", "loc", "sl", "loc_dep", "word", F.explode_outer(F.transform(places, lambda p: p + F.col("word") * S.WORD)).alias("pos"))
-
-
-def _resolve(col: Column, letter: Column, least: Column) -> Column:
-    """The letter that stands for one at a variable position with these depths; ``least``: depth of a good base."""
-    good = {x: (col[x] > 0) & (col[x] >= least) for x in "ACGT"}
-    n_good = sum((g.cast("int") for g in good.values()), F.lit(0))
-    bad = (col["N"] > 0) | F.greatest(*[((col[x] > 0) & (col[x] < least)).cast("int") for x in "ACGT"]).cast("boolean")
-    bases = F.greatest(*[col[x] for x in "ACGT"])
-    only = F.coalesce(*[F.when(g, F.lit(x)) for x, g in good.items()])
-    own_good = F.coalesce(*[F.when(letter == x, g) for x, g in good.items()], F.lit(False))
-    return F.when((bases == 0) | ~bad, letter).when(n_good == 1, only).when(n_good == 0, F.lit("N")).otherwise(F.when(own_good, letter).otherwise(F.lit("N")))
+    words = used.select("ind", "loc", "sl", "depth", F.posexplode(S.codes(F.col("seq"))).alias("word", "code"))
+    differ = F.bit_or("code").bitwiseXOR(F.bit_and("code"))
+    sums = words.groupBy("ind", "loc", "sl", "word").agg(F.sum("depth").alias("loc_dep"), differ.alias("bits"))
+    # Three bits a letter; the lowest one tells whether any of them differs.
+    sums = sums.withColumn("bits", F.col("bits").bitwiseOR(F.shiftrightunsigned("bits", 1)).bitwiseOR(F.shiftrightunsigned("bits", 2)).bitwiseAND(F.lit((8**S.CODED - 1) // 7)))
+    length = F.least(F.lit(S.CODED), F.col("sl") - F.col("word") * S.CODED)
+    places = F.when(F.col("bits") == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(1), length), lambda p: F.getbit("bits", 3 * (length - p)) == 1))
+    return sums.select("ind", "loc", "sl", "loc_dep", "word", F.explode_outer(F.transform(places, lambda p: p + F.col("word") * S.CODED)).alias("pos"))
+
+
+def _replaced(sums: DataFrame, least_of) -> DataFrame:
+    """(ind, loc, pos, olds, new): the letters to be replaced at a position, and what stands for them.
+
+    ``sums`` has the depth of each letter at the positions that vary; ``least_of``
+    gives the least depth of a good base.  Bad letters, N among them, become the
+    good base if there is just one, else N.
+    """
+    joined = lambda letters, cond: F.concat(*[F.when(cond(x), x).otherwise("") for x in letters])
+    rows = sums.withColumn("least", least_of({x: F.col(x) for x in "ACGT"}, F.col("loc_dep")))
+    rows = rows.withColumn("good", joined("ACGT", lambda x: (F.col(x) > 0) & (F.col(x) >= F.col("least"))))
+    rows = rows.withColumn("bad", joined("ACGTN", lambda x: (F.col(x) > 0) & ~F.col("good").contains(x)))
+    one = F.length("good") == 1
+    rows = rows.select("ind", "loc", "pos", F.when(one, F.col("bad")).otherwise(F.translate("bad", "N", "")).alias("olds"), F.when(one, F.col("good")).otherwise("N").alias("new"))
+    return rows.filter("olds != ''")
 
 
 def _corrected(used: DataFrame, least_of) -> DataFrame:
     """Svars with their corrected sequence: depths by position and letter, then a join of what they replace.
 
-    Only positions that vary are spelled out.  A locus gets at most five
-    replacements a position, so its row stays small however many svars it has.
+    Only positions that vary are spelled out.  A locus gets at most one
+    replacement a position, so its row stays small however many svars it has.
     """
     variable = materialize(_variable(used))
     at = variable.filter("pos is not null").select("ind", "loc", "loc_dep", "pos")
     letters = used.select("ind", "loc", "seq", "depth").join(at.hint("merge"), ["ind", "loc"]).withColumn("letter", F.expr("substr(seq, pos, 1)"))
     sums = letters.groupBy("ind", "loc", "loc_dep", "pos").agg(*[F.coalesce(F.sum(F.when(F.col("letter") == x, F.col("depth"))), F.lit(0)).alias(x) for x in "ACGTN"])
-    col = {x: F.col(x) for x in "ACGTN"}
-    least = least_of(col, F.col("loc_dep"))
-    news = [F.when((col[x] > 0) & (_resolve(col, F.lit(x), least) != x), F.struct("pos", F.lit(x).alias("old"), _resolve(col, F.lit(x), least).alias("new"))) for x in "ACGTN"]
-    swaps = sums.select("ind", "loc", F.explode(F.array_compact(F.array(*news))).alias("swap")).groupBy("ind", "loc").agg(F.collect_list("swap").alias("swaps"))
+    swaps = _replaced(sums, least_of).groupBy("ind", "loc").agg(F.collect_list(F.struct("pos", "olds", "new")).alias("swaps"))
     loci = variable.filter("word = 0").select("ind", "loc", "loc_dep").distinct().join(swaps.hint("merge"), ["ind", "loc"], "left")
-    new = F.aggregate("swaps", F.col("seq"), lambda s, w: F.when(F.substr("seq", w["pos"], F.lit(1)) == w["old"], F.overlay(s, w["new"], w["pos"])).otherwise(s))
-    return used.join(loci.hint("merge"), ["ind", "loc"]).select("ind", "loc", "sl", "loc_dep", "seq", "depth", F.coalesce(new, "seq").alias("corrected"))
+    new = F.aggregate("swaps", F.col("seq"), lambda s, w: F.when(F.contains(w["olds"], F.substr("seq", w["pos"], F.lit(1))), F.overlay(s, w["new"], w["pos"])).otherwise(s))
+    return used.join(loci.hint("merge"), ["ind", "loc"]).select("ind", "loc", "sl", "loc_dep", "seq", "depth", F.when(F.col("swaps").isNull(), F.col("seq")).otherwise(new).alias("corrected"))
 
 
 def snp_call_freq(used: DataFrame, c: float = 0.2) -> DataFrame:
@@ -150,7 +153,7 @@ def snp_call_binom(used: DataFrame, e: float = 0.01) -> DataFrame:
 
     def least(col: Column, dep: Column) -> Column:
         depths = F.sort_array(F.array(*[col[x] for x in "ACGT"]), asc=False)
-        one = F.size(F.filter(depths, lambda x: x > 0)) < 2
+        one = depths[1] == 0
         return F.when(one, 0).otherwise(binom_least(depths[0], depths[1], e))
 
     return _corrected(used, least)
@@ -165,10 +168,18 @@ def _compatible(seqs: DataFrame) -> DataFrame:
 
 
 def _consensus(members: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seq): the base found at each position, N if there is none."""
-    letters = members.select(*keys, F.posexplode(S.chars(F.col("seq"))).alias("pos", "letter"))
-    each = letters.groupBy(*keys, "pos").agg(F.coalesce(F.max(F.nullif("letter", F.lit("N"))), F.lit("N")).alias("letter"))
-    return each.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("seq"))
+    """(keys, seq): the base found at each position, N if there is none; members agree but for N.
+
+    Codes (N is 4) are summed up: ``bit_and`` has a 4 where all have N, the lower bits of ``bit_or`` have the base.
+    """
+    of = lambda digit: F.lit(digit * ((8**S.CODED - 1) // 7))
+    words = members.select(*keys, F.length("seq").alias("_n"), F.posexplode(S.codes(F.col("seq"))).alias("_word", "_code"))
+    code = F.bit_or("_code").bitwiseAND(of(3)).bitwiseOR(F.bit_and("_code").bitwiseAND(of(4)))
+    each = words.groupBy(*keys, "_n", "_word").agg(code.alias("_code"))
+    n = F.least(F.lit(S.CODED), F.col("_n") - F.col("_word") * S.CODED)
+    part = F.translate(F.lpad(F.conv(F.col("_code").cast("string"), 10, 8), n, F.lit("0")), "01234", "ACGTN")
+    each = each.select(*keys, F.struct("_word", part.alias("part")).alias("_part"))
+    return each.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda x: x["part"]), "").alias("seq"))
 
 
 def groups_of(corrected: DataFrame, binom: bool = False) -> DataFrame:
@@ -217,7 +228,7 @@ def groups_of(corrected: DataFrame, binom: bool = False) -> DataFrame:
     lost = F.when(F.col("n_stay") == 0, 2).when((F.col("n_stay") == 1) | (F.col("others") > 0), 1).otherwise(0)
     more = F.when(F.col("n_stay") == 0, F.col("n_out") > 2).when((F.col("n_stay") == 1) | (F.col("others") > 0), F.col("n_out") > 1).otherwise(F.col("donors") > 0)
     losses = per.groupBy(*keys).agg(F.sum(lost).cast("int").alias("lost"), F.max(more.cast("int")).alias("more"))
-    groups = plain.unionByName(whole).unionByName(stay)
+    groups = materialize(plain.unionByName(whole).unionByName(stay))
     bare = losses.join(groups.select("ind", "loc").hint("merge"), ["ind", "loc"], "left_anti").select(*keys, F.lit(None).cast("string").alias("seq"), F.lit(None).cast("double").alias("depth"), "lost", "more")
     found = groups.join(losses.select("ind", "loc", "lost", "more").hint("merge"), ["ind", "loc"], "left").select(*keys, "seq", "depth", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("more", F.lit(0)).alias("more"))
     return found.unionByName(bare)

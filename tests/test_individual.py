@@ -133,3 +133,16 @@ def test_tables_that_grow_are_not_broadcast(spark):
     for df in (corrected, near, between, individual.groups_of(corrected), individual.rare_assign(rows.drop("loc"), rows, 2)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_a_position_has_one_replacement(spark):
+    rows = [(1, 2, 20, p, *depths) for p, depths in enumerate([(9, 1, 0, 1, 1), (0, 0, 0, 0, 3), (8, 8, 1, 0, 2), (1, 1, 1, 1, 1), (9, 9, 0, 0, 0)])]
+    sums = spark.createDataFrame(rows, "ind long, loc long, loc_dep long, pos int, A long, C long, G long, T long, N long")
+    got = sorted((r["pos"], r["olds"], r["new"]) for r in I._replaced(sums, lambda col, dep: F.floor(dep * 0.2)).collect())
+    assert got == [(0, "CTN", "A"), (2, "G", "N"), (3, "ACGT", "N")]
+
+
+def test_consensus_by_codes(spark):
+    rows = [(1, "ACGN" * 20), (1, "NCGN" * 20), (1, "ANNN" * 20), (2, "N"), (3, "T" * 20)]
+    got = {r["g"]: r["seq"] for r in I._consensus(spark.createDataFrame(rows, "g long, seq string"), ["g"]).collect()}
+    assert got == {1: "ACGN" * 20, 2: "N", 3: "T" * 20}

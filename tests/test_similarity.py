@@ -49,3 +49,14 @@ def test_one_fragment_in_half_of_all_svars_fills_no_task(spark, monkeypatch):
         each = left.groupBy(F.pmod(F.xxhash64("g", "sl", "k", "piece", "block", "meets"), F.lit(8)).alias("task")).count().toPandas()["count"]
         assert each.max() <= 2 * each.median()
     rows.unpersist()
+
+
+def test_small_groups_need_no_count_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(M, "heavy_keys", lambda *a: pytest.fail("keys of small groups are counted"))
+    rng = random.Random(3)
+    rows = [(g, s) for g in (1, 2) for s in table(rng, 30)] + [(1, "ACGT" * 24 + "ACGN"), (1, "ACGT" * 25)]
+    df = spark.createDataFrame(rows, "g long, seq string")
+    found = M.similar_pairs(df, ["g"], "seq", 3, True)
+    # The distance is spelled out, so the join is compiled with it.
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["g"], r["seq1"], r["seq2"], r["dist"]) for r in found.collect()} == {(g, a, b, dist(a, b)) for g, a in rows for h, b in rows if g == h and a < b and len(a) == len(b) and dist(a, b) <= 3}
