@@ -90,8 +90,8 @@ def tree(reads: DataFrame, s: Demux, seq: str = "seq", qual: str = "qual", barco
             df = step(df, F.when(S.site_starts(q, sites), now()).otherwise(other))
     else:
         bars = list(s.barcodes)
-        exact = S.barcode_match(q, bars, sites)
-        df = step(df, F.when(exact.isNotNull(), now(dest=exact)).otherwise(now(dest=F.lit("NN"), ana=F.lit("bcr_c_fail"))))
+        df = df.withColumn("_e", S.barcode_match(q, bars, sites))
+        df = step(df, F.when(F.col("_e").isNotNull(), now(dest=F.col("_e"))).otherwise(now(dest=F.lit("NN"), ana=F.lit("bcr_c_fail")))).drop("_e")
         for on, label, b_most, s_most in ((s.repair_site_after_barcode, "_bc_rrep", 0, s.site_most), (s.repair_barcode, "_bcrep_r", s.barcode_most, 0), (s.repair_both, "_bcrep_rrep", s.barcode_most, s.site_most)):
             if on:
                 df = df.withColumn("_r", F.when((F.col("_t.dest") == "NN") & ~F.col("_t.done"), S.barcode_repair(q, bars, sites, b_most, s_most)))

@@ -5,7 +5,8 @@ tasks, gzip files are one split each.  A first pass counts the lines of each
 split and keeps the few at its ends; so every split knows at which line of a
 record it begins, and a second pass forms records within their splits, without a
 shuffle.  Only records that lie across an end of a split are put together by a
-join of those few lines.  Writing is one text row a record, so it needs no
+join of those few lines.  If all files are gzip, there is nothing to join, and one
+pass does.  Writing is one text row a record, so it needs no
 shuffle either, and records can be parted into folders by any columns.
 
 ``spark.read.format("fastq")`` is the same for files that the executors see by
@@ -19,6 +20,7 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -81,6 +83,40 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqSource)
 
 
+def _whole(keys: list[str]):
+    """Records of files that are one split each, and what is left at the end of a file as a record of ``n`` < 4 lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, carry, own = None, 0, None, []
+
+        def out(n: int, each: list[pa.Array], lines: int) -> pa.RecordBatch:
+            same = [pa.concat_arrays([x] * n) for x in own]
+            return pa.RecordBatch.from_arrays([*same, pa.array([now] * n, pa.int64()), pa.array(range(at // 4, at // 4 + n), pa.int64()), *each, pa.array([lines] * n, pa.int64())], names=[*keys, "file", "record_no", *PARTS, "n"])
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            if carry is not None and len(carry):
+                yield out(1, [carry.slice(k, 1) if k < len(carry) else pa.array([None], pa.string()) for k in range(4)], len(carry))
+
+        for batch in batches:
+            ids = batch.column("file").to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+            for a, b in itertools.pairwise(cuts):
+                value = batch.column("value").slice(a, b - a)
+                if int(ids[a]) != now:
+                    yield from rest()
+                    now, at, carry, own = int(ids[a]), 0, None, [batch.column(k).slice(a, 1) for k in keys]
+                if carry is not None and len(carry):
+                    value = pa.concat_arrays([carry, value])
+                n = len(value) // 4
+                carry = value.slice(4 * n)
+                if n:
+                    yield out(n, [value.take(pa.array(range(k, 4 * n, 4), pa.int64())) for k in range(4)], 4)
+                    at += 4 * n
+        yield from rest()
+
+    return run
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
     """(split, first row, last row + 1) of the rows of one split that come together."""
     n, split = batch.num_rows, lambda k: (batch.column("path")[k].as_py(), batch.column("start")[k].as_py())
@@ -160,8 +196,13 @@ def read_folder(spark: SparkSession, paths: str | list[str], keys: list[str] | N
     of lines than a multiple of four, or a record without ``@``, is an error.
     """
     keys = keys or []
-    lines = spark.read.text(paths).select(*keys, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.rtrim("value", F.lit("\r")).alias("value"))
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields if f.name in keys]
+    text, value = spark.read.text(paths), F.rtrim("value", F.lit("\r")).alias("value")
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in text.schema.fields if f.name in keys]
+    if names := _unsplit(text, spark, paths):
+        lines = text.select(*keys, F.xxhash64("_metadata.file_path").alias("file"), value)
+        found = lines.mapInArrow(_whole(keys), ", ".join([*own, "file long, record_no long", *(f"{c} string" for c in PARTS), "n long"]))
+        return _checked(found.join(F.broadcast(names), "file"), keys)
+    lines = text.select(*keys, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), value)
     ends = materialize(lines.mapInArrow(_ends(keys), ", ".join([*own, "path string, start long, lines long, first array<string>, last array<string>"])))
     before = F.coalesce(F.sum("lines").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = materialize(ends.select("path", "start", before.alias("before")))
@@ -178,7 +219,25 @@ def read_folder(spark: SparkSession, paths: str | list[str], keys: list[str] | N
     few = few.filter((F.col("record_no") * 4 < F.col("before")) | (F.col("record_no") * 4 + 3 >= F.col("before") + F.col("lines")))
     crossing = few.groupBy(*keys, "path", "record_no").agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("x.value"))).alias(c) for k, c in enumerate(PARTS)], F.count(F.lit(1)).alias("n"))
 
-    all_ = inner.unionByName(crossing)
+    return _checked(inner.unionByName(crossing), keys)
+
+
+def _unsplit(text: DataFrame, spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
+    """(file, path) of files that are all gzip, so one split each, which takes one pass; else none.
+
+    A file goes by the hash of its path, which is far shorter than the path in
+    every line; if two paths had the same one, the way by splits is taken.
+    """
+    files = text.inputFiles()
+    if not files or len(files) > SPLITS or not all(f.endswith(".gz") for f in files):
+        return None
+    path = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path")).distinct()
+    names = materialize(path.select(F.xxhash64("path").alias("file"), "path"))
+    return None if names.select("file").distinct().count() < names.count() else names
+
+
+def _checked(all_: DataFrame, keys: list[str]) -> DataFrame:
+    """Records that are whole; blank lines at the end of a file go, others are an error."""
     blank = (F.col("n") < 4) & (F.concat_ws("", *PARTS) == "")
     whole = (F.col("n") == 4) & F.col("header").startswith("@")
     checked = F.when(whole, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("a record is not complete in "), F.col("path"))).cast("string"))

@@ -173,3 +173,22 @@ def test_number_of_a_file_is_joined(spark, tmp_path):
     got = fastq.read(spark, paths[::-1])
     assert sorted((r["file_no"], r["header"]) for r in got.collect()) == [(29 - i, f"@r{i}") for i in reversed(range(30))]
     assert "29.fq" not in got._jdf.queryExecution().optimizedPlan().toString().replace("FileIndex", "")
+
+
+def test_gzip_files_take_one_pass(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fastq, "_ends", lambda keys: pytest.fail("lines are counted beforehand"))
+    want = []
+    for dest, n in (("a", 3), ("a", 0), ("b", 7001), ("c d", 1)):
+        folder = tmp_path / "in" / f"dest={dest}"
+        folder.mkdir(parents=True, exist_ok=True)
+        rows = [(f"@{dest}{i}", "ACGT", "+", "IIII") for i in range(n)]
+        with gzip.open(folder / f"{n}.gz", "wt", newline="") as f:
+            f.write("".join("\r\n".join(r) + "\r\n" for r in rows) + ("\n\n" if n == 3 else ""))
+        want += [(dest, i, *r) for i, r in enumerate(rows)]
+    got = fastq.read_folder(spark, str(tmp_path / "in"), ["dest"])
+    assert sorted(tuple(r) for r in got.select("dest", "record_no", "header", "seq", "plus", "qual").collect()) == sorted(want)
+    assert got.select("path").distinct().count() == 3 and got.filter("path like 'file:/%.gz'").count() == len(want)
+    with gzip.open(tmp_path / "in" / "dest=a" / "bad.gz", "wt") as f:
+        f.write("@x\nACGT\n+\n")
+    with pytest.raises(Exception, match="not complete"):
+        fastq.read_folder(spark, str(tmp_path / "in"), ["dest"]).collect()
