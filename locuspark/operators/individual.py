@@ -161,8 +161,7 @@ def snp_call_binom(used: DataFrame, e: float = 0.01) -> DataFrame:
 
 def _compatible(seqs: DataFrame) -> DataFrame:
     """Edges (a, b), both ways, between sequences of a locus that agree but for N; ends are ``ind|loc|seq``."""
-    with_n = seqs.filter(F.col("seq").contains("N")).select("ind", "loc").distinct()
-    pairs = similar_pairs(seqs.join(with_n.hint("merge"), ["ind", "loc"], "left_semi"), ["ind", "loc"], "seq", 0, ignore_n=True)
+    pairs = similar_pairs(seqs, ["ind", "loc"], "seq", 0, ignore_n=True)
     ends = [F.concat_ws("|", "ind", "loc", c) for c in ("seq1", "seq2")]
     return pairs.select(F.explode(F.array(F.struct(ends[0].alias("a"), ends[1].alias("b")), F.struct(ends[1].alias("a"), ends[0].alias("b")))).alias("e")).select("e.a", "e.b")
 
@@ -193,17 +192,22 @@ def groups_of(corrected: DataFrame, binom: bool = False) -> DataFrame:
     ``lost`` alleles and whether there may be ``more`` are the locus's; a locus
     without a group has one row with a null sequence.
 
-    Equal sequences are summed first (``k`` svars).  The graph holds loci with N
-    only, as a table of links; donation is a join of it.
+    Equal sequences are summed first (``k`` svars).  Loci without N are told apart at
+    once, as each of their sequences is a group; the graph and all joins hold the
+    others only.  The graph is a table of links; donation is a join of it.
     """
     keys = ["ind", "loc", "sl", "loc_dep"]
     seqs = corrected.groupBy(*keys, F.col("corrected").alias("seq")).agg(F.sum("depth").cast("double").alias("depth"), F.count(F.lit(1)).alias("k"))
-    seqs = materialize(seqs.withColumn("node", F.concat_ws("|", "ind", "loc", "seq")))
+    every = materialize(seqs)
+    with_n = every.filter(F.col("seq").contains("N")).select("ind", "loc").distinct().hint("merge")
+    seqs = materialize(every.join(with_n, ["ind", "loc"], "left_semi").withColumn("node", F.concat_ws("|", "ind", "loc", "seq")))
+    alone = every.join(with_n, ["ind", "loc"], "left_anti").select(*keys, "seq", "depth", F.lit(0).alias("lost"), F.lit(0).alias("more"))
     links = materialize(_compatible(seqs))
     parts = connected_components(links)
     degree = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    members = materialize(seqs.join(parts.hint("merge"), "node").join(degree.hint("merge"), "node").withColumn("out", F.col("seq").contains("N")))
-    plain = seqs.join(parts.hint("merge"), "node", "left_anti").select(*keys, "seq", "depth")
+    placed = materialize(seqs.join(parts.join(degree.hint("merge"), "node").hint("merge"), "node", "left").withColumn("out", F.col("seq").contains("N")))
+    members = placed.filter("component is not null")
+    plain = placed.filter("component is null").select(*keys, "seq", "depth")
 
     count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("k"))), F.lit(0))
     size = F.count(F.lit(1))
@@ -231,7 +235,7 @@ def groups_of(corrected: DataFrame, binom: bool = False) -> DataFrame:
     groups = materialize(plain.unionByName(whole).unionByName(stay))
     bare = losses.join(groups.select("ind", "loc").hint("merge"), ["ind", "loc"], "left_anti").select(*keys, F.lit(None).cast("string").alias("seq"), F.lit(None).cast("double").alias("depth"), "lost", "more")
     found = groups.join(losses.select("ind", "loc", "lost", "more").hint("merge"), ["ind", "loc"], "left").select(*keys, "seq", "depth", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("more", F.lit(0)).alias("more"))
-    return found.unionByName(bare)
+    return found.unionByName(bare).unionByName(alone)
 
 
 def alleles(groups: DataFrame, least_freq: float = 0.2, binom: bool = False, min_depth: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -146,3 +146,14 @@ def test_consensus_by_codes(spark):
     rows = [(1, "ACGN" * 20), (1, "NCGN" * 20), (1, "ANNN" * 20), (2, "N"), (3, "T" * 20)]
     got = {r["g"]: r["seq"] for r in I._consensus(spark.createDataFrame(rows, "g long, seq string"), ["g"]).collect()}
     assert got == {1: "ACGN" * 20, 2: "N", 3: "T" * 20}
+
+
+def test_loci_without_n_are_not_in_the_graph(spark, monkeypatch):
+    seen, real = [], I._compatible
+    monkeypatch.setattr(I, "_compatible", lambda seqs: seen.extend(r["loc"] for r in seqs.select("loc").distinct().collect()) or real(seqs))
+    loci = {1: [("ACGT", 5), ("ACGA", 4)], 2: [("ACGT", 5), ("ACGN", 2)], 3: [("ACGT", 6), ("ACGA", 2), ("ACGN", 4)], 4: [("AAAA", 1)]}
+    flat = [(1, loc, 4, sum(d for _, d in rows), s, d, s) for loc, rows in loci.items() for s, d in rows]
+    df = spark.createDataFrame(flat, "ind long, loc long, sl int, loc_dep long, seq string, depth long, corrected string")
+    got = {(r["loc"], r["seq"], r["depth"], r["lost"], r["more"]) for r in I.groups_of(df).collect()}
+    assert sorted(seen) == [2, 3]
+    assert got == {(1, "ACGT", 5.0, 0, 0), (1, "ACGA", 4.0, 0, 0), (2, "ACGT", 7.0, 0, 0), (3, "ACGT", 9.0, 0, 1), (3, "ACGA", 3.0, 0, 1), (4, "AAAA", 1.0, 0, 0)}
