@@ -66,8 +66,7 @@ def with_locus_ids(rows: DataFrame) -> DataFrame:
 
 def rare_assign(rare: DataFrame, loci: DataFrame, d: Column | int) -> DataFrame:
     """Rare svars (ind, sl, seq, depth, loc) that are within d of exactly one locus."""
-    near = similar_between(rare, loci, ["ind"], "seq", "seq", d, ignore_n=True)
-    near = near.join(loci.select("ind", F.col("seq").alias("seq2"), "loc").hint("merge"), ["ind", "seq2"])
+    near = similar_between(rare, loci, ["ind"], "seq", "seq", d, ignore_n=True, carry=["loc"])
     one = near.groupBy("ind", F.col("seq1").alias("seq")).agg(F.countDistinct("loc").alias("n"), F.min("loc").alias("loc")).filter("n = 1").drop("n")
     return rare.join(one.hint("merge"), ["ind", "seq"]).select("ind", "sl", "seq", "depth", "loc")
 

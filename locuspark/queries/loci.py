@@ -27,7 +27,7 @@ def _long(df: DataFrame, *columns: str) -> DataFrame:
 
 def used(f: Fixture) -> DataFrame:
     """Svars of loci of every individual; written once for each set of tables."""
-    return f.stage("used", lambda: I.loci_of(_svars(f), GOOD, F.lit(HAP), F.lit(RARE)))
+    return f.stage("used", lambda: I.loci_of(_svars(f), GOOD, HAP, RARE))
 
 
 def svar_count(f: Fixture) -> DataFrame:
@@ -167,7 +167,7 @@ def reads_annotate_rc(f: Fixture) -> DataFrame:
 
 def _called(reads: DataFrame) -> dict[str, DataFrame]:
     """The tables of a run over reads."""
-    svars = materialize(I.loci_of(I.svar_count(reads), GOOD, F.lit(HAP), F.lit(RARE)))
+    svars = materialize(I.loci_of(I.svar_count(reads), GOOD, HAP, RARE))
     loci, alleles = I.alleles(materialize(I.groups_of(I.snp_call_freq(svars))))
     return {"svars": svars, "alleles": alleles, "loci": loci}
 

@@ -60,3 +60,21 @@ def test_small_groups_need_no_count_of_keys(spark, monkeypatch):
     # The distance is spelled out, so the join is compiled with it.
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["g"], r["seq1"], r["seq2"], r["dist"]) for r in found.collect()} == {(g, a, b, dist(a, b)) for g, a in rows for h, b in rows if g == h and a < b and len(a) == len(b) and dist(a, b) <= 3}
+
+
+@pytest.mark.parametrize("ignore_n", [True, False])
+def test_small_groups_are_not_cut_and_large_ones_are(spark, monkeypatch, ignore_n):
+    monkeypatch.setattr(M, "HEAVY", 100)
+    cut, real = [], M.dealt
+    monkeypatch.setattr(M, "dealt", lambda left, *more: cut.extend(r["g"] for r in left.select("g").distinct().collect()) or real(left, *more))
+    rng = random.Random(7)
+    rows = [(g, s) for g, n in ((1, 5), (2, 4), (3, 60), (4, 1)) for s in table(rng, n)] + [(1, "ACGT" * 24 + "ACGN"), (1, "ACGT" * 25), (2, "N" * 20)]
+    df = spark.createDataFrame(rows, "g long, seq string").withColumn("own", F.col("g") + F.length("seq"))
+    near = lambda a, b: len(a) == len(b) and dist(a, b, ignore_n) <= 3
+    got = [(r["g"], r["seq1"], r["seq2"], r["dist"]) for r in M.similar_pairs(df, ["g"], "seq", 3, ignore_n).collect()]
+    assert sorted(got) == sorted({(g, a, b, dist(a, b, ignore_n)) for g, a in rows for h, b in rows if g == h and a < b and near(a, b)})
+    other = [(g, s) for g, n in ((1, 3), (3, 30), (5, 2)) for s in table(random.Random(7), n)]
+    for d in (3, F.lit(3)):
+        found = M.similar_between(spark.createDataFrame(other, "g long, s string"), df, ["g"], "s", "seq", d, ignore_n, carry=["own"]).collect()
+        assert sorted((r["g"], r["seq1"], r["seq2"], r["dist"], r["own"]) for r in found) == sorted({(g, a, b, dist(a, b, ignore_n), g + len(b)) for g, a in other for h, b in rows if g == h and near(a, b)})
+    assert set(cut) == {3}
