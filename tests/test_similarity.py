@@ -78,3 +78,11 @@ def test_small_groups_are_not_cut_and_large_ones_are(spark, monkeypatch, ignore_
         found = M.similar_between(spark.createDataFrame(other, "g long, s string"), df, ["g"], "s", "seq", d, ignore_n, carry=["own"]).collect()
         assert sorted((r["g"], r["seq1"], r["seq2"], r["dist"], r["own"]) for r in found) == sorted({(g, a, b, dist(a, b, ignore_n), g + len(b)) for g, a in other for h, b in rows if g == h and near(a, b)})
     assert set(cut) == {3}
+
+
+def test_pairs_are_sorted_without_arrays(spark):
+    df = spark.createDataFrame([(1, "ACGT" * 10), (1, "ACGT" * 9 + "ACGA"), (2, "ACGT")], "g long, seq string")
+    found = M.similar_pairs(df, ["g"], "seq", 2, True)
+    assert [tuple(r) for r in found.collect()] == [(1, 40, "ACGT" * 9 + "ACGA", "ACGT" * 10, 1)]
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and "p1_1" in joins[0] and "planes" not in joins[0]
