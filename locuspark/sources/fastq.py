@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from locuspark.plans.naming import col
 from locuspark.plans.scratch import materialize
 
 PARTS = ("header", "seq", "plus", "qual")
@@ -195,14 +196,17 @@ def read_folder(spark: SparkSession, paths: str | list[str], keys: list[str] | N
     Blank lines at the end of a file are of no account; a file of another number
     of lines than a multiple of four, or a record without ``@``, is an error.
     """
-    keys = keys or []
     text, value = spark.read.text(paths), F.rtrim("value", F.lit("\r")).alias("value")
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in text.schema.fields if f.name in keys]
+    named = {f"_key{i}": k for i, k in enumerate(keys or [])}
+    # Keys go by names of their own until the end, so they clash with no helper column; without any file no folder names them.
+    held = text.select("*", *[(col(k) if k in text.columns or text.inputFiles() else F.lit(None).cast("string")).alias(i) for i, k in named.items()])
+    keys = list(named)
+    own = [f"{i} {held.schema[i].dataType.simpleString()}" for i in keys]
     if names := _unsplit(text, spark, paths):
-        lines = text.select(*keys, F.xxhash64("_metadata.file_path").alias("file"), value)
+        lines = held.select(*keys, F.xxhash64("_metadata.file_path").alias("file"), value)
         found = lines.mapInArrow(_whole(keys), ", ".join([*own, "file long, record_no long", *(f"{c} string" for c in PARTS), "n long"]))
-        return _checked(found.join(F.broadcast(names), "file"), keys)
-    lines = text.select(*keys, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), value)
+        return _checked(found.join(F.broadcast(names), "file"), named)
+    lines = held.select(*keys, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), value)
     ends = materialize(lines.mapInArrow(_ends(keys), ", ".join([*own, "path string, start long, lines long, first array<string>, last array<string>"])))
     before = F.coalesce(F.sum("lines").over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = materialize(ends.select("path", "start", before.alias("before")))
@@ -219,7 +223,7 @@ def read_folder(spark: SparkSession, paths: str | list[str], keys: list[str] | N
     few = few.filter((F.col("record_no") * 4 < F.col("before")) | (F.col("record_no") * 4 + 3 >= F.col("before") + F.col("lines")))
     crossing = few.groupBy(*keys, "path", "record_no").agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("x.value"))).alias(c) for k, c in enumerate(PARTS)], F.count(F.lit(1)).alias("n"))
 
-    return _checked(inner.unionByName(crossing), keys)
+    return _checked(inner.unionByName(crossing), named)
 
 
 def _unsplit(text: DataFrame, spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
@@ -236,12 +240,12 @@ def _unsplit(text: DataFrame, spark: SparkSession, paths: str | list[str]) -> Da
     return None if names.select("file").distinct().count() < names.count() else names
 
 
-def _checked(all_: DataFrame, keys: list[str]) -> DataFrame:
-    """Records that are whole; blank lines at the end of a file go, others are an error."""
+def _checked(all_: DataFrame, named: dict[str, str]) -> DataFrame:
+    """Records that are whole, with the keys' own names; blank lines at the end of a file go, others are an error."""
     blank = (F.col("n") < 4) & (F.concat_ws("", *PARTS) == "")
     whole = (F.col("n") == 4) & F.col("header").startswith("@")
     checked = F.when(whole, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("a record is not complete in "), F.col("path"))).cast("string"))
-    return all_.filter(~blank).select("path", *keys, "record_no", checked.alias("header"), "seq", "plus", "qual")
+    return all_.filter(~blank).select("path", *[F.col(i).alias(k) for i, k in named.items()], "record_no", checked.alias("header"), "seq", "plus", "qual")
 
 
 def _uri(path: str) -> str:

@@ -192,3 +192,31 @@ def test_gzip_files_take_one_pass(spark, tmp_path, monkeypatch):
         f.write("@x\nACGT\n+\n")
     with pytest.raises(Exception, match="not complete"):
         fastq.read_folder(spark, str(tmp_path / "in"), ["dest"]).collect()
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_keys_named_as_helper_columns(spark, tmp_path, compress):
+    keys = ["file", "n", "start", "lines", "split"]
+    rows = [(f"@r{i}", "ACGT", "IIII", i % 2, "x", i % 3, "y", i % 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "header string, seq string, qual string, file int, n string, start int, lines string, split int")
+    fastq.write(df.repartition(3), str(tmp_path / "out"), keys, compress)
+    back = fastq.read_folder(spark, str(tmp_path / "out"), keys)
+    assert back.columns == ["path", *keys, "record_no", *fastq.PARTS]
+    assert sorted(tuple(r) for r in back.select("header", "seq", "qual", *keys).collect()) == sorted(rows)
+    fastq.write(df.limit(0), str(tmp_path / "none"), keys, compress)
+    assert fastq.read_folder(spark, str(tmp_path / "none"), keys).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 3, 1, 7), (6, 5, 2, 9), (2, 4, 1, 8), (2, 9, 3, 11), (4, 1, 1, 1)], [(s, o, i, 3) for s in range(9) for o in range(1, 30) for i in (1, 2)]])
+def test_filtered_reads_are_written_and_reported(spark, tmp_path, rows):
+    duckdb = pytest.importorskip("duckdb")
+    from __spark_entry__ import oracle_sql, queries
+
+    path = str(tmp_path / "lineitem.parquet")
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long").coalesce(1).write.parquet(path)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    found = db.execute(oracle_sql()["phred_filter_written"])
+    names = [c[0] for c in found.description]
+    got = queries()["phred_filter_written"](spark, str(tmp_path))
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(found.fetchall())
